@@ -5,5 +5,5 @@ from .common import ORACLES, QUERIES
 
 
 def load_all():
-    from . import text_queries  # noqa: F401
+    from . import sequence_queries, text_queries  # noqa: F401
     return QUERIES, ORACLES

@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +65,22 @@ def hashed_ids_sql(words: str, vocab_size: int = 32000, offset: int = 7) -> str:
     span = vocab_size - offset
     return (f"list_transform({words}, lambda w: "
             f"({offset} + (('0x' || substr(md5(w), 1, 8))::BIGINT % {span}))::INTEGER)")
+
+
+def tok_text_sql(x: str) -> str:
+    """General clean plus one more whitespace collapse (see ``tok_docs``)."""
+    return f"regexp_replace({clean_sql(x)}, '\\s+', ' ', 'g')"
+
+
+def words_sql(x: str) -> str:
+    t = tok_text_sql(x)
+    return f"(case when {t} = '' then []::VARCHAR[] else string_split({t}, ' ') end)"
+
+
+def tok_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """documents -> general clean, then one more whitespace collapse (removed
+    characters can leave double spaces).  On such text the pre-token pattern
+    needs no look-ahead, so the SQL twin (RE2) splits identically."""
+    d = table(spark, sf, "documents")
+    t = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
+    return d.select("doc_id", "source", t.alias("text"))

@@ -9,7 +9,7 @@ from ..operators import pretokenize as pt
 from ..sources import records
 from ..tables import NOTES_SQL, notes, table
 from .common import (clean_sql, pretokens_sql, register, strip_sql,
-                     word_count_sql)
+                     tok_docs, tok_text_sql, word_count_sql)
 
 
 def _docs(spark, sf):
@@ -20,16 +20,7 @@ def _clean_docs(spark, sf):
     return _docs(spark, sf).select("doc_id", "source", tx.general_clean(F.col("text")).alias("text"))
 
 
-def _tok_docs(spark, sf):
-    """General clean, then one more whitespace collapse (removed characters
-    can leave double spaces); on such text the pre-token pattern needs no
-    look-ahead, so the SQL twin (RE2) splits identically."""
-    return _clean_docs(spark, sf).withColumn(
-        "text", F.regexp_replace(F.col("text"), r"(?U)\s+", " "))
-
-
-def tok_text_sql(x: str) -> str:
-    return f"regexp_replace({clean_sql(x)}, '\\s+', ' ', 'g')"
+_tok_docs = tok_docs
 
 
 # B1 + B2: the flagship ------------------------------------------------------
