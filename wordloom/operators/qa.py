@@ -77,3 +77,25 @@ def route_rows(df: DataFrame, batch_col: str, text_col: str = "text") -> DataFra
     """Route attached to each row of its batch (window over small batches)."""
     mean = F.avg(tx.word_count(F.col(text_col))).over(Window.partitionBy(batch_col))
     return df.withColumn("route", F.when(mean < ROUTE_WORD_LIMIT, "bi").otherwise("auto"))
+
+
+def encode_batches(df: DataFrame, encoder, key: str, text_col: str = "text",
+                   batch_size: int = 16, max_length: int | None = None,
+                   task_type: str = "auto") -> DataFrame:
+    """batches of ``batch_size`` in key order -> route per batch (P12) ->
+    encode (B5) -> cut -> pad to the batch maximum (F1).  Rows on the causal
+    ('auto') route carry ``causal_width``: the width whose single causal mask
+    (F5, ``causal_mask_relation``) applies - never one mask per row."""
+    from ..functions.sequences import dynamic_padding, ones_mask
+    from .index import fixed_batches
+    b = fixed_batches(df, [key], batch_size)
+    if task_type == "auto":
+        b = route_rows(b, "batch_id", text_col)
+    else:
+        b = b.withColumn("route", F.lit("auto" if task_type == "causal" else "bi"))
+    b = encoder.encode(b, text_col, "ids")
+    if max_length is not None:
+        b = b.withColumn("ids", F.slice("ids", 1, max_length))
+    b = b.withColumn("mask", ones_mask(F.col("ids")))
+    p = dynamic_padding(b, batch_col="batch_id")
+    return p.withColumn("causal_width", F.when(F.col("route") == "auto", F.size("ids")))

@@ -5,5 +5,5 @@ from .common import ORACLES, QUERIES
 
 
 def load_all():
-    from . import ranking_queries, sequence_queries, text_queries  # noqa: F401
+    from . import bpe_queries, ranking_queries, sequence_queries, text_queries  # noqa: F401
     return QUERIES, ORACLES
