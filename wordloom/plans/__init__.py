@@ -5,5 +5,6 @@ from .common import ORACLES, QUERIES
 
 
 def load_all():
-    from . import bpe_queries, ranking_queries, sequence_queries, text_queries  # noqa: F401
+    from . import (bpe_queries, ranking_queries, sequence_queries,  # noqa: F401
+                   stream_queries, text_queries)
     return QUERIES, ORACLES

@@ -27,9 +27,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     these rows do, with the same expression in Spark and in the SQL oracle.
     Keeps ``dataset`` (the market segment) for per-dataset pipeline choice.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
-                                              "o_orderpriority", "o_orderdate")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return notes_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def notes_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """``notes`` from given orders and customer frames (either may stream)."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    c = customer.select("c_custkey", "c_name", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey)
     text = F.concat(
         F.lit("pt "), F.col("c_name"), F.lit(" hx order "), F.col("o_orderkey").cast("string"),
