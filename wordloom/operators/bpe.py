@@ -119,8 +119,9 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
     creates pairs bounded by their counts.  Walking the ordered list, stop
     before x when
       * x chains with a batch member (x.right == m.left or x.left == m.right);
-      * a pair chained with a batch member, not in the batch, has a count
-        >= count(x) (a new pair could tie or beat x);
+      * a pair chained with a batch member, not in the batch, ties with x
+        and a pair the batch creates next to it would sort before x (new
+        pairs never count more than the pair they grow from);
       * x is a self pair and the batch is not empty;
       * count(x) equals the count of the K-th row (unseen pairs may tie);
       * the vocabulary budget is used up.
@@ -144,15 +145,11 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
                 break
             if l == r or r in lefts or l in rights:
                 break
-            # chained pairs outside the batch with a count >= c
-            blocked = False
-            for l2, r2, c2 in parsed[idx + 1:]:
-                if c2 < c:
-                    break
-                if r2 in lefts or l2 in rights:
-                    blocked = True
-                    break
-            if blocked:
+            # chained pairs outside the batch with a count >= c: a pair made by
+            # the batch next to them has at most their count; since the list
+            # is ordered, only ties remain, and a tie blocks x only when such
+            # a new pair would sort before x
+            if _tie_blocks(parsed, idx, l, r, c, batch):
                 break
         batch.append((l, r, c))
         lefts.add(l)
@@ -164,6 +161,28 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
     return batch
 
 
+def _tie_blocks(parsed, idx: int, l: str, r: str, c: int,
+                batch: list[tuple[str, str, int]]) -> bool:
+    x_str = f"{l} {r}"
+    merged_by_right: dict[str, list[str]] = {}
+    merged_by_left: dict[str, list[str]] = {}
+    for ml, mr, _ in batch:
+        merged_by_right.setdefault(mr, []).append(ml + mr)
+        merged_by_left.setdefault(ml, []).append(ml + mr)
+    for l2, r2, c2 in parsed[idx + 1:]:
+        if c2 < c:
+            return False
+        left_opts = merged_by_right.get(l2, [])
+        right_opts = merged_by_left.get(r2, [])
+        if not left_opts and not right_opts:
+            continue
+        for nl in [l2] + left_opts:
+            for nr in [r2] + right_opts:
+                if (nl, nr) != (l2, r2) and f"{nl} {nr}" < x_str:
+                    return True
+    return False
+
+
 def _batch_regex(batch: list[tuple[str, str, int]]) -> tuple[str, str]:
     """One pattern for the whole batch, grouped by left symbol, and the
     replacement that drops the space inside each matched pair."""

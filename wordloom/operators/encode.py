@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .bpe import MAX_SHIPPED_VOCAB, BpeModel
 from .pretokenize import pretokens
 
@@ -117,7 +118,7 @@ class BpeEncoder:
         return self._encode_udf(pretokens(text, self.add_prefix_space))
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-        return df.withColumn(out_col, self.encode_column(F.col(text_col)))
+        return spread(df).withColumn(out_col, self.encode_column(F.col(text_col)))
 
     # B7 ---------------------------------------------------------------------
     def decode_column(self, ids: Column) -> Column:

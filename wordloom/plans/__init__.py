@@ -5,6 +5,6 @@ from .common import ORACLES, QUERIES
 
 
 def load_all():
-    from . import (bpe_queries, ranking_queries, sequence_queries,  # noqa: F401
-                   stream_queries, text_queries)
+    from . import (bpe_queries, io_queries, ranking_queries,  # noqa: F401
+                   sequence_queries, stream_queries, text_queries)
     return QUERIES, ORACLES

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -54,3 +54,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    cluster has cores (e.g. one unsplittable file), before costly row-local
+    work such as Python encoding.  A no-op on well-split inputs."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
