@@ -55,7 +55,8 @@ def text_file_corpus(spark: SparkSession, root: str,
     pats = [patterns] if isinstance(patterns, str) else list(patterns)
 
     def reader(opts, target):
-        return (spark.read.options(wholetext="true", **opts).text(target)
+        # the text() keyword wins over options(), so pass wholetext there
+        return (spark.read.options(**opts).text(target, wholetext=True)
                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
     parts = [p for p in (_read_pattern(spark, root, pat, reader) for pat in pats) if p is not None]
