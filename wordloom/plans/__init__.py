@@ -5,6 +5,7 @@ from .common import ORACLES, QUERIES
 
 
 def load_all():
-    from . import (bpe_queries, io_queries, ranking_queries,  # noqa: F401
-                   sequence_queries, stream_queries, text_queries)
+    from . import (bpe_queries, extra_queries, io_queries,  # noqa: F401
+                   ranking_queries, sequence_queries, stream_queries,
+                   text_queries)
     return QUERIES, ORACLES
