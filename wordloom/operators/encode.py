@@ -125,14 +125,18 @@ class BpeEncoder:
         """Special ids are skipped; the prefix space stays."""
         return self._decode_udf(ids)
 
-    def tokens_column(self, ids: Column, vocab: dict[int, str] | None = None) -> Column:
-        """Token strings of ids (X4 listing), looked up in a literal map."""
-        table = vocab or {i: bytes.fromhex(t).decode("utf-8", "replace")
-                          for t, i in self.model.token_ids().items()}
-        for i, s in enumerate(self.model.special_tokens):
-            table.setdefault(i, s)
-        m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
-        return F.transform(ids, lambda i: F.element_at(m, i))
+    def tokens_column(self, ids: Column) -> Column:
+        """Token strings of ids (X4 listing); special ids give their names."""
+        by_id = {i: bytes.fromhex(t).decode("utf-8", "replace")
+                 for t, i in self.model.token_ids().items()}
+        for i, name in enumerate(self.model.special_tokens):
+            by_id[i] = name
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def id_tokens(col: pd.Series) -> pd.Series:
+            return pd.Series([None if row is None else [by_id.get(int(i)) for i in row] for row in col])
+
+        return id_tokens(ids)
 
 
 # B8 / U3 / A1-A3 --------------------------------------------------------------

@@ -55,3 +55,15 @@ def stream_redacted_notes(spark, sf):
     from ..tables import notes_from
     n = notes_from(o, c).select("note_id", "text")
     return st.run_to_table(spark, st.redact_stream(n), "redact")
+
+
+# Encoding on a stream (fixed vocabulary for the query's life) -------------
+@register("stream_encode_documents")
+def stream_encode_documents(spark, sf):
+    from ..operators.encode import BpeEncoder
+    from .bpe_queries import trained_model
+    enc = BpeEncoder(trained_model(spark, sf))
+    s = _stream_table(spark, sf, "documents")
+    s = s.select("doc_id", F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ").alias("text"))
+    out = st.encode_stream(s, enc).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
+    return st.run_to_table(spark, out, "encode")
