@@ -60,6 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition when the input has fewer partitions than the
     cluster has cores (e.g. one unsplittable file), before costly row-local
     work such as Python encoding.  A no-op on well-split inputs."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
