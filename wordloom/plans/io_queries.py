@@ -9,7 +9,7 @@ from ..sources import sinks
 from ..streaming.streams import scratch_dir
 from ..tables import table
 from .bpe_queries import trained_model
-from .common import register, tok_docs
+from .common import register, tok_docs, tok_text_sql
 
 
 # Numbered batch files, blank rows dropped after numbering ---------------
@@ -27,7 +27,9 @@ def batch_files(spark, sf):
 
 
 # Text lines sink ----------------------------------------------------------
-@register("text_sink_lines")
+@register("text_sink_lines", f"""
+select {tok_text_sql('text')} as value from documents where regexp_matches({tok_text_sql('text')}, '\\S')
+""")
 def text_sink_lines(spark, sf):
     path = scratch_dir(spark, "lines")
     sinks.write_text_lines(tok_docs(spark, sf), path)

@@ -160,9 +160,26 @@ def series_best_step(spark, sf):
     return r.select("user_id", "n_steps", "best_step", F.round("best_value", 6).alias("best_value"))
 
 
-@register("series_early_stop")
+_FOLD = ("list_reduce(list_transform(list_sort(list(struct_pack(s := day, v := v))), "
+         "lambda e: struct_pack(best := e.v, cnt := 0, stop := NULL::VARCHAR, s := e.s, v := e.v)), "
+         "lambda a, e: struct_pack("
+         "best := case when e.v > a.best then a.best else e.v end, "
+         "cnt := case when e.v > a.best then a.cnt + 1 else 0 end, "
+         "stop := case when a.stop is null and e.v > a.best and a.cnt + 1 >= 3 then e.s else a.stop end, "
+         "s := e.s, v := e.v))")
+
+
+@register("series_early_stop", f"""
+with d as (select user_id, strftime(ts, '%Y-%m-%d') as day, avg(value) as v from events group by 1, 2),
+ b as (select user_id, day as best_step, round(v, 6) as best_value from d
+       qualify row_number() over (partition by user_id order by v, day) = 1),
+ f as (select user_id, count(*)::BIGINT as n_steps, {_FOLD}.stop as stop_step from d group by user_id)
+select f.user_id, n_steps, best_step, best_value, stop_step from f join b using (user_id)
+""")
 def series_early_stop(spark, sf):
-    return mt.series_fold(_daily(spark, sf), "user_id", "day", "v", patience=3)
+    r = mt.series_fold(_daily(spark, sf), "user_id", "day", "v", patience=3)
+    return r.select("user_id", "n_steps", "best_step", F.round("best_value", 6).alias("best_value"),
+                    "stop_step")
 
 
 # A4 ---------------------------------------------------------------------------
