@@ -49,12 +49,17 @@ def combine_batches(batches: dict[str, DataFrame], array_cols: list[str],
     if strict:
         widths = out.groupBy("batch").agg(*[F.min(F.size(c)).alias(f"min_{c}") for c in array_cols],
                                          *[F.max(F.size(c)).alias(f"max_{c}") for c in array_cols]).collect()
+        by_batch = {r["batch"]: r for r in widths}
         for c in array_cols:
-            seen = {(r["batch"], r[f"min_{c}"], r[f"max_{c}"]) for r in widths}
-            all_w = {w for _, lo, hi in seen for w in (lo, hi)}
-            if len(all_w) > 1:
-                bad = sorted(b for b, lo, hi in seen if lo != hi or lo != min(all_w))
-                raise ValueError(f"key {c!r} has different widths; batch {bad[0]!r} differs")
+            # the first batch sets the width; name the first batch that differs
+            ref = by_batch[names[0]]
+            for n in names:
+                r = by_batch.get(n)
+                if r is None:
+                    continue
+                if r[f"min_{c}"] != r[f"max_{c}"] or r[f"min_{c}"] != ref[f"min_{c}"] \
+                        or ref[f"min_{c}"] != ref[f"max_{c}"]:
+                    raise ValueError(f"key {c!r} has different widths; batch {n!r} differs")
     return out
 
 
