@@ -12,6 +12,8 @@ memoises pre-tokens it has already encoded.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,18 +84,30 @@ class BpeEncoder:
                 cache[t] = r
             return r
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def encode_tokens(col: pd.Series) -> pd.Series:
-            out = []
-            for toks in col:
-                if toks is None:
-                    out.append(None)
-                    continue
-                row: list[int] = []
-                for t in toks:
-                    row.extend(enc_token(t))
-                out.append(row)
-            return pd.Series(out)
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode_tokens(col: pa.Array) -> pa.Array:
+            # Arrow in, Arrow out: one flat token list per batch, rows rebuilt
+            # from offsets, no per-row pandas objects
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            lengths = pc.list_value_length(col).to_pylist()
+            flat = pc.list_flatten(col).to_pylist()
+            out_ids: list[int] = []
+            offsets = [0]
+            valid = []
+            pos = 0
+            for n in lengths:
+                if n is None:
+                    valid.append(False)
+                else:
+                    valid.append(True)
+                    for t in flat[pos:pos + n]:
+                        out_ids.extend(enc_token(t))
+                    pos += n
+                offsets.append(len(out_ids))
+            arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out_ids, pa.int32()),
+                                           mask=pa.array([not v for v in valid]))
+            return arr
 
         return encode_tokens
 
