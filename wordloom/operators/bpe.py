@@ -234,9 +234,15 @@ def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: in
     budget = vocab_size - len(specials) - len(alpha)
     live = words.where(F.col("w").contains(" ")).persist(StorageLevel.MEMORY_AND_DISK)
     rounds = 0
+    prev = None
     while budget > 0 and (max_rounds is None or rounds < max_rounds):
+        # this job also fills the cache of ``live``; only after it may the
+        # table ``live`` was computed from be released
         top = (pair_counts(live, min_frequency)
                .orderBy(F.desc("count"), F.asc("pair")).limit(top_k).collect())
+        if prev is not None:
+            prev.unpersist()
+            prev = None
         if not top:
             break
         batch = select_batch([(r["pair"], int(r["count"])) for r in top], top_k, tokens, budget)
@@ -254,8 +260,9 @@ def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: in
         else:
             # filled by the next round's pair count, no extra job
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        live.unpersist()
-        live = nxt
+        prev, live = live, nxt
+    if prev is not None:
+        prev.unpersist()
     model.rounds = rounds
     live.unpersist()
     words.unpersist()
