@@ -88,3 +88,19 @@ def test_select_batch_rules():
     assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 2, toks, 100)) == 1
     # budget
     assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 100, toks, 1)) == 1
+
+
+def test_routed_batches(spark):
+    from wordloom.operators import qa
+    rows = [(i, "short text " * (1 if i < 4 else 600)) for i in range(8)]
+    df = spark.createDataFrame(rows, "id INT, text STRING")
+    m = bpe.train_bpe(pt.word_counts(df), vocab_size=280)
+    out = qa.encode_batches(df, encode.BpeEncoder(m), key="id", batch_size=4, max_length=50).collect()
+    by_batch = {}
+    for r in out:
+        by_batch.setdefault(r.batch_id, set()).add((r.route, len(r.ids), r.causal_width))
+    assert len(by_batch[0]) == 1                                  # one width per batch
+    route, _, causal = next(iter(by_batch[0]))
+    assert route == "bi" and causal is None                      # short texts: bidirectional
+    assert {x[0] for x in by_batch[1]} == {"auto"}
+    assert all(x[1] == 50 and x[2] == 50 for x in by_batch[1])

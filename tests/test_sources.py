@@ -97,3 +97,14 @@ def test_sinks_and_versions(spark, tmp_dir):
     assert v == 2
     assert sinks.model_from_tables(vocab, merges).merges == m.merges
     assert sinks.restore_previous(spark, root)[0] == 1
+
+
+def test_processed_copies(spark, tmp_dir):
+    _write(f"{tmp_dir}/in/a.txt", "alpha")
+    _write(f"{tmp_dir}/in/b.txt", "  ")
+    corpus = files.text_file_corpus(spark, f"{tmp_dir}/in", "*.txt")
+    sinks.write_processed_copies(corpus, f"{tmp_dir}/out")
+    back = spark.read.text(f"{tmp_dir}/out")
+    assert [(r.name, r.value) for r in back.collect()] == [("a_processed.txt", "alpha")]
+    dec = files.decoded_files(spark, f"{tmp_dir}/in", "*.txt").collect()
+    assert [r.text for r in dec] == ["alpha"]
