@@ -82,8 +82,10 @@ def test_select_batch_rules():
     assert len(bpe.select_batch([("61 62", 10), ("62 63", 9)], 100, toks, 100)) == 1
     # independent pairs -> both
     assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 100, toks, 100)) == 2
-    # self pair only alone
-    assert len(bpe.select_batch([("61 62", 10), ("63 63", 9)], 100, toks, 100)) == 1
+    # a self pair may join, but later pairs need more than half its count
+    assert len(bpe.select_batch([("61 62", 10), ("63 63", 9)], 100, toks, 100)) == 2
+    assert len(bpe.select_batch([("63 63", 10), ("61 62", 5)], 100, toks, 100)) == 1
+    assert len(bpe.select_batch([("63 63", 10), ("61 62", 6)], 100, toks, 100)) == 2
     # k-th count: unseen pairs may tie
     assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 2, toks, 100)) == 1
     # budget

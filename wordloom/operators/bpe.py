@@ -122,11 +122,14 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
       * a pair chained with a batch member, not in the batch, ties with x
         and a pair the batch creates next to it would sort before x (new
         pairs never count more than the pair they grow from);
-      * x is a self pair and the batch is not empty;
+      * the batch holds a self pair (a,a) with 2 * count(x) <= count(a,a):
+        merging a run of k symbols a leaves at most (k-1)/2 of the new pairs
+        (aa,aa) and (aa,a), so those never exceed count(a,a) / 2;
       * count(x) equals the count of the K-th row (unseen pairs may tie);
       * the vocabulary budget is used up.
-    Stop after x when x is a self pair or its merged string is already a
-    token.  The first pair is always taken, so every round makes progress.
+    Stop after x when its merged string is already a token (its counts
+    would add up).  The first pair is always taken, so every round makes
+    progress.
     """
     full = len(top) >= k_limit
     kth = top[-1][1] if full and top else None
@@ -135,6 +138,7 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
     lefts: set[str] = set()
     rights: set[str] = set()
     new_tokens = 0
+    self_count = 0
     for idx, (l, r, c) in enumerate(parsed):
         merged = l + r
         is_new = merged not in tokens
@@ -143,7 +147,7 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
         if batch:
             if kth is not None and c <= kth:
                 break
-            if l == r or r in lefts or l in rights:
+            if r in lefts or l in rights or 2 * c <= self_count:
                 break
             # chained pairs outside the batch with a count >= c: a pair made by
             # the batch next to them has at most their count; since the list
@@ -156,7 +160,9 @@ def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
         rights.add(r)
         if is_new:
             new_tokens += 1
-        if l == r or not is_new:
+        if l == r:
+            self_count = max(self_count, c)
+        if not is_new:
             break
     return batch
 
