@@ -52,10 +52,10 @@ def add_log_sum_exp(df: DataFrame, logits: str, out: str = "lse") -> DataFrame:
 
 
 def _sorted_desc(values: Column) -> Column:
-    """ARRAY<STRUCT<v, i>> ordered by value desc, then index asc."""
-    z = F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    return F.array_sort(z, lambda a, b: F.when(a["v"] > b["v"], -1).when(a["v"] < b["v"], 1)
-                        .when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0))
+    """ARRAY<STRUCT<nv, i>> ordered by value desc, then index asc: a plain
+    ``sort_array`` of (-value, index) structs, no comparator lambda."""
+    z = F.transform(values, lambda v, i: F.struct((-v).alias("nv"), i.alias("i")))
+    return F.sort_array(z)
 
 
 # W2 -------------------------------------------------------------------------
@@ -81,7 +81,7 @@ def add_top_p(df: DataFrame, logits: str, p: float, temperature: float = 1.0,
     d = d.withColumn("_ps", _sorted_desc(F.col("_pp")))
     d = d.withColumn("_pk", F.aggregate(
         "_ps", F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("kept")),
-        lambda a, e: F.struct((a["cum"] + e["v"]).alias("cum"),
+        lambda a, e: F.struct((a["cum"] - e["nv"]).alias("cum"),
                               F.when((a["cum"] <= F.lit(p)) | (a["kept"] == 0), a["kept"] + 1)
                                .otherwise(a["kept"]).alias("kept")))["kept"])
     d = d.withColumn("_pi", F.transform(F.slice("_ps", 1, F.col("_pk")), lambda e: e["i"]))
