@@ -137,13 +137,13 @@ def _mlm_sql() -> str:
     return f"""
 select doc_id, {list_text_sql(f'list_transform(ids, lambda x, i: {new})')} as input_ids,
   {list_text_sql(f'list_transform(ids, lambda x, i: {lab})')} as labels
-from (select doc_id, list_concat(ids[1:32], [3]) as ids from {BASE_SQL})
+from (select doc_id, list_concat(ids, [3]) as ids from {BASE_SQL})
 """
 
 
 @register("seq_masked_lm", _mlm_sql())
 def seq_masked_lm(spark, sf):
-    d = _word_ids(spark, sf).select("doc_id", sq.template_single(sq.truncate(F.col("ids"), 32)).alias("ids"))
+    d = _word_ids(spark, sf).select("doc_id", sq.template_single(F.col("ids")).alias("ids"))
     m = sq.masked_lm(F.col("ids"), F.col("doc_id"), SEED, 0.15, special=list(range(7)), vocab_size=V)
     return d.select("doc_id", T(m["input_ids"]).alias("input_ids"), T(m["labels"]).alias("labels"))
 
@@ -152,13 +152,13 @@ def seq_masked_lm(spark, sf):
 @register("seq_length_profile", f"""
 select doc_id, len(ids)::BIGINT as original_length, least(len(ids), 128)::BIGINT as truncated_length,
   greatest(len(ids) - 128, 0)::BIGINT as tail_length,
-  {list_text_sql('ids[129:131]')} as tail_head
+  {list_text_sql('ids[129:]')} as tail
 from {BASE_SQL}
 """)
 def seq_length_profile(spark, sf):
     d = _word_ids(spark, sf)
     return d.select("doc_id", *sq.length_profile(F.col("ids"), 128),
-                    T(F.slice(sq.truncated_tail(F.col("ids"), 128), 1, 3)).alias("tail_head"))
+                    T(sq.truncated_tail(F.col("ids"), 128)).alias("tail"))
 
 
 # Mask coverage and padding efficiency per batch ----------------------
