@@ -57,3 +57,14 @@ def test_running_totals_and_latest(spark):
     assert r[("a", 49)] == (50, 100) and r[("a", 0)] == (1, 2) and r[("b", 0)] == (1, 5)
     lat = rk.latest_per_group(df, ["g"], "o", "v").collect()
     assert {x.g: x.o for x in lat} == {"a": 49, "b": 0}
+
+
+def test_dataset_metrics_and_error_examples(spark):
+    rows = [("a", True, 5, None), ("a", False, 9, "bad utf-8"), ("a", False, 1, "bad utf-8"),
+            ("b", True, 2, None), ("b", False, 0, "empty")]
+    df = spark.createDataFrame(rows, "ds STRING, ok BOOLEAN, tokens INT, err STRING")
+    m = {r.ds: r for r in mt.dataset_metrics(df, "ds", "ok", "tokens").collect()}
+    assert (m["a"].items, m["a"].processed_items, m["a"].failed_items, m["a"].total_tokens) == (3, 1, 2, 5)
+    assert m["b"].mean_tokens == 2.0
+    e = {(r.ds, r.err): r.n for r in mt.error_examples(df, "ds", "err", 1).collect()}
+    assert e == {("a", "bad utf-8"): 2, ("b", "empty"): 1}
