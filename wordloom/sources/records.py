@@ -30,7 +30,8 @@ def record_text(df: DataFrame) -> F.Column:
 def record_corpus(df: DataFrame, key: str | None = None) -> DataFrame:
     """S3: one text per record; empty strings and nulls dropped."""
     t = record_text(df).alias("text")
-    out = df.select(*( [F.col(key)] if key else []), t)
+    keep = [F.col(key)] if key else []
+    out = df.select(*keep, t)
     return out.where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
@@ -55,7 +56,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 # S4 ---------------------------------------------------------------------------
-def validate_descriptor(d: dict) -> list[str]:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence through Hadoop's FileSystem (local, HDFS, object stores);
+    glob patterns count when they match something."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def validate_descriptor(d: dict, spark: SparkSession | None = None) -> list[str]:
     """Problems of one dataset descriptor (empty list = valid)."""
     problems = [f"missing key {k!r}" for k in REQUIRED_KEYS if k not in d]
     if problems:
@@ -65,7 +76,8 @@ def validate_descriptor(d: dict) -> list[str]:
     cfg = d.get("config") or {}
     if d["type"] == "local":
         path = cfg.get("path") or cfg.get("local_path")
-        if not path or not os.path.exists(path):
+        exists = path_exists(spark, path) if (spark is not None and path) else bool(path and os.path.exists(path))
+        if not path or not exists:
             problems.append(f"local path does not exist: {path!r}")
     return problems
 
@@ -100,7 +112,7 @@ def load_corpora(spark: SparkSession, descriptors: list[dict],
         raise ValueError(f"repeated dataset names: {sorted(dup)}")
     parts = []
     for d in descriptors:
-        problems = validate_descriptor(d)
+        problems = validate_descriptor(d, spark)
         if problems:
             if on_error == "fail":
                 raise ValueError(f"dataset {d.get('name')!r}: {problems}")
