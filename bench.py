@@ -22,7 +22,7 @@ from wordloom.plans.common import tok_docs  # noqa: E402
 from wordloom.session import get_spark  # noqa: E402
 from wordloom.tables import notes, table  # noqa: E402
 
-BENCH_MERGES = int(os.environ.get("BENCH_MERGES", "300"))
+BENCH_MERGES = int(os.environ.get("BENCH_MERGES", "1000"))
 
 
 def run(df) -> None:
