@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -77,10 +76,18 @@ def words_sql(x: str) -> str:
     return f"(case when {t} = '' then []::VARCHAR[] else string_split({t}, ' ') end)"
 
 
+def tok_text(c):
+    """General clean (P9) plus one more whitespace collapse, in two regex
+    passes: removing the characters first and collapsing after gives the same
+    text as collapse -> remove -> strip -> collapse, and after the collapse
+    the only whitespace left is ' ', so a plain trim is the strip."""
+    c = F.regexp_replace(c, r"(?U)[^\w\s.,!?-]", "")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def tok_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """documents -> general clean, then one more whitespace collapse (removed
-    characters can leave double spaces).  On such text the pre-token pattern
-    needs no look-ahead, so the SQL twin (RE2) splits identically."""
+    """documents -> ``tok_text``.  On such text (single spaces, no ends) the
+    pre-token pattern needs no look-ahead, so the SQL twin (RE2) splits
+    identically."""
     d = table(spark, sf, "documents")
-    t = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
-    return d.select("doc_id", "source", t.alias("text"))
+    return d.select("doc_id", "source", tok_text(F.col("text")).alias("text"))

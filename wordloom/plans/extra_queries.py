@@ -12,7 +12,8 @@ from ..operators import pretokenize as pt
 from ..operators import sets
 from ..sources import records
 from ..tables import table
-from .common import pretokens_sql, register, tok_docs, tok_text_sql, words_sql
+from .common import (pretokens_sql, register, tok_docs, tok_text, tok_text_sql,
+                     words_sql)
 
 REQUIRED = [" the", " and", " of", " zebra", " token", " pt"]
 
@@ -48,7 +49,7 @@ select source, count(*)::BIGINT as n_rows from documents group by source
 """)
 def combined_batches(spark, sf):
     d = table(spark, sf, "documents")
-    w = tx.words(F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " "))
+    w = tx.words(tok_text(F.col("text")))
     d = d.select("doc_id", "source", "lang", sq.pad_to(sq.hashed_word_ids(w), 32).alias("ids"))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     # two encoded sets (English, the rest) combined back into one

@@ -17,7 +17,7 @@ from ..operators import pretokenize as pt
 from ..operators import qa
 from ..operators import ranking as rk
 from ..tables import table
-from .common import (list_text_sql, pretokens_sql, register, tok_docs,
+from .common import (list_text_sql, pretokens_sql, register, tok_docs, tok_text,
                      tok_text_sql, word_count_sql)
 
 
@@ -193,7 +193,7 @@ from documents group by source
 """)
 def dataset_metrics(spark, sf):
     d = table(spark, sf, "documents")
-    tok = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
+    tok = tok_text(F.col("text"))
     d = d.select("source", (F.length("text") <= 10000).alias("ok"), F.size(pt.pretokens(tok)).alias("tokens"))
     return mt.dataset_metrics(d, "source", "ok", "tokens")
 
@@ -205,7 +205,7 @@ def _doc_tokens(spark, sf):
 
 def _bench_vocab(spark, sf):
     b = table(spark, sf, "benchmark")
-    t = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
+    t = tok_text(F.col("text"))
     return b.select(F.explode(pt.pretokens(t)).alias("token")).distinct()
 
 
@@ -253,7 +253,7 @@ select distinct unnest({pretokens_sql(tok_text_sql('text'))}) as token from conv
 """)
 def token_set_union(spark, sf):
     c = table(spark, sf, "conversations")
-    t = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
+    t = tok_text(F.col("text"))
     conv = c.select(F.explode(pt.pretokens(t)).alias("token"))
     return _bench_vocab(spark, sf).union(conv).distinct()
 

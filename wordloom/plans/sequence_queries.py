@@ -13,7 +13,7 @@ from ..functions import draws
 from ..functions import sequences as sq
 from ..functions import text as tx
 from ..operators import index as ix
-from .common import (hashed_ids_sql, list_text_sql, register, tok_docs,
+from .common import (hashed_ids_sql, list_text_sql, register, tok_docs, tok_text,
                      words_sql)
 
 V = 32000
@@ -190,7 +190,7 @@ where len(ids) <> len(string_split(text, ' '))
 """)
 def seq_violations(spark, sf):
     raw = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    tok = F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ")
+    tok = tok_text(F.col("text"))
     d = raw.select("doc_id", sq.hashed_word_ids(tx.words(tok), V).alias("ids"),
                    sq.ones_mask(F.split("text", " ")).alias("mask"))
     v = sq.sequence_violations(d)

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..streaming import streams as st
 from ..tables import NOTES_SQL, table
-from .common import clean_sql, pretokens_sql, register, tok_text_sql
+from .common import clean_sql, pretokens_sql, register, tok_text, tok_text_sql
 from .text_queries import _abbrev_sql, _phi_sql
 
 
@@ -40,7 +39,7 @@ from documents group by source
 """)
 def stream_dataset_metrics(spark, sf):
     s = _stream_table(spark, sf, "documents")
-    s = s.select("source", F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ").alias("text"))
+    s = s.select("source", tok_text(F.col("text")).alias("text"))
     return st.run_to_table(spark, st.dataset_metrics_stream(s, "source"), "metrics", complete=True)
 
 
@@ -64,6 +63,6 @@ def stream_encode_documents(spark, sf):
     from .bpe_queries import trained_model
     enc = BpeEncoder(trained_model(spark, sf))
     s = _stream_table(spark, sf, "documents")
-    s = s.select("doc_id", F.regexp_replace(tx.general_clean(F.col("text")), r"(?U)\s+", " ").alias("text"))
+    s = s.select("doc_id", tok_text(F.col("text")).alias("text"))
     out = st.encode_stream(s, enc).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
     return st.run_to_table(spark, out, "encode")
