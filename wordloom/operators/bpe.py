@@ -276,7 +276,7 @@ def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: in
     return model
 
 
-# Plain-Python reference trainer (tests, small fixtures) ---------------------
+# Plain-Python one-at-a-time trainer (tests, small fixtures) ---------------------
 def train_bpe_local(word_counts: dict[str, int], vocab_size: int, min_frequency: int = 2,
                     alphabet: str = "full", special_tokens: list[str] | None = None) -> BpeModel:
     """One merge at a time, same tie-break; used to check the Spark trainer."""
