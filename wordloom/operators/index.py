@@ -1,13 +1,13 @@
 """Global row index and what is built on it: batching (W5), chunk split (W6),
 seeded shuffle (L3), exact random split (U4), batch collate (F10).
 
-An unpartitioned ``row_number()`` pulls every row into one task.  Instead:
-``repartitionByRange`` on the (unique) order keys -> sort inside partitions
--> ``monotonically_increasing_id`` gives (partition, local position) -> the
-frame is checkpointed so partition boundaries cannot change -> one small
-count per partition -> running offsets (one row per partition, broadcast)
--> index = offset + local position.  Nothing is collected but the partition
-counts.
+An unpartitioned ``row_number()`` pulls every row into one task.  Instead,
+on the (unique) order keys only: ``repartitionByRange`` -> sort inside
+partitions -> ``monotonically_increasing_id`` gives (partition, local
+position) -> the key table is checkpointed so partition boundaries cannot
+change -> one small count per partition -> running offsets (one row per
+partition, broadcast) -> index = offset + local position -> joined back on
+the keys.  Nothing is collected but the partition counts.
 """
 
 from __future__ import annotations
@@ -22,42 +22,44 @@ from ..session import ensure_checkpoint_dir
 _LOCAL_BITS = 33
 
 
-def global_index(df: DataFrame, order_cols: list[str | Column], name: str = "gidx",
+def global_index(df: DataFrame, order_cols: list[str], name: str = "gidx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based BIGINT index in the total order of ``order_cols``.
 
-    The order keys must be unique (add the id as the last key), otherwise
-    ties make the index unstable.
+    The order keys must be unique and non-null (add the id as the last key),
+    otherwise ties make the index unstable.  Only the keys are ranged, sorted
+    and checkpointed - a small table even when rows carry whole documents -
+    and the index is joined back on the keys (a shuffle on unique keys, so
+    no skew).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    keys = df.select(*order_cols)
+    tagged = (keys.repartitionByRange(n, *order_cols)
+                  .sortWithinPartitions(*order_cols)
+                  .withColumn("_mid", F.monotonically_increasing_id()))
     # Reliable checkpoint: fixes the partition boundaries for the counts
     # below and survives executor loss.
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid") - F.shiftleft(pid, _LOCAL_BITS)
     counts = (tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-              .orderBy("_pid").collect())
+              .orderBy("_pid").collect())          # one row per partition
     offsets, run = [], 0
     for r in counts:
         offsets.append((int(r["_pid"]), run))
         run += int(r["_n"])
     if not offsets:
-        return tagged.withColumn(name, F.lit(None).cast("bigint")).drop("_mid")
+        return df.withColumn(name, F.lit(None).cast("bigint"))
     off_df = spark.createDataFrame(offsets, "_pid BIGINT, _off BIGINT")
-    out = (tagged.withColumn("_pid", pid).withColumn("_loc", local)
-                 .join(F.broadcast(off_df), "_pid")
-                 .withColumn(name, F.col("_off") + F.col("_loc"))
-                 .drop("_pid", "_loc", "_off", "_mid"))
-    return out
+    index = (tagged.withColumn("_pid", pid).withColumn("_loc", local)
+                   .join(F.broadcast(off_df), "_pid")
+                   .select(*order_cols, (F.col("_off") + F.col("_loc")).alias(name)))
+    return df.join(index, list(order_cols))
 
 
-def fixed_batches(df: DataFrame, order_cols: list[str | Column], batch_size: int,
+def fixed_batches(df: DataFrame, order_cols: list[str], batch_size: int,
                   name: str = "batch_id") -> DataFrame:
     """Consecutive runs of ``batch_size`` rows in order; the last may be short."""
     out = global_index(df, order_cols, "_gidx")
