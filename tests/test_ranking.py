@@ -68,3 +68,9 @@ def test_dataset_metrics_and_error_examples(spark):
     assert m["b"].mean_tokens == 2.0
     e = {(r.ds, r.err): r.n for r in mt.error_examples(df, "ds", "err", 1).collect()}
     assert e == {("a", "bad utf-8"): 2, ("b", "empty"): 1}
+
+
+def test_running_totals_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a", i, 1, f"x{i}") for i in range(20)], "g STRING, o INT, v INT, extra STRING")
+    r = {x.o: (x.items_so_far, x.extra) for x in rk.running_totals(df, "g", "o", "v", 3).collect()}
+    assert r[19] == (20, "x19") and r[0] == (1, "x0")

@@ -175,7 +175,7 @@ def latest_per_group(df: DataFrame, group_cols: list[str], order_col: str,
 def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str,
                    num_partitions: int | None = None) -> DataFrame:
     """Running item count and running sum of ``value_col`` per group, in
-    ``order_col`` order (unique within a group).
+    ``order_col`` order ((group, order) unique and non-null).
 
     A plain ``Window.partitionBy(group)`` would put a hot group (a third of
     all rows) in one task.  Instead a distributed prefix sum: range-partition
@@ -188,9 +188,10 @@ def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, F.col(group_col), F.col(order_col))
-                .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+    narrow = df.select(group_col, order_col, value_col)
+    tagged = (narrow.repartitionByRange(n, F.col(group_col), F.col(order_col))
+                    .withColumn("_pid", F.spark_partition_id())
+                    .checkpoint(eager=True))
     piece = Window.partitionBy("_pid", group_col).orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = (tagged.withColumn("_c", F.count(F.lit(1)).over(piece))
@@ -202,6 +203,11 @@ def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str
                             F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
                             F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"))
     out = local.join(offsets, ["_pid", group_col])
-    return (out.withColumn("items_so_far", (F.col("_oc") + F.col("_c")).cast("bigint"))
-               .withColumn("tokens_so_far", (F.col("_os") + F.col("_s")).cast("bigint"))
-               .drop("_pid", "_c", "_s", "_oc", "_os"))
+    out = (out.withColumn("items_so_far", (F.col("_oc") + F.col("_c")).cast("bigint"))
+              .withColumn("tokens_so_far", (F.col("_os") + F.col("_s")).cast("bigint"))
+              .drop("_pid", "_c", "_s", "_oc", "_os"))
+    if set(df.columns) <= {group_col, order_col, value_col}:
+        return out
+    # only the three columns were checkpointed; the rest joins back on the
+    # (unique) group and order keys
+    return df.join(out.drop(value_col), [group_col, order_col])
