@@ -1,5 +1,5 @@
 """Shared helpers: written intermediate tables, table readers, hashing in
-numpy, and counting of packed fingerprints."""
+numpy, and a packed exchange of fingerprints."""
 
 from __future__ import annotations
 
@@ -109,35 +109,49 @@ def blocks_of(offsets: np.ndarray, most: int):
         i = j
 
 
-# --- counting packed fingerprints -----------------------------------------------
-FP_BYTES = 6
+# --- judging packed fingerprints ------------------------------------------------
+def pack(fp: np.ndarray, width: int) -> np.ndarray:
+    """(n, width) bytes of each uint64: all of it, or the bits above the lowest
+    eight if that is narrower."""
+    v = fp if width == 8 else fp >> np.uint64(8)
+    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
-def pack48(fp: np.ndarray) -> bytes:
-    """Bits 8 to 55 of each uint64 as six bytes."""
-    v = (fp >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.ascontiguousarray(v[:, :FP_BYTES]).tobytes()
+def unpack(cells: np.ndarray) -> np.ndarray:
+    v = np.zeros((len(cells), 8), np.uint8)
+    v[:, :cells.shape[1]] = cells
+    return v.view("<u8").ravel()
 
 
-def unpack48(blob: bytes) -> np.ndarray:
-    v = np.zeros((len(blob) // FP_BYTES, 8), np.uint8)
-    v[:, :FP_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, FP_BYTES)
-    return v.view("<u8").ravel()
+def summed(fp: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Judge: the sum of each fingerprint's one-byte weights (1 without), 255
+    at most."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    w = extra[:, 0].astype(np.int64)[order] if extra.shape[1] else np.ones(len(fp), np.int64)
+    total = np.minimum(np.add.reduceat(w, first), 255)
+    out = np.empty(len(fp), np.uint8)
+    out[order] = np.repeat(total, np.diff(np.append(first, len(fp))))
+    return out
 
 
-def fingerprint_counts(tiles: DataFrame, buckets: int, tile: str = "tile", fps: str = "fps",
-                       weights: str | None = None) -> DataFrame:
-    """For rows (tile, fps: sorted distinct uint64 packed as binary): in how
-    many tiles each fingerprint stands, as one byte each (255 means 255 or
-    more) in the order of the tile's ``fps``.  ``weights`` names a column with
-    one byte each, the times the tile holds the fingerprint itself (1 without).
+def judged_fingerprints(rows: DataFrame, buckets: int, judge, width: int = 6, extra: int = 0) -> DataFrame:
+    """Brings equal fingerprints of all tiles together and sends a verdict back.
 
-    A fingerprint is cut into ``buckets`` slices by its top 12 bits, so a tile
-    sends one contiguous slice to each bucket, 6 bytes an entry.  A fingerprint
-    that every tile has costs one entry per tile, so there are no hot keys.
-    Two fingerprints are taken for one if they share a bucket and 48 of their
-    bits, which can only raise a count.  Returns (tile, counts)."""
+    ``rows`` is (tile, fps, extra): sorted uint64 packed as binary, and
+    ``extra`` bytes for each.  The top 12 bits cut the hash range into
+    ``buckets`` slices; a tile sends one contiguous slice to each, ``width`` +
+    ``extra`` bytes an entry.  ``judge(fps, extra bytes)`` gives a byte for
+    each entry of a bucket, in tile order.  Returns (tile, verdicts), a byte
+    for each entry in the order of the tile's ``fps``.
+
+    A tile lists a fingerprint as often as it needs to (once, mostly), so what
+    a third of all documents share costs an entry per tile, not per document.
+    With a width of 6, entries are taken for equal if they share a bucket and
+    48 more bits."""
     buckets = min(max(buckets, 1), 4096)
+    size = width + extra
 
     def cut(batches):
         import pyarrow as pa
@@ -145,39 +159,76 @@ def fingerprint_counts(tiles: DataFrame, buckets: int, tile: str = "tile", fps:
                   << np.uint64(52))
         for b in batches:
             for i in range(b.num_rows):
-                t = b.column(0)[i].as_py()
                 fp = np.frombuffer(b.column(1)[i].as_py(), np.uint64)
-                w = np.frombuffer(b.column(2)[i].as_py(), np.uint8)
+                more = np.frombuffer(b.column(2)[i].as_py(), np.uint8).reshape(len(fp), extra)
+                cells = np.concatenate([pack(fp, width), more], axis=1)
                 at = np.concatenate([[0], np.searchsorted(fp, bounds), [len(fp)]])
-                rows = [(k, t, pack48(fp[at[k]:at[k + 1]]) + w[at[k]:at[k + 1]].tobytes())
-                        for k in range(buckets) if at[k + 1] > at[k]]
-                if rows:
-                    k, ts, blobs = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k, pa.int32()), pa.array(ts, pa.int64()), pa.array(blobs, pa.binary())],
-                        ["bucket", "tile", "blob"])
-
-    def count(key, table):
+                k = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k.astype(np.int32)), pa.array([b.column(0)[i].as_py()] * len(k), pa.int64()),
+                     pa.array([cells[at[j]:at[j + 1]].tobytes() for j in k], pa.binary())], ["bucket", "tile", "blob"])
+
+    def settle(table):
         import pyarrow as pa
+        table = table.sort_by("tile")
         blobs = table.column("blob").to_pylist()
-        n = [len(x) // (FP_BYTES + 1) for x in blobs]
-        fp = np.concatenate([unpack48(x[:FP_BYTES * m]) for x, m in zip(blobs, n)])
-        w = np.concatenate([np.frombuffer(x[FP_BYTES * m:], np.uint8) for x, m in zip(blobs, n)])
-        order = np.argsort(fp, kind="stable")
-        fp = fp[order]
-        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-        total = np.add.reduceat(w[order].astype(np.int64), first)
-        per = np.empty(len(fp), np.uint8)
-        per[order] = np.repeat(np.minimum(total, 255), np.diff(np.append(first, len(fp)))).astype(np.uint8)
-        at = np.concatenate([[0], np.cumsum(n)])
+        cells = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs]).reshape(-1, size)
+        verdict = judge(unpack(cells[:, :width]), cells[:, width:])
+        at = np.concatenate([[0], np.cumsum([len(x) // size for x in blobs])])
         return pa.table({"tile": table.column("tile"), "bucket": table.column("bucket"),
-                         "counts": pa.array([per[at[i]:at[i + 1]].tobytes() for i in range(len(n))], pa.binary())})
-
-    ones = F.col(weights) if weights else F.expr(
-        f"cast(repeat(char(1), cast(octet_length({fps}) / 8 as int)) as binary)")
-    sent = (tiles.select(F.col(tile).alias("tile"), F.col(fps).alias("fps"), ones.alias("w"))
-            .mapInArrow(cut, "bucket int, tile long, blob binary"))
-    counted = sent.groupBy("bucket").applyInArrow(count, "tile long, bucket int, counts binary")
-    whole = counted.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("parts"))
+                         "part": pa.array([verdict[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
+
+    more = F.col("extra") if extra else F.lit(b"").alias("extra")
+    sent = rows.select("tile", "fps", more).mapInArrow(cut, "bucket int, tile long, blob binary")
+    judged = sent.groupBy("bucket").applyInArrow(settle, "tile long, bucket int, part binary")
+    whole = judged.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("bucket", "part"))).alias("parts"))
     return whole.select("tile", F.aggregate(
-        "parts", F.lit(b""), lambda a, x: F.concat(a, x["counts"])).alias("counts"))
+        "parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("verdicts"))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, so that later
+    joins on the key move only their other side."""
+    spark = df.sparkSession
+    table = f"wordloom_{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd")
+     .option("path", scratch(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
+# --- words of packed texts ------------------------------------------------------
+def byte_class(keep) -> np.ndarray:
+    return np.array([bool(keep(b)) for b in range(256)])
+
+
+#: Words of the contracts: everything but the six ASCII white-space bytes.
+NON_SPACE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+#: ASCII letters and digits and all bytes of longer characters.
+WORD_BYTES = byte_class(lambda b: b >= 0x80 or chr(b).isalnum())
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
+    """(starts, ends, index of the first word of each text plus the total) of
+    the words in texts laid end to end; a word never crosses two texts."""
+    mask = inside[data]
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    ends = mask.copy()
+    ends[:-1] &= ~mask[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edge] = mask[edge]
+    ends[edge - 1] = mask[edge - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive word hashes."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h = splitmix(h ^ words[i:i + n]) + np.uint64(i)
+    return splitmix(h)

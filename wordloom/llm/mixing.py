@@ -14,6 +14,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Rows of one source that are ranked together where its sample ends.
 CUT_ROWS = 20_000
+#: Up to this many sources, tables of a row per source are sent to all executors.
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -53,6 +55,7 @@ def water_filled(sources: DataFrame, most: int = MOST, weights=WEIGHTS) -> DataF
 
 def pareto_mix(docs: DataFrame, targets: DataFrame, size: str, source: str, key: Column) -> DataFrame:
     """``docs`` with source_size, target, copies and taken (copies * size).
+    ``docs`` should hold keys and sizes only: it is written twice.
 
     A source with target t and size s wants r = t / s copies of each of its
     documents: floor(r) are certain, the rest p = r - floor(r) is the
@@ -71,25 +74,27 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, size: str, source: str, key:
     new = {"source_size", "target", "copies", "taken"}
     docs = docs.select([c for c in docs.columns if c.lower() not in new])
     u, slice_, odds = (fresh(docs, c) for c in ("_u", "_slice", "_odds"))
-    n = docs.groupBy(F.lit(1)).count().agg(F.max("count")).first()[0] or 0
+    n = docs.count()
     slices = max(64, n // CUT_ROWS)
     t = targets.select(
         F.col("source").alias("_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("_whole"))
+    small = F.broadcast if targets.count() <= BROADCAST_SOURCES else (lambda df: df)
     t = t.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
     t = t.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0))
-    d = (docs.join(t, F.col(source).eqNullSafe(F.col("_source")))
+    d = (docs.join(small(t), F.col(source).eqNullSafe(F.col("_source")))
          .withColumn(u, key)
          # random odds over inclusion odds; no chance ranks last
          .withColumn(odds, F.when(F.col("_p") > 0, F.col(u) / (1 - F.col(u)) * (1 - F.col("_p")) / F.col("_p")))
          .withColumn(slice_, F.floor(F.col(u) * slices)))
+    d = written(d, "ranks")
     sums = d.groupBy("_source", slice_).agg(F.sum(size).alias("_words"), F.first("_rest").alias("_rest"))
     before = Window.partitionBy("_source").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
     cut = sums.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     cut = (cut.where("_before + _words > _rest").groupBy("_source")
            .agg(F.min(F.struct(F.col(slice_).alias("s"), F.col("_before").alias("b"))).alias("c"))
            .select(F.col("_source").alias("_cut_source"), F.col("c.s").alias("_cut"), F.col("c.b").alias("_cut_before")))
-    d = d.join(cut, F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
+    d = d.join(small(cut), F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
     row_order = [odds, size] + [c for c in ("doc_id",) if c in docs.columns]
     inside = d.where(F.col(slice_) == F.col("_cut"))
     w = Window.partitionBy("_source").orderBy(*row_order)
@@ -98,16 +103,16 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, size: str, source: str, key:
     outside = d.where(F.col("_cut").isNull() | (F.col(slice_) != F.col("_cut"))).withColumn("_sum", F.lit(None).cast("long"))
     chosen = (F.col("_p") > 0) & (F.col("_cut").isNull() | (F.col(slice_) < F.col("_cut"))
                                   | ((F.col(slice_) == F.col("_cut")) & (F.col("_sum") <= F.col("_rest"))))
-    ranked = inside.unionByName(outside).withColumn("_in", F.coalesce(chosen, F.lit(False)))
+    ranked = written(inside.unionByName(outside).withColumn("_in", F.coalesce(chosen, F.lit(False))), "ranked")
     # the gap that is left, and the largest unchosen document that fits it
     left = (ranked.groupBy("_source").agg((F.first("_rest") - F.sum(F.when(F.col("_in"), F.col(size)).otherwise(0))).alias("_gap"))
             .withColumnRenamed("_source", "_gap_source"))
     open_rows = ranked.where(~F.col("_in") & (F.col("_p") > 0) & (F.col(size) > 0)).join(
-        left, F.col("_source").eqNullSafe(F.col("_gap_source"))).where(F.col(size) <= F.col("_gap"))
+        small(left), F.col("_source").eqNullSafe(F.col("_gap_source"))).where(F.col(size) <= F.col("_gap"))
     filler = (open_rows.groupBy("_source").agg(F.max(F.struct(F.col(size).alias("z"), (-F.col(u)).alias("u"),
                                                               *[F.col(c) for c in row_order[2:]])).alias("_fill"))
               .withColumnRenamed("_source", "_fill_source"))
-    out = ranked.join(filler, F.col("_source").eqNullSafe(F.col("_fill_source")), "left")
+    out = ranked.join(small(filler), F.col("_source").eqNullSafe(F.col("_fill_source")), "left")
     # of repeated rows that tie for the gap only the first fills it
     ties = Window.partitionBy("_source", size, u, *row_order[2:]).orderBy(F.lit(1))
     match = ((F.col(size) == F.col("_fill.z")) & (-F.col(u) == F.col("_fill.u")) & ~F.col("_in"))
@@ -127,7 +132,7 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source",
     """Documents with size (words), source_size, target, copies and taken."""
     sized = docs.withColumn(name, word_count(text))
     sources = sized.groupBy(F.col(source).alias("source")).agg(F.sum(name).alias("source_size"))
-    return pareto_mix(sized, water_filled(sources), name, source, random_unit("doc_id", source, name))
+    return pareto_mix(sized, written(water_filled(sources), "targets"), name, source, random_unit("doc_id", source, name))
 
 
 @register("op7_mixing")
@@ -136,6 +141,6 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
     docs = written(docs, "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return pareto_mix(docs, water_filled(sources), "size", "source",
+    return pareto_mix(docs, written(water_filled(sources), "targets"), "size", "source",
                       random_unit("doc_id", "source", "size")).select(
         "doc_id", "size", "source_size", "target", "taken")

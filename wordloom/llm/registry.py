@@ -23,5 +23,6 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all():
-    from . import archive, mixing, sharding  # noqa: F401
+    from . import (alignment, archive, embeddings, jaccard, line_runs, mixing,  # noqa: F401
+                   pii, sharding, suffixes, toxicity)
     return QUERIES, ORACLES
