@@ -12,6 +12,23 @@ def test_global_index_contiguous_and_partition_free(spark):
     assert all(a[k] == k for k in a)
 
 
+def test_null_and_repeated_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d"), (1, "a")], "k INT, v STRING")
+    rows = ix.global_index(df, ["k"], "g").collect()
+    assert sorted(r.g for r in rows) == [0, 1, 2, 3, 4]
+    assert sorted((r.k or 0, r.v) for r in rows) == [(0, "c"), (1, "a"), (1, "a"), (1, "b"), (2, "d")]
+
+
+def test_running_totals_keep_null_groups(spark):
+    from wordloom.operators import ranking as rk
+    df = spark.createDataFrame([("g", 1, 5, "x"), (None, 1, 7, "y"), (None, 2, None, "z"), ("g", 2, 1, "w"), ("g", 2, 1, "v")],
+                               "g STRING, o INT, n INT, extra STRING")
+    rows = rk.running_totals(df, "g", "o", "n").collect()
+    assert len(rows) == 5
+    got = sorted((r.g or "", r.items_so_far, r.tokens_so_far) for r in rows)
+    assert got == [("", 1, 7), ("", 2, 7), ("g", 1, 5), ("g", 2, 6), ("g", 3, 7)]
+
+
 def test_chunks_cover_everything(spark):
     df = spark.range(1000).withColumnRenamed("id", "i")
     b = ix.fixed_batches(df, ["i"], 100)

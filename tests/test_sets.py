@@ -38,6 +38,6 @@ def test_map_records(spark):
 def test_qa_sets_skip_failures(spark, tmp_dir):
     spark.createDataFrame([("q", "c")], "question STRING, context STRING").write.parquet(f"{tmp_dir}/a")
     spark.createDataFrame([("q2",)], "question STRING").write.parquet(f"{tmp_dir}/b")
-    u = records.load_qa_sets(spark, {"a": f"{tmp_dir}/a", "b": f"{tmp_dir}/b", "bad": f"{tmp_dir}/none"})
+    u = records.load_qa_sets(spark, {"a": f"{tmp_dir}/a", "b": f"{tmp_dir}/b", "bad": f"{tmp_dir}/none"}, on_missing="skip")
     rows = sorted((r.dataset, r.question, r.context) for r in u.collect())
     assert rows == [("a", "q", "c"), ("b", "q2", None)]

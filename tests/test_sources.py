@@ -40,6 +40,23 @@ def test_csv_text_column(spark, tmp_dir):
     assert n[0].text is None
 
 
+def test_csv_header_is_chosen_per_file(spark, tmp_dir):
+    _write(f"{tmp_dir}/a.csv", "id,text\n1,AAA\n")
+    _write(f"{tmp_dir}/b.csv", "text,id\nBBB,9\n")
+    _write(f"{tmp_dir}/c x.csv", "id,body\n3,CCC\n")
+    _write(f"{tmp_dir}/d.csv", 'id,text,more\n4,"say ""hi"" now",x\n5,two,y\n')
+    got = {os.path.basename(r.path).replace("%20", " "): r.text for r in files.csv_corpus(spark, tmp_dir).collect()}
+    assert got == {"a.csv": "AAA", "b.csv": "BBB", "c x.csv": None, "d.csv": 'say "hi" now\ntwo'}
+
+
+def test_double_star_anywhere(spark, tmp_dir):
+    for p in ("a/b/g.txt", "a/x/b/f.txt", "a/x/y/b/h.txt", "a/x/c/n.txt", "b/o.txt", "a/b/q.csv"):
+        _write(f"{tmp_dir}/{p}", p)
+    read = lambda pat: sorted(r.text for r in files.text_file_corpus(spark, tmp_dir, pat).collect())
+    assert read("a/**/b/*.txt") == ["a/b/g.txt", "a/x/b/f.txt", "a/x/y/b/h.txt"]
+    assert read("**/?.txt") == ["a/b/g.txt", "a/x/b/f.txt", "a/x/c/n.txt", "a/x/y/b/h.txt", "b/o.txt"]
+
+
 def test_admission_and_decoding(spark, tmp_dir):
     _write(f"{tmp_dir}/utf8.txt", "héllo".encode("utf-8"))
     _write(f"{tmp_dir}/latin.txt", b"\xe9A")
@@ -48,9 +65,12 @@ def test_admission_and_decoding(spark, tmp_dir):
     _write(f"{tmp_dir}/blank.txt", b"   ")
     _write(f"{tmp_dir}/big.txt", b"x" * 5000)
     _write(f"{tmp_dir}/image.bin", b"abc")
-    b = files.read_binary(spark, tmp_dir, "*", max_bytes=4000)
-    adm = {os.path.basename(r.path): r.reason for r in files.admit_files(b).collect()}
-    assert "big.txt" not in adm                                   # size filter at the scan
+    _write(f"{tmp_dir}/cut.txt", "aa" + "語" * 600)      # a byte prefix would end inside a character
+    _write(f"{tmp_dir}/late.txt", " " * 1100 + "text")
+    b = files.read_binary(spark, tmp_dir, "*")
+    adm = {os.path.basename(r.path): r.reason for r in files.admit_files(b, max_bytes=4000).collect()}
+    assert adm["big.txt"] == "size" and adm["cut.txt"] is None and adm["late.txt"] is None
+    assert all(r.reason != "size" for r in files.admit_files(b).collect())
     assert adm["utf8.txt"] is None and adm["latin.txt"] is None
     # zero-length files make no split in Spark's file scan, so never admitted
     assert adm.get("empty.txt", "empty") == "empty" and adm["blank.txt"] == "blank"
@@ -70,7 +90,8 @@ def test_json_records_and_descriptors(spark, tmp_dir):
     desc = [{"name": "j", "type": "huggingface", "config": {"path": f"{tmp_dir}/r.jsonl"}},
             {"name": "t", "type": "local", "config": {"path": f"{tmp_dir}/txt"}},
             {"name": "missing", "type": "local", "config": {"path": f"{tmp_dir}/nope"}}]
-    corpus = records.load_corpora(spark, desc)
+    corpus = records.load_corpora(spark, desc, on_error="skip")
+    assert [r.dataset for r in records.descriptor_problems(spark, desc).collect()] == ["missing"]
     stats = {r.dataset: (r.n_samples, r.empty) for r in records.corpus_stats(corpus, desc).collect()}
     assert stats == {"j": (2, False), "t": (1, False), "missing": (0, True)}
     import pytest

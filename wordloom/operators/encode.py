@@ -2,8 +2,8 @@
 comparison (B10).
 
 Encoding is row-local: pre-tokens are extracted JVM-side (the same
-expression as training), and an Arrow pandas UDF applies the merge ranks to
-each pre-token.  The ranks table is bounded by the vocabulary size (checked)
+expression as training), and an Arrow UDF applies the merge ranks to each
+distinct pre-token of a batch.  The ranks table is bounded by the vocabulary size (checked)
 and travels with the task; there is no shuffle and no join back, so a hot
 pre-token (a third of all words) costs nothing extra: each Python worker
 memoises pre-tokens it has already encoded.
@@ -11,14 +11,15 @@ memoises pre-tokens it has already encoded.
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
 from .bpe import MAX_SHIPPED_VOCAB, BpeModel
 from .pretokenize import pretokens
 
@@ -27,27 +28,40 @@ _CACHE_LIMIT = 500_000
 
 def _bpe_symbols(token: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Apply merges by rank to one pre-token (lowest rank first, all
-    non-overlapping occurrences left to right)."""
+    non-overlapping occurrences left to right).  Neighbouring pairs wait in a
+    heap over a linked list, so a very long token costs n log n."""
     sym = [f"{b:02X}" for b in token.encode("utf-8")]
-    while len(sym) > 1:
-        best, best_rank = None, None
-        for a, b in zip(sym, sym[1:]):
-            r = ranks.get((a, b))
-            if r is not None and (best_rank is None or r < best_rank):
-                best, best_rank = (a, b), r
-        if best is None:
-            break
-        a, b = best
-        out, i = [], 0
-        while i < len(sym):
-            if i + 1 < len(sym) and sym[i] == a and sym[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(sym[i])
-                i += 1
-        sym = out
-    return sym
+    n = len(sym)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        # an entry is stale once either side was merged into something else
+        if sym[i] is None or j >= n or ranks.get((sym[i], sym[j])) != rank:
+            continue
+        sym[i], sym[j] = sym[i] + sym[j], None
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right < n:
+                r = ranks.get((sym[left], sym[right]))
+                if r is not None:
+                    heapq.heappush(heap, (r, left))
+    return [x for x in sym if x is not None]
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The concatenated slices values[starts[k]:starts[k] + lengths[k]] for k in which."""
+    n = lengths[which]
+    first = np.repeat(starts[which] - (np.cumsum(n) - n), n)
+    return values[first + np.arange(len(first))]
+
+
+def _is_hex(token: str) -> bool:
+    return len(token) % 2 == 0 and all(c in "0123456789ABCDEF" for c in token)
 
 
 class BpeEncoder:
@@ -86,44 +100,44 @@ class BpeEncoder:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode_tokens(col: pa.Array) -> pa.Array:
-            # Arrow in, Arrow out: one flat token list per batch, rows rebuilt
-            # from offsets, no per-row pandas objects
+            # Arrow in, Arrow out: each distinct token of the batch is encoded
+            # once, the rows are gathered from those by index
             if isinstance(col, pa.ChunkedArray):
                 col = col.combine_chunks()
-            lengths = pc.list_value_length(col).to_pylist()
-            flat = pc.list_flatten(col).to_pylist()
-            out_ids: list[int] = []
-            offsets = [0]
-            valid = []
-            pos = 0
-            for n in lengths:
-                if n is None:
-                    valid.append(False)
-                else:
-                    valid.append(True)
-                    for t in flat[pos:pos + n]:
-                        out_ids.extend(enc_token(t))
-                    pos += n
-                offsets.append(len(out_ids))
-            arr = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out_ids, pa.int32()),
-                                           mask=pa.array([not v for v in valid]))
-            return arr
+            missing = np.asarray(col.is_null())
+            size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+            flat = pc.list_flatten(col).dictionary_encode()
+            coded = [enc_token(t) for t in flat.dictionary.to_pylist()]
+            lengths = np.array([len(c) for c in coded], np.int64)
+            values = np.array([i for c in coded for i in c], np.int32)
+            which = np.asarray(flat.indices).astype(np.int64)
+            out = _gather(values, np.cumsum(lengths) - lengths, lengths, which)
+            done = np.concatenate([[0], np.cumsum(lengths[which])]).astype(np.int64)
+            offsets = done[np.concatenate([[0], np.cumsum(size)]).astype(np.int64)]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()),
+                                            mask=pa.array(missing))
 
         return encode_tokens
 
     def _make_decode_udf(self):
-        by_id = {i: t for t, i in self.model.token_ids().items()}
-
-        @F.pandas_udf(T.StringType())
-        def decode_ids(col: pd.Series) -> pd.Series:
-            out = []
-            for row in col:
-                if row is None:
-                    out.append(None)
-                    continue
-                hx = "".join(by_id.get(int(i), "") for i in row)
-                out.append(bytes.fromhex(hx).decode("utf-8", "replace"))
-            return pd.Series(out)
+        table = {i: bytes.fromhex(t) if _is_hex(t) else b"" for t, i in self.model.token_ids().items()}
+        top = max(table, default=-1) + 1
+        cells = [table.get(i, b"") for i in range(top)] + [b""]   # the last: any unknown id
+        lengths = np.array([len(c) for c in cells], np.int64)
+        blob = np.frombuffer(b"".join(cells), np.uint8)
+
+        @F.arrow_udf(T.StringType())
+        def decode_ids(col: pa.Array) -> pa.Array:
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            missing = np.asarray(col.is_null())
+            size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+            ids = np.asarray(pc.fill_null(pc.list_flatten(col), -1)).astype(np.int64)
+            ids = np.where((ids < 0) | (ids > top), top, ids)
+            data = _gather(blob, np.cumsum(lengths) - lengths, lengths, ids).tobytes()
+            done = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(size)])]
+            return pa.array([None if gone else data[a:b].decode("utf-8", "replace")
+                             for gone, a, b in zip(missing, done[:-1], done[1:])], pa.string())
 
         return decode_ids
 
@@ -132,7 +146,7 @@ class BpeEncoder:
         return self._encode_udf(pretokens(text, self.add_prefix_space))
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-        return spread(df).withColumn(out_col, self.encode_column(F.col(text_col)))
+        return df.withColumn(out_col, self.encode_column(F.col(text_col)))
 
     # B7 ---------------------------------------------------------------------
     def decode_column(self, ids: Column) -> Column:
@@ -146,9 +160,18 @@ class BpeEncoder:
         for i, name in enumerate(self.model.special_tokens):
             by_id[i] = name
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
-        def id_tokens(col: pd.Series) -> pd.Series:
-            return pd.Series([None if row is None else [by_id.get(int(i)) for i in row] for row in col])
+        top = max(by_id, default=-1) + 1
+        names = pa.array([by_id.get(i) for i in range(top)] + [None], pa.string())   # the last: any unknown id
+
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def id_tokens(col: pa.Array) -> pa.Array:
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+            at = np.asarray(pc.fill_null(pc.list_flatten(col), -1)).astype(np.int64)
+            at = np.where((at < 0) | (at > top), top, at)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            return pa.ListArray.from_arrays(offsets, names.take(pa.array(at)), mask=pa.array(np.asarray(col.is_null())))
 
         return id_tokens(ids)
 

@@ -1,13 +1,13 @@
 """Global row index and what is built on it: batching (W5), chunk split (W6),
 seeded shuffle (L3), exact random split (U4), batch collate (F10).
 
-An unpartitioned ``row_number()`` pulls every row into one task.  Instead,
-on the (unique) order keys only: ``repartitionByRange`` -> sort inside
-partitions -> ``monotonically_increasing_id`` gives (partition, local
-position) -> the key table is checkpointed so partition boundaries cannot
-change -> one small count per partition -> running offsets (one row per
-partition, broadcast) -> index = offset + local position -> joined back on
-the keys.  Nothing is collected but the partition counts.
+An unpartitioned ``row_number()`` pulls every row into one task.  Instead:
+``repartitionByRange`` -> sort inside partitions ->
+``monotonically_increasing_id`` gives (partition, local position) -> the
+table is checkpointed so partition boundaries cannot change -> one small
+count per partition -> running offsets (one row per partition, broadcast) ->
+index = offset + local position.  Nothing is collected but the partition
+counts, and whole rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -26,19 +26,16 @@ def global_index(df: DataFrame, order_cols: list[str], name: str = "gidx",
                  num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based BIGINT index in the total order of ``order_cols``.
 
-    The order keys must be unique and non-null (add the id as the last key),
-    otherwise ties make the index unstable.  Only the keys are ranged, sorted
-    and checkpointed - a small table even when rows carry whole documents -
-    and the index is joined back on the keys (a shuffle on unique keys, so
-    no skew).
+    Whole rows are ranged once, sorted and checkpointed, so there is no join
+    back on the keys: rows with null or repeated keys are numbered like all
+    others (nulls first; ties in the order of the checkpointed table).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*order_cols)
-    tagged = (keys.repartitionByRange(n, *order_cols)
-                  .sortWithinPartitions(*order_cols)
-                  .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = (df.repartitionByRange(n, *order_cols)
+                .sortWithinPartitions(*order_cols)
+                .withColumn("_mid", F.monotonically_increasing_id()))
     # Reliable checkpoint: fixes the partition boundaries for the counts
     # below and survives executor loss.
     tagged = tagged.checkpoint(eager=True)
@@ -53,10 +50,10 @@ def global_index(df: DataFrame, order_cols: list[str], name: str = "gidx",
     if not offsets:
         return df.withColumn(name, F.lit(None).cast("bigint"))
     off_df = spark.createDataFrame(offsets, "_pid BIGINT, _off BIGINT")
-    index = (tagged.withColumn("_pid", pid).withColumn("_loc", local)
-                   .join(F.broadcast(off_df), "_pid")
-                   .select(*order_cols, (F.col("_off") + F.col("_loc")).alias(name)))
-    return df.join(index, list(order_cols))
+    return (tagged.withColumn("_pid", pid).withColumn("_loc", local)
+                  .join(F.broadcast(off_df), "_pid")
+                  .withColumn(name, F.col("_off") + F.col("_loc"))
+                  .drop("_mid", "_pid", "_loc", "_off"))
 
 
 def fixed_batches(df: DataFrame, order_cols: list[str], batch_size: int,

@@ -44,9 +44,10 @@ def word_counts(df: DataFrame, text_col: str = "text",
     return toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary_probe(df: DataFrame, text_col: str = "text", cap: int = 100_000,
+def vocabulary_probe(df: DataFrame, text_col: str = "text", cap: int | None = None,
                      approximate: bool = False) -> DataFrame:
-    """Number of distinct pre-tokens, capped (one row)."""
+    """Number of distinct pre-tokens (one row), at most ``cap`` if one is given."""
     toks = df.select(F.explode(pretokens(F.col(text_col))).alias("token"))
     agg = F.approx_count_distinct("token") if approximate else F.count_distinct("token")
-    return toks.agg(F.least(agg, F.lit(cap)).cast("bigint").alias("vocab_estimate"))
+    n = agg if cap is None else F.least(agg, F.lit(cap))
+    return toks.agg(n.cast("bigint").alias("vocab_estimate"))

@@ -85,7 +85,7 @@ def encode_batches(df: DataFrame, encoder, key: str, text_col: str = "text",
     """batches of ``batch_size`` in key order -> route per batch (P12) ->
     encode (B5) -> cut -> pad to the batch maximum (F1).  Rows on the causal
     ('auto') route carry ``causal_width``: the width whose single causal mask
-    (F5, ``causal_mask_relation``) applies - never one mask per row."""
+    (F5, ``causal_mask_rows``) applies - never one mask per row."""
     from ..functions.sequences import dynamic_padding, ones_mask
     from .index import fixed_batches
     b = fixed_batches(df, [key], batch_size)

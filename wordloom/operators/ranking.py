@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..functions.binding import bind
 
 NEG_INF = float("-inf")
 
@@ -26,29 +27,27 @@ def _dbl(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
-# Each step below is its own projection: a higher-order expression that is
-# referenced twice would otherwise be copied into every use, and nested uses
-# grow the plan exponentially.
+# A scalar that every element needs (a maximum, a sum, the k-th value) is bound
+# once per row, so the work grows with the row's width and not with its square.
 
 # W3 -------------------------------------------------------------------------
+def softmax(logits: Column, temperature: float = 1.0) -> Column:
+    t = F.lit(float(temperature))
+    scaled = F.transform(logits, lambda v: v.cast("double") / t)
+    return bind(scaled, lambda x: bind(F.array_max(x), lambda m: bind(
+        F.transform(x, lambda v: F.exp(v - m)), lambda e: bind(
+            F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda s: F.transform(e, lambda v: v / s)))))
+
+
 def add_softmax(df: DataFrame, logits: str, out: str = "probs",
                 temperature: float = 1.0) -> DataFrame:
     """Adds ARRAY<DOUBLE> probabilities of each logits row."""
-    t = F.lit(float(temperature))
-    d = df.withColumn("_sx", F.transform(F.col(logits), lambda v: v.cast("double") / t))
-    d = d.withColumn("_sm", F.array_max("_sx"))
-    d = d.withColumn("_se", F.transform("_sx", lambda v: F.exp(v - F.col("_sm"))))
-    d = d.withColumn("_ss", F.aggregate("_se", F.lit(0.0), lambda a, v: a + v))
-    d = d.withColumn(out, F.transform("_se", lambda v: v / F.col("_ss")))
-    return d.drop("_sx", "_sm", "_se", "_ss")
+    return df.withColumn(out, softmax(F.col(logits), temperature))
 
 
 def add_log_sum_exp(df: DataFrame, logits: str, out: str = "lse") -> DataFrame:
-    d = df.withColumn("_lx", F.transform(F.col(logits), lambda v: v.cast("double")))
-    d = d.withColumn("_lm", F.array_max("_lx"))
-    d = d.withColumn(out, F.col("_lm") + F.log(
-        F.aggregate("_lx", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_lm")))))
-    return d.drop("_lx", "_lm")
+    return df.withColumn(out, bind(_dbl(F.col(logits)), lambda x: bind(
+        F.array_max(x), lambda m: m + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - m))))))
 
 
 def _sorted_desc(values: Column) -> Column:
@@ -62,12 +61,10 @@ def _sorted_desc(values: Column) -> Column:
 def add_top_k(df: DataFrame, logits: str, k: int, out: str = "filtered") -> DataFrame:
     """Logits below the k-th largest become -inf (ties with it are kept);
     k larger than the row keeps everything."""
-    d = df.withColumn("_kx", F.transform(F.col(logits), lambda v: v.cast("double")))
-    d = d.withColumn("_kth", F.element_at(F.sort_array("_kx", asc=False),
-                                          F.least(F.lit(k), F.size("_kx"))))
-    d = d.withColumn(out, F.transform("_kx", lambda v: F.when(v < F.col("_kth"), F.lit(NEG_INF))
-                                      .otherwise(v)))
-    return d.drop("_kx", "_kth")
+    def kth(x):
+        return F.element_at(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x)))
+    return df.withColumn(out, bind(_dbl(F.col(logits)), lambda x: bind(kth(x), lambda low: F.transform(
+        x, lambda v: F.when(v < low, F.lit(NEG_INF)).otherwise(v)))))
 
 
 # W1 -------------------------------------------------------------------------
@@ -75,19 +72,22 @@ def add_top_p(df: DataFrame, logits: str, p: float, temperature: float = 1.0,
               out: str = "filtered") -> DataFrame:
     """Nucleus filter: in descending probability order (ties by index) an item
     is kept while the summed probability of the items before it is <= p; the
-    first is always kept.  The kept items are a prefix of the sorted order, so
-    one fold counts them."""
-    d = add_softmax(df, logits, "_pp", temperature)
-    d = d.withColumn("_ps", _sorted_desc(F.col("_pp")))
-    d = d.withColumn("_pk", F.aggregate(
-        "_ps", F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("kept")),
-        lambda a, e: F.struct((a["cum"] - e["nv"]).alias("cum"),
-                              F.when((a["cum"] <= F.lit(p)) | (a["kept"] == 0), a["kept"] + 1)
-                               .otherwise(a["kept"]).alias("kept")))["kept"])
-    d = d.withColumn("_pi", F.transform(F.slice("_ps", 1, F.col("_pk")), lambda e: e["i"]))
-    d = d.withColumn(out, F.transform(F.col(logits), lambda v, i: F.when(
-        F.array_contains(F.col("_pi"), i), v.cast("double")).otherwise(F.lit(NEG_INF))))
-    return d.drop("_pp", "_ps", "_pk", "_pi")
+    first is always kept.  The kept items are a prefix of the sorted order:
+    one fold finds the last of them, and an item is kept if it is not after
+    that one."""
+    def last(ranked):
+        none = F.struct(F.lit(0.0).alias("nv"), F.lit(-1).alias("i"))
+        return F.aggregate(ranked, F.struct(F.lit(0.0).alias("cum"), none.alias("last")), lambda a, e: F.struct(
+            (a["cum"] - e["nv"]).alias("cum"),
+            F.when((a["cum"] <= F.lit(p)) | (a["last"]["i"] < 0), e).otherwise(a["last"]).alias("last")))["last"]
+
+    def keep(probs, x, end):
+        return F.transform(x, lambda v, i: F.when(
+            (-F.get(probs, i) < end["nv"]) | ((-F.get(probs, i) == end["nv"]) & (i <= end["i"])), v)
+            .otherwise(F.lit(NEG_INF)))
+
+    return df.withColumn(out, bind(softmax(F.col(logits), temperature), lambda probs: bind(
+        last(_sorted_desc(probs)), lambda end: bind(_dbl(F.col(logits)), lambda x: keep(probs, x, end)))))
 
 
 def kept_ids(filtered: Column) -> Column:
@@ -101,17 +101,18 @@ def add_categorical_draw(df: DataFrame, logits: str, row_key: str, seed: int,
                          temperature: float = 1.0, out: str = "token") -> DataFrame:
     """Index drawn from softmax(logits / T): the first index whose cumulative
     probability reaches a keyed uniform draw (repeatable, shuffle-free)."""
-    d = add_softmax(df, logits, "_dp", temperature)
-    d = d.withColumn("_du", draws.uniform(seed, "draw", F.col(row_key)))
-    d = d.withColumn("_dk", F.aggregate(
-        "_dp", F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("pick"), F.lit(0).alias("i")),
-        lambda a, v: F.struct((a["cum"] + v).alias("cum"),
-                              F.when((a["pick"] < 0) & (a["cum"] + v >= F.col("_du")), a["i"])
-                               .otherwise(a["pick"]).alias("pick"),
-                              (a["i"] + 1).alias("i")))["pick"])
+    def pick(probs, u):
+        return F.aggregate(
+            probs, F.struct(F.lit(0.0).alias("cum"), F.lit(-1).alias("pick"), F.lit(0).alias("i")),
+            lambda a, v: F.struct((a["cum"] + v).alias("cum"),
+                                  F.when((a["pick"] < 0) & (a["cum"] + v >= u), a["i"])
+                                   .otherwise(a["pick"]).alias("pick"),
+                                  (a["i"] + 1).alias("i")))["pick"]
+
+    u = draws.uniform(seed, "draw", F.col(row_key))
     # rounding can leave the total a hair under u: then the last index
-    d = d.withColumn(out, F.when(F.col("_dk") < 0, F.size("_dp") - 1).otherwise(F.col("_dk")))
-    return d.drop("_dp", "_du", "_dk")
+    return df.withColumn(out, bind(softmax(F.col(logits), temperature), lambda probs: bind(
+        u, lambda x: bind(pick(probs, x), lambda k: F.when(k < 0, F.size(probs) - 1).otherwise(k)))))
 
 
 # A9 -------------------------------------------------------------------------
@@ -175,7 +176,9 @@ def latest_per_group(df: DataFrame, group_cols: list[str], order_col: str,
 def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str,
                    num_partitions: int | None = None) -> DataFrame:
     """Running item count and running sum of ``value_col`` per group, in
-    ``order_col`` order ((group, order) unique and non-null).
+    ``order_col`` order.  Null groups are one group, null orders come first,
+    null values count as nothing, and rows that tie are all kept (their order
+    among one another is that of the checkpointed table).
 
     A plain ``Window.partitionBy(group)`` would put a hot group (a third of
     all rows) in one task.  Instead a distributed prefix sum: range-partition
@@ -188,10 +191,9 @@ def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = df.select(group_col, order_col, value_col)
-    tagged = (narrow.repartitionByRange(n, F.col(group_col), F.col(order_col))
-                    .withColumn("_pid", F.spark_partition_id())
-                    .checkpoint(eager=True))
+    tagged = (df.repartitionByRange(n, F.col(group_col), F.col(order_col))
+                .withColumn("_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
     piece = Window.partitionBy("_pid", group_col).orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = (tagged.withColumn("_c", F.count(F.lit(1)).over(piece))
@@ -199,15 +201,11 @@ def running_totals(df: DataFrame, group_col: str, order_col: str, value_col: str
     totals = tagged.groupBy("_pid", group_col).agg(F.count(F.lit(1)).alias("_tc"),
                                                     F.sum(value_col).alias("_ts"))
     before = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", group_col,
+    offsets = totals.select(F.col("_pid").alias("_opid"), F.col(group_col).alias("_ogroup"),
                             F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
                             F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"))
-    out = local.join(offsets, ["_pid", group_col])
-    out = (out.withColumn("items_so_far", (F.col("_oc") + F.col("_c")).cast("bigint"))
-              .withColumn("tokens_so_far", (F.col("_os") + F.col("_s")).cast("bigint"))
-              .drop("_pid", "_c", "_s", "_oc", "_os"))
-    if set(df.columns) <= {group_col, order_col, value_col}:
-        return out
-    # only the three columns were checkpointed; the rest joins back on the
-    # (unique) group and order keys
-    return df.join(out.drop(value_col), [group_col, order_col])
+    same = (F.col("_pid") == F.col("_opid")) & F.col(group_col).eqNullSafe(F.col("_ogroup"))
+    return (local.join(offsets, same)
+            .withColumn("items_so_far", (F.col("_oc") + F.col("_c")).cast("bigint"))
+            .withColumn("tokens_so_far", (F.col("_os") + F.coalesce("_s", F.lit(0))).cast("bigint"))
+            .drop("_pid", "_c", "_s", "_oc", "_os", "_opid", "_ogroup"))

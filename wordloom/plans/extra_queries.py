@@ -12,7 +12,7 @@ from ..operators import pretokenize as pt
 from ..operators import sets
 from ..sources import records
 from ..tables import table
-from .common import (pretokens_sql, register, tok_docs, tok_text, tok_text_sql,
+from .common import (hashed_ids_sql, list_text_sql, pretokens_sql, register, tok_docs, tok_text, tok_text_sql,
                      words_sql)
 
 REQUIRED = [" the", " and", " of", " zebra", " token", " pt"]
@@ -44,18 +44,18 @@ def aligned_counts(spark, sf):
 
 
 # U5 -------------------------------------------------------------------------
-@register("combined_batches", """
-select source, count(*)::BIGINT as n_rows from documents group by source
+@register("combined_batches", f"""
+select doc_id, source, {list_text_sql(hashed_ids_sql(words_sql('text')))} as ids from documents
 """)
 def combined_batches(spark, sf):
     d = table(spark, sf, "documents")
     w = tx.words(tok_text(F.col("text")))
-    d = d.select("doc_id", "source", "lang", sq.pad_to(sq.hashed_word_ids(w), 32).alias("ids"))
+    d = d.select("doc_id", "source", "lang", sq.hashed_word_ids(w).alias("ids"))
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
     # two encoded sets (English, the rest) combined back into one
     parts = {"en": d.where(english).drop("lang"), "other": d.where(~english).drop("lang")}
-    both = sets.combine_batches(parts, ["ids"])
-    return both.groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    both = sets.combine_batches(parts, ["ids"], strict=False)
+    return both.select("doc_id", "source", sq.as_text(F.col("ids")).alias("ids"))
 
 
 # X2 -------------------------------------------------------------------------
@@ -80,5 +80,5 @@ union all select 'labels', count(*) from labels
 def qa_set_scan(spark, sf):
     u = records.load_qa_sets(spark, {"conversations": f"{sf}/conversations.parquet",
                                       "labels": f"{sf}/labels.parquet",
-                                      "missing": f"{sf}/no_such_set.parquet"})
+                                      "missing": f"{sf}/no_such_set.parquet"}, on_missing="skip")
     return u.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("n"))

@@ -14,16 +14,15 @@ from .common import register, tok_docs, tok_text_sql
 
 # Numbered batch files, blank rows dropped after numbering ---------------
 @register("batch_files", """
-select batch_id::BIGINT as batch_id, count(*)::BIGINT as n_rows from
- (select text, (row_number() over (order by doc_id) - 1) // 64 as batch_id from documents)
+select batch_id::BIGINT as batch_id, doc_id, text from
+ (select doc_id, text, (row_number() over (order by doc_id) - 1) // 64 as batch_id from documents)
 where text is not null and regexp_matches(text, '\\S')
-group by batch_id
 """)
 def batch_files(spark, sf):
     path = scratch_dir(spark, "batches")
     sinks.write_batches(table(spark, sf, "documents").select("doc_id", "text"), path, ["doc_id"], 64)
     back = spark.read.parquet(path)
-    return back.groupBy("batch_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+    return back.select(F.col("batch_id").cast("bigint"), "doc_id", "text")
 
 
 # Text lines sink ----------------------------------------------------------

@@ -185,16 +185,15 @@ def series_early_stop(spark, sf):
 # A4 ---------------------------------------------------------------------------
 @register("dataset_metrics", f"""
 select source, count(*)::BIGINT as items,
-  count(*) filter (where length(text) <= 10000)::BIGINT as processed_items,
-  count(*) filter (where length(text) > 10000)::BIGINT as failed_items,
-  coalesce(sum(len({pretokens_sql(tok_text_sql('text'))})) filter (where length(text) <= 10000), 0)::BIGINT as total_tokens,
-  round(avg(len({pretokens_sql(tok_text_sql('text'))})) filter (where length(text) <= 10000), 6) as mean_tokens
+  count(text)::BIGINT as processed_items, count(*) filter (where text is null)::BIGINT as failed_items,
+  coalesce(sum(len({pretokens_sql(tok_text_sql('text'))})), 0)::BIGINT as total_tokens,
+  round(avg(len({pretokens_sql(tok_text_sql('text'))})), 6) as mean_tokens
 from documents group by source
 """)
 def dataset_metrics(spark, sf):
     d = table(spark, sf, "documents")
     tok = tok_text(F.col("text"))
-    d = d.select("source", (F.length("text") <= 10000).alias("ok"), F.size(pt.pretokens(tok)).alias("tokens"))
+    d = d.select("source", F.col("text").isNotNull().alias("ok"), F.size(pt.pretokens(tok)).alias("tokens"))
     return mt.dataset_metrics(d, "source", "ok", "tokens")
 
 

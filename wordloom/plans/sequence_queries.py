@@ -56,7 +56,7 @@ def seq_pad_fixed(spark, sf):
 
 
 # W5 + F1: pad to the batch maximum, left side ---------------------------------
-_BATCHED_SQL = f"""(select doc_id, ids[1:64] as ids,
+_BATCHED_SQL = f"""(select doc_id, ids,
    (row_number() over (order by doc_id) - 1) // 16 as batch_id from {BASE_SQL})"""
 
 
@@ -67,7 +67,7 @@ select doc_id, batch_id::BIGINT as batch_id, {list_text_sql(_pad_sql('ids', 'w',
 from b
 """)
 def seq_pad_batch_left(spark, sf):
-    d = _word_ids(spark, sf).withColumn("ids", sq.truncate(F.col("ids"), 64))
+    d = _word_ids(spark, sf)
     d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
     b = ix.fixed_batches(d, ["doc_id"], 16)
     p = sq.dynamic_padding(b, batch_col="batch_id", side="left")
@@ -83,7 +83,7 @@ select doc_id, batch_id::BIGINT as batch_id, len({_pad_sql('ids', 'w')})::BIGINT
 from b
 """)
 def seq_pad_multiple(spark, sf):
-    d = _word_ids(spark, sf).withColumn("ids", sq.truncate(F.col("ids"), 64))
+    d = _word_ids(spark, sf)
     d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
     b = ix.fixed_batches(d, ["doc_id"], 16)
     p = sq.dynamic_padding(b, batch_col="batch_id", multiple_of=8)
@@ -91,25 +91,20 @@ def seq_pad_multiple(spark, sf):
                     T(F.col("ids")).alias("ids"))
 
 
-# one causal mask per distinct batch width -----------------------------------
+# one causal mask per distinct batch width, as blocked places per row of it ----
 @register("causal_masks", f"""
 with w as (select distinct max(len(ids)) over (partition by batch_id) as width from {_BATCHED_SQL}),
- i as (select width, unnest(range(width)) as i from w),
- j as (select width, i, unnest(range(width)) as j from i)
-select width::BIGINT as width, i::BIGINT as i, j::BIGINT as j,
-  case when j > i then 1 else 0 end as blocked from j
+ i as (select width, unnest(range(width)) as i from w)
+select width::BIGINT as width, i::BIGINT as i, (width - 1 - i)::BIGINT as blocked from i
 """)
 def causal_masks(spark, sf):
-    d = _word_ids(spark, sf).withColumn("ids", sq.truncate(F.col("ids"), 64))
-    b = ix.fixed_batches(d, ["doc_id"], 16)
+    b = ix.fixed_batches(_word_ids(spark, sf), ["doc_id"], 16)
     widths = b.groupBy("batch_id").agg(F.max(F.size("ids")).alias("width"))
-    m = sq.causal_mask_relation(widths)
-    return m.select(F.col("width").cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint"),
-                    F.when(F.col("value") == float("-inf"), 1).otherwise(0).alias("blocked"))
+    return sq.causal_mask_rows(widths)
 
 
 # B6 + F6: pair template and segment ids -------------------------------------
-_PAIR_SQL = f"(select doc_id, list_concat([2], ids[1:5], [3], ids[6:10], [3]) as ids from {BASE_SQL})"
+_PAIR_SQL = f"(select doc_id, list_concat([2], ids[1:(len(ids) + 1) // 2], [3], ids[(len(ids) + 1) // 2 + 1:], [3]) as ids from {BASE_SQL})"
 
 
 @register("seq_segments", f"""
@@ -119,7 +114,8 @@ from {_PAIR_SQL}
 """)
 def seq_segments(spark, sf):
     d = _word_ids(spark, sf)
-    ids = sq.template_pair(F.slice("ids", 1, 5), F.slice("ids", 6, 5))
+    half = F.floor((F.size("ids") + 1) / 2).cast("int")
+    ids = sq.template_pair(F.slice("ids", F.lit(1), half), F.slice("ids", half + 1, F.size("ids") - half))
     d = d.select("doc_id", ids.alias("pair_ids"))
     d = d.withColumn("segments", T(sq.segment_ids(F.col("pair_ids"))))
     return d.select("doc_id", T(F.col("pair_ids")).alias("ids"), "segments")
@@ -163,7 +159,7 @@ def seq_length_profile(spark, sf):
 
 # Mask coverage and padding efficiency per batch ----------------------
 @register("seq_mask_metrics", f"""
-with b as (select doc_id, ids[1:128] as ids, (row_number() over (order by doc_id) - 1) // 16 as batch_id
+with b as (select doc_id, ids, (row_number() over (order by doc_id) - 1) // 16 as batch_id
            from {BASE_SQL}),
  w as (select *, max(len(ids)) over (partition by batch_id) as width from b)
 select batch_id::BIGINT as batch_id, max(width)::BIGINT as width,
@@ -172,7 +168,7 @@ select batch_id::BIGINT as batch_id, max(width)::BIGINT as width,
 from w group by batch_id
 """)
 def seq_mask_metrics(spark, sf):
-    d = _word_ids(spark, sf).withColumn("ids", sq.truncate(F.col("ids"), 128))
+    d = _word_ids(spark, sf)
     d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
     b = ix.fixed_batches(d, ["doc_id"], 16)
     p = sq.dynamic_padding(b, batch_col="batch_id")
@@ -204,11 +200,11 @@ select doc_id, len(ws)::BIGINT as n_words,
   array_to_string(list_transform(range(1, least(len(ws), len(ids)) + 1),
                   lambda k: ws[k] || ':' || cast(ids[k] as varchar)), ' ') as pairs
 from (select doc_id, {words_sql('text')} as ws,
-        {hashed_ids_sql(words_sql('text'), V)}[1:5] as ids from documents)
+        {hashed_ids_sql(words_sql('text'), V)} as ids from documents)
 """)
 def seq_zip(spark, sf):
     d = tok_docs(spark, sf).select("doc_id", tx.words(F.col("text")).alias("ws"))
-    d = d.withColumn("ids", F.slice(sq.hashed_word_ids(F.col("ws"), V), 1, 5))
+    d = d.withColumn("ids", sq.hashed_word_ids(F.col("ws"), V))
     z = sq.zip_shortest(F.col("ws"), F.col("ids"))
     pairs = F.array_join(F.transform(z, lambda e: F.concat(e["0"], F.lit(":"), e["1"].cast("string"))), " ")
     return d.select("doc_id", F.size("ws").cast("bigint").alias("n_words"), pairs.alias("pairs"))
@@ -266,13 +262,13 @@ def exact_split(spark, sf):
 
 # shuffle -> batches of 16 -> pad to a multiple of 8 ------------------------------
 @register("batch_collate", f"""
-with s as (select doc_id, ids[1:128] as ids, (row_number() over (order by {_DRAW_SQL}, doc_id) - 1) // 16 as batch_id
+with s as (select doc_id, ids, (row_number() over (order by {_DRAW_SQL}, doc_id) - 1) // 16 as batch_id
            from {BASE_SQL}),
  w as (select *, (ceil(max(len(ids)) over (partition by batch_id) / 8) * 8)::INTEGER as width from s)
 select doc_id, batch_id::BIGINT as batch_id, {list_text_sql(_pad_sql('ids', 'width'))} as ids from w
 """)
 def batch_collate(spark, sf):
-    d = _word_ids(spark, sf).withColumn("ids", sq.truncate(F.col("ids"), 128))
+    d = _word_ids(spark, sf)
     d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
     c = ix.collate(d, "doc_id", 11, 16, multiple_of=8)
     return c.select("doc_id", "batch_id", T(F.col("ids")).alias("ids"))

@@ -52,7 +52,7 @@ def pretoken_symbols(spark, sf):
 
 
 @register("vocab_probe", f"""
-select least(count(distinct token), 100000)::BIGINT as vocab_estimate
+select count(distinct token)::BIGINT as vocab_estimate
 from (select unnest({pretokens_sql(tok_text_sql('text'))}) as token from documents)
 """)
 def vocab_probe(spark, sf):

@@ -42,8 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    it is read from the session and never replaced.  Only when nothing is set
-    (local runs, tests) a fresh scratch folder is made.
+    it is read from the session and never replaced.  Only a local session
+    (tests, single machine) that names none gets a fresh scratch folder; on a
+    cluster that would not be shared, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -51,15 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster has cores (e.g. one unsplittable file), before costly row-local
-    work such as Python encoding.  A no-op on well-split inputs."""
+    """Round-robin repartition of a plain file scan that has fewer splits than
+    the cluster has cores (e.g. one unsplittable file), before costly row-local
+    work.  A no-op on well-split inputs.  Only for scans: counting the
+    partitions of a plan with a shuffle would run its stages."""
     if df.isStreaming:
         return df
     spark = df.sparkSession

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import logging
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,8 @@ from ..functions import text as tx
 
 log = logging.getLogger(__name__)
 
-# --- fixed values: admission limits ---------------------------------------
+# --- fixed values: admission ----------------------------------------------
 ALLOWED_EXTENSIONS = [".txt", ".json", ".jsonl", ".csv"]
-MAX_FILE_BYTES = 100 * 1024 * 1024
-PROBE_BYTES = 1024
 # ---------------------------------------------------------------------------
 
 
@@ -26,18 +26,36 @@ def _empty_corpus(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "path STRING, text STRING")
 
 
+def _glob_regex(pattern: str) -> str:
+    """A path pattern as a regular expression: ``**`` stands for any number of
+    folders, ``*`` and ``?`` stay inside one name."""
+    out = []
+    for part in pattern.split("/"):
+        out.append("(?:[^/]+/)*" if part == "**" else _name_regex(part) + "/")
+    return "".join(out).removesuffix("/")
+
+
+def _name_regex(part: str) -> str:
+    special = {"*": "[^/]*", "?": "[^/]"}
+    return "".join(special.get(c) or re.escape(c) for c in part)
+
+
 def _read_pattern(spark: SparkSession, root: str, pattern: str, reader) -> DataFrame | None:
+    """``reader(options, target, keep)``: keep is a condition on the file path
+    that a ``**`` pattern needs beside the recursive listing, else None."""
+    keep = None
     if "**" in pattern:
-        name_glob = pattern.split("/")[-1]
-        sub = "/".join(p for p in pattern.split("/")[:-1] if p != "**")
-        base = os.path.join(root, sub) if sub else root
-        opts = {"recursiveFileLookup": "true", "pathGlobFilter": name_glob}
-        target = base
+        head = pattern.split("**", 1)[0].rstrip("/")
+        opts = {"recursiveFileLookup": "true", "pathGlobFilter": pattern.split("/")[-1]}
+        if pattern.endswith("**"):
+            opts.pop("pathGlobFilter")
+            pattern += "/*"
+        target = os.path.join(root, head) if head else root
+        keep = F.col("_metadata.file_path").rlike("/" + _glob_regex(pattern.strip("/")) + "$")
     else:
-        opts = {}
-        target = os.path.join(root, pattern)
+        opts, target = {}, os.path.join(root, pattern)
     try:
-        df = reader(opts, target)
+        df = reader(opts, target, keep)
         df.schema  # noqa: B018 - force path resolution
         return df
     except AnalysisException as e:
@@ -54,9 +72,10 @@ def text_file_corpus(spark: SparkSession, root: str,
     is read twice; nothing found gives an empty frame and a warning."""
     pats = [patterns] if isinstance(patterns, str) else list(patterns)
 
-    def reader(opts, target):
+    def reader(opts, target, keep):
         # the text() keyword wins over options(), so pass wholetext there
-        return (spark.read.options(**opts).text(target, wholetext=True)
+        df = spark.read.options(**opts).text(target, wholetext=True)
+        return ((df if keep is None else df.where(keep))
                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
     parts = [p for p in (_read_pattern(spark, root, pat, reader) for pat in pats) if p is not None]
@@ -74,17 +93,34 @@ def csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv",
                text_column: str | None = None) -> DataFrame:
     """One document per CSV file: the non-null values of its text column
     (first column named ``text`` in any case, or ``text_column``) joined by
-    newline in file order; a file without such a column gives null."""
-
-    def reader(opts, target):
-        return spark.read.options(header="true", multiLine="true", **opts).csv(target)
-
-    raw = _read_pattern(spark, root, pattern, reader)
-    if raw is None:
+    newline in file order; a file without such a column gives null.
+
+    Header and column are chosen per file: files are read together with those
+    of the same header line.  Only the different header lines and the file
+    names of each reach the driver, which lists the files anyway."""
+
+    def heads(opts, target, keep):
+        df = spark.read.options(**opts).text(target)
+        df = df if keep is None else df.where(keep)
+        lines = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                          F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        return lines.groupBy("path").agg(F.min_by("value", F.struct("start", "row")).alias("head"))
+
+    found = _read_pattern(spark, root, pattern, heads)
+    groups = found.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect() if found is not None else []
+    if not groups:
         log.warning("no CSV files found in %s for %s", root, pattern)
         return _empty_corpus(spark)
-    files_df = raw.select(F.col("_metadata.file_path").alias("path")).distinct()
-    wanted = (text_column or "text").lower()
+    parts = [_csv_group(spark, g["paths"], (text_column or "text").lower()) for g in groups]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _csv_group(spark: SparkSession, paths: list[str], wanted: str) -> DataFrame:
+    raw = (spark.read.options(header="true", multiLine="true", quote='"', escape='"').csv([unquote(p) for p in paths]))
+    files_df = spark.createDataFrame([(p,) for p in paths], "path STRING")
     col = next((c for c in raw.columns if c.lower() == wanted), None)
     if col is None:
         return files_df.withColumn("text", F.lit(None).cast("string"))
@@ -92,7 +128,7 @@ def csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv",
     # the row order of the file.
     rows = raw.select(F.col("_metadata.file_path").alias("path"),
                       F.monotonically_increasing_id().alias("pos"),
-                      F.col(col).cast("string").alias("t")).where(F.col("t").isNotNull())
+                      F.col(f"`{col}`").cast("string").alias("t")).where(F.col("t").isNotNull())
     docs = rows.groupBy("path").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), "\n").alias("text"))
     return files_df.join(docs, "path", "left")
@@ -119,30 +155,31 @@ def decode_with_fallback(content: Column) -> Column:
              .otherwise(F.make_valid_utf8(body)))
 
 
-def read_binary(spark: SparkSession, root: str, pattern: str = "*",
-                max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``binaryFile`` scan; the size filter is pushed into the file listing."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
-    return df.where(F.col("length") <= F.lit(max_bytes))
+def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """``binaryFile`` scan; no file is left out for its size (``admit_files``
+    can tell too large ones)."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
 
 
 def admit_files(df: DataFrame, extensions: list[str] | None = None,
-                max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+                max_bytes: int | None = None) -> DataFrame:
     """Adds ``admitted`` and ``reason`` to a binaryFile frame.
 
-    Admitted when the extension is allowed, the size is within the limit and
-    the first KB decodes (UTF-8, else the fallback of S9) to a non-blank text.
+    Admitted when the extension is allowed, the size is within ``max_bytes``
+    (None: any size) and the whole content decodes (UTF-8, else the fallback
+    of S9) to a non-blank text.
     """
     exts = [e.lower() for e in (extensions or ALLOWED_EXTENSIONS)]
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]+)$", 1))
-    probe = F.substring(F.col("content"), 1, PROBE_BYTES)
-    probe_text = (F.when(F.is_valid_utf8(probe), F.decode(probe, "UTF-8"))
-                   .when(_latin1_plausible(probe), F.decode(probe, "ISO-8859-1")))
+    content = F.col("content")
+    text = (F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8"))
+             .when(_latin1_plausible(content), F.decode(content, "ISO-8859-1")))
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > F.lit(max_bytes)
     reason = (F.when(~ext.isin(*exts), F.lit("extension"))
-               .when(F.col("length") > F.lit(max_bytes), F.lit("size"))
+               .when(too_large, F.lit("size"))
                .when(F.col("length") == 0, F.lit("empty"))
-               .when(probe_text.isNull(), F.lit("encoding"))
-               .when(~tx.is_not_blank(probe_text), F.lit("blank")))
+               .when(text.isNull(), F.lit("encoding"))
+               .when(~tx.is_not_blank(text), F.lit("blank")))
     return df.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
 
 

@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as tx
 from . import files
@@ -100,11 +101,12 @@ def load_dataset(spark: SparkSession, d: dict) -> DataFrame:
 
 
 def load_corpora(spark: SparkSession, descriptors: list[dict],
-                 on_error: str = "skip") -> DataFrame:
+                 on_error: str = "fail") -> DataFrame:
     """Union of all datasets tagged by name; blank texts dropped.
 
-    A repeated name is rejected; an invalid descriptor is logged and skipped
-    (``on_error='skip'``) or raises (``'fail'``).
+    A repeated name is rejected; an invalid descriptor raises (``'fail'``) or
+    is logged and skipped (``on_error='skip'``); ``descriptor_problems`` gives
+    the skipped names and reasons as rows.
     """
     names = [d.get("name") for d in descriptors]
     dup = {n for n in names if names.count(n) > 1}
@@ -127,6 +129,12 @@ def load_corpora(spark: SparkSession, descriptors: list[dict],
     return tx.drop_blank(out)
 
 
+def descriptor_problems(spark: SparkSession, descriptors: list[dict]) -> DataFrame:
+    """(dataset, reason) of every descriptor that ``load_corpora`` would not load."""
+    rows = [(d.get("name"), str(p)) for d in descriptors for p in [validate_descriptor(d, spark)] if p]
+    return spark.createDataFrame(rows, "dataset STRING, reason STRING")
+
+
 def corpus_stats(corpus: DataFrame, descriptors: list[dict] | None = None) -> DataFrame:
     """Samples and characters per dataset; with ``descriptors`` the datasets
     that gave nothing appear with 0 (``empty`` = true)."""
@@ -144,17 +152,20 @@ def corpus_stats(corpus: DataFrame, descriptors: list[dict] | None = None) -> Da
 QA_SCHEMA = "question STRING, context STRING, answers STRUCT<text: ARRAY<STRING>>"
 
 
-def load_qa_sets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Several QA sets (name -> path); a failing one is logged and skipped;
-    results concatenated with missing columns filled by null."""
+def load_qa_sets(spark: SparkSession, paths: dict[str, str], on_missing: str = "fail") -> DataFrame:
+    """Several QA sets (name -> path), concatenated with missing columns
+    filled by null.  A path that does not exist raises, or is logged and
+    skipped with ``on_missing='skip'``; any other error always raises."""
     parts = []
     for name, path in paths.items():
         try:
             df = read_records(spark, path)
             df.schema  # noqa: B018 - resolve now so a bad set fails here
             parts.append(df.withColumn("dataset", F.lit(name)))
-        except Exception as e:  # noqa: BLE001
-            log.error("error loading QA set %r: %s", name, e)
+        except AnalysisException as e:
+            if on_missing != "skip" or "PATH_NOT_FOUND" not in str(e):
+                raise
+            log.error("no QA set %r at %s", name, path)
     if not parts:
         return spark.createDataFrame([], QA_SCHEMA + ", dataset STRING")
     out = parts[0]

@@ -26,10 +26,11 @@ def write_text_lines(df: DataFrame, path: str, text_col: str = "text",
 def write_batches(df: DataFrame, path: str, order_cols: list[str], batch_size: int,
                   text_col: str = "text", mode: str = "overwrite") -> str:
     """Rows numbered in order, ``batch_id = index div batch_size``, blank rows
-    dropped after numbering, one folder per batch (an all-blank batch makes
-    none)."""
+    dropped after numbering, one folder with one file per batch (an all-blank
+    batch makes none): all rows of a batch go to one task, which may hold
+    several batches."""
     b = fixed_batches(df, order_cols, batch_size).drop("_pos_in_batch")
-    tx.drop_blank(b, text_col).write.mode(mode).partitionBy("batch_id").parquet(path)
+    tx.drop_blank(b, text_col).repartition("batch_id").write.mode(mode).partitionBy("batch_id").parquet(path)
     return path
 
 
