@@ -82,7 +82,9 @@ def test_overlaps_sum_over_fragments():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [1_000_000, 20])
+def test_components(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(graph, "TASK_EDGES", task_edges)
     rng = random.Random(4)
     for n, m in ((60, 40), (300, 200), (50, 0)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]

@@ -46,14 +46,15 @@ def text_shingles(data: np.ndarray, offsets: np.ndarray, k: int):
 
 
 def shingled(columns: int, k: int, batches):
-    """(other columns, shingle array) of each row; the text is the first column."""
+    """(other columns, shingle array, text bytes) of each row; the text is the
+    first column."""
     for b in batches:
         offsets, data = binary_parts(b.column(0))
         rest = [b.column(i) for i in range(1, columns)]
         for i, j in blocks_of(offsets, BLOCK_BYTES):
             at = offsets[i:j + 1] - offsets[i]
             for r, s in enumerate(text_shingles(data[offsets[i]:offsets[j]], at, k), i):
-                yield [c[r].as_py() for c in rest], s
+                yield [c[r].as_py() for c in rest], s, data[offsets[r]:offsets[r + 1]].tobytes()
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -63,8 +64,8 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def tiles_of(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Rows of about TILE_BYTES of text: ids, set sizes, set hashes, and the
-    packed first-fragment shingles of each set."""
+    """Rows of about TILE_BYTES of text: ids, set sizes, set hashes, the packed
+    first-fragment shingles of each set, and the texts end to end."""
     limit = np.uint64(int(FIRST_SHARE * 2**64))
 
     def run(batches):
@@ -74,19 +75,20 @@ def tiles_of(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
         rows, held = [], 0
 
         def batch():
-            ids, n, a, b, size, blobs = zip(*rows)
+            ids, n, a, b, size, blobs, texts = zip(*rows)
             one = [pa.array([base + seq], pa.int64())]
             one += [pa.array([list(x)], pa.list_(t)) for x, t in (
                 (ids, pa.int64()), (n, pa.int64()), (a, pa.int64()), (b, pa.int64()), (size, pa.int64()))]
-            one.append(pa.array([b"".join(blobs)], pa.large_binary()).cast(pa.binary()))
-            return pa.RecordBatch.from_arrays(one, ["tile", "ids", "n", "set_a", "set_b", "sizes", "frag"])
+            one += [pa.array([b"".join(x)], pa.binary()) for x in (blobs, texts)]
+            one.append(pa.array([[len(t) for t in texts]], pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays(one, ["tile", "ids", "n", "set_a", "set_b", "sizes", "frag", "texts", "ends"])
 
-        for (i,), s in shingled(2, k, batches):
+        for (i,), s, t in shingled(2, k, batches):
             part = s[:max(int(np.searchsorted(s, limit)), prefix_size(len(s), percent) if len(s) else 0)]
             mixed = splitmix(s + np.uint64(5))
             rows.append((i, len(s), int(s.sum(dtype=np.uint64).view(np.int64)),
-                         int(mixed.sum(dtype=np.uint64).view(np.int64)), len(part), part.tobytes()))
-            held += len(s) * 8
+                         int(mixed.sum(dtype=np.uint64).view(np.int64)), len(part), part.tobytes(), t))
+            held += len(t) + 1
             if held > TILE_BYTES:
                 yield batch()
                 rows, held, seq = [], 0, seq + 1
@@ -95,7 +97,7 @@ def tiles_of(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
 
     source = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("id"))
     return source.mapInArrow(run, "tile long, ids array<long>, n array<long>, set_a array<long>, set_b array<long>, "
-                                  "sizes array<long>, frag binary")
+                                  "sizes array<long>, frag binary, texts binary, ends array<long>")
 
 
 def tile_fingerprints(tiles: DataFrame) -> DataFrame:
@@ -251,34 +253,36 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     heads = groups.select(F.col("component").alias("node"), "component").distinct()
     members = written(groups.unionByName(heads), "groups")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "component").select(
-        F.col("component").alias("group"), F.col("node").alias("rep"),
-        F.ceil(F.col("size") / GROUP_TILE).cast("int").alias("tiles"))
-    links = components(verified_links(group_tiles(docs, members, reps, doc_id, text, words), percent))
+    members = members.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "tile", "row"), "node").select(
+        "tile", F.struct("row", F.col("component").alias("group"), F.ceil(F.col("size") / GROUP_TILE).cast("int").alias("tiles")).alias("m"))
+    links = components(verified_links(group_tiles(tiles, members.groupBy("tile").agg(F.collect_list("m").alias("members")), words), percent))
     found = sets.join(reps.select("set_a", "set_b", "n", F.col("id").alias("rep")), ["set_a", "set_b", "n"], "left")
     found = found.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), linked.alias("component_id"))
 
 
-def group_tiles(docs: DataFrame, members: DataFrame, reps: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+def group_tiles(tiles: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(group, i, j, rep, set): the whole set of each member, once for every
-    pair of product tiles that its tile is in."""
+    pair of product tiles that its tile is in.  The texts stay in their
+    buckets; only the lists of members move."""
     def run(batches):
         import pyarrow as pa
-        out, held = [], 0
         names, kinds = ["group", "rep", "tiles", "set"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for rest, s in shingled(4, words, batches):
-            out.append((*rest, s.tobytes()))
-            held += 8 * len(s)
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-
-    source = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(doc_id).cast("long").alias("rep"))
-    sets = (source.join(members, "rep").select("text", "group", "rep", "tiles")
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, ends, texts, members = (b.column(c)[i].as_py() for c in range(4))
+                edge = np.concatenate([[0], np.cumsum(ends)]).astype(np.int64)
+                data = np.frombuffer(texts, np.uint8)
+                for block in range(0, len(members), 256):
+                    some = members[block:block + 256]
+                    cells = [data[edge[m["row"]]:edge[m["row"] + 1]] for m in some]
+                    at = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64)
+                    sets = text_shingles(np.concatenate(cells), at, words)
+                    out = [(m["group"], ids[m["row"]], m["tiles"], s.tobytes()) for m, s in zip(some, sets)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    sets = (tiles.select("tile", "ids", "ends", "texts").join(members, "tile").select("ids", "ends", "texts", "members")
             .mapInArrow(run, "group long, rep long, tiles int, set binary"))
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     return (sets.withColumn("t", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
