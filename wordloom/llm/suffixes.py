@@ -21,7 +21,7 @@ LENGTH = 200
 PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Text of one row of the tile table, and entries that one naming task holds.
-TILE_BYTES = 2 << 20
+TILE_BYTES = 1 << 20
 BUCKET_ENTRIES = 1_000_000
 
 
