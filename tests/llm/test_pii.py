@@ -44,8 +44,8 @@ def test_base_spans_equal_brute_force(spark):
              "4012888888881881", "+1 (743) 555-3824", "+49", "+", "5.6.7.8.9.10.11.12", " ", "ä€𝄞", "￿", "\n", "-",
              "7", "a_b+c@d", "..", "12345678901234567890", "call ", "%", "1 2-3", "(", ")", "４１"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(600)]
-    texts += [None, "", "a" * 3_000, "9" * 300_000, "a." * 100_000 + "@" + "b." * 100_000, "1." * 100_000,
-              "+" + "1 " * 50_000, " mail me@x.org " * 400]
+    texts += [None, "", "a" * 3_000, "9" * 3_000, "a." * 20_000 + "@" + "b." * 20_000, "1." * 8_000,
+              "+" + "1 " * 20_000, " mail me@x.org " * 400]
     got = run(spark, texts)
     for i, t in enumerate(texts):
         assert got[i].base == ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t)), (t or "")[:200]
@@ -53,7 +53,7 @@ def test_base_spans_equal_brute_force(spark):
 
 
 def test_long_run_without_match(spark):
-    got = run(spark, ["a" * 500_000, "a" * 500_000 + "@", "@" * 100_000])
+    got = run(spark, ["a" * 500_000, "a" * 500_000 + "@", "@" * 100_000, "9" * 500_000])
     assert all(r.all == "" for r in got.values())
 
 
