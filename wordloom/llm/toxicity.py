@@ -29,6 +29,8 @@ REPORTS = ("said says say wrote writes called calls claims quoted sagte sagt sch
 TRAIN_PER_CLASS = 4000
 #: Most learned stems, and the lengths that a stem may have.
 STEMS, STEM_LENGTHS = 400, range(4, 10)
+#: Log odds that a stem has at least: 2.2 is nine times likelier among toxic rows.
+LEAST_ODDS = 2.2
 THRESHOLD = 0.3
 FEATURES = 6
 
@@ -205,7 +207,7 @@ def choose_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, f
     chosen: dict[str, float] = {}
     for g, _, s, a, b in ranked:
         odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if g < floor or odds < 3.5 or len(chosen) >= STEMS:
+        if g < floor or odds < LEAST_ODDS or len(chosen) >= STEMS:
             continue
         if not any(s.startswith(c) or c.startswith(s) for c in chosen):
             chosen[s] = min(1.0, odds / 10)
@@ -279,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
         return Model({}, PRIOR_WEIGHTS)
     counted = written(stem_counts(train), "stems")
     floor = 2 * math.log(max(counted.count(), 2)) + 2
-    # a stem of interest is many times likelier among toxic rows; far fewer pass than this limit of the model
-    likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) > 30 * (F.col("clean") + 0.5) / (n_clean + 1)
+    # far fewer stems pass than this limit of the model
+    likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) > math.exp(LEAST_ODDS) * (F.col("clean") + 0.5) / (n_clean + 1)
     rows = (counted.where(likelier & (F.col("toxic") >= 3)).orderBy(F.desc("toxic"), "clean", "stem")
             .limit(50 * STEMS).collect())
     stems = choose_stems([tuple(r) for r in rows], n_toxic, n_clean, floor)
