@@ -80,7 +80,9 @@ class Rolling:
                 self._powers[seed] = have
         self.inverse = have[1]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * have[0][:n], out=self.sums[1:])
+        np.take(table, data, out=self.sums[1:])
+        self.sums[1:] *= have[0][:n]
+        np.cumsum(self.sums, out=self.sums)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hash of data[start:end] for arrays of bounds; the length is
@@ -140,8 +142,7 @@ def judged_fingerprints(rows: DataFrame, buckets: int, judge, width: int = 6, ex
     """Brings equal fingerprints of all tiles together and sends a verdict back.
 
     ``rows`` is (tile, fps, extra): sorted uint64 packed as binary, and
-    ``extra`` bytes for each.  The top 12 bits cut the hash range into
-    ``buckets`` slices; a tile sends one contiguous slice to each, ``width`` +
+    ``extra`` bytes for each.  The hash range is cut into ``buckets`` slices; a tile sends one contiguous slice to each, ``width`` +
     ``extra`` bytes an entry.  ``judge(fps, extra bytes)`` gives a byte for
     each entry of a bucket, in tile order.  Returns (tile, verdicts), a byte
     for each entry in the order of the tile's ``fps``.
@@ -150,13 +151,12 @@ def judged_fingerprints(rows: DataFrame, buckets: int, judge, width: int = 6, ex
     a third of all documents share costs an entry per tile, not per document.
     With a width of 6, entries are taken for equal if they share a bucket and
     48 more bits."""
-    buckets = min(max(buckets, 1), 4096)
+    buckets = max(buckets, 1)
     size = width + extra
 
     def cut(batches):
         import pyarrow as pa
-        bounds = ((np.arange(1, buckets, dtype=np.uint64) * np.uint64(4096) // np.uint64(buckets))
-                  << np.uint64(52))
+        bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         for b in batches:
             for i in range(b.num_rows):
                 fp = np.frombuffer(b.column(1)[i].as_py(), np.uint64)

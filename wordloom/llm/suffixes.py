@@ -21,7 +21,7 @@ LENGTH = 200
 PERIOD = 133
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 #: Text of one row of the tile table, and entries that one naming task holds.
-TILE_BYTES = 1 << 20
+TILE_BYTES = 1 << 19
 BUCKET_ENTRIES = 1_000_000
 
 
@@ -111,13 +111,22 @@ class Tile:
         b = np.minimum(self.at, self.high - self.length)[chosen]
         return a[a <= b], b[a <= b]
 
+    def prefixes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the strings that start at ``at``, in pieces to save memory."""
+        out = np.empty(len(at), np.uint64)
+        for i in range(0, len(at), 1 << 16):
+            piece = at[i:i + (1 << 16)]
+            out[i:i + (1 << 16)] = self.hashes.ranges(piece, piece + self.length)
+        return out
+
     def starts(self, chosen: np.ndarray) -> np.ndarray:
         """All starts of strings through the chosen samples, each once."""
         a, b = self.strings(chosen)
-        step = np.zeros(len(self.data) + 1, np.int32)
+        step = np.zeros(len(self.data) + 1, np.int64)
         np.add.at(step, a, 1)
         np.add.at(step, b + 1, -1)
-        return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        np.cumsum(step, out=step)
+        return np.flatnonzero(step[:-1] > 0)
 
 
 def judge_contexts(name: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -155,12 +164,14 @@ def removed_mask(tile: Tile, states: bytes | None, verdicts: bytes | None) -> np
         np.add.at(step, b + tile.length, -1)
         at = tile.starts(state > 1)
         if len(at):
-            fp, n = np.unique(tile.hashes.ranges(at, at + tile.length), return_counts=True)
+            names = tile.prefixes(at)
+            fp, n = np.unique(names, return_counts=True)
             again = (np.frombuffer(verdicts or b"", np.uint8) > 1) | (n > 1)
-            at = at[again[np.searchsorted(fp, tile.hashes.ranges(at, at + tile.length))]]
+            at = at[again[np.searchsorted(fp, names)]]
             np.add.at(step, at, 1)
             np.add.at(step, at + tile.length, -1)
-    return np.cumsum(step[:-1]) > 0
+    np.cumsum(step, out=step)
+    return step[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -227,7 +238,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if len(t.at):
                     _, _, _, pair = t.contexts()
                     at = t.starts(np.frombuffer(state, np.uint8)[pair] > 1)
-                    fp, n = np.unique(t.hashes.ranges(at, at + length), return_counts=True)
+                    fp, n = np.unique(t.prefixes(at), return_counts=True)
                     yield _packed(tile, fp, np.minimum(n, 255).astype(np.uint8).tobytes())
 
     twice = once.join(states, "tile", "left")
