@@ -221,12 +221,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
 _SQL = """
 with recursive v as (select vec_id, embedding::double[] as x from embeddings
-    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, e -> e is null or not isfinite(e))) = 0
-      and len(list_filter(embedding, e -> e <> 0)) > 0),
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+      and len(list_filter(embedding, lambda e: e <> 0)) > 0),
 l as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
       and list_cosine_similarity(a.x, b.x) >= 0.9),
-r(vec_id, at) as (select vec_id, vec_id from embeddings union select r.vec_id, l.y from r join l on r.at = l.x),
-c as (select vec_id, min(at) as component_id from r group by 1)
+r(vec_id, node) as (select vec_id, vec_id from embeddings union select r.vec_id, l.y from r join l on r.node = l.x),
+c as (select vec_id, min(node) as component_id from r group by 1)
 select c.vec_id, (select count(*) from l where l.x = c.vec_id)::bigint as n_links, c.component_id,
   c.vec_id = c.component_id as kept from c
 """

@@ -293,16 +293,16 @@ _SQL = r"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) end as s from d),
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) end as s from d),
 p as (select doc_id, len(s)::bigint as n, unnest(s) as g from s),
 o as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c
     from p a join p b on a.g = b.g and a.doc_id < b.doc_id
       and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
 l as (select x, y from o where 100 * c >= 85 * (nx + ny - c)),
 e as (select x, y from l union all select y, x from l),
-r(doc_id, at) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on r.at = e.x)
+r(doc_id, node) as (select doc_id, doc_id from documents union select r.doc_id, e.y from r join e on r.node = e.x)
 select s.doc_id, len(s.s)::bigint as n_shingles, c.component_id
-from s join (select doc_id, min(at) as component_id from r group by 1) c using (doc_id)
+from s join (select doc_id, min(node) as component_id from r group by 1) c using (doc_id)
 """
 
 

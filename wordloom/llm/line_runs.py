@@ -81,7 +81,7 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", order: str = "doc_
 
 _SQL = """
 with l as (select doc_id, text, string_split(text, chr(10)) as x from documents),
-n as (select doc_id, x, list_filter(list_transform(x, t -> trim(t, ' ')), t -> t <> '') as h from l),
+n as (select doc_id, x, list_filter(list_transform(x, lambda t: trim(t, ' ')), lambda t: t <> '') as h from l),
 w as (select doc_id, unnest(range(0, greatest(len(h) - 2, 0))) as s, h from n),
 k as (select doc_id, s, array_to_string(h[s+1:s+3], chr(10)) as w from w),
 f as (select w, min(struct_pack(d := doc_id, s := s)) as first from k group by 1),
