@@ -135,7 +135,31 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source",
     return pareto_mix(sized, written(water_filled(sources), "targets"), name, source, random_unit("doc_id", source, name))
 
 
-@register("op7_mixing")
+_SQL = r"""
+with s as (select doc_id, source, (case when text is null then 0
+    else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end)::bigint as size from documents),
+w as (select source, source_size, (3 * source_size)::double as cap,
+    ([1, 2, 3][(row_number() over (order by source is null, source) - 1) % 3 + 1])::double as w
+    from (select source, sum(size)::bigint as source_size from s group by source)),
+l as (select *, ((sum(source_size) over ())::double - coalesce(sum(cap) over earlier, 0))
+      / (sum(w) over () - coalesce(sum(w) over earlier, 0)) as level from w
+    window earlier as (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding)),
+o as (select level from l where cap / w >= level order by cap / w, source is null, source limit 1),
+t as (select source, source_size, least(cap, coalesce((select level from o), 0) * w) as target from l),
+p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t),
+d as (select s.*, source_size, target, whole, target - whole * source_size as rest,
+    (('0x' || substr(md5(concat_ws('|', coalesce(s.doc_id::varchar, '~'), coalesce(s.source, '~'), s.size::varchar)), 1, 13))::bigint::double + 0.5)
+      / 4503599627370496::double as u from s join p on s.source is not distinct from p.source),
+c as (select *, rest > 0 and sum(size) over (partition by source order by u, size, doc_id rows unbounded preceding) <= rest as chosen from d),
+g as (select *, rest - sum(case when chosen then size else 0 end) over (partition by source) as gap from c),
+f as (select *, row_number() over (partition by source, not chosen and rest > 0 and size > 0 and size <= gap
+    order by size desc, u, doc_id desc) as nth from g)
+select doc_id, size, source_size, target, (size * (whole + (chosen or (rest > 0 and size > 0 and size <= gap and nth = 1))::bigint))::bigint as taken
+from f
+"""
+
+
+@register("op7_mixing", _SQL)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
