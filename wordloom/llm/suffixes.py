@@ -283,7 +283,24 @@ def _packed(tile: int, fp: np.ndarray, extra: bytes):
 
 
 
-@register("op4_suffix_dedup")
+_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, i, md5(array_slice(b, i + 1, i + 200)) as h
+    from (select doc_id, b, unnest(range(0, octet_length(b) - 199)) as i from d where octet_length(b) >= 200)),
+m as (select w.doc_id, i from w join (select h from w group by h having count(*) > 1) using (h)),
+n as (select doc_id, i, sum(first::int) over (partition by doc_id order by i) as run from (
+    select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 200, true) as first from m)),
+s as (select doc_id, min(i) as a, max(i) + 200 as z from n group by doc_id, run),
+k as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as a, a as z from s
+    union all select d.doc_id, coalesce(max(s.z), 0), octet_length(any_value(b)) from d left join s using (doc_id) group by d.doc_id),
+t as (select k.doc_id, sha256(unhex(string_agg(hex(array_slice(b, k.a + 1, k.z)), '' order by k.a))) as kept_sha256
+    from k join d using (doc_id) group by k.doc_id)
+select d.doc_id, octet_length(b)::bigint as n_bytes, coalesce(c.n, 0)::bigint as n_removed, coalesce(c.runs, 0)::bigint as n_spans, kept_sha256
+from d join t using (doc_id) left join (select doc_id, sum(z - a) as n, count(*) as runs from s group by 1) c using (doc_id)
+"""
+
+
+@register("op4_suffix_dedup", _SQL)
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents."""
     found = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
