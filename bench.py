@@ -88,6 +88,12 @@ def main() -> None:
     q["w1_top_p"], _ = timed(lambda: run(rk.add_top_p(emb, "embedding", 0.9).select("filtered")))
     rates["w1_rows_per_sec"] = n_emb / q["w1_top_p"]
 
+    # W1 on rows as wide as a small vocabulary (8,192 logits)
+    wide = emb.where("vec_id % 16 = 0").select(F.flatten(F.array_repeat("embedding", 128)).alias("x"))
+    n_wide = wide.count()
+    q["w1_top_p_8192"], _ = timed(lambda: run(rk.add_top_p(wide, "x", 0.9).select("filtered")))
+    rates["w1_wide_values_per_sec"] = n_wide * 8192 / q["w1_top_p_8192"]
+
     counts.unpersist()
     words.unpersist()
     total = sum(q.values())
