@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
 from .common import fresh, read, written
 from .registry import register
 
@@ -66,17 +67,20 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", order: str = "doc_
         "s", lambda s: F.sequence(s, s + run - 1))))).alias("_gone"))
     runs = F.size(F.filter(F.transform("_gone", lambda x, i: F.when(i == 0, True).otherwise(
         F.element_at("_gone", F.greatest(i, F.lit(1))) != x - 1)), lambda b: b))
+
     # the n-th non-blank line goes if n is listed
-    numbered = F.aggregate(split, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("keep")), lambda a, x: F.struct(
-        (a["n"] + F.when(F.trim(x) != "", 1).otherwise(0)).alias("n"),
-        F.when((F.trim(x) != "") & F.array_contains("_gone", a["n"]), a["keep"]).otherwise(
-            F.concat(a["keep"], F.array(x))).alias("keep")), lambda a: a["keep"])
+    def kept(lines):
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        full = F.filter(every, lambda i: F.trim(F.get(lines, i)) != "")
+        left = bind(full, lambda f: F.array_except(every, F.transform("_gone", lambda n: F.get(f, n))))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
     out = held.join(gone, rid, "left").drop(rid)
     out = out.withColumn("n_lines", F.coalesce(F.size(split).cast("long"), F.lit(0))) \
         .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long")) \
         .withColumn("n_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long")) \
         .withColumn("n_runs", F.coalesce(F.when(F.col("_gone").isNotNull(), runs), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_gone").isNotNull(), F.array_join(numbered, "\n")).otherwise(F.col(text))).drop("_gone")
+    return out.withColumn(text, F.when(F.col("_gone").isNotNull(), bind(split, kept)).otherwise(F.col(text))).drop("_gone")
 
 
 _SQL = """
