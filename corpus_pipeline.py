@@ -26,17 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id; rows
     without an id or without words are groups of their own."""
-    row = fresh(docs, "_row")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "near")
-    alone = held.where(F.col("doc_id").isNull()).select(row)
-    found = jaccard_components(held, NEAR_WORDS, NEAR_PERCENT).where("doc_id = component_id")
-    empty = found.where("n_shingles = 0").select("doc_id").distinct()
-    heads = found.where("n_shingles > 0").select("doc_id").distinct()
-    # of rows that share an id one stays, unless they are without words
-    one = held.select("doc_id", row).join(heads, "doc_id").groupBy("doc_id").agg(F.min(row).alias(row)).select(row)
-    wordless = held.join(empty, "doc_id").where(word_count() == 0).select(row)
-    keep = one.unionByName(alone).unionByName(wordless).distinct()
-    return held.join(keep, row, "left_semi").select(*docs.columns)
+    nth = fresh(docs, "_nth")
+    heads = (jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id = component_id and n_shingles > 0")
+             .groupBy("doc_id").agg(F.count("*").alias(nth)))
+    words = word_count() > 0
+    alone = docs.where(F.col("doc_id").isNull() | ~words)
+    # of rows that share an id one stays
+    kept = docs.where(F.col("doc_id").isNotNull() & words).join(heads, "doc_id")
+    once = kept.where(F.col(nth) == 1).select(*docs.columns)
+    more = (kept.where(F.col(nth) > 1).groupBy("doc_id")
+            .agg(F.min_by(F.struct(*docs.columns), F.sha2("text", 256)).alias(nth)).select(f"{nth}.*"))
+    return once.unionByName(alone).unionByName(more)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,13 +228,13 @@ def item_blocks(rows: DataFrame):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that any item leaks into.  Rows get a
-    number in a written table first, so rows that share an id or have none are
-    judged one by one."""
-    row = fresh(docs, "_row")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    leaks = find_leaks(numbered, benchmark, key=row, text=text).select(row).distinct()
-    return numbered.join(leaks, row, "left_anti").drop(row)
+    """``docs`` without the documents that any item leaks into.  A leak is a
+    matter of the text alone, so texts are told apart by their digest: rows
+    that share an id or have none are judged by what they hold."""
+    digest = fresh(docs, "_digest")
+    marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    leaks = written(find_leaks(marked, benchmark, key=digest, text=text).select(digest).distinct(), "leaks")
+    return marked.join(leaks, digest, "left_anti").drop(digest)
 
 
 @register("op9_decontamination")

@@ -35,8 +35,11 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete a table made by ``written`` once nothing reads it any more."""
+    """Delete a table made by ``written`` or ``bucketed`` once nothing reads it
+    any more."""
     path = df._written_path
+    if hasattr(df, "_written_table"):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._written_table}")
     sc = df.sparkSession.sparkContext
     hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop_path, True)
@@ -190,10 +193,12 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``, so that later
     joins on the key move only their other side."""
     spark = df.sparkSession
-    table = f"wordloom_{name}_{uuid.uuid4().hex}"
+    table, path = f"wordloom_{name}_{uuid.uuid4().hex}", scratch(spark, name)
     (df.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd")
-     .option("path", scratch(spark, name)).saveAsTable(table))
-    return spark.table(table)
+     .option("path", path).saveAsTable(table))
+    out = spark.table(table)
+    out._written_path, out._written_table = path, table
+    return out
 
 
 # --- words of packed texts ------------------------------------------------------

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (LOWER, NON_SPACE, Rolling, binary_parts, blocks_of, bucketed, judged_fingerprints, read,
+from .common import (LOWER, NON_SPACE, Rolling, binary_parts, blocks_of, bucketed, drop_written, judged_fingerprints, read,
                      shingle_hashes, splitmix, summed, word_bounds, written)
 from .graph import components, forest
 from .registry import register
@@ -21,7 +21,7 @@ FIRST_SHARE = 0.30
 #: Fragments of the hash range in which overlaps are counted.
 FRAGMENTS = 8
 #: Text that is worked on at once, and that one row of the tile table stands for.
-BLOCK_BYTES, TILE_BYTES = 1 << 20, 4 << 20
+BLOCK_BYTES, TILE_BYTES = 1 << 19, 2 << 20
 #: First-fragment shingles that one counting task holds.
 BUCKET_SHINGLES = 1_000_000
 #: Documents of a product tile.
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = written(prefixes(tiles, counts, chosen, percent), "prefixes")
     groups = components(candidate_edges(rows))
     heads = groups.select(F.col("component").alias("node"), "component").distinct()
-    members = written(groups.unionByName(heads), "groups")
+    members = grouped = written(groups.unionByName(heads), "groups")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     members = members.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "tile", "row"), "node").select(
         "tile", F.struct("row", F.col("component").alias("group"), F.ceil(F.col("size") / GROUP_TILE).cast("int").alias("tiles")).alias("m"))
@@ -259,7 +259,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     found = sets.join(reps.select("set_a", "set_b", "n", F.col("id").alias("rep")), ["set_a", "set_b", "n"], "left")
     found = found.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), linked.alias("component_id"))
+    out = written(found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), linked.alias("component_id")), "components")
+    for done in (tiles, reps, rows, grouped):
+        drop_written(done)
+    return out
 
 
 def group_tiles(tiles: DataFrame, members: DataFrame, words: int) -> DataFrame:

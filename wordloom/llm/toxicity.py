@@ -170,13 +170,13 @@ def stem_counts(train: DataFrame) -> DataFrame:
         import pyarrow as pa
         held: dict[str, list[int]] = {}
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = {w for w in _WORD.findall((text or "").lower()) if len(w) >= STEM_LENGTHS[0]}
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):
+                words = {w for w in _WORD.findall((text.as_py() or "").lower()) if len(w) >= STEM_LENGTHS[0]}
                 for s in {w[:n] for w in words for n in STEM_LENGTHS if n <= len(w)}:
                     held.setdefault(s, [0, 0])[0 if toxic else 1] += 1
-            if len(held) > 300_000:  # bounded memory: send on and go on counting
-                yield batch(pa, held)
-                held = {}
+                if len(held) > 50_000:  # bounded memory: send on and go on counting
+                    yield batch(pa, held)
+                    held = {}
         if held:
             yield batch(pa, held)
 
@@ -249,7 +249,7 @@ def grammar_features(docs: DataFrame, stems: dict[str, float], text: str, *keep:
         import pyarrow as pa
         lexicon = Lexicon(stems)
         for b in batches:
-            feats = [lexicon.features(t or "") for t in b.column(0).to_pylist()]
+            feats = [lexicon.features(t.as_py() or "") for t in b.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[1:], pa.array(feats, pa.list_(pa.float64()))], [*keep, "features"])
 
@@ -312,7 +312,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
         for b in batches:
             if b.num_rows == 0:
                 continue
-            feats = np.array([lexicon.features(t or "") for t in b.column(place).to_pylist()])
+            feats = np.array([lexicon.features(t.as_py() or "") for t in b.column(place)])
             s = model.scores(feats)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
