@@ -202,7 +202,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if length <= PERIOD:
         raise ValueError(f"length must be over {PERIOD}")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a bucket's tiles travel to Python as one batch: more and smaller buckets
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = bucketed(text_tiles(docs, doc_id, text), "tile", parts, "texts")
     total = tiles.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = math.ceil(total * len(COVER) / PERIOD / BUCKET_ENTRIES) * 4
