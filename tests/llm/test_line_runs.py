@@ -47,3 +47,37 @@ def test_hot_run_and_null_keys(spark):
     got = run(spark, rows)
     assert got[0][1] == 0 and all(g[1] == 4 and g[3] == f"own{i}" for i, g in enumerate(got[1:]))
     assert run(spark, []) == []
+
+
+def brute_passages(rows, passage, run=3):
+    """As ``brute``, with shorter windows of ``passage`` bytes or more."""
+    seen, out = set(), []
+    for _, text in sorted(rows):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for n in range(1, run + 1):
+            for s in range(len(full) - n + 1):
+                w = tuple(lines[full[s + j]].strip(" ") for j in range(n))
+                if n < run and len("".join(w).encode()) < passage:
+                    continue
+                if w in seen:
+                    gone.update(range(s, s + n))
+                seen.add(w)
+        drop = {full[p] for p in gone}
+        out.append((len(gone), "\n".join(x for i, x in enumerate(lines) if i not in drop)))
+    return out
+
+
+def test_long_lines_and_pairs_count_by_content(spark):
+    long, half = "é" * 100, "b" * 100
+    rows = [(0, f"{long}\nshort"), (1, f" {long} "), (2, f"{half}\n{half[:99]}\n\n{half}c"), (3, f"x\n{half}\n\n{half}c\ny"),
+            (4, f"short\n{half[:99]}\n{half}c"), (5, f"{half}\n{half}c")]
+    rng = random.Random(3)
+    pool = [c * n for c in "abcdef" for n in (40, 120, 210)]
+    rows += [(i, "\n".join(rng.choice(pool + ["", f"own {i}"]) for _ in range(rng.randrange(1, 5)))) for i in range(10, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_runs.remove_repeated_runs(df, passage=200).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.text) for r in got] == brute_passages(rows, 200)
+    assert got[1].n_removed == 1 and got[1].text == ""
+    assert line_runs.remove_repeated_runs(df).where("doc_id = 1").first().n_removed == 0
