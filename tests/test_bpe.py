@@ -107,3 +107,28 @@ def test_routed_batches(spark):
     assert route == "bi" and causal is None                      # short texts: bidirectional
     assert {x[0] for x in by_batch[1]} == {"auto"}
     assert all(x[1] == 50 and x[2] == 50 for x in by_batch[1])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_training_ended_on_the_driver_equals_one_at_a_time(spark, seed):
+    """From the start, and after some rounds on Spark."""
+    counts = pt.word_counts(spark.createDataFrame([(_corpus(seed),)], "text STRING"))
+    local = {r.token: r.n for r in counts.collect()}
+    live = bpe.words_table(counts).where(F.col("w").contains(" "))
+    held = live.agg(F.sum(F.size(F.split("w", " ")))).first()[0]
+    for size in (263 + 60, 5000):
+        ref = train_bpe_local(local, size, 2)
+        for cap in (held, held * 2 // 3):
+            m = bpe.train_bpe(counts, vocab_size=size, checkpoint_every=2, local_symbols=cap)
+            assert (m.merges, m.merge_counts) == (ref.merges, ref.merge_counts)
+            assert (m.rounds == 0) == (cap == held)
+
+
+def test_queries_train_until_no_pair_is_frequent(spark):
+    from wordloom.plans import bpe_queries
+    m = bpe_queries.trained_model(spark, "/root/testdata/sf0.001")
+    more = bpe.train_bpe(pt.word_counts(bpe_queries.tok_docs(spark, "/root/testdata/sf0.001")),
+                         vocab_size=10**6, local_symbols=10**7)
+    assert len(m.merges) > 120 and m.merges == more.merges[:len(m.merges)]
+    assert m.vocab_size == min(60_000, more.vocab_size)
+    assert bpe_queries.bpe_merges(spark, "/root/testdata/sf0.001").count() == len(m.merges)

@@ -16,11 +16,18 @@ A round:
      words reduced to one symbol leave the table at the next checkpoint;
   5. the table is persisted, and every few rounds checkpointed to the
      session's reliable checkpoint folder to cut the lineage.
+
+Once the words hold no more symbols than ``local_symbols``, the rest of the
+training is done on the driver, one merge at a time with counts kept up to
+date (``finish_merges``): the same merges, without a job for each round.
 """
 
 from __future__ import annotations
 
+import heapq
 import logging
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -212,13 +219,91 @@ def apply_batch(words: DataFrame, batch: list[tuple[str, str, int]]) -> DataFram
     return words.select(F.regexp_replace(F.col("w"), pattern, replacement).alias("w"), "n")
 
 
+# Driver-side end of training ---------------------------------------------------
+def finish_merges(words: Iterable[tuple[str, int]], tokens: set[str], budget: int,
+                  min_frequency: int) -> list[tuple[str, str, int]]:
+    """The merges (left, right, count) of one-at-a-time training from (w, n)
+    words on, until ``budget`` new tokens are made or no pair reaches
+    ``min_frequency``.  Only words that hold, or held, the merged pair are
+    looked at; heap entries are never below a pair's count and are renewed
+    when stale."""
+    shared: dict[str, str] = {}
+    seqs: list[list[str]] = []
+    ns = array("q")
+    counts: dict[tuple[str, str], int] = {}
+    where: dict[tuple[str, str], array] = {}
+
+    def note(p, i):
+        at = where.get(p)
+        if at is None:
+            where[p] = array("I", [i])
+        elif at[-1] != i:
+            at.append(i)
+
+    for i, (w, n) in enumerate(words):
+        q = [shared.setdefault(x, x) for x in w.split(" ")]
+        seqs.append(q)
+        ns.append(n)
+        for p in zip(q, q[1:]):
+            counts[p] = counts.get(p, 0) + n
+            note(p, i)
+    least = max(min_frequency, 1)
+    heap = [(-c, f"{p[0]} {p[1]}", p) for p, c in counts.items() if c >= least]
+    heapq.heapify(heap)
+    tokens, merges = set(tokens), []
+    while budget > 0 and heap:
+        c, text, pair = heapq.heappop(heap)
+        now = counts.get(pair, 0)
+        if now != -c:
+            if now >= least:
+                heapq.heappush(heap, (-now, text, pair))
+            continue
+        l, r = pair
+        merged = shared.setdefault(l + r, l + r)
+        merges.append((l, r, now))
+        if merged not in tokens:
+            tokens.add(merged)
+            budget -= 1
+        touched, grown = set(), set()
+        for i in where.pop(pair):
+            q, n, out, j = seqs[i], ns[i], [], 0
+            while j < len(q):
+                if q[j] == l and j + 1 < len(q) and q[j + 1] == r:
+                    out.append(merged)
+                    j += 2
+                else:
+                    out.append(q[j])
+                    j += 1
+            if len(out) == len(q):
+                continue
+            for p in zip(q, q[1:]):
+                counts[p] -= n
+                touched.add(p)
+            for p in zip(out, out[1:]):
+                counts[p] = counts.get(p, 0) + n
+                if merged in p:
+                    note(p, i)
+                    grown.add(p)
+            seqs[i] = out
+        for p in grown:
+            if counts[p] >= least:
+                heapq.heappush(heap, (-counts[p], f"{p[0]} {p[1]}", p))
+        for p in touched:
+            if not counts[p]:
+                del counts[p]
+                where.pop(p, None)
+    return merges
+
+
 # B4 -------------------------------------------------------------------------
 def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: int = 2,
               alphabet: str = "full", special_tokens: list[str] | None = None,
               top_k: int = 4000, checkpoint_every: int = 8,
-              max_rounds: int | None = None) -> BpeModel:
+              max_rounds: int | None = None, local_symbols: int = 0) -> BpeModel:
     """Train a byte-level BPE vocabulary from (token, n) word-type counts.
 
+    Words of ``local_symbols`` symbols or fewer in all are finished on the
+    driver (looked at before the first round and at each checkpoint; 0: never).
     ``alphabet='full'`` puts all 256 bytes in the vocabulary; ``'observed'``
     only the bytes seen (an unseen byte is then dropped at encode time).
     """
@@ -242,6 +327,13 @@ def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: in
     rounds = 0
     prev = None
     while budget > 0 and (max_rounds is None or rounds < max_rounds):
+        if local_symbols and rounds % checkpoint_every == 0:
+            held = live.agg(F.sum(F.size(F.split("w", " ")))).first()[0] or 0
+            if held <= local_symbols:
+                for l, r, c in finish_merges(live.toLocalIterator(), tokens, budget, min_frequency):
+                    model.merges.append((l, r))
+                    model.merge_counts.append(c)
+                break
         # this job also fills the cache of ``live``; only after it may the
         # table ``live`` was computed from be released
         top = (pair_counts(live, min_frequency)
