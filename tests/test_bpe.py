@@ -132,3 +132,18 @@ def test_queries_train_until_no_pair_is_frequent(spark):
     assert len(m.merges) > 120 and m.merges == more.merges[:len(m.merges)]
     assert m.vocab_size == min(60_000, more.vocab_size)
     assert bpe_queries.bpe_merges(spark, "/root/testdata/sf0.001").count() == len(m.merges)
+
+
+def test_encoding_queries_return_whole_ids(spark):
+    from wordloom.plans import bpe_queries, stream_queries
+    sf = "/root/testdata/sf0.001"
+    whole = {r.doc_id: r.ids for r in bpe_queries.bpe_encode(spark, sf).collect()}
+    assert {r.doc_id: r.ids for r in stream_queries.stream_encode_documents(spark, sf).collect()} == whole
+    routed = bpe_queries.routed_batches(spark, sf).collect()
+    assert len(routed) == len(whole) and max(r.width for r in routed) > 256
+    for r in routed:
+        ids = r.ids[1:-1].split(",")
+        own = [x for x in whole[r.doc_id][1:-1].split(",") if x]
+        assert len(ids) == r.width and ids[:len(own)] == own and len(set(ids[len(own):])) <= 1
+    for r in bpe_queries.qa_encoded(spark, sf).limit(50).collect():
+        assert r.input_ids.count(",") + 1 == r.n_input and r.decoder_input_ids.count(",") + 1 == r.n_target

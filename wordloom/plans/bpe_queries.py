@@ -18,7 +18,7 @@ from .common import prefix_space_sql, pretokens_sql, register, tok_docs, tok_tex
 #: of it only when no pair reaches the least frequency.
 VOCAB_SIZE, MIN_FREQUENCY = 60_000, 2
 #: Symbols of all different words from which on training ends on the driver.
-LOCAL_SYMBOLS = 4_000_000
+LOCAL_SYMBOLS = 5_000_000
 _MODELS: dict[tuple[str, int], bpe.BpeModel] = {}
 
 
@@ -98,13 +98,15 @@ def qa_encoded(spark, sf):
     pairs = qa.pair_turns(table(spark, sf, "conversations"))
     e = qa.encode_prompts(pairs, enc, block_size=128)
     return e.select("conv_id", "turn", F.size("input_ids").cast("bigint").alias("n_input"),
-                    F.size("decoder_input_ids").cast("bigint").alias("n_target"))
+                    F.size("decoder_input_ids").cast("bigint").alias("n_target"),
+                    sq.as_text(F.col("input_ids")).alias("input_ids"),
+                    sq.as_text(F.col("decoder_input_ids")).alias("decoder_input_ids"))
 
 
 # routed encode of batches --------------------------------------------------
 @register("routed_batches")
 def routed_batches(spark, sf):
     enc = en.BpeEncoder(trained_model(spark, sf))
-    r = qa.encode_batches(tok_docs(spark, sf), enc, key="doc_id", batch_size=16, max_length=256)
+    r = qa.encode_batches(tok_docs(spark, sf), enc, key="doc_id", batch_size=16)
     return r.select("doc_id", "batch_id", "route", F.size("ids").cast("bigint").alias("width"),
-                    "causal_width")
+                    "causal_width", sq.as_text(F.col("ids")).alias("ids"))

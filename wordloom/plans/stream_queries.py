@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequences as sq
 from ..streaming import streams as st
 from ..tables import NOTES_SQL, table
 from .common import clean_sql, pretokens_sql, register, tok_text, tok_text_sql
@@ -64,5 +65,5 @@ def stream_encode_documents(spark, sf):
     enc = BpeEncoder(trained_model(spark, sf))
     s = _stream_table(spark, sf, "documents")
     s = s.select("doc_id", tok_text(F.col("text")).alias("text"))
-    out = st.encode_stream(s, enc).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"))
+    out = st.encode_stream(s, enc).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), sq.as_text(F.col("ids")).alias("ids"))
     return st.run_to_table(spark, out, "encode")
