@@ -129,3 +129,21 @@ def test_processed_copies(spark, tmp_dir):
     assert [(r.name, r.value) for r in back.collect()] == [("a_processed.txt", "alpha")]
     dec = files.decoded_files(spark, f"{tmp_dir}/in", "*.txt").collect()
     assert [r.text for r in dec] == ["alpha"]
+
+
+def test_csv_queries_keep_every_source(spark, tmp_dir):
+    from wordloom.plans import file_queries as q
+    sources = [None, "", "site", "site1", "a/b c=%é", "7"]
+    rows = [(i, sources[i // 2 % 6] if i < 60 else "site1", f'text "{i}",\nmore') for i in list(range(60)) + list(range(4090, 4100))]
+    rows += [(9000, None, None), (9001, "only blank", "")]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string") \
+        .write.parquet(f"{tmp_dir}/documents.parquet")
+    whole, blocks = {}, {}
+    for i, source, text in rows:
+        if text:
+            whole.setdefault(source, []).append(text)
+            blocks.setdefault((source, i // 4096), []).append(text)
+    got = [(r.source, r.text) for r in q.csv_corpora(spark, tmp_dir).collect()]
+    assert len(got) == len(whole) and dict(got) == {k: "\n".join(v) for k, v in whole.items()}
+    got = [((r.source, r.block), r.text) for r in q.csv_corpora_files(spark, tmp_dir).collect()]
+    assert len(got) == len(blocks) and dict(got) == {k: "\n".join(v) for k, v in blocks.items()}

@@ -27,20 +27,46 @@ def text_folder_corpus(spark, sf):
     return back.select(source.alias("source"), F.regexp_replace("text", "\x1e$", "").alias("text"))
 
 
-# One CSV file per source, with the text column in two places -----------------
+# CSV files per source and block of documents, the text column in two places -----
+BLOCK_DOCS = 4096
+
+
+def _csv_files(spark, sf):
+    """(source, block, text) of every CSV file: block is doc_id div 4096, so a
+    large source is many files; the layout goes by source and block."""
+    path = scratch_dir(spark, "csv")
+    # a folder name for any source: null, empty and special characters too
+    name = F.concat(F.lit("s"), F.hex(F.encode("source", "UTF-8")))
+    d = table(spark, sf, "documents").where("text is not null and text <> ''") \
+        .withColumn("name", F.coalesce(name, F.lit("null"))).withColumn("block", F.floor(F.col("doc_id") / BLOCK_DOCS))
+    d = d.repartition("name", "block").sortWithinPartitions("name", "block", "doc_id")
+    odd = F.pmod(F.xxhash64("name", "block"), F.lit(2)) == 1
+    options = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
+    d.where(odd).select("name", "block", "doc_id", "text").write.partitionBy("name", "block").options(**options).csv(f"{path}/first")
+    d.where(~odd).select("name", "block", F.col("text").alias("Text"), "lang").write.partitionBy("name", "block").options(**options).csv(f"{path}/second")
+    c = files.csv_corpus(spark, path, "**/*.csv")
+    source = F.regexp_extract("path", "name=(s([0-9A-F]*)|null)/", 1)
+    return c.select(F.when(source != "null", F.decode(F.unhex(F.substring(source, 2, 1_000_000)), "UTF-8")).alias("source"),
+                    F.regexp_extract("path", "block=(-?[0-9]+)/", 1).cast("bigint").alias("block"), "text")
+
+
 @register("csv_corpora", """
 select source, string_agg(text, chr(10) order by doc_id) as text from documents
 where text is not null and text <> '' group by source
 """)
 def csv_corpora(spark, sf):
-    path = scratch_dir(spark, "csv")
-    d = table(spark, sf, "documents").where("text is not null and text <> ''").repartition("source").sortWithinPartitions("source", "doc_id")
-    odd = F.substring("source", -1, 1).cast("int") % 2 == 1
-    options = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
-    d.where(odd).select("source", "doc_id", "text").write.partitionBy("source").options(**options).csv(f"{path}/first")
-    d.where(~odd).select("source", F.col("text").alias("Text"), "lang").write.partitionBy("source").options(**options).csv(f"{path}/second")
-    c = files.csv_corpus(spark, path, "**/*.csv")
-    return c.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "text")
+    # one row per source is what the SQL asks for: the files of a source are put together last
+    blocks = _csv_files(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("t"))
+    return blocks.select("source", F.array_join("t.text", "\n").alias("text"))
+
+
+# S2, compared per file: no row holds a whole source
+@register("csv_corpora_files", """
+select source, (doc_id // 4096)::bigint as block, string_agg(text, chr(10) order by doc_id) as text from documents
+where text is not null and text <> '' group by all
+""")
+def csv_corpora_files(spark, sf):
+    return _csv_files(spark, sf)
 
 
 # Pages as files: the url is the path, the encoded html the content -------
