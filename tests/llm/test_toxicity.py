@@ -73,3 +73,12 @@ def test_nulls_empty_tables_and_no_labels(spark):
     assert len(got) == 4 and sorted(r.predicted for r in got) == [0, 0, 0, 1]
     assert tox.score_documents(docs.limit(0), model).count() == 0
     assert tox.fit(docs.limit(0), labels).weights == tox.PRIOR_WEIGHTS
+
+
+def test_quotation_is_open_over_any_distance_in_its_line():
+    far = "word " * 1000
+    assert feats(f'"It was long. {far}. An idiot came.')[3] == 1.0
+    assert feats(f'"It was long. {far}. An idiot came." {far}. An idiot went.')[:4] == [1.0, 0.0, 0.0, 1.0]
+    assert feats(f'"Idiot." {far}. An idiot came.')[:4] == [1.0, 0.0, 0.0, 1.0]
+    assert feats(f'"It was long. {far}.\nAn idiot came.')[:4] == [1.0, 0.0, 0.0, 0.0]
+    assert feats(f'{far}"{far}. An idiot. {far}"{far}. An idiot.')[:4] == [1.0, 0.0, 0.0, 1.0]

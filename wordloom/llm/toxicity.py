@@ -141,7 +141,8 @@ class Lexicon:
         a clause starts inside a quotation if one is open in its line."""
         out = [0.0] * FEATURES
         text = text.lower()
-        read_to = 0
+        # quotation marks of the line are counted up to marked_to
+        read_to = marked_to = is_open = 0
         for end, n in self.finder.iter(text):
             at = end - n + 1
             if at < read_to or (at and (text[at - 1].isalpha())):
@@ -150,8 +151,12 @@ class Lexicon:
             begin = max(begin, read_to)
             stop = _CLAUSE_END.search(text, at)
             stop = stop.start() if stop else len(text)
-            line = max(text.rfind("\n", max(0, begin - 2000), begin), begin - 2000, 0)
-            state = QUOTED if len(_QUOTES.findall(text, line, begin)) % 2 else START
+            line = text.rfind("\n", marked_to, begin)
+            if line >= 0:
+                marked_to, is_open = line, 0
+            is_open = (is_open + len(_QUOTES.findall(text, marked_to, begin))) % 2
+            marked_to = begin
+            state = QUOTED if is_open else START
             for word in _WORD.findall(text, begin, stop):
                 symbol, weight = self.symbol(word)
                 state, marked = TABLE[state, symbol]
