@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     from . import (alignment, archive, embeddings, jaccard, line_runs, mixing,  # noqa: F401
-                   pii, sharding, suffixes, toxicity)
+                   packing, pii, sharding, suffixes, toxicity)
     return QUERIES, ORACLES
