@@ -23,6 +23,6 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all():
-    from . import (alignment, archive, embeddings, interaction, jaccard, line_runs, mixing,  # noqa: F401
-                   packing, pii, sharding, suffixes, toxicity)
+    from . import (alignment, archive, embeddings, interaction, jaccard, lexical, line_runs,  # noqa: F401
+                   mixing, packing, pii, sharding, suffixes, toxicity)
     return QUERIES, ORACLES
