@@ -1,56 +1,69 @@
-"""Property test of the merge-batch rule without Spark: batched training
-(same ``select_batch``, batch applied in one greedy left-to-right pass, as
-the regex does) must give the merges of one-at-a-time training."""
+"""Property test of the rounds of training without Spark: blocks of words, the
+bucketed pair table and the runs of active pairs, in numpy as in the tasks,
+must give the merges of one-at-a-time training."""
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bpe_reference import train_bpe_local
-from wordloom.operators import bpe
+from wordloom.operators import bpe_rounds as br
 
 
-def _batched(word_counts, vocab_size, top_k):
-    words = {tuple(f"{b:02X}" for b in t.encode()): n for t, n in word_counts.items()}
-    tokens = set(bpe.ALL_BYTES)
-    budget = vocab_size - 7 - 256
-    merges = []
+def _trained(word_counts, vocab_size, wanted, most_runs, known):
+    """Rounds as ``train_bpe`` takes them; ``known`` bounds the pairs that are
+    known in order, ``most_runs`` the symbols of the runs."""
+    words = [(t.encode(), n) for t, n in word_counts.items() if len(t) > 1]
+    if not words:
+        return [], []
+    symbols = np.frombuffer(b"".join(w for w, _ in words), np.uint8).astype(np.int32)
+    ends, n = np.cumsum([len(w) for w, _ in words]), np.array([c for _, c in words], np.int64)
+    tokens = [bytes([b]) for b in range(256)]
+    ids = {t: i for i, t in enumerate(tokens)}
+    budget, merges, found = vocab_size - 7 - 256, [], []
+    codes, counts = br.pair_sums(symbols, ends, n)
     while budget > 0:
-        counts = {}
-        for w, n in words.items():
-            for a, b in zip(w, w[1:]):
-                counts[(a, b)] = counts.get((a, b), 0) + n
-        top = sorted(((f"{a} {b}", c) for (a, b), c in counts.items() if c >= 2),
-                     key=lambda pc: (-pc[1], pc[0]))[:top_k]
-        if not top:
+        order = np.empty(len(tokens), np.int64)
+        order[sorted(range(len(tokens)), key=tokens.__getitem__)] = np.arange(len(tokens))
+        keep = counts >= 2
+        at = br.in_order(codes[keep], counts[keep], order)
+        first, numbers = codes[keep][at][:known], counts[keep][at][:known]
+        if not len(first):
             break
-        batch = bpe.select_batch(top, top_k, tokens, budget)
-        pairs = {(l, r) for l, r, _ in batch}
-        for l, r, _ in batch:
-            merges.append((l, r))
-            if l + r not in tokens:
-                tokens.add(l + r)
-                budget -= 1
-        new = {}
-        for w, n in words.items():
-            out, i = [], 0
-            while i < len(w):
-                if i + 1 < len(w) and (w[i], w[i + 1]) in pairs:
-                    out.append(w[i] + w[i + 1])
-                    i += 2
-                else:
-                    out.append(w[i])
-                    i += 1
-            new[tuple(out)] = new.get(tuple(out), 0) + n
-        words = new
-    return merges
-
-
-@settings(max_examples=300, deadline=None)
+        whole, cut, tried, want = keep.sum() <= known, False, None, wanted
+        while True:
+            k, least = br.choose_active(numbers, whole, want, cut)
+            if k == tried and not cut and k > 1:
+                cut, want = True, max(1, k // 2)
+                continue
+            active = np.sort(first[:k])
+            start, end = br.active_runs(symbols, ends, active)
+            keys, which = br.run_keys(symbols, start, end)
+            if sum(map(len, keys)) // 4 <= most_runs or k == 1:
+                break
+            tried, want = k, max(1, k // 2)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, which, n[np.searchsorted(ends, start, "right")])
+        taken, changed = br.merge_runs(zip(keys, total.tolist()), tokens, ids, budget, least)
+        assert taken
+        merges += [(tokens[l].hex().upper(), tokens[r].hex().upper()) for l, r, _ in taken]
+        found += [c for _, _, c in taken]
+        budget = vocab_size - 7 - len(tokens)
+        symbols, ends, n, more, change = br.with_new_runs(symbols, ends, n, active, changed)
+        codes, counts = br.added(np.concatenate([codes, more]), np.concatenate([counts, change]))
+        codes, counts = codes[counts > 0], counts[counts > 0]
+        if len(ends):   # the changed table equals a full count
+            again = br.pair_sums(symbols, ends, n)
+            assert again[0].tolist() == codes.tolist() and again[1].tolist() == counts.tolist()
+    return merges, found
+
+
+@settings(max_examples=400, deadline=None)
 @given(seed=st.integers(0, 10 ** 9), alphabet=st.sampled_from(["ab", "aab", "abc", "abcdef", "aaaab"]),
-       top_k=st.sampled_from([3, 10, 1000]))
-def test_batched_equals_one_at_a_time(seed, alphabet, top_k):
+       wanted=st.sampled_from([1, 2, 5, 1000]), most_runs=st.sampled_from([5, 30, 10 ** 6]), known=st.sampled_from([1, 4, 10 ** 6]))
+def test_rounds_equal_one_at_a_time(seed, alphabet, wanted, most_runs, known):
     rnd = random.Random(seed)
     vocab = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(rnd.randint(1, 30))]
     counts = {}
@@ -58,4 +71,20 @@ def test_batched_equals_one_at_a_time(seed, alphabet, top_k):
         w = rnd.choice(vocab)
         counts[w] = counts.get(w, 0) + 1
     size = 263 + rnd.randint(1, 60)
-    assert _batched(counts, size, top_k) == train_bpe_local(counts, size, 2).merges
+    ref = train_bpe_local(counts, size, 2)
+    assert _trained(counts, size, wanted, most_runs, known) == (ref.merges, ref.merge_counts)
+
+
+def test_first_pairs_stop_where_a_bucket_is_not_known():
+    pack = lambda x: np.array(x, "<i8").tobytes()
+    order = np.arange(256)
+    code = lambda a, b: (a << 32) | b
+    full = (pack([code(1, 2), code(3, 4)]), pack([9, 2]), b"1")
+    part = (pack([code(5, 6), code(7, 8)]), pack([8, 5]), b"")
+    codes, counts, whole = br.first_pairs([full, part], order)
+    assert counts.tolist() == [9, 8, 5] and codes.tolist() == [code(1, 2), code(5, 6), code(7, 8)] and not whole
+    assert br.first_pairs([full], order)[2]
+    # level 5 may go on in the bucket that is not whole: only the pairs above it are active
+    assert br.choose_active(counts, whole, 3) == (2, 8)
+    assert br.choose_active(np.array([5, 5, 5]), False, 2) == (2, 6)   # a single merge may be taken
+    assert br.choose_active(np.array([5, 5, 3]), True, 1) == (2, 5)

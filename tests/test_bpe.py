@@ -15,12 +15,12 @@ def _corpus(seed, n_words=300):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
-def test_batched_training_equals_one_at_a_time(spark, seed):
+def test_training_in_rounds_equals_one_at_a_time(spark, seed):
     text = _corpus(seed)
     df = spark.createDataFrame([(text,)], "text STRING")
     counts = pt.word_counts(df)
     local = {r.token: r.n for r in counts.collect()}
-    m = bpe.train_bpe(counts, vocab_size=263 + 60, min_frequency=2, top_k=50, checkpoint_every=3)
+    m = bpe.train_bpe(counts, vocab_size=263 + 60, min_frequency=2, first_active=2, run_symbols=40)
     ref = train_bpe_local(local, 263 + 60, 2)
     assert m.merges == ref.merges
     assert m.merge_counts == ref.merge_counts
@@ -77,22 +77,6 @@ def _bytes_to_unicode():
     return {b: chr(c) for b, c in zip(bs, cs)}
 
 
-def test_select_batch_rules():
-    toks = set(bpe.ALL_BYTES)
-    # chain: (61 62) then (62 63) chains -> stop
-    assert len(bpe.select_batch([("61 62", 10), ("62 63", 9)], 100, toks, 100)) == 1
-    # independent pairs -> both
-    assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 100, toks, 100)) == 2
-    # a self pair may join, but later pairs need more than half its count
-    assert len(bpe.select_batch([("61 62", 10), ("63 63", 9)], 100, toks, 100)) == 2
-    assert len(bpe.select_batch([("63 63", 10), ("61 62", 5)], 100, toks, 100)) == 1
-    assert len(bpe.select_batch([("63 63", 10), ("61 62", 6)], 100, toks, 100)) == 2
-    # k-th count: unseen pairs may tie
-    assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 2, toks, 100)) == 1
-    # budget
-    assert len(bpe.select_batch([("61 62", 10), ("63 64", 9)], 100, toks, 1)) == 1
-
-
 def test_routed_batches(spark):
     from wordloom.operators import qa
     rows = [(i, "short text " * (1 if i < 4 else 600)) for i in range(8)]
@@ -109,26 +93,42 @@ def test_routed_batches(spark):
     assert all(x[1] == 50 and x[2] == 50 for x in by_batch[1])
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_training_ended_on_the_driver_equals_one_at_a_time(spark, seed):
-    """From the start, and after some rounds on Spark."""
+@pytest.mark.parametrize("seed", range(3))
+def test_bounds_do_not_change_the_merges(spark, seed):
+    """Few pairs known of each bucket, runs bounded to a few symbols, and the defaults."""
     counts = pt.word_counts(spark.createDataFrame([(_corpus(seed),)], "text STRING"))
-    local = {r.token: r.n for r in counts.collect()}
-    live = bpe.words_table(counts).where(F.col("w").contains(" "))
-    held = live.agg(F.sum(F.size(F.split("w", " ")))).first()[0]
-    for size in (263 + 60, 5000):
-        ref = train_bpe_local(local, size, 2)
-        for cap in (held, held * 2 // 3):
-            m = bpe.train_bpe(counts, vocab_size=size, checkpoint_every=2, local_symbols=cap)
-            assert (m.merges, m.merge_counts) == (ref.merges, ref.merge_counts)
-            assert (m.rounds == 0) == (cap == held)
+    ref = train_bpe_local({r.token: r.n for r in counts.collect()}, 263 + 40, 2)
+    rounds = []
+    for bounds in ({}, {"first_active": 3, "run_symbols": 4, "first_pairs": 1}):
+        m = bpe.train_bpe(counts, vocab_size=263 + 40, **bounds)
+        assert (m.merges, m.merge_counts) == (ref.merges, ref.merge_counts)
+        rounds.append(m.rounds)
+    assert 0 < rounds[0] < rounds[1]
+
+
+def test_training_leaves_nothing_behind(spark):
+    import os
+    from wordloom.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    bpe.train_bpe(pt.word_counts(spark.createDataFrame([(_corpus(1),)], "text STRING")), vocab_size=300, alphabet="observed")
+    assert set(os.listdir(base)) == before
+
+
+def test_no_words_and_null_tokens(spark):
+    df = spark.createDataFrame([(None, 5), ("", 3), ("a", 9)], "token STRING, n BIGINT")
+    m = bpe.train_bpe(df, vocab_size=300)
+    assert m.merges == [] and m.vocab_size == 263
+    assert bpe.train_bpe(df.where("false"), vocab_size=300).merges == []
+    m = bpe.train_bpe(df.union(spark.createDataFrame([("ab", 2), ("\u00e9", 1)], df.schema)), vocab_size=300)
+    assert m.merges == [("61", "62")] and m.merge_counts == [2]
 
 
 def test_queries_train_until_no_pair_is_frequent(spark):
     from wordloom.plans import bpe_queries
     m = bpe_queries.trained_model(spark, "/root/testdata/sf0.001")
     more = bpe.train_bpe(pt.word_counts(bpe_queries.tok_docs(spark, "/root/testdata/sf0.001")),
-                         vocab_size=10**6, local_symbols=10**7)
+                         vocab_size=10**6)
     assert len(m.merges) > 120 and m.merges == more.merges[:len(m.merges)]
     assert m.vocab_size == min(60_000, more.vocab_size)
     assert bpe_queries.bpe_merges(spark, "/root/testdata/sf0.001").count() == len(m.merges)

@@ -1,41 +1,25 @@
 """Byte-level BPE training as an iterative DataFrame job.
 
-State is one small table ``words(w STRING, n BIGINT)``: each distinct
-pre-token once, as its hex byte symbols joined by spaces, with its count.  It
-is built by one shuffle (B2, map-side combined) and from then on scales with
-the vocabulary of the corpus, not with the corpus.
-
-A round:
-  1. B3 pair counts: ``explode`` adjacent pairs, ``groupBy(pair).sum(n)``
-     (partial aggregation, so a hot pair is combined before the shuffle);
-  2. only the top ``K`` pairs, ordered ``(count desc, left, right)``, reach
-     the driver (bounded by K, never by the data);
-  3. a batch of merges is taken from them that provably equals the next
-     merges of one-at-a-time training (see ``select_batch``);
-  4. one ``regexp_replace`` applies the whole batch to every word (JVM side);
-     words reduced to one symbol leave the table at the next checkpoint;
-  5. the table is persisted, and every few rounds checkpointed to the
-     session's reliable checkpoint folder to cut the lineage.
-
-Once the words hold no more symbols than ``local_symbols``, the rest of the
-training is done on the driver, one merge at a time with counts kept up to
-date (``finish_merges``): the same merges, without a job for each round.
+Training works on the distinct pre-tokens with their counts, which are built by
+one shuffle (B2, map-side combined) and from then on scale with the vocabulary
+of the corpus, not with the corpus.  A handful of rounds decides thousands of
+merges each (``bpe_rounds``): the pair counts are a bucketed table that is
+changed by deltas, a round touches only the words that hold a merged pair, and
+what reaches the driver is bounded by parameters.
 """
 
 from __future__ import annotations
 
-import heapq
 import logging
-from array import array
-from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequences import SPECIAL_TOKENS
-from ..session import ensure_checkpoint_dir
+from ..session import remove_dir, shared_dir
+from . import bpe_rounds as rounds
 from .pretokenize import symbols_of
 
 log = logging.getLogger(__name__)
@@ -43,6 +27,9 @@ log = logging.getLogger(__name__)
 ALL_BYTES = [f"{b:02X}" for b in range(256)]
 # Vocabularies above this size are not shipped to tasks as a lookup table.
 MAX_SHIPPED_VOCAB = 2_000_000
+# Active pairs of the first round; symbols of different runs that a round aims at, and how many
+# times that many it may bring to the driver; pairs that it may bring there.
+FIRST_ACTIVE, RUN_SYMBOLS, RUN_MOST, FIRST_PAIRS = 128, 250_000, 4, 1_000_000
 
 
 @dataclass
@@ -116,253 +103,109 @@ def words_table(word_counts: DataFrame, token_col: str = "token", n_col: str = "
                               F.col(n_col).cast("bigint").alias("n"))
 
 
-# Batch rule -------------------------------------------------------------------
-def select_batch(top: list[tuple[str, int]], k_limit: int, tokens: set[str],
-                 budget: int) -> list[tuple[str, str, int]]:
-    """Merges that one-at-a-time training would take next, in order.
-
-    ``top`` is the ordered head (pair 'L R', count) of the pair table, at most
-    ``k_limit`` rows.  Merging (a,b) only changes pairs (z,a) and (b,c) and
-    creates pairs bounded by their counts.  Walking the ordered list, stop
-    before x when
-      * x chains with a batch member (x.right == m.left or x.left == m.right);
-      * a pair chained with a batch member, not in the batch, ties with x
-        and a pair the batch creates next to it would sort before x (new
-        pairs never count more than the pair they grow from);
-      * the batch holds a self pair (a,a) with 2 * count(x) <= count(a,a):
-        merging a run of k symbols a leaves at most (k-1)/2 of the new pairs
-        (aa,aa) and (aa,a), so those never exceed count(a,a) / 2;
-      * count(x) equals the count of the K-th row (unseen pairs may tie);
-      * the vocabulary budget is used up.
-    Stop after x when its merged string is already a token (its counts
-    would add up).  The first pair is always taken, so every round makes
-    progress.
-    """
-    full = len(top) >= k_limit
-    kth = top[-1][1] if full and top else None
-    parsed = [(p.split(" ")[0], p.split(" ")[1], c) for p, c in top]
-    batch: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    new_tokens = 0
-    self_count = 0
-    for idx, (l, r, c) in enumerate(parsed):
-        merged = l + r
-        is_new = merged not in tokens
-        if is_new and new_tokens >= budget:
-            break
-        if batch:
-            if kth is not None and c <= kth:
-                break
-            if r in lefts or l in rights or 2 * c <= self_count:
-                break
-            # chained pairs outside the batch with a count >= c: a pair made by
-            # the batch next to them has at most their count; since the list
-            # is ordered, only ties remain, and a tie blocks x only when such
-            # a new pair would sort before x
-            if _tie_blocks(parsed, idx, l, r, c, batch):
-                break
-        batch.append((l, r, c))
-        lefts.add(l)
-        rights.add(r)
-        if is_new:
-            new_tokens += 1
-        if l == r:
-            self_count = max(self_count, c)
-        if not is_new:
-            break
-    return batch
-
-
-def _tie_blocks(parsed, idx: int, l: str, r: str, c: int,
-                batch: list[tuple[str, str, int]]) -> bool:
-    x_str = f"{l} {r}"
-    merged_by_right: dict[str, list[str]] = {}
-    merged_by_left: dict[str, list[str]] = {}
-    for ml, mr, _ in batch:
-        merged_by_right.setdefault(mr, []).append(ml + mr)
-        merged_by_left.setdefault(ml, []).append(ml + mr)
-    for l2, r2, c2 in parsed[idx + 1:]:
-        if c2 < c:
-            return False
-        left_opts = merged_by_right.get(l2, [])
-        right_opts = merged_by_left.get(r2, [])
-        if not left_opts and not right_opts:
-            continue
-        for nl in [l2] + left_opts:
-            for nr in [r2] + right_opts:
-                if (nl, nr) != (l2, r2) and f"{nl} {nr}" < x_str:
-                    return True
-    return False
-
-
-def _batch_regex(batch: list[tuple[str, str, int]]) -> tuple[str, str]:
-    """One pattern for the whole batch, grouped by left symbol, and the
-    replacement that drops the space inside each matched pair."""
-    by_left: dict[str, list[str]] = {}
-    for l, r, _ in batch:
-        by_left.setdefault(l, []).append(r)
-    alts, g = [], 0
-    for l, rs in by_left.items():
-        g += 1
-        inner = "|".join(f"({r})" for r in rs)
-        alts.append(f"({l}) (?:{inner})")
-        g += len(rs)
-    pattern = "(?<![0-9A-F])(?:" + "|".join(alts) + ")(?![0-9A-F])"
-    replacement = "".join(f"${i}" for i in range(1, g + 1))
-    return pattern, replacement
-
-
-def apply_batch(words: DataFrame, batch: list[tuple[str, str, int]]) -> DataFrame:
-    """Apply non-interacting merges in one left-to-right regex pass."""
-    pattern, replacement = _batch_regex(batch)
-    return words.select(F.regexp_replace(F.col("w"), pattern, replacement).alias("w"), "n")
-
-
-# Driver-side end of training ---------------------------------------------------
-def finish_merges(words: Iterable[tuple[str, int]], tokens: set[str], budget: int,
-                  min_frequency: int) -> list[tuple[str, str, int]]:
-    """The merges (left, right, count) of one-at-a-time training from (w, n)
-    words on, until ``budget`` new tokens are made or no pair reaches
-    ``min_frequency``.  Only words that hold, or held, the merged pair are
-    looked at; heap entries are never below a pair's count and are renewed
-    when stale."""
-    shared: dict[str, str] = {}
-    seqs: list[list[str]] = []
-    ns = array("q")
-    counts: dict[tuple[str, str], int] = {}
-    where: dict[tuple[str, str], array] = {}
-
-    def note(p, i):
-        at = where.get(p)
-        if at is None:
-            where[p] = array("I", [i])
-        elif at[-1] != i:
-            at.append(i)
-
-    for i, (w, n) in enumerate(words):
-        q = [shared.setdefault(x, x) for x in w.split(" ")]
-        seqs.append(q)
-        ns.append(n)
-        for p in zip(q, q[1:]):
-            counts[p] = counts.get(p, 0) + n
-            note(p, i)
-    least = max(min_frequency, 1)
-    heap = [(-c, f"{p[0]} {p[1]}", p) for p, c in counts.items() if c >= least]
-    heapq.heapify(heap)
-    tokens, merges = set(tokens), []
-    while budget > 0 and heap:
-        c, text, pair = heapq.heappop(heap)
-        now = counts.get(pair, 0)
-        if now != -c:
-            if now >= least:
-                heapq.heappush(heap, (-now, text, pair))
-            continue
-        l, r = pair
-        merged = shared.setdefault(l + r, l + r)
-        merges.append((l, r, now))
-        if merged not in tokens:
-            tokens.add(merged)
-            budget -= 1
-        touched, grown = set(), set()
-        for i in where.pop(pair):
-            q, n, out, j = seqs[i], ns[i], [], 0
-            while j < len(q):
-                if q[j] == l and j + 1 < len(q) and q[j + 1] == r:
-                    out.append(merged)
-                    j += 2
-                else:
-                    out.append(q[j])
-                    j += 1
-            if len(out) == len(q):
-                continue
-            for p in zip(q, q[1:]):
-                counts[p] -= n
-                touched.add(p)
-            for p in zip(out, out[1:]):
-                counts[p] = counts.get(p, 0) + n
-                if merged in p:
-                    note(p, i)
-                    grown.add(p)
-            seqs[i] = out
-        for p in grown:
-            if counts[p] >= least:
-                heapq.heappush(heap, (-counts[p], f"{p[0]} {p[1]}", p))
-        for p in touched:
-            if not counts[p]:
-                del counts[p]
-                where.pop(p, None)
-    return merges
-
-
 # B4 -------------------------------------------------------------------------
 def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: int = 2,
               alphabet: str = "full", special_tokens: list[str] | None = None,
-              top_k: int = 4000, checkpoint_every: int = 8,
-              max_rounds: int | None = None, local_symbols: int = 0) -> BpeModel:
-    """Train a byte-level BPE vocabulary from (token, n) word-type counts.
+              first_active: int = FIRST_ACTIVE, run_symbols: int = RUN_SYMBOLS,
+              first_pairs: int = FIRST_PAIRS) -> BpeModel:
+    """Train a byte-level BPE vocabulary from (token, n) word-type counts: the
+    merges of one-at-a-time training, pairs in the order of count (falling),
+    left and right token, until the vocabulary has ``vocab_size`` entries or
+    no pair reaches ``min_frequency``.
 
-    Words of ``local_symbols`` symbols or fewer in all are finished on the
-    driver (looked at before the first round and at each checkpoint; 0: never).
     ``alphabet='full'`` puts all 256 bytes in the vocabulary; ``'observed'``
     only the bytes seen (an unseen byte is then dropped at encode time).
+
+    Each round (see ``bpe_rounds``) makes as many pairs active as should give
+    about ``run_symbols`` symbols of different runs, beginning with
+    ``first_active``; more than RUN_MOST times that are never brought to the
+    driver: the number of active pairs is halved instead, down to one.
+    ``first_pairs`` bounds the pairs that are brought to it.  All tables of a
+    round are written to the shared folder and removed when the next round's
+    are there.  Null tokens are skipped; no words give no merges.
     """
     spark = word_counts.sparkSession
-    ensure_checkpoint_dir(spark)
     specials = list(SPECIAL_TOKENS if special_tokens is None else special_tokens)
-    words = words_table(word_counts)
-    words = words.persist(StorageLevel.MEMORY_AND_DISK)
-    if alphabet == "full":
-        alpha = list(ALL_BYTES)
-    elif alphabet == "observed":
-        seen = (words.select(F.explode(F.split("w", " ")).alias("b")).distinct()
-                .collect())  # at most 256 rows
-        alpha = sorted(r["b"] for r in seen)
-    else:
+    if alphabet not in ("full", "observed"):
         raise ValueError("alphabet must be 'full' or 'observed'")
+    base = shared_dir(spark, "bpe")
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(2, -(-first_pairs // buckets))
+
+    def table(name: str, df: DataFrame) -> DataFrame:
+        df.write.partitionBy("kind").option("compression", "zstd").parquet(f"{base}/{name}")
+        return spark.read.schema(rounds.BLOCK_SCHEMA).parquet(f"{base}/{name}")
+
+    counts = word_counts.select("token", F.col("n").cast("long").alias("n"))
+    if alphabet == "observed":
+        counts.write.option("compression", "zstd").parquet(f"{base}/counts")
+        counts = spark.read.schema(counts.schema).parquet(f"{base}/counts")
+        seen = words_table(counts).select(F.explode(F.split("w", " ")).alias("b")).distinct().collect()  # at most 256 rows
+        alpha = sorted(r["b"] for r in seen if r["b"])
+    else:
+        alpha = list(ALL_BYTES)
     model = BpeModel(specials, alpha, [], [])
-    tokens = set(alpha)
+    tokens = [bytes([b]) for b in range(256)]
+    ids = {t: i for i, t in enumerate(tokens)}
     budget = vocab_size - len(specials) - len(alpha)
-    live = words.where(F.col("w").contains(" ")).persist(StorageLevel.MEMORY_AND_DISK)
-    rounds = 0
-    prev = None
-    while budget > 0 and (max_rounds is None or rounds < max_rounds):
-        if local_symbols and rounds % checkpoint_every == 0:
-            held = live.agg(F.sum(F.size(F.split("w", " ")))).first()[0] or 0
-            if held <= local_symbols:
-                for l, r, c in finish_merges(live.toLocalIterator(), tokens, budget, min_frequency):
-                    model.merges.append((l, r))
-                    model.merge_counts.append(c)
+    try:
+        blocks = table("blocks-0", rounds.first_blocks(counts, buckets))
+        pairs = spark.createDataFrame([], rounds.BLOCK_SCHEMA)
+        wanted = first_active
+        while budget > 0:
+            k = model.rounds
+            order = np.empty(len(tokens), np.int64)
+            order[sorted(range(len(tokens)), key=tokens.__getitem__)] = np.arange(len(tokens))
+            sent = spark.sparkContext.broadcast(order)
+            pairs = table(f"pairs-{k}", rounds.next_pairs(
+                pairs, blocks.where(F.col("kind") == rounds.PAIRS), sent, min_frequency, most)).where(F.col("kind") == rounds.TABLE)
+            if k:
+                remove_dir(spark, f"{base}/pairs-{k - 1}")
+            tops = spark.read.schema(rounds.BLOCK_SCHEMA).parquet(f"{base}/pairs-{k}").where(F.col("kind") == rounds.FIRST)
+            codes, numbers, whole = rounds.first_pairs(
+                [(bytes(r["a"]), bytes(r["b"]), bytes(r["c"])) for r in tops.select("a", "b", "c").collect()], order)
+            sent.unpersist()
+            if not len(codes):
                 break
-        # this job also fills the cache of ``live``; only after it may the
-        # table ``live`` was computed from be released
-        top = (pair_counts(live, min_frequency)
-               .orderBy(F.desc("count"), F.asc("pair")).limit(top_k).collect())
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        if not top:
-            break
-        batch = select_batch([(r["pair"], int(r["count"])) for r in top], top_k, tokens, budget)
-        for l, r, c in batch:
-            model.merges.append((l, r))
-            model.merge_counts.append(c)
-            if l + r not in tokens:
-                tokens.add(l + r)
-                budget -= 1
-        rounds += 1
-        nxt = apply_batch(live, batch)
-        if rounds % checkpoint_every == 0:
-            # words left with one symbol have no pairs: drop them here
-            nxt = nxt.where(F.col("w").contains(" ")).checkpoint(eager=True)
-        else:
-            # filled by the next round's pair count, no extra job
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        prev, live = live, nxt
-    if prev is not None:
-        prev.unpersist()
-    model.rounds = rounds
-    live.unpersist()
-    words.unpersist()
-    log.info("BPE: %d merges in %d rounds", len(model.merges), rounds)
+            words = blocks.where(F.col("kind") == rounds.WORDS)
+            runs, active, least, size = _bounded_runs(spark, words, codes, numbers, whole, wanted,
+                                                      RUN_MOST * run_symbols, f"{base}/runs-{k}")
+            merges, changed = rounds.merge_runs(runs, tokens, ids, budget, least)
+            wanted = max(1, int(len(active.value) * min(8.0, max(0.25, run_symbols / max(size, 1)))))
+            for left, right, n in merges:
+                model.merges.append((tokens[left].hex().upper(), tokens[right].hex().upper()))
+                model.merge_counts.append(n)
+            budget = vocab_size - len(specials) - len(alpha) - (len(tokens) - 256)
+            model.rounds += 1
+            log.info("BPE round %d: %d active pairs, %d symbols of runs, %d merges", k, len(active.value), size, len(merges))
+            if budget > 0:
+                new = spark.sparkContext.broadcast(changed)
+                blocks = table(f"blocks-{k + 1}", rounds.next_blocks(words, active, new, buckets))
+                new.unpersist()
+            active.unpersist()
+            remove_dir(spark, f"{base}/blocks-{k}")
+    finally:
+        remove_dir(spark, base)
     return model
+
+
+def _bounded_runs(spark, words: DataFrame, codes, numbers, whole: bool, wanted: int, most: int, path: str):
+    """The different runs of the first pairs, about ``wanted`` of them or fewer,
+    so that the runs hold ``most`` symbols at most (or one pair is active):
+    ([(run, n)], active pairs (broadcast), least count to merge, symbols)."""
+    cut, tried = False, None
+    while True:
+        n, least = rounds.choose_active(numbers, whole, wanted, cut)
+        if n == tried and not cut and n > 1:   # so many pairs share one count
+            cut, wanted = True, max(1, n // 2)
+            continue
+        active = spark.sparkContext.broadcast(np.sort(codes[:n]))
+        rounds.run_counts(words, active).write.mode("overwrite").parquet(path)
+        runs = spark.read.schema("run binary, n long").parquet(path)
+        size = (runs.agg(F.sum(F.octet_length("run"))).first()[0] or 0) // 4
+        if size <= most or n == 1:
+            held = [(bytes(r["run"]), int(r["n"])) for r in runs.collect()]
+            remove_dir(spark, path)
+            return held, active, least, size
+        active.unpersist()
+        tried, wanted = n, max(1, n // 2)

@@ -17,19 +17,11 @@ from .common import prefix_space_sql, pretokens_sql, register, tok_docs, tok_tex
 #: The reference's vocabulary with the full byte alphabet; training stops short
 #: of it only when no pair reaches the least frequency.
 VOCAB_SIZE, MIN_FREQUENCY = 60_000, 2
-#: Symbols of all different words from which on training ends on the driver.
-LOCAL_SYMBOLS = 5_000_000
-_MODELS: dict[tuple[str, int], bpe.BpeModel] = {}
 
 
 def trained_model(spark, sf: str, vocab_size: int = VOCAB_SIZE) -> bpe.BpeModel:
-    """BPE model over the cleaned documents, trained once per process."""
-    key = (sf, vocab_size)
-    if key not in _MODELS:
-        counts = pt.word_counts(tok_docs(spark, sf))
-        _MODELS[key] = bpe.train_bpe(counts, vocab_size=vocab_size, min_frequency=MIN_FREQUENCY,
-                                     local_symbols=LOCAL_SYMBOLS)
-    return _MODELS[key]
+    """BPE model over the cleaned documents."""
+    return bpe.train_bpe(pt.word_counts(tok_docs(spark, sf)), vocab_size=vocab_size, min_frequency=MIN_FREQUENCY)
 
 
 # First-round pair counts ----------------------------------------------------
