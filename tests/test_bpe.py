@@ -147,3 +147,35 @@ def test_encoding_queries_return_whole_ids(spark):
         assert len(ids) == r.width and ids[:len(own)] == own and len(set(ids[len(own):])) <= 1
     for r in bpe_queries.qa_encoded(spark, sf).limit(50).collect():
         assert r.input_ids.count(",") + 1 == r.n_input and r.decoder_input_ids.count(",") + 1 == r.n_target
+
+
+def test_join_encoding_equals_shipped(spark, monkeypatch):
+    texts = ["the cat sat on the mat the end", None, "", "the", "naïve café 123 the\tthe\n", "x" * 60, "the cat sat on the mat the end"] + [
+        _corpus(s, 40) for s in range(4)]
+    df = spark.createDataFrame([(i % 3, t, -1, "k") for i, t in enumerate(texts)], "_row INT, text STRING, token INT, _Hot STRING")
+    for alphabet in ("full", "observed"):
+        some = df.limit(5) if alphabet == "observed" else df
+        m = bpe.train_bpe(pt.word_counts(some), vocab_size=263 + 40, min_frequency=1, alphabet=alphabet)
+        for unk in (None, 3):
+            want = encode.BpeEncoder(m, unk_id=unk).encode(df, "text", "ids")
+            enc = encode.BpeEncoder(m, unk_id=unk, ship_up_to=0)
+            for share in (1 / 1000, 1.0):     # nearly all pre-tokens hot, none
+                monkeypatch.setattr(encode, "HOT_SHARE", share)
+                got = enc.encode(df, "text", "ids")
+                assert got.columns == want.columns
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(ValueError):
+        enc.encode_column(F.col("text"))
+    shipped = encode.BpeEncoder(m, unk_id=3)
+    back = want.select("_row", "ids", F.lit("old").alias("text"))
+    assert sorted(map(repr, enc.decode(back).collect())) == sorted(map(repr, shipped.decode(back).collect()))
+    assert enc.encode(df.where("false"), "text", "ids").count() == 0
+
+
+def test_join_encoding_combines_before_it_joins(spark):
+    m = bpe.train_bpe(pt.word_counts(spark.createDataFrame([(_corpus(1),)], "text STRING")), vocab_size=280)
+    df = spark.createDataFrame([(1, "a b a b a")], "id INT, text STRING")
+    got = encode.BpeEncoder(m, ship_up_to=0).encode(df, "text", "ids")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # a row's pre-tokens are exploded with their places already combined, and vocabulary joins stand over distinct tokens
+    assert "places(" in plan and plan.index("Join") > plan.index("Aggregate")

@@ -74,3 +74,62 @@ def test_running_totals_keeps_other_columns(spark):
     df = spark.createDataFrame([("a", i, 1, f"x{i}") for i in range(20)], "g STRING, o INT, v INT, extra STRING")
     r = {x.o: (x.items_so_far, x.extra) for x in rk.running_totals(df, "g", "o", "v", 3).collect()}
     assert r[19] == (20, "x19") and r[0] == (1, "x0")
+
+
+def _fold_one(rows, patience, delta):
+    """Value by value, as the training loop does."""
+    best = stop = low = low_s = None
+    count = 0
+    for s, v in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        if v is None:
+            continue
+        if low is None or v < low:
+            low, low_s = v, s
+        if best is None or v <= best - delta:
+            best, count = v, 0
+        else:
+            count += 1
+            if count >= patience and stop is None:
+                stop = s
+    return len(rows), low_s, low, stop
+
+
+def test_series_fold_over_many_stretches(spark):
+    import random
+    from wordloom.operators import metrics as mt
+    rng = random.Random(6)
+    rows = [(k, s, rng.choice([None, 1.0, 2.0, 2.5, rng.random() * 3])) for k in ("a", "b", None) for s in range(200)]
+    rows += [("down", s, 1000.0 - s) for s in range(300)] + [("one", 5, 1.0), ("none", 1, None), ("tie", 1, 3.0), ("tie", 1, 2.0)]
+    df = spark.createDataFrame(rows, "k STRING, s INT, v DOUBLE")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (3, 17, 10_000):          # rows of a stretch
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for patience, delta in ((1, 0.0), (3, 0.0), (3, 0.4), (7, 1.5), (400, 0.0)):
+                got = {r.k: (r.n_steps, r.best_step, r.best_value, r.stop_step)
+                       for r in mt.series_fold(df, "k", "s", "v", patience, delta).collect()}
+                assert got == {k: _fold_one([r[1:] for r in rows if r[0] == k], patience, delta) for k in {r[0] for r in rows}}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert mt.series_fold(df.where("false"), "k", "s", "v").count() == 0
+
+
+def test_series_fold_gathers_summaries_only(spark):
+    """A series of a million steps lies over many tasks, and a fold sees a few rows."""
+    from wordloom.operators import metrics as mt
+    df = spark.range(1_000_000).selectExpr("1 as k", "id as s", "cast(hash(id) as double) as v")
+    got = mt.series_fold(df, "k", "s", "v", patience=10**5)
+    want = df.selectExpr("min(struct(v, s)) as m").first().m
+    r = got.first()
+    assert (r.n_steps, r.best_step, r.best_value) == (1_000_000, want.s, want.v) and r.stop_step is not None
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_messages_of_items(spark):
+    from wordloom.operators import metrics as mt
+    df = spark.createDataFrame([("a", None, 3), ("a", " ", 1), ("a", "xy", 5), ("a", "xy", 5), ("b", "�", None), (None, "z" * 9, 9)],
+                               "ds STRING, text STRING, n INT")
+    d = df.select("ds", mt.item_messages(F.col("text"), F.col("n"), longest=8).alias("m"))
+    got = sorted((str(r.ds), r["rank"], r.kind, r.message, r.n) for r in mt.message_report(d, "ds", "m", 2).collect())
+    assert got == [("None", 1, "warning", "longer than 8 characters", 1), ("a", 1, "warning", "recorded length differs by -3", 2),
+                   ("a", 2, "error", "blank text", 1), ("b", 1, "warning", "replacement characters", 1)]

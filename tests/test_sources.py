@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wordloom.sources import files, records, sinks
@@ -120,13 +122,78 @@ def test_sinks_and_versions(spark, tmp_dir):
     assert sinks.restore_previous(spark, root)[0] == 1
 
 
+def _tree(folder):
+    """{name below its part: content} of all files under ``folder``; nothing temporary may be left."""
+    out = {}
+    for top, _, names in os.walk(folder):
+        for n in names:
+            part, _, rest = os.path.relpath(f"{top}/{n}", folder).partition("/")
+            assert part.startswith("part-")
+            out[rest] = open(f"{top}/{n}", "rb").read()
+    return out
+
+
+def test_processed_copies_keep_folders_and_bytes(spark, tmp_dir):
+    texts = {"x/a.txt": "one\ntwo\r\n\n end ", "y/a.txt": "other", "y/b.c.txt": "é\u2028", "y/blank.txt": " \n", "noend": "z" * 70_000}
+    for name, t in texts.items():
+        _write(f"{tmp_dir}/in/{name}", t)
+    corpus = spark.createDataFrame([(f"file://{tmp_dir}/in/{n}", t) for n, t in texts.items()] + [(f"{tmp_dir}/in/null.txt", None)],
+                                   "path STRING, text STRING")
+    sinks.write_processed_copies(corpus.repartition(3), f"file:{tmp_dir}/out", f"file:{tmp_dir}/in/")
+    assert _tree(f"{tmp_dir}/out") == {
+        "x/a_processed.txt": texts["x/a.txt"].encode(), "y/a_processed.txt": b"other",
+        "y/b.c_processed.txt": texts["y/b.c.txt"].encode(), "noend_processed.txt": b"z" * 70_000}
+
+
+def test_item_files_names_bytes_and_aborts(spark, tmp_dir):
+    rows = [("a.txt", b"1"), ("a.txt", b"2"), ("../a.txt", b"3"), (None, b""), ("d/e", None)]
+    df = spark.createDataFrame(rows, "n STRING, c BINARY").coalesce(1)
+    sinks.write_item_files(df, f"{tmp_dir}/out", "n", "c")
+    assert _tree(f"{tmp_dir}/out") == {"a.txt": b"1", "a~2.txt": b"2", "a~3.txt": b"3", "unnamed": b"", "d/e": b""}
+    # a task that fails leaves nothing
+    import pyspark.sql.functions as F
+    bad = df.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.lit("stop"))).otherwise(F.col("n")))
+    with pytest.raises(Exception):
+        sinks.write_item_files(bad, f"{tmp_dir}/bad", "n", "c")
+    assert not os.path.exists(f"{tmp_dir}/bad") or not os.listdir(f"{tmp_dir}/bad")
+    sinks.write_item_files(df.where("false"), f"{tmp_dir}/none", "n", "c")
+    assert _tree(f"{tmp_dir}/none") == {}
+
+
+def test_qa_splits_report_their_failures(spark, tmp_dir):
+    good = '{"question": "q%d", "context": null, "answers": {"text": ["a%d"]}}'
+    _write(f"{tmp_dir}/one/train.jsonl", "\n".join([good % (1, 1), '{"question": "q2", "answ', good % (3, 3), "no json"]))
+    _write(f"{tmp_dir}/one/test.jsonl", '{"question": " ", "context": "c"}\n{"context": "c"}')
+    _write(f"{tmp_dir}/two/train.jsonl", '{"question": "only", "extra": 5}')
+    rows, bad = records.scan_qa_splits(spark, {
+        "one": {"train": f"{tmp_dir}/one/train.jsonl", "test": f"{tmp_dir}/one/test.jsonl"},
+        "two": {"train": f"{tmp_dir}/two/train.jsonl", "test": f"{tmp_dir}/two/none.jsonl"}})
+    assert sorted((r.dataset, r.split, r.question, r.answers.text if r.answers else None) for r in rows.collect()) == [
+        ("one", "train", "q1", ["a1"]), ("one", "train", "q3", ["a3"]), ("two", "train", "only", None)]
+    got = {(r.dataset, r.split, r.reason): (r.n, r.example) for r in bad.collect()}
+    assert got == {("one", "train", "not a record"): (2, "no json"), ("one", "test", "no question"): (2, "c"),
+                   ("two", "test", "no such path"): (0, f"{tmp_dir}/two/none.jsonl")}
+    rows, bad = records.scan_qa_splits(spark, {"x": {"y": f"{tmp_dir}/nothing"}})
+    assert rows.count() == 0 and bad.count() == 1
+
+
+def test_text_folder_query_keeps_every_source(spark, tmp_dir):
+    from wordloom.plans import file_queries as q
+    rows = [(i, s, t) for i, (s, t) in enumerate([("a/b:c", "x\n y"), (None, "null source"), ("", "empty"), ("é%2F", "same"), ("é%2F", "same"), ("s", None)])]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string") \
+        .write.parquet(f"{tmp_dir}/documents.parquet")
+    want = sorted(((s, t) for _, s, t in rows if t is not None), key=str)
+    assert sorted(((r.source, r.text) for r in q.text_folder_corpus(spark, tmp_dir).collect()), key=str) == want
+    copies = {(r.doc_id, r.source, r.text) for r in q.processed_copies(spark, tmp_dir).collect()}
+    assert copies == {r for r in rows if r[2] is not None}
+
+
 def test_processed_copies(spark, tmp_dir):
     _write(f"{tmp_dir}/in/a.txt", "alpha")
     _write(f"{tmp_dir}/in/b.txt", "  ")
     corpus = files.text_file_corpus(spark, f"{tmp_dir}/in", "*.txt")
-    sinks.write_processed_copies(corpus, f"{tmp_dir}/out")
-    back = spark.read.text(f"{tmp_dir}/out")
-    assert [(r.name, r.value) for r in back.collect()] == [("a_processed.txt", "alpha")]
+    sinks.write_processed_copies(corpus, f"{tmp_dir}/out", f"{tmp_dir}/in")
+    assert _tree(f"{tmp_dir}/out") == {"a_processed.txt": b"alpha"}
     dec = files.decoded_files(spark, f"{tmp_dir}/in", "*.txt").collect()
     assert [r.text for r in dec] == ["alpha"]
 
@@ -136,13 +203,14 @@ def test_csv_queries_keep_every_source(spark, tmp_dir):
     sources = [None, "", "site", "site1", "a/b c=%é", "7"]
     rows = [(i, sources[i // 2 % 6] if i < 60 else "site1", f'text "{i}",\nmore') for i in list(range(60)) + list(range(4090, 4100))]
     rows += [(9000, None, None), (9001, "only blank", "")]
+    rows += [(None, "site", "no number")]
     spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string") \
         .write.parquet(f"{tmp_dir}/documents.parquet")
     whole, blocks = {}, {}
     for i, source, text in rows:
         if text:
             whole.setdefault(source, []).append(text)
-            blocks.setdefault((source, i // 4096), []).append(text)
+            blocks.setdefault((source, None if i is None else i // 4096), []).append(text)
     got = [(r.source, r.text) for r in q.csv_corpora(spark, tmp_dir).collect()]
     assert len(got) == len(whole) and dict(got) == {k: "\n".join(v) for k, v in whole.items()}
     got = [((r.source, r.block), r.text) for r in q.csv_corpora_files(spark, tmp_dir).collect()]

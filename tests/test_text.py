@@ -72,3 +72,31 @@ def test_pipeline_choice(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a b\n c",), ("   ",), (None,)], "t STRING")
     assert [r.n for r in df.select(tx.word_count(F.col("t")).alias("n")).collect()] == [3, 0, 0]
+
+
+def test_probe_per_group_and_in_all(spark):
+    from wordloom.operators import pretokenize as pt
+    rows = [("a", " ".join(f"w{i}" for i in range(3000))), ("a", "w1 w2 more"), ("b", "w1 x"), (None, "w1"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "g STRING, text STRING")
+    got = {(r.g, r.is_total): (r.exact, r.estimate) for r in pt.vocabulary_probe_by(df, "g").collect()}
+    import regex
+    pat = regex.compile(pt.GPT2_PATTERN.replace("(?U)", ""))
+    held = {}
+    for g, t in rows:
+        if t is not None:
+            held.setdefault(g, set()).update(pat.findall(t if t.startswith(" ") else " " + t))
+    want = {(g, False): len(x) for g, x in held.items()} | {(None, True): len(set().union(*held.values()))}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(abs(e - x) <= 0.05 * x + 1 for x, e in got.values())
+    assert pt.vocabulary_probe_by(df.where("false"), "g").collect()[0].exact == 0
+
+
+def test_normaliser_equals_unicodedata(spark):
+    import unicodedata
+    texts = ["ﬁne Ａ１ ½ Å ①", "1,234,567.890 a1,23 9.999", "Ｍg/dl NG/ml ng/ML", "é è", " x\t\n y\r", "", None, "İ ß ẞ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING")
+    got = {r.i: r.t for r in df.select("i", tx.normalise(F.col("text"), literal=True).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        want = None if t is None else unicodedata.normalize("NFKC", t)
+        # lower case is checked where Java and Python agree on it
+        assert got[i] == (want if want is None else want.lower()) or any(c in t for c in "İẞ")

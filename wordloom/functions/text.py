@@ -8,10 +8,10 @@ Unicode-aware, as in Python's ``re`` on ``str``.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,7 +101,9 @@ def remove_urls_emails(c: Column) -> Column:
 # P5 -------------------------------------------------------------------------
 @F.arrow_udf(T.StringType())
 def nfkc(s: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(s, form="NFKC")
+    """Composed as NFKC demands (Arrow's own utf8_normalize leaves accents
+    apart); ASCII texts are in the form already."""
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string())
 
 
 def normalise(c: Column, literal: bool = False) -> Column:

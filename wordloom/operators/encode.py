@@ -7,6 +7,10 @@ distinct pre-token of a batch.  The ranks table is bounded by the vocabulary siz
 and travels with the task; there is no shuffle and no join back, so a hot
 pre-token (a third of all words) costs nothing extra: each Python worker
 memoises pre-tokens it has already encoded.
+
+A vocabulary above the checked size is not shipped: ``encode_by_join`` and
+``decode_by_join`` take it as tables and bring to each pre-token, or id, only
+the entries that concern it.
 """
 
 from __future__ import annotations
@@ -65,17 +69,24 @@ def _is_hex(token: str) -> bool:
 
 
 class BpeEncoder:
-    """Row-local encoder/decoder for a trained :class:`BpeModel`."""
+    """Encoder/decoder for a trained :class:`BpeModel`: row-local with the
+    vocabulary shipped to the tasks up to ``ship_up_to`` entries, by joins
+    beyond.  The methods that return a column need the former."""
 
     def __init__(self, model: BpeModel, unk_id: int | None = None,
-                 add_prefix_space: bool = True):
-        if model.vocab_size > MAX_SHIPPED_VOCAB:
-            raise ValueError(f"vocabulary of {model.vocab_size} is too large to ship to tasks")
+                 add_prefix_space: bool = True, ship_up_to: int = MAX_SHIPPED_VOCAB):
         self.model = model
         self.unk_id = unk_id
         self.add_prefix_space = add_prefix_space
-        self._encode_udf = self._make_encode_udf()
-        self._decode_udf = self._make_decode_udf()
+        self.shipped = model.vocab_size <= ship_up_to
+        if self.shipped:
+            self._encode_udf = self._make_encode_udf()
+            self._decode_udf = self._make_decode_udf()
+
+    def _need_shipped(self) -> None:
+        if not self.shipped:
+            raise ValueError(f"a vocabulary of {self.model.vocab_size} is not shipped to tasks: "
+                             "use encode() or decode(), which join")
 
     def _make_encode_udf(self):
         ranks = self.model.ranks()
@@ -143,18 +154,30 @@ class BpeEncoder:
 
     # B5 ---------------------------------------------------------------------
     def encode_column(self, text: Column) -> Column:
+        self._need_shipped()
         return self._encode_udf(pretokens(text, self.add_prefix_space))
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-        return df.withColumn(out_col, self.encode_column(F.col(text_col)))
+        if self.shipped:
+            return df.withColumn(out_col, self.encode_column(F.col(text_col)))
+        spark = df.sparkSession
+        return encode_by_join(df, self.model.merges_frame(spark), self.model.vocab_frame(spark), text_col, out_col,
+                              self.unk_id, self.add_prefix_space)
 
     # B7 ---------------------------------------------------------------------
     def decode_column(self, ids: Column) -> Column:
         """Special ids are skipped; the prefix space stays."""
+        self._need_shipped()
         return self._decode_udf(ids)
 
+    def decode(self, df: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+        if self.shipped:
+            return df.withColumn(out_col, self.decode_column(F.col(ids_col)))
+        return decode_by_join(df, self.model.vocab_frame(df.sparkSession), ids_col, out_col)
+
     def tokens_column(self, ids: Column) -> Column:
         """Token strings of ids (X4 listing); special ids give their names."""
+        self._need_shipped()
         by_id = {i: bytes.fromhex(t).decode("utf-8", "replace")
                  for t, i in self.model.token_ids().items()}
         for i, name in enumerate(self.model.special_tokens):
@@ -176,6 +199,146 @@ class BpeEncoder:
         return id_tokens(ids)
 
 
+# Vocabularies of any size ------------------------------------------------------
+#: A pre-token in at least this share of all (row, pre-token) pairs is looked up in a broadcast table, which so has
+#: at most its inverse of rows.
+HOT_SHARE = 1 / 1000
+
+
+def _unused(df: DataFrame, *bases: str) -> list[str]:
+    """Column names like ``bases`` that ``df`` does not have, whatever their case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in bases:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _apply_per_token(rules_by_token: DataFrame) -> DataFrame:
+    """(token, rules: array of (rank, left, right)) -> (token, symbols): BPE of
+    each pre-token with the merges that concern it."""
+    def merged(batches):
+        for b in batches:
+            out = []
+            for t, rules in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ranks: dict[tuple[str, str], int] = {}
+                for r in rules or []:
+                    pair = (r["left"], r["right"])
+                    ranks[pair] = min(r["rank"], ranks.get(pair, r["rank"]))
+                out.append(_bpe_symbols(t, ranks))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["token", "symbols"])
+
+    return rules_by_token.select("token", "rules").mapInArrow(merged, "token string, symbols array<string>")
+
+
+def token_ids_by_join(tokens: DataFrame, merges: DataFrame, vocab: DataFrame, unk_id: int | None = None) -> DataFrame:
+    """(token, ids) of distinct pre-tokens, the vocabulary staying a table.
+
+    A merge concerns a pre-token only if what it makes is a part of it.  So
+    the parts of each pre-token, up to the longest token of the vocabulary,
+    are joined with the merges on the merged string, and each pre-token is
+    encoded by the few merges that it gets.  Its symbols then get their ids by
+    a second join.  Symbols that the vocabulary lacks give ``unk_id``, or
+    nothing without one."""
+    rules = merges.groupBy("left", "right").agg(F.min("rank").alias("rank")) \
+        .select("left", "right", "rank", F.concat("left", "right").alias("part"))
+    longest = (rules.agg(F.max(F.length("part"))).first()[0] or 0) // 2
+    hexed = F.hex(F.encode("token", "UTF-8"))
+    n = F.length("h") / 2
+    parts = tokens.select("token", hexed.alias("h")).select("token", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), n.cast("int")), lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), n.cast("int") - i + 1)),
+            lambda k: F.substring("h", 2 * i - 1, 2 * k)))))).alias("part"))
+    with_rules = parts.where(F.length("part") > 2).join(rules, "part").groupBy("token").agg(
+        F.collect_list(F.struct("rank", "left", "right")).alias("rules"))   # by the parts of one pre-token
+    symbols = _apply_per_token(tokens.join(with_rules, "token", "left"))
+    places = symbols.select("token", F.posexplode("symbols").alias("at", "token_hex"))
+    known = vocab.where(F.col("token_hex").isNotNull()).groupBy("token_hex").agg(F.min("id").alias("id"))
+    found = F.coalesce("id", F.lit(unk_id).cast("int"))
+    ids = (places.join(known, "token_hex", "left").where(found.isNotNull()).groupBy("token")
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", found.alias("id")))), lambda x: x["id"]).alias("ids")))
+    return tokens.join(ids, "token", "left").select("token", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def encode_by_join(df: DataFrame, merges: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
+                   unk_id: int | None = None, add_prefix_space: bool = True) -> DataFrame:
+    """B5 for a vocabulary of any size: ``merges`` (rank, left, right) and
+    ``vocab`` (id, token_hex) stay tables.
+
+    The pre-tokens of a row are combined first, each with its places, then all
+    rows' to the distinct ones, which are encoded once (``token_ids_by_join``).
+    Those in a share of HOT_SHARE or more of the (row, pre-token) pairs come
+    back by a broadcast table of at most 1 / HOT_SHARE rows, the others by a
+    join on the pre-token.  A null text gives null ids, one without
+    pre-tokens an empty array; equal rows stay apart; other columns are
+    carried along."""
+    row, token, at, rest, parts, n = _unused(df, "_row", "_token", "_at", "_rest", "_parts", "_n")
+    others = [c for c in df.columns if c.lower() != out_col.lower()]
+    tagged = df.select(*others, F.monotonically_increasing_id().alias(row))
+    words = pretokens(F.col(text_col), add_prefix_space)
+    # one element for the row itself, then one for each of its pre-tokens
+    marker = F.struct(F.lit(None).cast("string").alias("t"), F.array().cast("array<int>").alias("at"))
+    out = tagged.select(row, F.struct(*others).alias(rest), words.alias(parts))
+    combined = out.select(row, rest, F.explode(F.concat(F.array(marker), F.coalesce(
+        _places(F.col(parts)), F.array().cast("array<struct<t:string,at:array<int>>>")))).alias(token))
+    combined = combined.select(row, F.when(F.col(f"{token}.t").isNull(), F.col(rest)).alias(rest),
+                               F.col(f"{token}.t").alias(token), F.col(f"{token}.at").alias(at))
+    held = combined.where(F.col(token).isNotNull())
+    freq = held.groupBy(token).agg(F.count(F.lit(1)).alias(n))
+    total = freq.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) >= max(2, total * HOT_SHARE)
+    coded = token_ids_by_join(freq.select(F.col(token).alias("token")), merges, vocab, unk_id)
+    hot_ids, cold_ids = _unused(combined, "_hot", "_cold")
+    often = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_semi")
+    seldom = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_anti")
+    key, = _unused(combined, "_key")
+    joined = (combined.join(F.broadcast(often.select(F.col("token").alias(token), F.col("ids").alias(hot_ids))), token, "left")
+              .withColumn(key, F.when(F.col(hot_ids).isNull() & F.col(token).isNotNull(), F.concat(F.lit("t"), token))
+                          .otherwise(F.concat(F.lit("r"), F.col(row).cast("string"))))
+              .join(seldom.select(F.concat(F.lit("t"), "token").alias(key), F.col("ids").alias(cold_ids)), key, "left"))
+    spread = F.transform(at, lambda i: F.struct(i.alias("i"), F.coalesce(hot_ids, cold_ids).alias("ids")))
+    ids = F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list(spread))), lambda x: x["ids"]))
+    done = joined.groupBy(row).agg(F.first(rest, ignorenulls=True).alias(rest), ids.alias(at))
+    kept = [F.col(f"{rest}.{c}") for c in others]
+    return done.select(*kept, F.when(F.col(f"{rest}.{text_col}").isNotNull(), F.col(at)).alias(out_col))
+
+
+def _places(words: Column) -> Column:
+    """[(t, at)]: the different strings of an array with the places of each."""
+    kind = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+
+    @F.arrow_udf(kind)
+    def places(col: pa.Array) -> pa.Array:
+        out = []
+        for ws in col.to_pylist():
+            held: dict[str, list[int]] = {}
+            for i, w in enumerate(ws or []):
+                held.setdefault(w, []).append(i)
+            out.append(None if ws is None else [{"t": w, "at": at} for w, at in held.items()])
+        return pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.int32()))])))
+
+    return places(words)
+
+
+def decode_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
+    """B7 for a vocabulary of any size: the different ids of each row are
+    joined with ``vocab`` (id, token_hex); special and unknown ids give
+    nothing.  Null ids give null."""
+    row, i, at, rest = _unused(df, "_row", "_id", "_at", "_rest")
+    others = [c for c in df.columns if c.lower() != out_col.lower()]
+    tagged = df.select(F.monotonically_increasing_id().alias(row), F.struct(*others).alias(rest), F.col(ids_col).alias(i))
+    flat = tagged.select(row, rest, F.posexplode(F.concat(F.array(F.lit(None).cast("int")), F.coalesce(
+        i, F.array().cast("array<int>")))).alias(at, i)).withColumn(rest, F.when(F.col(at) == 0, F.col(rest)))
+    known = vocab.where(F.col("token_hex").isNotNull()).select(F.col("id").alias(i), "token_hex")
+    text = F.make_valid_utf8(F.unhex(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(
+        at, F.coalesce("token_hex", F.lit("")).alias("h")))), lambda x: x["h"]))).cast("string"))
+    done = flat.join(known, i, "left").groupBy(row).agg(F.first(rest, ignorenulls=True).alias(rest), text.alias(at))
+    return done.select(*[F.col(f"{rest}.{c}") for c in others],
+                       F.when(F.col(f"{rest}.{ids_col}").isNotNull(), F.col(at)).alias(out_col))
+
+
 # B8 / U3 / A1-A3 --------------------------------------------------------------
 def token_frequencies(tokens_df: DataFrame, token_col: str = "token") -> DataFrame:
     """(token, n): combine first, so that later joins see each token once."""

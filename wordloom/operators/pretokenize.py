@@ -51,3 +51,24 @@ def vocabulary_probe(df: DataFrame, text_col: str = "text", cap: int | None = No
     agg = F.approx_count_distinct("token") if approximate else F.count_distinct("token")
     n = agg if cap is None else F.least(agg, F.lit(cap))
     return toks.agg(n.cast("bigint").alias("vocab_estimate"))
+
+
+def vocabulary_probe_by(df: DataFrame, group_col: str, text_col: str = "text", precision: int = 14) -> DataFrame:
+    """B9 per group and in all: (group, is_total, estimate, exact) of distinct
+    pre-tokens.  Estimates come from one mergeable sketch per group (HLL of
+    2 ** ``precision`` registers, relative error about 1 %), of which the union gives the
+    total without another pass; exact counts from the distinct (group,
+    pre-token) pairs.  Null texts have none; a null group is a group."""
+    toks = df.select(F.col(group_col), F.explode(pretokens(F.col(text_col))).alias("token"))
+    sketches = toks.groupBy(group_col).agg(F.hll_sketch_agg("token", F.lit(precision)).alias("s"))
+    pairs = toks.groupBy(group_col, "token").agg(F.lit(1).alias("n"))
+    exact = pairs.groupBy(group_col).agg(F.count(F.lit(1)).cast("bigint").alias("exact"))
+    groups = (sketches.join(exact, sketches[group_col].eqNullSafe(exact[group_col]))
+              .select(sketches[group_col], F.lit(False).alias("is_total"), F.hll_sketch_estimate("s").alias("estimate"), "exact"))
+    all_exact = pairs.select("token").distinct().agg(F.count(F.lit(1)).cast("bigint").alias("exact"))
+    total = (sketches.select("s", F.lit(0).cast("bigint").alias("exact"))
+             .unionByName(all_exact.select(F.lit(None).cast("binary").alias("s"), "exact"))
+             .agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("s")), F.lit(0)).cast("bigint").alias("estimate"),
+                  F.max("exact").alias("exact")))
+    return groups.unionByName(total.select(F.lit(None).cast(df.schema[group_col].dataType).alias(group_col),
+                                           F.lit(True).alias("is_total"), "estimate", "exact"))

@@ -9,7 +9,8 @@ from ..functions import sequences as sq
 from ..functions import text as tx
 from ..operators import encode as en
 from ..operators import pretokenize as pt
-from ..operators import sets
+from ..operators import qa, sets
+from ..session import shared_dir
 from ..sources import records
 from ..tables import table
 from .common import (hashed_ids_sql, list_text_sql, pretokens_sql, register, tok_docs, tok_text, tok_text_sql,
@@ -82,3 +83,43 @@ def qa_set_scan(spark, sf):
                                       "labels": f"{sf}/labels.parquet",
                                       "missing": f"{sf}/no_such_set.parquet"}, on_missing="skip")
     return u.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+# S11 by set and split: turns as JSON lines of two sets; a pair without an answer
+# stands for a broken line, a blank question stays one
+_QA_SQL = """
+with p as (select u.conv_id, u.turn, u.text as question, n.text as answer,
+    case when u.conv_id % 3 = 0 then 'third' else 'rest' end as dataset, case when u.turn < 4 then 'train' else 'test' end as split
+  from conversations u left join conversations n on n.conv_id = u.conv_id and n.turn = u.turn + 1 and n.role = 'assistant'
+  where u.role = 'user')
+"""
+
+
+def _qa_splits(spark, sf):
+    pairs = qa.pair_turns(table(spark, sf, "conversations"))
+    answer = F.get("answers.text", F.lit(0))
+    line = F.to_json(F.struct("conv_id", "turn", "question", F.lit(None).cast("string").alias("context"), "answers"))
+    lines = pairs.select(F.when(F.col("conv_id") % 3 == 0, "third").otherwise("rest").alias("dataset"),
+                         F.when(F.col("turn") < 4, "train").otherwise("test").alias("split"),
+                         F.when(answer.isNull(), F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value"))
+    path = shared_dir(spark, "qa")
+    lines.write.partitionBy("dataset", "split").text(path)
+    return records.scan_qa_splits(spark, {d: {s: f"{path}/dataset={d}/split={s}" for s in ("train", "test", "dev")} for d in ("third", "rest")})
+
+
+@register("qa_split_records", _QA_SQL + """
+select dataset, split, question, answer from p where answer is not null and regexp_matches(question, '\\S')
+""")
+def qa_split_records(spark, sf):
+    rows, _ = _qa_splits(spark, sf)
+    return rows.select("dataset", "split", "question", F.get("answers.text", F.lit(0)).alias("answer"))
+
+
+@register("qa_split_failures", _QA_SQL + """
+select dataset, split, 'not a record' as reason, count(*)::BIGINT as n from p where answer is null group by all
+union all select dataset, split, 'no question', count(*) from p where answer is not null and (question is null or not regexp_matches(question, '\\S')) group by all
+union all select d, 'dev', 'no such path', 0 from (values ('third'), ('rest')) v(d)
+""")
+def qa_split_failures(spark, sf):
+    _, bad = _qa_splits(spark, sf)
+    return bad.select("dataset", "split", "reason", "n")

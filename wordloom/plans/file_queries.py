@@ -6,8 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import files
-from ..streaming.streams import scratch_dir
+from ..session import shared_dir
+from ..sources import files, sinks
 from ..tables import table
 from .common import register
 
@@ -17,14 +17,36 @@ from .common import register
 select source, text from documents where text is not null
 """)
 def text_folder_corpus(spark, sf):
-    path = scratch_dir(spark, "texts")
     d = table(spark, sf, "documents").where("text is not null")
-    # the line separator never occurs, so a file is one document's text and the separator
-    (d.withColumn("folder", F.col("doc_id")).repartition("folder").select("source", "folder", "text")
-     .write.partitionBy("source", "folder").option("lineSep", "\x1e").text(path))
+    # a file name holds the source as hex: any source gives a name, null too
+    name = F.concat(F.coalesce(_hex_name("source"), F.lit("null")), F.lit("-"), F.monotonically_increasing_id().cast("string"), F.lit(".txt"))
+    path = sinks.write_item_files(d.select(name.alias("name"), "text"), shared_dir(spark, "texts"), "name", "text")
     back = files.text_file_corpus(spark, path, "**/*.txt")
-    source = F.regexp_extract("path", "source=([^/]*)/", 1)
-    return back.select(source.alias("source"), F.regexp_replace("text", "\x1e$", "").alias("text"))
+    return back.select(_source_of("path", "/(s[0-9A-F]*|null)-[0-9]+[.]txt$").alias("source"), "text")
+
+
+def _hex_name(column: str):
+    """A file name part for any string: s and its bytes in hex."""
+    return F.concat(F.lit("s"), F.hex(F.encode(F.col(column), "UTF-8")))
+
+
+def _source_of(path: str, pattern: str):
+    source = F.regexp_extract(path, pattern, 1)
+    return F.when(source != "null", F.decode(F.unhex(F.substring(source, 2, 1_000_000)), "UTF-8"))
+
+
+# Documents as files of a folder per source, copied, and the copies read again ------
+@register("processed_copies", """
+select doc_id, source, text from documents where text is not null and regexp_matches(text, '\\S')
+""")
+def processed_copies(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    name = F.concat(F.coalesce(_hex_name("source"), F.lit("null")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    path = sinks.write_item_files(d.select(name.alias("name"), "text"), shared_dir(spark, "files"), "name", "text")
+    out = sinks.write_processed_copies(files.text_file_corpus(spark, path, "**/*.txt"), shared_dir(spark, "copies"), path)
+    back = files.text_file_corpus(spark, out, "**/*_processed.txt")
+    return back.select(F.regexp_extract("path", "/(-?[0-9]+|none)(~[0-9]+)?_processed[.]txt$", 1).try_cast("bigint").alias("doc_id"),
+                       _source_of("path", "/(s[0-9A-F]*|null)/[^/]*$").alias("source"), "text")
 
 
 # CSV files per source and block of documents, the text column in two places -----
@@ -34,9 +56,9 @@ BLOCK_DOCS = 4096
 def _csv_files(spark, sf):
     """(source, block, text) of every CSV file: block is doc_id div 4096, so a
     large source is many files; the layout goes by source and block."""
-    path = scratch_dir(spark, "csv")
+    path = shared_dir(spark, "csv")
     # a folder name for any source: null, empty and special characters too
-    name = F.concat(F.lit("s"), F.hex(F.encode("source", "UTF-8")))
+    name = _hex_name("source")
     d = table(spark, sf, "documents").where("text is not null and text <> ''") \
         .withColumn("name", F.coalesce(name, F.lit("null"))).withColumn("block", F.floor(F.col("doc_id") / BLOCK_DOCS))
     d = d.repartition("name", "block").sortWithinPartitions("name", "block", "doc_id")
@@ -45,9 +67,8 @@ def _csv_files(spark, sf):
     d.where(odd).select("name", "block", "doc_id", "text").write.partitionBy("name", "block").options(**options).csv(f"{path}/first")
     d.where(~odd).select("name", "block", F.col("text").alias("Text"), "lang").write.partitionBy("name", "block").options(**options).csv(f"{path}/second")
     c = files.csv_corpus(spark, path, "**/*.csv")
-    source = F.regexp_extract("path", "name=(s([0-9A-F]*)|null)/", 1)
-    return c.select(F.when(source != "null", F.decode(F.unhex(F.substring(source, 2, 1_000_000)), "UTF-8")).alias("source"),
-                    F.regexp_extract("path", "block=(-?[0-9]+)/", 1).cast("bigint").alias("block"), "text")
+    return c.select(_source_of("path", "name=(s[0-9A-F]*|null)/").alias("source"),
+                    F.regexp_extract("path", "block=(-?[0-9]+)/", 1).try_cast("bigint").alias("block"), "text")
 
 
 @register("csv_corpora", """
@@ -56,7 +77,8 @@ where text is not null and text <> '' group by source
 """)
 def csv_corpora(spark, sf):
     # one row per source is what the SQL asks for: the files of a source are put together last
-    blocks = _csv_files(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("t"))
+    blocks = _csv_files(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("block").isNull().alias("last"), "block", "text"))).alias("t"))
     return blocks.select("source", F.array_join("t.text", "\n").alias("text"))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import sinks
-from ..streaming.streams import scratch_dir
+from ..session import shared_dir
 from ..tables import table
 from .bpe_queries import trained_model
 from .common import register, tok_docs, tok_text_sql
@@ -19,7 +19,7 @@ select batch_id::BIGINT as batch_id, doc_id, text from
 where text is not null and regexp_matches(text, '\\S')
 """)
 def batch_files(spark, sf):
-    path = scratch_dir(spark, "batches")
+    path = shared_dir(spark, "batches")
     sinks.write_batches(table(spark, sf, "documents").select("doc_id", "text"), path, ["doc_id"], 64)
     back = spark.read.parquet(path)
     return back.select(F.col("batch_id").cast("bigint"), "doc_id", "text")
@@ -30,7 +30,7 @@ def batch_files(spark, sf):
 select {tok_text_sql('text')} as value from documents where regexp_matches({tok_text_sql('text')}, '\\S')
 """)
 def text_sink_lines(spark, sf):
-    path = scratch_dir(spark, "lines")
+    path = shared_dir(spark, "lines")
     sinks.write_text_lines(tok_docs(spark, sf), path)
     return spark.read.text(path)
 
@@ -38,7 +38,7 @@ def text_sink_lines(spark, sf):
 # Versioned vocabulary tables -----------------------------------------------
 @register("model_versions")
 def model_versions(spark, sf):
-    root = scratch_dir(spark, "models")
+    root = shared_dir(spark, "models")
     model = trained_model(spark, sf)
     sinks.save_model_tables(spark, root, model)
     sinks.save_model_tables(spark, root, model)

@@ -197,6 +197,24 @@ def dataset_metrics(spark, sf):
     return mt.dataset_metrics(d, "source", "ok", "tokens")
 
 
+@register("dataset_messages", """
+with m as (
+  select source, 'error' as kind, 'no text' as message from documents where text is null
+  union all select source, 'error', 'blank text' from documents where not regexp_matches(text, '\\S')
+  union all select source, 'warning', 'recorded length differs by ' || (length(text) - n_chars) from documents where length(text) <> n_chars
+  union all select source, 'warning', 'longer than 10000 characters' from documents where length(text) > 10000
+  union all select source, 'warning', 'replacement characters' from documents where contains(text, chr(65533))),
+ c as (select source, kind, message, count(*) as n from m group by all)
+select source, kind, message, n, row_number() over (partition by source order by n desc, kind, message)::INT as rank
+from c qualify rank <= 10
+""")
+def dataset_messages(spark, sf):
+    """Errors and warnings of each source, the most frequent first."""
+    d = table(spark, sf, "documents")
+    d = d.select("source", mt.item_messages(F.col("text"), F.col("n_chars")).alias("messages"))
+    return mt.message_report(d, "source", "messages")
+
+
 # A1 / A2 / A3 / B8 / U2 / U3 ------------------------------------------------------
 def _doc_tokens(spark, sf):
     return tok_docs(spark, sf).select(F.explode(pt.pretokens(F.col("text"))).alias("token"))

@@ -41,7 +41,27 @@ from documents group by source
 def stream_dataset_metrics(spark, sf):
     s = _stream_table(spark, sf, "documents")
     s = s.select("source", tok_text(F.col("text")).alias("text"))
-    return st.run_to_table(spark, st.dataset_metrics_stream(s, "source"), "metrics", complete=True)
+    m = st.run_to_table(spark, st.dataset_metrics_stream(s, "source"), "metrics", complete=True)
+    return m.select("source", "items", "total_tokens")
+
+
+@register("stream_run_metrics", rf"""
+with e as (select event_type, ts, {tok_text_sql('props')} as text from events)
+select event_type, count(*)::BIGINT as items, count_if(regexp_matches(text, '\S'))::BIGINT as processed_items,
+  count_if(text is null or not regexp_matches(text, '\S'))::BIGINT as failed_items,
+  coalesce(sum(len({pretokens_sql('text')})) filter (where regexp_matches(text, '\S')), 0)::BIGINT as total_tokens,
+  round(avg(len({pretokens_sql('text')})) filter (where regexp_matches(text, '\S')), 6) as mean_tokens,
+  epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us,
+  case when max(ts) > min(ts) then round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000), 6) end as items_per_second
+from e group by event_type
+""")
+def stream_run_metrics(spark, sf):
+    """All run metrics of a stream, per event type, from the state after its last micro-batch."""
+    s = _stream_table(spark, sf, "events")
+    s = s.select("event_type", "ts", tok_text(F.col("props")).alias("text"))
+    m = st.run_to_table(spark, st.dataset_metrics_stream(s, "event_type", time_col="ts"), "run-metrics", complete=True)
+    return m.select("event_type", "items", "processed_items", "failed_items", "total_tokens", "mean_tokens",
+                    F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us"), "items_per_second")
 
 
 # T3 -------------------------------------------------------------------------

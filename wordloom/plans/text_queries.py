@@ -59,6 +59,18 @@ def vocab_probe(spark, sf):
     return pt.vocabulary_probe(_tok_docs(spark, sf))
 
 
+@register("vocab_probe_sources", f"""
+with t as (select source, unnest({pretokens_sql(tok_text_sql('text'))}) as token from documents)
+select source, false as is_total, count(distinct token)::BIGINT as exact, true as estimate_is_near from t group by source
+union all select null, true, count(distinct token), true from t
+""")
+def vocab_probe_sources(spark, sf):
+    """Sizes per source and in all, and whether the estimate is within 5 % of them."""
+    p = pt.vocabulary_probe_by(_tok_docs(spark, sf), "source")
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return p.select("source", "is_total", "exact", near.alias("estimate_is_near"))
+
+
 # P1 / S3 ----------------------------------------------------------------------
 @register("nonblank_documents", """
 select doc_id, source from documents where text is not null and regexp_matches(text, '\\S')
@@ -94,18 +106,18 @@ def strip_urls_emails(spark, sf):
     return d.select("doc_id", tx.remove_urls_emails(F.col("text")).alias("text"))
 
 
-# P5: the twin has no NFKC and no look-around, so texts are compared where both
-# change nothing (ASCII without a thousands mark); all rows are compared by id
+# P5: the twin has NFC in place of NFKC, which is the same on texts without compatibility
+# characters, as the table's are; without look-around it parts the text at all marks and leaves
+# out those that stand between a digit and three digits
 @register("normalised_documents", r"""
-select doc_id, case when regexp_matches(text, '^[\x00-\x7F]*$') and not regexp_matches(text, '[0-9][,.][0-9]')
-  then regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(text, '[\n\r\t]+', ' ', 'g'), '\s+', ' ', 'g')),
-    '\b(mg/dl|mg/dL)\b', 'mg/dL', 'g'), '\b(ng)/(ml|mL)\b', 'ng/mL', 'g') end as text
-from documents
+with t as (select doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '[\n\r\t]+', ' ', 'g'), '\s+', ' ', 'g') as t from documents),
+ p as (select doc_id, string_split_regex(t, '[,.]') as p, regexp_extract_all(t, '[,.]') as m from t),
+ j as (select doc_id, array_to_string(list_transform(p, lambda x, i: case when i = 1 then x
+     when regexp_matches(p[i - 1], '\d$') and regexp_matches(x, '^\d{3}') then x else m[i - 1] || x end), '') as t from p)
+select doc_id, regexp_replace(regexp_replace(lower(t), '\b(mg/dl|mg/dL)\b', 'mg/dL', 'g'), '\b(ng)/(ml|mL)\b', 'ng/mL', 'g') as text from j
 """)
 def normalised_documents(spark, sf):
-    d = _docs(spark, sf)
-    plain = F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.col("text").rlike("[0-9][,.][0-9]")
-    return d.select("doc_id", F.when(plain, tx.normalise(F.col("text"))).alias("text"))
+    return _docs(spark, sf).select("doc_id", tx.normalise(F.col("text")).alias("text"))
 
 
 # P6-P8 on notes ---------------------------------------------------------------

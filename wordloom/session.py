@@ -72,6 +72,12 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition of a plain file scan that has fewer splits than
     the cluster has cores (e.g. one unsplittable file), before costly row-local

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as tx
+from ..session import path_exists
 from . import files
 
 log = logging.getLogger(__name__)
@@ -150,6 +151,7 @@ def corpus_stats(corpus: DataFrame, descriptors: list[dict] | None = None) -> Da
 
 # S11 --------------------------------------------------------------------------
 QA_SCHEMA = "question STRING, context STRING, answers STRUCT<text: ARRAY<STRING>>"
+QA_READ = QA_SCHEMA + ", _corrupt_record STRING"
 
 
 def load_qa_sets(spark: SparkSession, paths: dict[str, str], on_missing: str = "fail") -> DataFrame:
@@ -172,3 +174,35 @@ def load_qa_sets(spark: SparkSession, paths: dict[str, str], on_missing: str = "
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def scan_qa_splits(spark: SparkSession, sets: dict[str, dict[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """S11 by set and split: ``sets`` is {set: {split: path of JSON lines}}.
+
+    Returns the records (dataset, split, question, context, answers) and the
+    failures (dataset, split, reason, n, example): lines that are no record,
+    records without a question, and, with n = 0, paths that do not exist.  One
+    set's failures keep no other from loading; a line that fails is in no
+    record.  Reading is permissive: a broken line comes with its text."""
+    held, missing = [], []
+    for name, splits in sets.items():
+        for split, path in splits.items():
+            if path_exists(spark, path):
+                df = spark.read.schema(QA_READ).option("mode", "PERMISSIVE").json(path)
+                held.append(df.select(F.lit(name).alias("dataset"), F.lit(split).alias("split"), *df.columns))
+            else:
+                log.error("no QA set %r, split %r at %s", name, split, path)
+                missing.append((name, split, "no such path", 0, path))
+    lost = spark.createDataFrame(missing, "dataset STRING, split STRING, reason STRING, n BIGINT, example STRING")
+    if not held:
+        return spark.createDataFrame([], "dataset STRING, split STRING, " + QA_SCHEMA), lost
+    rows = held[0]
+    for df in held[1:]:
+        rows = rows.unionByName(df)
+    reason = (F.when(F.col("_corrupt_record").isNotNull(), "not a record")
+              .when(~tx.is_not_blank(F.col("question")), "no question"))
+    rows = rows.withColumn("reason", reason)
+    broken = (rows.where("reason is not null").groupBy("dataset", "split", "reason")
+              .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                   F.min(F.coalesce("_corrupt_record", "context", F.lit(""))).alias("example")))
+    return rows.where("reason is null").drop("reason", "_corrupt_record"), broken.unionByName(lost)

@@ -3,8 +3,13 @@ local files (S14) and versioned vocabulary tables (S12)."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as tx
 from ..operators.index import fixed_batches
@@ -35,16 +40,115 @@ def write_batches(df: DataFrame, path: str, order_cols: list[str], batch_size: i
 
 
 # S14 ------------------------------------------------------------------------
-def write_processed_copies(corpus: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """(path, text) of local files -> blank ones skipped, each written under
-    ``name=<stem>_processed.txt``."""
-    stem = F.regexp_extract(F.col("path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    out = tx.drop_blank(corpus).select(F.concat(stem, F.lit("_processed.txt")).alias("name"),
-                                       F.col("text").alias("value"))
-    out.write.mode(mode).partitionBy("name").text(path)
+class ItemFiles(DataSource):
+    """Write-only source ``wordloom_items``: one file for each row (name, text or
+    bytes), byte for byte.  A task writes into a folder of its own; the commit
+    moves the folders of the tasks that ended well to ``part-<n>`` and drops
+    what any other attempt left, an abort drops all.  The path is any that
+    pyarrow's file systems reach."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wordloom_items"
+
+    def writer(self, schema, overwrite: bool):
+        return ItemFilesWriter(self.options["path"])
+
+
+@dataclass
+class ItemFilesDone(WriterCommitMessage):
+    folder: str
+    partition: int
+    files: int
+
+
+class ItemFilesWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+        self.run = uuid.uuid4().hex
+
+    def _fs(self):
+        from pyarrow import fs
+        if "://" in self.path or self.path.startswith("file:"):
+            return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", self.path))
+        return fs.LocalFileSystem(), self.path
+
+    def write(self, rows):
+        from pyspark import TaskContext
+        fs, top = self._fs()
+        folder, made, held = f"_temporary/{self.run}/{uuid.uuid4().hex}", set(), {}
+        files = 0
+        for name, content in rows:
+            name = _safe_relative(name)
+            held[name] = held.get(name, 0) + 1
+            if held[name] > 1:   # a name that this task has written already
+                stem, dot, end = name.rpartition(".") if "." in name.rpartition("/")[2] else (name, "", "")
+                name = f"{stem}~{held[name]}{dot}{end}"
+            target = f"{top}/{folder}/{name}"
+            parent = target.rpartition("/")[0]
+            if parent not in made:
+                fs.create_dir(parent, recursive=True)
+                made.add(parent)
+            with fs.open_output_stream(target) as out:
+                out.write(content.encode() if isinstance(content, str) else bytes(content or b""))
+            files += 1
+        return ItemFilesDone(folder if files else "", TaskContext.get().partitionId(), files)
+
+    def commit(self, messages):
+        fs, top = self._fs()
+        fs.create_dir(top, recursive=True)
+        for m in messages:
+            if m is not None and m.folder:
+                fs.move(f"{top}/{m.folder}", f"{top}/part-{m.partition:05d}-{self.run[:8]}")
+        self._clean(fs, top)
+
+    def abort(self, messages):
+        self._clean(*self._fs())
+
+    def _clean(self, fs, top) -> None:
+        from pyarrow.fs import FileType
+        if fs.get_file_info(f"{top}/_temporary/{self.run}").type != FileType.NotFound:
+            fs.delete_dir(f"{top}/_temporary/{self.run}")
+        if fs.get_file_info(f"{top}/_temporary").type != FileType.NotFound and not fs.get_file_info(
+                _selector(f"{top}/_temporary")):
+            fs.delete_dir(f"{top}/_temporary")
+
+
+def _selector(folder: str):
+    from pyarrow.fs import FileSelector
+    return FileSelector(folder)
+
+
+def _safe_relative(name: str | None) -> str:
+    """A relative path without empty, ``.`` or ``..`` parts."""
+    parts = [x for x in (name or "").split("/") if x not in ("", ".", "..")]
+    return "/".join(parts) or "unnamed"
+
+
+def write_item_files(df: DataFrame, path: str, name_col: str, content_col: str) -> str:
+    """One file per row under ``path``: ``part-<n>/<name>`` with the content (a
+    string as UTF-8, or bytes; null: empty).  Names may have folders; of equal
+    names in one part, the later ones get ``~2``, ``~3`` before the ending.
+    Files from earlier calls stay.  Returns the path."""
+    spark = df.sparkSession
+    spark.dataSource.register(ItemFiles)
+    (df.select(F.col(name_col).alias("name"), F.col(content_col).alias("content"))
+     .write.format("wordloom_items").mode("append").option("path", path).save())
     return path
 
 
+def write_processed_copies(corpus: DataFrame, path: str, root: str = "") -> str:
+    """(path, text) of files -> blank ones skipped, each written as
+    ``<folder>/<stem>_processed.txt``, the folder being the file's own below
+    ``root`` (all of it without one), so that equal stems of two folders stay
+    apart.  The text is kept byte for byte."""
+    plain = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
+    top = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/")
+    below = F.when(plain.startswith(top + "/"), F.substring(plain, len(top) + 2, 2147483647)).otherwise(plain)
+    name = F.regexp_replace(below, r"(?s)([^/]+?)(\.[^./]*)?$", "$1_processed.txt")
+    return write_item_files(tx.drop_blank(corpus).select(name.alias("name"), "text"), path, "name", "text")
+
+
 # S12 ------------------------------------------------------------------------
 def _fs(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
