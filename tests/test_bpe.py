@@ -179,3 +179,23 @@ def test_join_encoding_combines_before_it_joins(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     # a row's pre-tokens are exploded with their places already combined, and vocabulary joins stand over distinct tokens
     assert "places(" in plan and plan.index("Join") > plan.index("Aggregate")
+
+
+def test_many_words_at_once_equal_one_by_one():
+    import numpy as np
+    rng = random.Random(11)
+    for seed in range(40):
+        letters = rng.choice(["ab", "abc", "aé "])
+        made = {}
+        for _ in range(rng.randrange(1, 25)):    # merges in any order, some of which make one token twice
+            known = [x.encode().hex().upper() for x in letters] + [a + b for a, b in made]
+            made.setdefault((rng.choice(known), rng.choice(known)), len(made))
+        ids = {t: 7 + i for i, t in enumerate(dict.fromkeys([f"{b:02X}" for b in range(90, 200)] + [a + b for a, b in made]))}
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 12, 40]))).encode() for _ in range(60)] + [b"a" * 700]
+        for unk in (None, 1):
+            merger = encode.WordMerger(made, ids, unk)
+            flat, n = merger.encode(words)
+            want = [[i for s in encode._bpe_symbols(w, made) if (i := ids.get(s, unk)) is not None] for w in words]
+            assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    flat, n = encode.WordMerger({}, {"61": 5}, None).encode([b"aa", b"b"])
+    assert flat.tolist() == [5, 5] and n.tolist() == [2, 0] and isinstance(flat, np.ndarray)

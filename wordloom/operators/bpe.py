@@ -30,6 +30,8 @@ MAX_SHIPPED_VOCAB = 2_000_000
 # Active pairs of the first round; symbols of different runs that a round aims at, and how many
 # times that many it may bring to the driver; pairs that it may bring there.
 FIRST_ACTIVE, RUN_SYMBOLS, RUN_MOST, FIRST_PAIRS = 128, 250_000, 4, 1_000_000
+# Buckets of the pair table.  A block sends a row to each, and a bucket holds that part of the different pairs.
+PAIR_BUCKETS = 32
 
 
 @dataclass
@@ -129,7 +131,7 @@ def train_bpe(word_counts: DataFrame, vocab_size: int = 32000, min_frequency: in
     if alphabet not in ("full", "observed"):
         raise ValueError("alphabet must be 'full' or 'observed'")
     base = shared_dir(spark, "bpe")
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = PAIR_BUCKETS
     most = max(2, -(-first_pairs // buckets))
 
     def table(name: str, df: DataFrame) -> DataFrame:

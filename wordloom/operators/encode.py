@@ -4,9 +4,8 @@ comparison (B10).
 Encoding is row-local: pre-tokens are extracted JVM-side (the same
 expression as training), and an Arrow UDF applies the merge ranks to each
 distinct pre-token of a batch.  The ranks table is bounded by the vocabulary size (checked)
-and travels with the task; there is no shuffle and no join back, so a hot
-pre-token (a third of all words) costs nothing extra: each Python worker
-memoises pre-tokens it has already encoded.
+and travels with the task; there is no shuffle and no join back, and a hot
+pre-token (a third of all words) is encoded once a batch.
 
 A vocabulary above the checked size is not shipped: ``encode_by_join`` and
 ``decode_by_join`` take it as tables and bring to each pre-token, or id, only
@@ -27,14 +26,15 @@ from pyspark.sql import types as T
 from .bpe import MAX_SHIPPED_VOCAB, BpeModel
 from .pretokenize import pretokens
 
-_CACHE_LIMIT = 500_000
+#: Different pre-tokens that are merged together.
+_WORDS_AT_ONCE = 50_000
 
 
-def _bpe_symbols(token: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+def _bpe_symbols(token: str | bytes, ranks: dict[tuple[str, str], int]) -> list[str]:
     """Apply merges by rank to one pre-token (lowest rank first, all
     non-overlapping occurrences left to right).  Neighbouring pairs wait in a
     heap over a linked list, so a very long token costs n log n."""
-    sym = [f"{b:02X}" for b in token.encode("utf-8")]
+    sym = [f"{b:02X}" for b in (token.encode("utf-8") if isinstance(token, str) else token)]
     n = len(sym)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
@@ -57,6 +57,79 @@ def _bpe_symbols(token: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [x for x in sym if x is not None]
 
 
+#: Words above this many bytes are merged one by one through a heap.
+LONG_WORD = 512
+_NO_RANK = np.iinfo(np.int64).max
+
+
+class WordMerger:
+    """Merges many words at once.  Symbols are numbers: the 256 bytes, then the
+    tokens that merges make.  A step takes, in every word that is not done, the
+    pair of the lowest rank, at all its places from left to right; words
+    without a ranked pair are done.  The result is that of ``_bpe_symbols``."""
+
+    def __init__(self, ranks: dict[tuple[str, str], int], ids: dict[str, int], unk: int | None):
+        number = {f"{b:02X}": b for b in range(256)}
+        for pair in ranks:
+            for t in (*pair, "".join(pair)):
+                number.setdefault(t, len(number))
+        pairs = sorted(((number[l] << 32) | number[r], rank, number[l + r]) for (l, r), rank in ranks.items())
+        self.codes, self.ranks, self.merged = (np.array([x[k] for x in pairs], np.int64) for k in range(3))
+        self.rank_of, self.number = ranks, number
+        # vocabulary id of each symbol; -1: none, so it is left out
+        self.ids = np.full(len(number), -1 if unk is None else unk, np.int64)
+        for t, n in number.items():
+            if t in ids:
+                self.ids[n] = ids[t]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, how many each has)."""
+        size = np.array([len(w) for w in words], np.int64)
+        short = size <= LONG_WORD
+        where = np.repeat(np.flatnonzero(short), size[short])
+        symbols = np.frombuffer(b"".join(w for w in words if len(w) <= LONG_WORD), np.uint8).astype(np.int64)
+        done_at, done = [], []
+        for k in np.flatnonzero(~short):
+            own = [self.number[x] for x in _bpe_symbols(words[k], self.rank_of)]
+            done.append(np.array(own, np.int64))
+            done_at.append(np.full(len(own), k))
+        while len(symbols):
+            rank, at = self._ranked(symbols, where)
+            start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+            least = np.minimum.reduceat(rank, start)
+            least = np.repeat(least, np.diff(np.append(start, len(where))))
+            over = least == _NO_RANK
+            if over.any():
+                done.append(symbols[over])
+                done_at.append(where[over])
+                symbols, where, rank, at, least = (x[~over] for x in (symbols, where, rank, at, least))
+                if not len(symbols):
+                    break
+            hit = rank == least
+            # in a run of hits (one symbol over and over) every other one is taken
+            first = hit & ~np.concatenate([[False], hit[:-1]])
+            place = np.arange(len(hit))
+            taken = hit & ((place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0)
+            symbols = np.where(taken, self.merged[at], symbols)
+            keep = ~np.concatenate([[False], taken[:-1]])
+            symbols, where = symbols[keep], where[keep]
+        if not done:
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        where = np.concatenate(done_at)
+        order = np.argsort(where, kind="stable")
+        ids, where = self.ids[np.concatenate(done)[order]], where[order]
+        return ids[ids >= 0].astype(np.int32), np.bincount(where[ids >= 0], minlength=len(words))
+
+    def _ranked(self, symbols: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of the pair that begins at each symbol, and its place among the pairs."""
+        if not len(self.codes):
+            return np.full(len(symbols), _NO_RANK), np.zeros(len(symbols), np.int64)
+        code = np.append((symbols[:-1] << 32) | symbols[1:], -1)
+        code[:-1][where[1:] != where[:-1]] = -1
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.ranks[at], _NO_RANK), at
+
+
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The concatenated slices values[starts[k]:starts[k] + lengths[k]] for k in which."""
     n = lengths[which]
@@ -89,25 +162,7 @@ class BpeEncoder:
                              "use encode() or decode(), which join")
 
     def _make_encode_udf(self):
-        ranks = self.model.ranks()
-        ids = self.model.token_ids()
-        unk = self.unk_id
-        cache: dict[str, list[int]] = {}
-
-        def enc_token(t: str) -> list[int]:
-            r = cache.get(t)
-            if r is None:
-                r = []
-                for s in _bpe_symbols(t, ranks):
-                    i = ids.get(s)
-                    if i is not None:
-                        r.append(i)
-                    elif unk is not None:
-                        r.append(unk)
-                if len(cache) > _CACHE_LIMIT:
-                    cache.clear()
-                cache[t] = r
-            return r
+        merger = WordMerger(self.model.ranks(), self.model.token_ids(), self.unk_id)
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode_tokens(col: pa.Array) -> pa.Array:
@@ -118,9 +173,10 @@ class BpeEncoder:
             missing = np.asarray(col.is_null())
             size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
             flat = pc.list_flatten(col).dictionary_encode()
-            coded = [enc_token(t) for t in flat.dictionary.to_pylist()]
-            lengths = np.array([len(c) for c in coded], np.int64)
-            values = np.array([i for c in coded for i in c], np.int32)
+            words = flat.dictionary.cast(pa.binary()).to_pylist()
+            parts = [merger.encode(words[i:i + _WORDS_AT_ONCE]) for i in range(0, len(words), _WORDS_AT_ONCE)]
+            values = np.concatenate([x for x, _ in parts] or [np.zeros(0, np.int32)])
+            lengths = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])
             which = np.asarray(flat.indices).astype(np.int64)
             out = _gather(values, np.cumsum(lengths) - lengths, lengths, which)
             done = np.concatenate([[0], np.cumsum(lengths[which])]).astype(np.int64)
