@@ -78,10 +78,36 @@ def test_overlaps_sum_over_fragments():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
     sets = [np.unique(rng.choice(pool, rng.integers(0, 200))) for _ in range(20)]
-    got = jaccard.overlaps(sets)
+    got = sum(jaccard.partial_overlaps([jaccard._fragment(s, f) for s in sets]) for f in range(jaccard.FRAGMENTS))
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
 
 
+def test_chained_passages_stay_linear(spark):
+    """Documents of two passages, each shared with one neighbour: no pair links,
+    and the pairs of product tiles grow as the documents do."""
+    seen = []
+    for n in (600, 1200):
+        rng = random.Random(n)
+        passages = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(25)) for _ in range(n + 1)]
+        df = spark.createDataFrame([(i, passages[i] + " " + passages[i + 1]) for i in range(n)], "doc_id long, text string")
+        made = []
+        whole = jaccard.tile_pairs
+
+        def counted(rows, places):
+            out = whole(rows, places)
+            made.append(out.count())
+            return out
+
+        jaccard.tile_pairs = counted
+        try:
+            got = jaccard.jaccard_components(df).collect()
+        finally:
+            jaccard.tile_pairs = whole
+        assert all(r.doc_id == r.component_id for r in got)
+        seen.append(made[0])
+    assert seen[1] <= 2.6 * seen[0]
+
+
 @pytest.mark.parametrize("task_edges", [1_000_000, 20])
 def test_components(spark, monkeypatch, task_edges):
     monkeypatch.setattr(graph, "TASK_EDGES", task_edges)

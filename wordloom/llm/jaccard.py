@@ -1,5 +1,6 @@
 """Exact n-gram Jaccard join by vertical partitioning: the global shingle
-order is cut into fragments, overlaps are counted per fragment and summed."""
+order is cut into fragments, overlaps are counted per fragment in tasks of
+their own and summed per pair."""
 
 from __future__ import annotations
 
@@ -18,14 +19,14 @@ WORDS, PERCENT = 4, 85
 #: Share of the hash range that is the first fragment: its shingles are counted
 #: over all documents and ordered rarest first; prefixes are cut from it.
 FIRST_SHARE = 0.30
-#: Fragments of the hash range in which overlaps are counted.
-FRAGMENTS = 8
+#: Fragments of the hash range in which overlaps are counted apart.
+FRAGMENTS = 4
 #: Text that is worked on at once, and that one row of the tile table stands for.
 BLOCK_BYTES, TILE_BYTES = 1 << 19, 2 << 20
 #: First-fragment shingles that one counting task holds.
 BUCKET_SHINGLES = 1_000_000
-#: Documents of a product tile.
-GROUP_TILE = 192
+#: Sets of a product tile, and the shingles that end one sooner.
+GROUP_TILE, GROUP_SHINGLES = 192, 400_000
 
 
 def text_shingles(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -148,73 +149,132 @@ def prefixes(tiles: DataFrame, counts: DataFrame, chosen: DataFrame, percent: in
     return joined.select("ids", "n", "sizes", "frag", "verdicts", "rows").mapInArrow(run, "shingle long, class int, rep long")
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
+def heads_of(rows: DataFrame) -> DataFrame:
+    """(shingle, class, head): the smallest set of each prefix shingle and length class."""
+    return rows.groupBy("shingle", "class").agg(F.min("rep").alias("head"))
+
+
+def ties(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b): each set with the heads of its prefix shingles, once each."""
+    return (rows.join(heads, ["shingle", "class"]).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+            .where("a <> b").distinct())
+
+
+def candidate_edges(tied: DataFrame, heads: DataFrame) -> DataFrame:
     """Edges (a, b) that tie together all sets that share a prefix shingle and
-    could be long enough for one another: one edge a row, to the smallest of
-    the (shingle, length class), and one between neighbouring classes.
-    Grouping keeps hot shingles linear; no pair within a group is listed."""
-    heads = rows.groupBy("shingle", "class").agg(F.min("rep").alias("head"))
-    ties = rows.join(heads, ["shingle", "class"]).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    could be long enough for one another: those to the heads, and one between
+    neighbouring length classes.  Grouping keeps hot shingles linear; no pair
+    within a group is listed."""
     up = heads.select("shingle", (F.col("class") + 1).alias("class"), F.col("head").alias("low"))
     across = heads.join(up, ["shingle", "class"]).select(F.col("head").alias("a"), F.col("low").alias("b"))
-    return ties.unionByName(across).where("a <> b")
+    return tied.unionByName(across).where("a <> b")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of one product tile: partial counts of
-    each fragment, summed."""
+# --- product tiles ---------------------------------------------------------------
+def placed(members: DataFrame) -> DataFrame:
+    """members (rep, component, anchor, n) -> (rep, place): product tiles of
+    GROUP_TILE sets or fewer of one component.  Sets are laid out by component
+    and anchor, so that those with a prefix shingle in common lie close
+    together and few pairs of tiles have one."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        place, held, shingles, last = TaskContext.get().partitionId() << 33, 0, 0, None
+        for b in batches:
+            out = []
+            for component, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if component != last or held == GROUP_TILE or shingles > GROUP_SHINGLES:
+                    place, held, shingles, last = place + 1, 0, 0, component
+                held, shingles = held + 1, shingles + n
+                out.append(place)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["rep", "place"])
+
+    laid = (members.repartitionByRange("component", "anchor", "rep").sortWithinPartitions("component", "anchor", "rep"))
+    return laid.select("rep", "component", "n").mapInArrow(run, "rep long, place long")
+
+
+def tile_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(i, j), i <= j: the pairs of product tiles in which two sets share a
+    prefix shingle within one length class or two neighbouring ones, and each
+    tile with itself.  A shingle that a third of all sets have lists tiles,
+    GROUP_TILE times fewer than sets."""
+    at = rows.join(places, "rep").select("shingle", "class", "place").distinct()
+    near = at.select("shingle", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("place").alias("other"))
+    cross = (at.join(near, ["shingle", "class"]).select(F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"))
+             .distinct())
+    own = places.select(F.col("place").alias("i"), F.col("place").alias("j")).distinct()
+    return cross.where("i <> j").unionByName(own)
+
+
+def _fragment(s: np.ndarray, f: int) -> np.ndarray:
+    """The part of a sorted set in fragment f of the hash range."""
+    cut = [k * 2**64 // FRAGMENTS for k in range(FRAGMENTS + 1)]
+    a = int(np.searchsorted(s, np.uint64(cut[f])))
+    return s[a:int(np.searchsorted(s, np.uint64(cut[f + 1]))) if f + 1 < FRAGMENTS else len(s)]
+
+
+def partial_overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of one product tile in one fragment."""
     total = np.zeros((len(sets), len(sets)), np.float64)
-    for f in range(FRAGMENTS):
-        low, high = (np.uint64(f) << np.uint64(61)), f + 1
-        cut = []
-        for s in sets:
-            a = int(np.searchsorted(s, low))
-            b = len(s) if high == FRAGMENTS else int(np.searchsorted(s, np.uint64(high) << np.uint64(61)))
-            cut.append(s[a:b])
-        row = np.repeat(np.arange(len(sets)), [len(c) for c in cut])
-        values, at, n = np.unique(np.concatenate(cut), return_inverse=True, return_counts=True)
-        shared = n > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[at]
-        row, col, width = row[keep], column[at[keep]], int(shared.sum())
-        for start in range(0, width, 8192):
-            here = (col >= start) & (col < start + 8192)
-            m = np.zeros((len(sets), min(8192, width - start)), np.float32)
-            m[row[here], col[here] - start] = 1
-            total += m @ m.T
-    return total
-
-
-def verified_links(members: DataFrame, percent: int) -> DataFrame:
-    """members (group, i, j, rep, set) -> (a, b) edges that join exactly the
-    sets that link, a forest for each product tile."""
+    row = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    row, col, width = row[keep], column[at[keep]], int(shared.sum())
+    for start in range(0, width, 8192):
+        here = (col >= start) & (col < start + 8192)
+        m = np.zeros((len(sets), min(8192, width - start)), np.float32)
+        m[row[here], col[here] - start] = 1
+        total += m @ m.T
+    return total.astype(np.uint32)
+
+
+def fragment_counts(members: DataFrame) -> DataFrame:
+    """members (i, j, f, rep, n, part) -> (i, j, reps, ns, counts): for each pair
+    of product tiles and fragment, the overlaps of its sets there, above the
+    diagonal."""
     def run(batches):
         import pyarrow as pa
-        key, ids, sets = None, [], []
+        key, rows = None, []
 
-        def links():
-            n = np.array([len(s) for s in sets], np.float64)
-            both = overlaps(sets)
-            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-            a, b = np.nonzero(np.triu(linked, 1))
-            ids_ = np.array(ids, np.int64)
-            e = forest(np.stack([ids_[a], ids_[b]], 1))
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        def counted():
+            reps, ns, parts = zip(*rows)
+            both = partial_overlaps([np.frombuffer(p, np.uint64) for p in parts])
+            upper = both[np.triu_indices(len(reps), 1)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([list(reps)], pa.list_(pa.int64())),
+                 pa.array([list(ns)], pa.list_(pa.int64())), pa.array([upper.astype("<u4").tobytes()], pa.binary())],
+                ["i", "j", "reps", "ns", "counts"])
 
         for b in batches:
-            for r in range(b.num_rows):
-                k = tuple(b.column(c)[r].as_py() for c in range(3))
-                if k != key:
-                    if len(ids) > 1:
-                        yield links()
-                    key, ids, sets = k, [], []
-                ids.append(b.column(3)[r].as_py())
-                sets.append(np.frombuffer(b.column(4)[r].as_py(), np.uint64))
-        if len(ids) > 1:
-            yield links()
+            for r in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if r[:3] != key:
+                    if len(rows) > 1:
+                        yield counted()
+                    key, rows = r[:3], []
+                rows.append(r[3:])
+        if len(rows) > 1:
+            yield counted()
+
+    spread = members.repartition("i", "j", "f").sortWithinPartitions("i", "j", "f", "rep")
+    return spread.select("i", "j", "f", "rep", "n", "part").mapInArrow(
+        run, "i long, j long, reps array<long>, ns array<long>, counts binary")
+
+
+def summed_links(counts: DataFrame, percent: int) -> DataFrame:
+    """Sums the overlaps of each pair over the fragments: (a, b) edges that join
+    exactly the sets that link, a forest for each pair of product tiles."""
+    def links(table):
+        import pyarrow as pa
+        reps, ns = (np.array(table.column(c)[0].as_py(), np.int64) for c in ("reps", "ns"))
+        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
+        a, b = np.triu_indices(len(reps), 1)
+        linked = 100 * total >= percent * (ns[a] + ns[b] - total)
+        e = forest(np.stack([reps[a[linked]], reps[b[linked]]], 1))
+        return pa.table({"a": pa.array(e[:, 0], pa.int64()), "b": pa.array(e[:, 1], pa.int64())})
 
-    spread = members.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return spread.select("group", "i", "j", "rep", "set").mapInArrow(run, "a long, b long")
+    return counts.groupBy("i", "j").applyInArrow(links, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id",
@@ -225,10 +285,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
        tiles and counted over all documents; equal sets get one representative.
     2. Representatives that share a shingle of their rarest-first prefixes are
        tied into groups (linear in the prefix rows); sets that link are always
-       in one group.
-    3. A group's sets meet in product tiles, where overlaps are counted
-       fragment by fragment and summed; a group of any size is cut into pairs
-       of tiles of GROUP_TILE documents.  A tile sends on a forest of its links.
+       in one group.  Groups are laid out in product tiles, neighbours close
+       together.
+    3. For every two product tiles that share a prefix shingle, the hash range
+       is cut into fragments: a task of its own counts the overlaps of all
+       sets of the two tiles in one fragment, and the counts of each pair of
+       sets are summed over the fragments, as one block for each two tiles.
+       What links goes on as a forest.
     4. Components over the links give the result.
 
     A null or empty text has no set and links with nothing; a null id stays
@@ -249,29 +312,37 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     counts = judged_fingerprints(tile_fingerprints(tiles), math.ceil(total / 8 / BUCKET_SHINGLES) * 8, summed, extra=1)
     chosen = reps.groupBy("tile").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     rows = written(prefixes(tiles, counts, chosen, percent), "prefixes")
-    groups = components(candidate_edges(rows))
-    heads = groups.select(F.col("component").alias("node"), "component").distinct()
-    members = grouped = written(groups.unionByName(heads), "groups")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "component").join(reps.select(F.col("id").alias("node"), "tile", "row"), "node").select(
-        "tile", F.struct("row", F.col("component").alias("group"), F.ceil(F.col("size") / GROUP_TILE).cast("int").alias("tiles")).alias("m"))
-    links = components(verified_links(group_tiles(tiles, members.groupBy("tile").agg(F.collect_list("m").alias("members")), words), percent))
+    heads = heads_of(rows)
+    tied = written(ties(rows, heads), "ties")
+    groups = components(candidate_edges(tied, heads))
+    named = written(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()), "groups")
+    anchors = tied.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("anchor"))
+    at = reps.select(F.col("id").alias("node"), "n", "tile", "row")
+    places = written(placed(named.join(anchors, "node", "left").join(at, "node").select(
+        F.col("node").alias("rep"), "component", F.least("node", "anchor").alias("anchor"), "n")), "places")
+    pairs = written(tile_pairs(rows, places), "pairs")
+    members = places.join(at.withColumnRenamed("node", "rep"), "rep").select("tile", F.struct("row", "place", "n").alias("m"))
+    parts_of = set_fragments(tiles, members.groupBy("tile").agg(F.collect_list("m").alias("members")), words)
+    both = pairs.select(F.col("i").alias("place"), "i", "j").unionByName(
+        pairs.where("i <> j").select(F.col("j").alias("place"), "i", "j"))
+    links = components(summed_links(fragment_counts(parts_of.join(both, "place")), percent))
     found = sets.join(reps.select("set_a", "set_b", "n", F.col("id").alias("rep")), ["set_a", "set_b", "n"], "left")
     found = found.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
     out = written(found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), linked.alias("component_id")), "components")
-    for done in (tiles, reps, rows, grouped):
+    for done in (tiles, reps, rows, tied, named, places, pairs):
         drop_written(done)
     return out
 
 
-def group_tiles(tiles: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """(group, i, j, rep, set): the whole set of each member, once for every
-    pair of product tiles that its tile is in.  The texts stay in their
-    buckets; only the lists of members move."""
+def set_fragments(tiles: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(place, f, rep, n, part): the set of each member, cut into fragments; an
+    empty part keeps its row.  The texts stay in their buckets; only the lists
+    of members move."""
     def run(batches):
         import pyarrow as pa
-        names, kinds = ["group", "rep", "tiles", "set"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["place", "f", "rep", "n", "part"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for i in range(b.num_rows):
                 ids, ends, texts, members = (b.column(c)[i].as_py() for c in range(4))
@@ -282,14 +353,12 @@ def group_tiles(tiles: DataFrame, members: DataFrame, words: int) -> DataFrame:
                     cells = [data[edge[m["row"]]:edge[m["row"] + 1]] for m in some]
                     at = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int64)
                     sets = text_shingles(np.concatenate(cells), at, words)
-                    out = [(m["group"], ids[m["row"]], m["tiles"], s.tobytes()) for m, s in zip(some, sets)]
+                    out = [(m["place"], f, ids[m["row"]], m["n"], _fragment(s, f).tobytes())
+                           for m, s in zip(some, sets) for f in range(FRAGMENTS)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    sets = (tiles.select("tile", "ids", "ends", "texts").join(members, "tile").select("ids", "ends", "texts", "members")
-            .mapInArrow(run, "group long, rep long, tiles int, set binary"))
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    return (sets.withColumn("t", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select("group", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "rep", "set"))
+    return (tiles.select("tile", "ids", "ends", "texts").join(members, "tile").select("ids", "ends", "texts", "members")
+            .mapInArrow(run, "place long, f int, rep long, n long, part binary"))
 
 
 _SQL = r"""
