@@ -141,14 +141,24 @@ def summed(fp: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Entries of several tiles that one task sends on together.
+CHUNK_ENTRIES = 2_000_000
+
+
 def judged_fingerprints(rows: DataFrame, buckets: int, judge, width: int = 6, extra: int = 0) -> DataFrame:
     """Brings equal fingerprints of all tiles together and sends a verdict back.
 
     ``rows`` is (tile, fps, extra): sorted uint64 packed as binary, and
-    ``extra`` bytes for each.  The hash range is cut into ``buckets`` slices; a tile sends one contiguous slice to each, ``width`` +
-    ``extra`` bytes an entry.  ``judge(fps, extra bytes)`` gives a byte for
-    each entry of a bucket, in tile order.  Returns (tile, verdicts), a byte
-    for each entry in the order of the tile's ``fps``.
+    ``extra`` bytes for each.  The hash range is cut into ``buckets`` slices.
+    A task puts the entries of its tiles together to chunks of about
+    CHUNK_ENTRIES, and a chunk sends one row to each bucket: the entries,
+    ``width`` + ``extra`` bytes each, and how many each tile has.
+    ``judge(fps, extra bytes)`` gives a byte for each entry of a bucket.
+    Returns (tile, verdicts), a byte for each entry in the order of the tile's
+    ``fps``; a tile without entries has none.
+
+    Rows follow chunks times buckets, so a row is as long as a chunk times a
+    bucket over all entries: kilobytes up to some 10**13 entries.
 
     A tile lists a fingerprint as often as it needs to (once, mostly), so what
     a third of all documents share costs an entry per tile, not per document.
@@ -159,34 +169,63 @@ def judged_fingerprints(rows: DataFrame, buckets: int, judge, width: int = 6, ex
 
     def cut(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
         bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+        chunk = TaskContext.get().partitionId() << 33
+
+        def sent(tiles, ats, cells):
+            """A row for each bucket that the chunk has entries in."""
+            n = np.diff(np.array(ats), axis=1)             # tiles by buckets
+            used = np.flatnonzero(n.sum(0))
+            blobs = [b"".join(c[at[k]:at[k + 1]].tobytes() for c, at in zip(cells, ats) if at[k + 1] > at[k]) for k in used]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array([chunk] * len(used), pa.int64()),
+                 pa.array([tiles] * len(used), pa.list_(pa.int64())), pa.array([n[:, k] for k in used], pa.list_(pa.int64())),
+                 pa.array(blobs, pa.binary())], ["bucket", "chunk", "tiles", "counts", "blob"])
+
+        tiles, ats, cells, held = [], [], [], 0
         for b in batches:
             for i in range(b.num_rows):
                 fp = np.frombuffer(b.column(1)[i].as_py(), np.uint64)
                 more = np.frombuffer(b.column(2)[i].as_py(), np.uint8).reshape(len(fp), extra)
-                cells = np.concatenate([pack(fp, width), more], axis=1)
-                at = np.concatenate([[0], np.searchsorted(fp, bounds), [len(fp)]])
-                k = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.astype(np.int32)), pa.array([b.column(0)[i].as_py()] * len(k), pa.int64()),
-                     pa.array([cells[at[j]:at[j + 1]].tobytes() for j in k], pa.binary())], ["bucket", "tile", "blob"])
+                if held and held + len(fp) > CHUNK_ENTRIES:
+                    yield sent(tiles, ats, cells)
+                    tiles, ats, cells, held, chunk = [], [], [], 0, chunk + 1
+                tiles.append(b.column(0)[i].as_py())
+                ats.append(np.concatenate([[0], np.searchsorted(fp, bounds), [len(fp)]]))
+                cells.append(np.concatenate([pack(fp, width), more], axis=1))
+                held += len(fp)
+        if tiles:
+            yield sent(tiles, ats, cells)
 
     def settle(table):
         import pyarrow as pa
-        table = table.sort_by("tile")
         blobs = table.column("blob").to_pylist()
         cells = np.concatenate([np.frombuffer(x, np.uint8) for x in blobs]).reshape(-1, size)
         verdict = judge(unpack(cells[:, :width]), cells[:, width:])
         at = np.concatenate([[0], np.cumsum([len(x) // size for x in blobs])])
-        return pa.table({"tile": table.column("tile"), "bucket": table.column("bucket"),
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "tiles": table.column("tiles"),
+                         "counts": table.column("counts"),
                          "part": pa.array([verdict[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())})
 
+    def home(table):
+        import pyarrow as pa
+        table = table.sort_by("bucket")
+        tiles = table.column("tiles")[0].as_py()
+        out = [[] for _ in tiles]
+        for counts, part in zip(table.column("counts").to_pylist(), table.column("part").to_pylist()):
+            at = 0
+            for own, n in zip(out, counts):
+                own.append(part[at:at + n])
+                at += n
+        return pa.table({"tile": pa.array(tiles, pa.int64()), "verdicts": pa.array([b"".join(x) for x in out], pa.binary())})
+
     more = F.col("extra") if extra else F.lit(b"").alias("extra")
-    sent = rows.select("tile", "fps", more).mapInArrow(cut, "bucket int, tile long, blob binary")
-    judged = sent.groupBy("bucket").applyInArrow(settle, "tile long, bucket int, part binary")
-    whole = judged.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("bucket", "part"))).alias("parts"))
-    return whole.select("tile", F.aggregate(
-        "parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("verdicts"))
+    sent = rows.select("tile", "fps", more).mapInArrow(
+        cut, "bucket int, chunk long, tiles array<long>, counts array<long>, blob binary")
+    judged = sent.groupBy("bucket").applyInArrow(
+        settle, "chunk long, bucket int, tiles array<long>, counts array<long>, part binary")
+    return judged.groupBy("chunk").applyInArrow(home, "tile long, verdicts binary")
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
