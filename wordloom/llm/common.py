@@ -4,6 +4,7 @@ numpy, and a packed exchange of fingerprints."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 M64 = (1 << 64) - 1
+_made: list[DataFrame] | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
-    return out
+    return _noted(out)
+
+
+@contextmanager
+def scratch_tables():
+    """Collects the tables that ``written`` and ``bucketed`` make inside, for
+    ``drop_written`` once their reader is through."""
+    global _made
+    outer, _made = _made, []
+    try:
+        yield _made
+    finally:
+        if outer is not None:
+            outer.extend(_made)
+        _made = outer
+
+
+def _noted(df: DataFrame) -> DataFrame:
+    if _made is not None:
+        _made.append(df)
+    return df
 
 
 def drop_written(df: DataFrame) -> None:
@@ -237,7 +259,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
      .option("path", path).saveAsTable(table))
     out = spark.table(table)
     out._written_path, out._written_table = path, table
-    return out
+    return _noted(out)
 
 
 # --- words of packed texts ------------------------------------------------------

@@ -47,7 +47,7 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", order: str = "doc_
     case) are replaced."""
     new = {"n_lines", "n_removed", "n_runs"}
     docs = docs.select([c for c in docs.columns if c.lower() not in new])
-    rid = fresh(docs, "_rid")
+    rid, gone_col = fresh(docs, "_rid"), fresh(docs, "_gone")
     held = written(docs.withColumn(rid, F.monotonically_increasing_id()), "lines")
     split = F.split(F.col(text), "\n")
     full = F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
@@ -77,23 +77,23 @@ def remove_repeated_runs(docs: DataFrame, text: str = "text", order: str = "doc_
     later = windows.join(first, ["n", "w"]).where(~F.col("place").eqNullSafe(F.col("first")))
     gone = later.groupBy("rid").agg(F.collect_list(F.struct("s", "n")).alias("s"))
     gone = gone.select(F.col("rid").alias(rid), F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "s", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))).alias("_gone"))
-    runs = F.size(F.filter(F.transform("_gone", lambda x, i: F.when(i == 0, True).otherwise(
-        F.element_at("_gone", F.greatest(i, F.lit(1))) != x - 1)), lambda b: b))
+        "s", lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1))))).alias(gone_col))
+    runs = F.size(F.filter(F.transform(gone_col, lambda x, i: F.when(i == 0, True).otherwise(
+        F.element_at(gone_col, F.greatest(i, F.lit(1))) != x - 1)), lambda b: b))
 
     # the n-th non-blank line goes if n is listed
     def kept(lines):
         every = F.sequence(F.lit(0), F.size(lines) - 1)
         full = F.filter(every, lambda i: F.trim(F.get(lines, i)) != "")
-        left = bind(full, lambda f: F.array_except(every, F.transform("_gone", lambda n: F.get(f, n))))
+        left = bind(full, lambda f: F.array_except(every, F.transform(gone_col, lambda n: F.get(f, n))))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
     out = held.join(gone, rid, "left").drop(rid)
     out = out.withColumn("n_lines", F.coalesce(F.size(split).cast("long"), F.lit(0))) \
         .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long")) \
-        .withColumn("n_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long")) \
-        .withColumn("n_runs", F.coalesce(F.when(F.col("_gone").isNotNull(), runs), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col("_gone").isNotNull(), bind(split, kept)).otherwise(F.col(text))).drop("_gone")
+        .withColumn("n_removed", F.coalesce(F.when(F.col(gone_col).isNotNull(), F.size(gone_col)), F.lit(0)).cast("long")) \
+        .withColumn("n_runs", F.coalesce(F.when(F.col(gone_col).isNotNull(), runs), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.when(F.col(gone_col).isNotNull(), bind(split, kept)).otherwise(F.col(text))).drop(gone_col)
 
 
 _SQL = """

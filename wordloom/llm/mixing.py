@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read, written
+from .common import read, written
 from .registry import register
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,65 +72,63 @@ def pareto_mix(docs: DataFrame, targets: DataFrame, size: str, source: str, key:
     Null sources are a source of their own; null or empty texts have size 0
     and are taken 0 times their size; an empty table gives no rows."""
     new = {"source_size", "target", "copies", "taken"}
-    docs = docs.select([c for c in docs.columns if c.lower() not in new])
-    u, slice_, odds = (fresh(docs, c) for c in ("_u", "_slice", "_odds"))
+    kept = [c for c in docs.columns if c.lower() not in new]
+    has_id = "doc_id" in docs.columns
     n = docs.count()
     slices = max(64, n // CUT_ROWS)
     t = targets.select(
-        F.col("source").alias("_source"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("_whole"))
+        F.col("source").alias("t_source"), "source_size", "target",
+        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"))
     small = F.broadcast if targets.count() <= BROADCAST_SOURCES else (lambda df: df)
-    t = t.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    t = t.withColumn("_p", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0))
-    d = (docs.join(small(t), F.col(source).eqNullSafe(F.col("_source")))
-         .withColumn(u, key)
+    t = t.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    t = t.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
+    # the caller's columns travel in one column, so that their names meet no other
+    d = docs.select(F.struct(*kept).alias("row"), F.col(size).alias("size"), F.col(source).alias("source"), key.alias("u"),
+                    (F.col("doc_id") if has_id else F.lit(0)).alias("id"))
+    d = (d.join(small(t), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
          # random odds over inclusion odds; no chance ranks last
-         .withColumn(odds, F.when(F.col("_p") > 0, F.col(u) / (1 - F.col(u)) * (1 - F.col("_p")) / F.col("_p")))
-         .withColumn(slice_, F.floor(F.col(u) * slices)))
+         .withColumn("odds", F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")))
+         .withColumn("slice", F.floor(F.col("u") * slices)))
     d = written(d, "ranks")
-    sums = d.groupBy("_source", slice_).agg(F.sum(size).alias("_words"), F.first("_rest").alias("_rest"))
-    before = Window.partitionBy("_source").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
-    cut = sums.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    cut = (cut.where("_before + _words > _rest").groupBy("_source")
-           .agg(F.min(F.struct(F.col(slice_).alias("s"), F.col("_before").alias("b"))).alias("c"))
-           .select(F.col("_source").alias("_cut_source"), F.col("c.s").alias("_cut"), F.col("c.b").alias("_cut_before")))
-    d = d.join(small(cut), F.col("_source").eqNullSafe(F.col("_cut_source")), "left")
-    row_order = [odds, size] + [c for c in ("doc_id",) if c in docs.columns]
-    inside = d.where(F.col(slice_) == F.col("_cut"))
-    w = Window.partitionBy("_source").orderBy(*row_order)
-    inside = inside.withColumn("_sum", F.col("_cut_before") + F.sum(size).over(
+    sums = d.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    cut = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    cut = (cut.where("before + words > rest").groupBy("source")
+           .agg(F.min(F.struct(F.col("slice").alias("s"), F.col("before").alias("b"))).alias("c"))
+           .select(F.col("source").alias("cut_source"), F.col("c.s").alias("cut"), F.col("c.b").alias("cut_before")))
+    d = d.join(small(cut), F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    inside = d.where(F.col("slice") == F.col("cut"))
+    w = Window.partitionBy("source").orderBy("odds", "size", "id")
+    inside = inside.withColumn("sum", F.col("cut_before") + F.sum("size").over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
-    outside = d.where(F.col("_cut").isNull() | (F.col(slice_) != F.col("_cut"))).withColumn("_sum", F.lit(None).cast("long"))
-    chosen = (F.col("_p") > 0) & (F.col("_cut").isNull() | (F.col(slice_) < F.col("_cut"))
-                                  | ((F.col(slice_) == F.col("_cut")) & (F.col("_sum") <= F.col("_rest"))))
-    ranked = written(inside.unionByName(outside).withColumn("_in", F.coalesce(chosen, F.lit(False))), "ranked")
+    outside = d.where(F.col("cut").isNull() | (F.col("slice") != F.col("cut"))).withColumn("sum", F.lit(None).cast("long"))
+    chosen = (F.col("p") > 0) & (F.col("cut").isNull() | (F.col("slice") < F.col("cut"))
+                                 | ((F.col("slice") == F.col("cut")) & (F.col("sum") <= F.col("rest"))))
+    ranked = written(inside.unionByName(outside).withColumn("in", F.coalesce(chosen, F.lit(False))), "ranked")
     # the gap that is left, and the largest unchosen document that fits it
-    left = (ranked.groupBy("_source").agg((F.first("_rest") - F.sum(F.when(F.col("_in"), F.col(size)).otherwise(0))).alias("_gap"))
-            .withColumnRenamed("_source", "_gap_source"))
-    open_rows = ranked.where(~F.col("_in") & (F.col("_p") > 0) & (F.col(size) > 0)).join(
-        small(left), F.col("_source").eqNullSafe(F.col("_gap_source"))).where(F.col(size) <= F.col("_gap"))
-    filler = (open_rows.groupBy("_source").agg(F.max(F.struct(F.col(size).alias("z"), (-F.col(u)).alias("u"),
-                                                              *[F.col(c) for c in row_order[2:]])).alias("_fill"))
-              .withColumnRenamed("_source", "_fill_source"))
-    out = ranked.join(small(filler), F.col("_source").eqNullSafe(F.col("_fill_source")), "left")
+    left = (ranked.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("gap"))
+            .withColumnRenamed("source", "gap_source"))
+    open_rows = ranked.where(~F.col("in") & (F.col("p") > 0) & (F.col("size") > 0)).join(
+        small(left), F.col("source").eqNullSafe(F.col("gap_source"))).where(F.col("size") <= F.col("gap"))
+    filler = (open_rows.groupBy("source").agg(F.max(F.struct(F.col("size").alias("z"), (-F.col("u")).alias("u"), "id")).alias("fill"))
+              .withColumnRenamed("source", "fill_source"))
+    out = ranked.join(small(filler), F.col("source").eqNullSafe(F.col("fill_source")), "left")
     # of repeated rows that tie for the gap only the first fills it
-    ties = Window.partitionBy("_source", size, u, *row_order[2:]).orderBy(F.lit(1))
-    match = ((F.col(size) == F.col("_fill.z")) & (-F.col(u) == F.col("_fill.u")) & ~F.col("_in"))
-    for c in row_order[2:]:
-        match = match & F.col(c).eqNullSafe(F.col(f"_fill.{c}"))
+    ties = Window.partitionBy("source", "size", "u", "id").orderBy(F.lit(1))
+    match = ((F.col("size") == F.col("fill.z")) & (-F.col("u") == F.col("fill.u")) & F.col("id").eqNullSafe(F.col("fill.id"))
+             & ~F.col("in"))
     fits = F.coalesce(match, F.lit(False))
-    hit = out.where(fits).withColumn("_tie", F.row_number().over(ties))
-    out = out.where(~fits).withColumn("_tie", F.lit(0)).unionByName(hit)
-    copies = F.col("_whole") + (F.col("_in") | (F.col("_tie") == 1)).cast("long")
-    keep = [c for c in docs.columns]
-    return out.select(*keep, "source_size", "target", copies.cast("long").alias("copies"),
-                      (copies * F.col(size)).cast("long").alias("taken"))
+    hit = out.where(fits).withColumn("tie", F.row_number().over(ties))
+    out = out.where(~fits).withColumn("tie", F.lit(0)).unionByName(hit)
+    copies = F.col("whole") + (F.col("in") | (F.col("tie") == 1)).cast("long")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "source_size", "target",
+                      copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source",
                   name: str = "_size") -> DataFrame:
     """Documents with size (words), source_size, target, copies and taken."""
-    sized = docs.withColumn(name, word_count(text))
+    sized = docs.select([c for c in docs.columns if c.lower() != name.lower()] + [word_count(text).alias(name)])
     sources = sized.groupBy(F.col(source).alias("source")).agg(F.sum(name).alias("source_size"))
     return pareto_mix(sized, written(water_filled(sources), "targets"), name, source, random_unit("doc_id", source, name))
 

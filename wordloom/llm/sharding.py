@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read, written
+from .common import read, written
 from .registry import register
 
 SHARDS = 16
@@ -62,50 +62,49 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED,
     0 in each shard): a uniform random permutation, cut into shards whose row
     counts differ by one at most.
 
-    Each input partition is a block: it is permuted locally, its first rows
-    go to shard 0, the next to shard 1 and so on as the drawn matrix says, and
-    every shard is permuted again.  Only block counts reach the driver (one
-    number per input partition).  The permuted blocks are written first, so
-    that a lost executor cannot deal a row twice.
+    Each input partition is a block: its rows are ranked in a random order, its
+    first ones go to shard 0, the next to shard 1 and so on as the drawn matrix
+    says, and every shard is permuted again.  Only block counts reach the
+    driver (one number per input partition).  The rows are written once, with
+    the numbers that the drawing works on, so that a lost executor cannot deal
+    a row twice; only numbers are ranked and dealt, and each whole row moves
+    once, to meet its shard and slot.
 
     Nulls, empty or long texts and repeated rows need no care: every row counts
     once whatever it holds.  An empty table gives no rows.  Columns of ``df``
-    called like the two new ones (any case) are replaced by them."""
+    called like the two new ones (any case) are replaced by them; all others
+    may have any name."""
     spark = df.sparkSession
     clash = {shard.lower(), slot.lower()}
-    df = df.select([c for c in df.columns if c.lower() not in clash])
-    at = fresh(df, "_at")
-    held = written(df.sortWithinPartitions(F.rand(seed)).withColumn(at, F.monotonically_increasing_id()),
-                   "blocks")
-    block, rank = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
-    counts = sorted((r["block"], r["n"]) for r in
-                    held.groupBy(block.alias("block")).agg(F.count("*").alias("n")).collect())
+    user = [c for c in df.columns if c.lower() not in clash]
+    # the caller's columns travel in one column, so that their names meet no other
+    row = F.struct(*user) if user else F.struct(F.lit(0))
+    held = written(df.select(row.alias("row"), F.monotonically_increasing_id().alias("at")), "rows")
+    keys = held.select("at", F.shiftright("at", 33).alias("block"))
+    counts = sorted((r["block"], r["n"]) for r in keys.groupBy("block").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in counts)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
-    ends = [(b, [int(x) for x in np.cumsum(row)]) for (b, _), row in zip(counts, matrix)]
-    ends = spark.createDataFrame(ends, "_block long, _ends array<long>")
+    ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(r)]) for (b, _), r in zip(counts, matrix)],
+                                 "block long, ends array<long>")
     if len(counts) * shards <= BROADCAST_CELLS:
         ends = F.broadcast(ends)
-    part = fresh(df, "_part")
     parts = max(1, math.ceil(total / shards / SLOT_ROWS))
-    key = F.xxhash64(F.lit(seed), at)
-    dealt = (held.join(ends, block == F.col("_block"))
-             .withColumn(shard, F.size(F.filter("_ends", lambda e: e <= rank)))
-             .withColumn(part, F.floor((F.shiftrightunsigned(key, 1) / float(1 << 63)) * parts)
-                         .cast("int"))
-             .drop("_block", "_ends"))
-    sums = dealt.groupBy(shard, part).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sums.select(F.col(shard).alias("_s"), F.col(part).alias("_p"), "_n")
-              .select("_s", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "at")
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(draw(0), "at")) - 1)
+    dealt = written(ranked.join(ends, "block").select(
+        "at", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"),
+        F.floor((F.shiftrightunsigned(draw(1), 1) / float(1 << 63)) * parts).cast("int").alias("part")), "dealt")
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
+              .select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
     if parts * shards <= BROADCAST_CELLS:
         starts = F.broadcast(starts)
-    numbered = dealt.withColumn("_row", F.row_number().over(
-        Window.partitionBy(shard, part).orderBy(F.xxhash64(F.lit(seed), at), at)))
-    return (numbered.join(starts, (F.col(shard) == F.col("_s")) & (F.col(part) == F.col("_p")))
-            .withColumn(slot, F.col("_start") + F.col("_row") - 1)
-            .drop(at, part, "_row", "_s", "_p", "_start"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy(draw(1), "at")) - 1
+    assigned = (dealt.withColumn("place", place).join(starts, ["shard", "part"])
+                .select("at", "shard", (F.col("start") + F.col("place")).alias("slot")))
+    return held.join(assigned.hint("shuffle_hash"), "at").select(
+        *[F.col("row").getField(c).alias(c) for c in user], F.col("shard").alias(shard), F.col("slot").alias(slot))
 
 
 @register("op5_sharding")
