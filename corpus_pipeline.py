@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.alignment import without_leaks
-from wordloom.llm.common import fresh, read, written
+from wordloom.llm.common import drop_written, fresh, read, scratch_tables, written
 from wordloom.llm.jaccard import jaccard_components
 from wordloom.llm.mixing import pareto_mix, random_unit, water_filled, word_count
 from wordloom.llm.sharding import shuffle_into_shards
@@ -46,14 +46,16 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    row, size = fresh(docs, "_row"), fresh(docs, "_size")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(size, word_count()), "mix")
-    keys = held.select(row, "doc_id", "source", size)
-    sources = keys.groupBy("source").agg(F.sum(size).alias("source_size"))
-    mixed = pareto_mix(keys, written(water_filled(sources), "targets"), size, "source", random_unit("doc_id", "source", size))
-    taken = written(mixed.where("copies > 0").select(row, "copies"), "taken")
-    return (held.join(taken, row).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*docs.columns))
+    # the documents travel in one column, so that their names meet no other
+    held = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"),
+                               word_count().alias("size")), "mix")
+    keys = held.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), "size")
+    sources = keys.groupBy("source").agg(F.sum("size").alias("source_size"))
+    mixed = pareto_mix(keys, written(water_filled(sources), "targets"), "size", "source", random_unit("doc_id", "source", "size"))
+    taken = mixed.where("copies > 0").select("row", "copies")
+    return (held.select("doc", "row").join(taken.hint("shuffle_hash"), "row")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select("doc.*"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = read(spark, sf_dir, "documents")
+    docs, held = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_tables() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        # nothing reads the stage's own tables or its input any more
+        for table in [x for x in made if x is not docs] + ([held] if held is not None else []):
+            drop_written(table)
+        held = docs
     return docs
