@@ -215,3 +215,19 @@ def test_csv_queries_keep_every_source(spark, tmp_dir):
     assert len(got) == len(whole) and dict(got) == {k: "\n".join(v) for k, v in whole.items()}
     got = [((r.source, r.block), r.text) for r in q.csv_corpora_files(spark, tmp_dir).collect()]
     assert len(got) == len(blocks) and dict(got) == {k: "\n".join(v) for k, v in blocks.items()}
+
+
+def test_types_from_content(spark):
+    files_ = [("a.txt", b"%PDF-1.4 x", "application/pdf"), ("a.txt", b"\x89PNG\r\n\x1a\nxx", "image/png"), ("a.txt", b"PK\x03\x04x", "application/zip"),
+              ("a.txt", b"text\x00more", "application/octet-stream"), ("a.txt", b"\xef\xbb\xbf <!DOCTYPE html><p>", "text/html"),
+              ("a.txt", b" <HTML lang=x>", "text/html"), ("a.txt", b"<htmlx", "text/plain"), ("a.txt", b"<?xml version='1'?>", "application/xml"),
+              ("a.json", b'{"a": [1]}\n', "application/json"), ("a.json", b"[1, 2]", "application/json"), ("a.json", b"{broken", "text/plain"),
+              ("a.jsonl", b'{"a": 1}\n{"a": 2}\n', "application/json"), ("A.CSV", b"a,b\n1,2", "text/csv"), ("a.txt", "café {x}".encode("latin-1"), "text/plain"),
+              ("a.txt", b"", "text/plain"), ("a.txt", None, None)]
+    df = spark.createDataFrame([(i, n, c) for i, (n, c, _) in enumerate(files_)], "i INT, path STRING, content BINARY") \
+        .selectExpr("*", "coalesce(octet_length(content), 0) as length")
+    got = {r.i: r.m for r in df.select("i", files.mime_type(df.content, df.path).alias("m")).collect()}
+    assert [got[i] for i in range(len(files_))] == [k for _, _, k in files_]
+    reasons = {r.i: r.reason for r in files.admit_files(df, mimetypes=files.ALLOWED_MIMETYPES).collect()}
+    assert reasons[0] == reasons[4] == "mimetype" and reasons[8] is None and reasons[12] is None and reasons[14] == "empty"
+    assert {r.i: r.reason for r in files.admit_files(df).collect()}[4] is None

@@ -100,3 +100,16 @@ def test_normaliser_equals_unicodedata(spark):
         want = None if t is None else unicodedata.normalize("NFKC", t)
         # lower case is checked where Java and Python agree on it
         assert got[i] == (want if want is None else want.lower()) or any(c in t for c in "İẞ")
+
+
+def test_split_pattern_equals_the_published_one(spark):
+    import random
+    from wordloom.operators import pretokenize as pt
+    rng = random.Random(3)
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "'", "''", " ", "  ", "\n", "\t ", " ", "a", "Zé", "日本", "1", "٣", "½",
+             "!", "...", "-", "_", "🙂", "́", "'S", "x'l", "'lll", "\x1c", "\x85"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    row = df.select(F.sum(F.when(F.regexp_extract_all("t", F.lit(pt.GPT2_PATTERN), 0)
+                                 == F.regexp_extract_all("t", F.lit(pt._SPLIT), 0), 0).otherwise(1)).alias("n")).first()
+    assert row.n == 0

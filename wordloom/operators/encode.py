@@ -75,6 +75,7 @@ class WordMerger:
                 number.setdefault(t, len(number))
         pairs = sorted(((number[l] << 32) | number[r], rank, number[l + r]) for (l, r), rank in ranks.items())
         self.codes, self.ranks, self.merged = (np.array([x[k] for x in pairs], np.int64) for k in range(3))
+        self.places = _hash_places(self.codes)
         self.rank_of, self.number = ranks, number
         # vocabulary id of each symbol; -1: none, so it is left out
         self.ids = np.full(len(number), -1 if unk is None else unk, np.int64)
@@ -93,8 +94,9 @@ class WordMerger:
             own = [self.number[x] for x in _bpe_symbols(words[k], self.rank_of)]
             done.append(np.array(own, np.int64))
             done_at.append(np.full(len(own), k))
+        rank, at = np.full(len(symbols), _NO_RANK), np.zeros(len(symbols), np.int64)
+        self._rank(symbols, where, np.arange(len(symbols)), rank, at)
         while len(symbols):
-            rank, at = self._ranked(symbols, where)
             start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
             least = np.minimum.reduceat(rank, start)
             least = np.repeat(least, np.diff(np.append(start, len(where))))
@@ -112,7 +114,10 @@ class WordMerger:
             taken = hit & ((place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0)
             symbols = np.where(taken, self.merged[at], symbols)
             keep = ~np.concatenate([[False], taken[:-1]])
-            symbols, where = symbols[keep], where[keep]
+            new = (np.cumsum(keep) - 1)[taken]
+            symbols, where, rank, at = symbols[keep], where[keep], rank[keep], at[keep]
+            # only the pairs with a new symbol have another rank
+            self._rank(symbols, where, np.concatenate([new, new[new > 0] - 1]), rank, at)
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         where = np.concatenate(done_at)
@@ -120,14 +125,37 @@ class WordMerger:
         ids, where = self.ids[np.concatenate(done)[order]], where[order]
         return ids[ids >= 0].astype(np.int32), np.bincount(where[ids >= 0], minlength=len(words))
 
-    def _ranked(self, symbols: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of the pair that begins at each symbol, and its place among the pairs."""
-        if not len(self.codes):
-            return np.full(len(symbols), _NO_RANK), np.zeros(len(symbols), np.int64)
-        code = np.append((symbols[:-1] << 32) | symbols[1:], -1)
-        code[:-1][where[1:] != where[:-1]] = -1
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.ranks[at], _NO_RANK), at
+    def _rank(self, symbols: np.ndarray, where: np.ndarray, ask: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        """Set the rank of the pairs that begin at ``ask``, and their places among the pairs."""
+        rank[ask] = _NO_RANK
+        ask = ask[ask < len(symbols) - 1]
+        ask = ask[where[ask] == where[ask + 1]]
+        code = (symbols[ask] << 32) | symbols[ask + 1]
+        slot = _first_slot(code, len(self.places))
+        while len(ask):     # along the slots until the pair or an empty one
+            found = self.places[slot]
+            right = found >= 0
+            right[right] = self.codes[found[right]] == code[right]
+            at[ask[right]] = found[right]
+            rank[ask[right]] = self.ranks[found[right]]
+            on = (found >= 0) & ~right
+            ask, code, slot = ask[on], code[on], (slot[on] + 1) & (len(self.places) - 1)
+
+
+def _first_slot(codes: np.ndarray, size: int) -> np.ndarray:
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _hash_places(codes: np.ndarray) -> np.ndarray:
+    """An open hash table over ``codes``: the place of a code stands in its
+    first slot or, if that is taken, the next free one; -1 is free."""
+    size = 1 << max(4, (4 * len(codes)).bit_length())
+    places = np.full(size, -1)
+    for k, slot in enumerate(_first_slot(codes, size).tolist()):
+        while places[slot] >= 0:
+            slot = (slot + 1) & (size - 1)
+        places[slot] = k
+    return places
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:

@@ -102,3 +102,35 @@ def page_admission(spark, sf):
                                          F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
     a = files.admit_files(p.withColumn("length", F.octet_length("content")), [".html"])
     return a.select("page_id", "reason", F.md5(files.decode_with_fallback(F.col("content"))).alias("text_md5"))
+
+
+# S8 with declared types: pages, documents, turns as JSON and event properties stand for files ---
+_TYPE_SQL = r"""case when regexp_matches(t, '(?i)^[ \t\r\n]*<(!doctype html|html|head|body)[\s>]') then 'text/html'
+    when regexp_matches(t, '^[ \t\r\n]*<\?xml') then 'application/xml'
+    when regexp_matches(t, '^[ \t\r\n]*[{]') and regexp_matches(t, '[}][ \t\r\n]*$') then 'application/json'
+    when regexp_matches(t, '^[ \t\r\n]*\[') and regexp_matches(t, '\][ \t\r\n]*$') then 'application/json' else 'text/plain' end"""
+
+
+@register("declared_types", rf"""
+with f as (select 'page' as kind, page_id as id, html as t from pages union all select 'document', doc_id, text from documents
+  union all select 'turn', conv_id * 1000 + turn, '{{"role":"' || role || '"}}' from conversations
+  union all select 'event', event_id, props from events)
+select kind, id, case when t is null then null else {_TYPE_SQL} end as mime_type,
+  case when t is null or t = '' then 'empty' when {_TYPE_SQL} not in ('text/plain', 'application/json', 'text/csv') then 'mimetype'
+    when not regexp_matches(t, '\S') then 'blank' end as reason
+from f
+""")
+def declared_types(spark, sf):
+    rows = [("pages", "page", "page_id", F.col("html")), ("documents", "document", "doc_id", F.col("text")),
+            ("conversations", "turn", "conv_id", F.to_json(F.struct("role"))), ("events", "event", "event_id", F.col("props"))]
+    parts = []
+    for name, kind, key, text in rows:
+        number = F.col("conv_id") * 1000 + F.col("turn") if name == "conversations" else F.col(key)
+        parts.append(table(spark, sf, name).select(F.lit(kind).alias("kind"), number.cast("bigint").alias("id"), F.lit("f.txt").alias("path"),
+                                                   F.encode(text, "UTF-8").alias("content")))
+    f = parts[0]
+    for p in parts[1:]:
+        f = f.unionByName(p)
+    f = f.withColumn("mime_type", files.mime_type(F.col("content"), F.col("path"))) \
+         .withColumn("length", F.coalesce(F.octet_length("content"), F.lit(0)))
+    return files.admit_files(f, mimetypes=files.ALLOWED_MIMETYPES).select("kind", "id", "mime_type", "reason")

@@ -19,6 +19,7 @@ log = logging.getLogger(__name__)
 
 # --- fixed values: admission ----------------------------------------------
 ALLOWED_EXTENSIONS = [".txt", ".json", ".jsonl", ".csv"]
+ALLOWED_MIMETYPES = ["text/plain", "application/json", "text/csv"]
 # ---------------------------------------------------------------------------
 
 
@@ -161,13 +162,47 @@ def read_binary(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(root)
 
 
+#: Leading bytes of formats that are no text, and the type that they tell.
+SIGNATURES = {
+    "25504446": "application/pdf", "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif",
+    "474946383961": "image/gif", "504B0304": "application/zip", "1F8B": "application/gzip", "28B52FFD": "application/zstd",
+    "425A68": "application/x-bzip2", "FD377A585A00": "application/x-xz", "7F454C46": "application/x-elf",
+    "504152310000": "application/vnd.apache.parquet", "7B5C727466": "application/rtf",
+}
+
+
+def mime_type(content: Column, path: Column) -> Column:
+    """The type that a file's content tells, in built-in expressions: a known
+    signature in the leading bytes; ``application/octet-stream`` with a NUL byte
+    in the first kilobyte; by its first characters (byte order mark and white
+    space passed over) HTML, XML or JSON (an object or array that closes, or
+    lines of objects); else ``text/csv`` for a .csv file and ``text/plain``.
+    Null content gives null."""
+    head = F.hex(F.substring(content, 1, 8))
+    found = F.lit(None).cast("string")
+    for signature, kind in sorted(SIGNATURES.items()):
+        found = F.when(head.startswith(signature), kind).otherwise(found)
+    # all bytes stay apart as Latin-1 characters, whatever the text's encoding
+    start = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    start = F.regexp_replace(start, "^\u00ef\u00bb\u00bf", "")
+    end = F.regexp_extract(F.decode(F.substring(content, -64, 64), "ISO-8859-1"), r"([\]}])[ \t\r\n]*$", 1)
+    first = F.regexp_extract(start, r"^[ \t\r\n]*([\[{])", 1)
+    return (F.when(content.isNull(), None).when(found.isNotNull(), found)
+             .when(start.contains("\x00"), "application/octet-stream")
+             .when(start.rlike(r"(?i)^[ \t\r\n]*<(!doctype html|html|head|body)[\s>]"), "text/html")
+             .when(start.rlike(r"^[ \t\r\n]*<\?xml"), "application/xml")
+             .when((first == "{") & (end == "}") | (first == "[") & (end == "]"), "application/json")
+             .when(F.lower(path).endswith(".csv"), "text/csv").otherwise("text/plain"))
+
+
 def admit_files(df: DataFrame, extensions: list[str] | None = None,
-                max_bytes: int | None = None) -> DataFrame:
+                max_bytes: int | None = None, mimetypes: list[str] | None = None) -> DataFrame:
     """Adds ``admitted`` and ``reason`` to a binaryFile frame.
 
     Admitted when the extension is allowed, the size is within ``max_bytes``
-    (None: any size) and the whole content decodes (UTF-8, else the fallback
-    of S9) to a non-blank text.
+    (None: any size), the content's type is one of ``mimetypes`` (None: any;
+    ALLOWED_MIMETYPES are the declared ones) and the whole content decodes
+    (UTF-8, else the fallback of S9) to a non-blank text.
     """
     exts = [e.lower() for e in (extensions or ALLOWED_EXTENSIONS)]
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]+)$", 1))
@@ -178,6 +213,7 @@ def admit_files(df: DataFrame, extensions: list[str] | None = None,
     reason = (F.when(~ext.isin(*exts), F.lit("extension"))
                .when(too_large, F.lit("size"))
                .when(F.col("length") == 0, F.lit("empty"))
+               .when(F.lit(False) if mimetypes is None else ~mime_type(content, F.col("path")).isin(*mimetypes), F.lit("mimetype"))
                .when(text.isNull(), F.lit("encoding"))
                .when(~tx.is_not_blank(text), F.lit("blank")))
     return df.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull())
