@@ -231,3 +231,24 @@ def test_types_from_content(spark):
     reasons = {r.i: r.reason for r in files.admit_files(df, mimetypes=files.ALLOWED_MIMETYPES).collect()}
     assert reasons[0] == reasons[4] == "mimetype" and reasons[8] is None and reasons[12] is None and reasons[14] == "empty"
     assert {r.i: r.reason for r in files.admit_files(df).collect()}[4] is None
+
+
+def test_csv_parts_are_bounded_and_headers_may_have_newlines(spark, tmp_dir):
+    values = [f'value {i}, with "quotes"\nand a line' + "x" * (i % 50) for i in range(500)]
+    quoted = ['"' + v.replace('"', '""') + '"' for v in values]
+    _write(f"{tmp_dir}/a.csv", '﻿"first\nname","more ""x""",TEXT,z\r\n' + "".join(f"{i},,{q},\r\n" for i, q in enumerate(quoted)))
+    _write(f"{tmp_dir}/b.csv", "\n\nText,text\nq,r\n,\n\"\",s\n")
+    _write(f"{tmp_dir}/c.csv", "a\n1\n")
+    _write(f"{tmp_dir}/d.csv", "text\n")
+    _write(f"{tmp_dir}/e.csv", "")
+    _write(f"{tmp_dir}/f.csv", "text")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)      # a split of the file is no end of it
+    try:
+        parts = files.csv_corpus_parts(spark, tmp_dir, part_chars=2000).collect()
+        whole = {os.path.basename(r.path): r.text for r in files.csv_corpus(spark, tmp_dir).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert whole == {"a.csv": "\n".join(values), "b.csv": "q", "c.csv": None, "d.csv": None, "f.csv": None}
+    own = sorted((r.part, r.text) for r in parts if r.path.endswith("a.csv"))
+    assert [p for p, _ in own] == list(range(len(own))) and len(own) > 10
+    assert "\n".join(t for _, t in own) == "\n".join(values) and max(len(t) for _, t in own) < 2200

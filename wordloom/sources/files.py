@@ -7,7 +7,6 @@ from __future__ import annotations
 import logging
 import os
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,49 +89,131 @@ def text_file_corpus(spark: SparkSession, root: str,
 
 
 # S2 ---------------------------------------------------------------------------
+#: Characters from which on the rows of a file go into a new part.
+PART_CHARS = 1 << 20
+_CSV = {"multiLine": "true", "quote": '"', "escape": '"'}
+
+
 def csv_corpus(spark: SparkSession, root: str, pattern: str = "*.csv",
                text_column: str | None = None) -> DataFrame:
-    """One document per CSV file: the non-null values of its text column
-    (first column named ``text`` in any case, or ``text_column``) joined by
-    newline in file order; a file without such a column gives null.
-
-    Header and column are chosen per file: files are read together with those
-    of the same header line.  Only the different header lines and the file
-    names of each reach the driver, which lists the files anyway."""
+    """One document per CSV file: (path, text) with the non-null values of its
+    text column (first column named ``text`` in any case, or ``text_column``)
+    joined by newline in file order; a file without such a column gives null.
+    A whole file is one row here; ``csv_corpus_parts`` has bounded rows."""
+    parts = csv_corpus_parts(spark, root, pattern, text_column)
+    return parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p")).select(
+        "path", F.when(F.get("p.text", F.lit(0)).isNotNull(), F.array_join("p.text", "\n")).alias("text"))
+
+
+def csv_corpus_parts(spark: SparkSession, root: str, pattern: str = "*.csv",
+                     text_column: str | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """As ``csv_corpus`` in rows of a bounded size: (path, part, text), the parts
+    of a file numbered from 0; joined by newline in that order they are the
+    document.  A part ends with the value that takes it to ``part_chars``
+    characters.  A file without the column, or without a value in it, is one
+    part of null.
+
+    Files are parsed as streams where they are read, quoted newlines in values
+    and headers included: no file is held whole, whatever its size, and no
+    list of files is made.  Two passes: the header records tell how many
+    columns there are at most and where text columns stand; then each file's
+    own header chooses among those."""
+    wanted = (text_column or "text").lower()
 
     def heads(opts, target, keep):
-        df = spark.read.options(**opts).text(target)
+        df = spark.read.options(**opts).option("lineSep", "\n").text(target)
         df = df if keep is None else df.where(keep)
-        lines = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                          F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-        return lines.groupBy("path").agg(F.min_by("value", F.struct("start", "row")).alias("head"))
+        return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
 
-    found = _read_pattern(spark, root, pattern, heads)
-    groups = found.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect() if found is not None else []
-    if not groups:
+    lines = _read_pattern(spark, root, pattern, heads)
+    known = None if lines is None else lines.where("start = 0").mapInArrow(
+        lambda batches: _header_records(batches, wanted), "columns int, at int").agg(
+        F.max("columns").alias("columns"), F.sort_array(F.collect_set("at")).alias("at")).first()
+    if known is None or known["columns"] is None:
         log.warning("no CSV files found in %s for %s", root, pattern)
-        return _empty_corpus(spark)
-    parts = [_csv_group(spark, g["paths"], (text_column or "text").lower()) for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return spark.createDataFrame([], "path STRING, part INT, text STRING")
+    # a file without a text column is still known by its first column
+    at = known["at"] or [0]
 
+    def cells(opts, target, keep):
+        schema = ", ".join(f"c{i} string" for i in range(known["columns"]))
+        df = spark.read.options(**opts, **_CSV).schema(schema).csv(target)
+        df = df if keep is None else df.where(keep)
+        return df.select(F.col("_metadata.file_path").alias("path"), *[f"c{i}" for i in at])
+
+    return _read_pattern(spark, root, pattern, cells).mapInArrow(
+        lambda batches: _file_parts(batches, wanted, part_chars), "path string, part int, text string")
+
+
+def _header_records(batches, wanted: str):
+    """(columns, place of the text column or null) of the first record of each
+    file; lines come in file order, a record goes on while a quote is open."""
+    import csv
+    import pyarrow as pa
+    path, held, done = None, "", False
+
+    def record():
+        cells = next(csv.reader([held.removesuffix("\r")], strict=False), [])
+        cells[:1] = [c.removeprefix("\ufeff") for c in cells[:1]]
+        return len(cells), next((i for i, c in enumerate(cells) if c.lower() == wanted), None)
+
+    for b in batches:
+        out = []
+        for p, line in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            if p != path:
+                if path is not None and not done and held:
+                    out.append(record())
+                path, held, done = p, "", False
+            if done or not held and not line.strip("\r\ufeff"):
+                continue
+            held = f"{held}\n{line}" if held else line
+            if held.count('"') % 2 == 0:
+                out.append(record())
+                done = True
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*out)], ["columns", "at"])
+    if path is not None and not done and held:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in record()], ["columns", "at"])
+
+
+def _file_parts(batches, wanted: str, part_chars: int):
+    """Parts of each file from its records in order, the first being the header."""
+    import pyarrow as pa
+    path, column, part, held, size = None, None, 0, [], 0
+    out = []
 
-def _csv_group(spark: SparkSession, paths: list[str], wanted: str) -> DataFrame:
-    raw = (spark.read.options(header="true", multiLine="true", quote='"', escape='"').csv([unquote(p) for p in paths]))
-    files_df = spark.createDataFrame([(p,) for p in paths], "path STRING")
-    col = next((c for c in raw.columns if c.lower() == wanted), None)
-    if col is None:
-        return files_df.withColumn("text", F.lit(None).cast("string"))
-    # multiLine CSV files are never split, so the id order inside a file is
-    # the row order of the file.
-    rows = raw.select(F.col("_metadata.file_path").alias("path"),
-                      F.monotonically_increasing_id().alias("pos"),
-                      F.col(f"`{col}`").cast("string").alias("t")).where(F.col("t").isNotNull())
-    docs = rows.groupBy("path").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), "\n").alias("text"))
-    return files_df.join(docs, "path", "left")
+    def close(last: bool):
+        """A part is due when it is full, or at the end of a file that has no other."""
+        if held or last and not part:
+            out.append((path, part, "\n".join(held) if held else None))
+
+    for b in batches:
+        names = b.column(0).to_pylist()
+        cells = [b.column(i).to_pylist() for i in range(1, b.num_columns)]
+        for r, p in enumerate(names):
+            if p != path:
+                if path is not None:
+                    close(True)
+                path, part, held, size = p, 0, [], 0
+                column = next((i for i, c in enumerate(cells) if (c[r] or "").removeprefix("\ufeff").lower() == wanted), None)
+                continue
+            value = cells[column][r] if column is not None else None
+            if value is None:
+                continue
+            held.append(value)
+            size += len(value) + 1
+            if size >= part_chars:
+                close(False)
+                part, held, size = part + 1, [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string()))],
+                                             ["path", "part", "text"])
+            out = []
+    if path is not None:
+        close(True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string()))],
+                                         ["path", "part", "text"]) if out else pa.RecordBatch.from_pylist([], pa.schema(
+                                             [("path", pa.string()), ("part", pa.int32()), ("text", pa.string())]))
 
 
 # S8 / S9 --------------------------------------------------------------------
