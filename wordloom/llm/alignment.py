@@ -1,5 +1,6 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items,
-Smith-Waterman alignment scores exact, edited and paraphrased copies."""
+"""Benchmark decontamination: rare n-gram seeds (two words, with or without one
+between) join passages to test items, Smith-Waterman alignment scores exact,
+edited and paraphrased copies."""
 
 from __future__ import annotations
 
@@ -9,13 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (WORD_BYTES, Rolling, binary_parts, blocks_of, fresh, read, shingle_hashes, word_bounds, written)
+from .common import WORD_BYTES, Rolling, binary_parts, blocks_of, fresh, read, splitmix, word_bounds, written
 from .registry import register
 
-SEED_WORDS = 3
-#: Share of an item's seeds that occur, rarest first over all documents, of which
-#: one is enough to align a place; of the commoner ones two must point there.
-RARE_SHARE = 0.5
 #: Alignment score over the score of a whole exact copy from which an item counts as leaked.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -51,61 +48,102 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int, int]:
     return score, int(j), end, equal
 
 
+def text_words(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the words (letters, digits, longer characters) of each text."""
+    starts, ends, first = word_bounds(data, offsets, WORD_BYTES)
+    h = Rolling(data, 3).ranges(starts, ends)
+    return [h[a:b] for a, b in zip(first[:-1], first[1:])]
+
+
+def word_pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one ``apart`` further on; 0: of the word alone."""
+    if apart == 0:
+        return splitmix(words + np.uint64(17))
+    return splitmix(words[:-apart] ^ splitmix(words[apart:] + np.uint64(11))) if len(words) > apart else np.zeros(0, np.uint64)
+
+
+def needed_pairs(m: int, threshold: float) -> int:
+    """Of the pairs of neighbouring equal words on a path that reaches the
+    threshold for an item of m words, at least so many have one edit or none
+    between them.  E equal words and D edits score 2E - D >= 2tm; E - 1
+    neighbours share D edits, so at most D / 2 of them have two or more, and
+    E - 1 - floor(D / 2) >= ceil(tm) - 1."""
+    return math.ceil(threshold * m - 1e-9) - 1
+
+
+def longest_path(m: int, threshold: float) -> int:
+    """Words of a text that a path which reaches the threshold spans at most."""
+    return m + math.ceil(2 * m * (1 - threshold)) + 1
+
+
 class Items:
-    """Word hashes of the items and their seeds."""
+    """Word hashes of the items and their seeds.
+
+    A seed is a pair of an item's words next to each other or with one word
+    between them; in the text, too, they stand next to each other or one
+    apart, so a replaced, added or lost word between them does no harm.  A path
+    that reaches the threshold meets ``needed_pairs`` of an item's m - 1 places
+    at least, so of any m - needed_pairs places it meets one: the rarest are
+    kept.  Items too short for that have single words as seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float):
         self.ids = [i for i, _ in rows]
         texts = [t.encode() for _, t in rows]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.words = text_words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        self.threshold = threshold
+        self.need = [needed_pairs(len(w), threshold) for w in self.words]
+        self.pairs = [np.unique(np.concatenate([word_pairs(w, 1), word_pairs(w, 2)])) for w in self.words]
         seeds, item, place = [], [], []
-        for i, w in enumerate(self.words):
-            k = min(SEED_WORDS, len(w))
-            s = shingle_hashes(w, k) if k else np.zeros(0, np.uint64)
-            seeds.append(s)
-            item.append(np.full(len(s), i))
-            place.append(np.arange(len(s)))
+        for i, (w, need) in enumerate(zip(self.words, self.need)):
+            for apart in (1, 2) if need > 0 else (0,):
+                s = word_pairs(w, apart)
+                seeds.append(s)
+                item.append(np.full(len(s), i))
+                place.append(np.arange(len(s)))
         self.seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
         self.item = np.concatenate(item) if item else np.zeros(0, np.int64)
         self.place = np.concatenate(place) if place else np.zeros(0, np.int64)
+        self._index(np.ones(len(self.seed), bool))
+
+    def _index(self, keep: np.ndarray) -> None:
+        self.seed, self.item, self.place = self.seed[keep], self.item[keep], self.place[keep]
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
-        self.lengths = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
-
-    def mark_rare(self, counts: dict[int, int]) -> None:
-        """Drop seeds that no document has and mark each item's rarest
-        RARE_SHARE of the others; of equally rare seeds all are marked."""
+        # which leading bits of a hash any seed has
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.seed >> np.uint64(44)).astype(np.int64)] = True
+        self.shapes = [a for a, k in ((0, any(n < 1 for n in self.need)), (1, any(n > 0 for n in self.need)),
+                                      (2, any(n > 0 for n in self.need))) if k]
+
+    def keep_rare(self, counts: dict[int, int]) -> None:
+        """Of each item the seeds of its rarest places that must be met by every
+        path that reaches the threshold, without those that no document has."""
         df = np.array([counts.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        there = df > 0
-        self.seed, self.item, self.place, df = self.seed[there], self.item[there], self.place[there], df[there]
-        self.rare = np.zeros(len(df), bool)
+        keep = np.zeros(len(df), bool)
         for i in np.unique(self.item):
             own = np.flatnonzero(self.item == i)
-            _, first = np.unique(self.seed[own], return_index=True)
-            by_count = np.sort(df[own][first])
-            self.rare[own] = df[own] <= by_count[math.ceil(len(by_count) * RARE_SHARE) - 1]
-
-
-def text_words(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the words (letters, digits, longer characters) of each text."""
-    starts, ends, first = word_bounds(data, offsets, WORD_BYTES)
-    h = Rolling(data, 3).ranges(starts, ends)
-    return [h[a:b] for a, b in zip(first[:-1], first[1:])]
+            m, need = len(self.words[i]), self.need[i]
+            most = np.bincount(self.place[own], weights=df[own], minlength=m)[:m - 1 if need > 0 else m]
+            # m - 1 places less all but one of those met; of single words the threshold's share is met
+            few = m - need if need > 0 else m - math.ceil(self.threshold * m - 1e-9) + 1
+            rare = np.argsort(most, kind="stable")[:few]
+            keep[own] = np.isin(self.place[own], rare)
+        self._index(keep & (df > 0))
 
 
 def _hits(words: np.ndarray, items: Items):
     """(position in words, index into items.seed) of every seed found."""
     at, which = [], []
-    for k in items.lengths:
-        s = shingle_hashes(words, k)
-        if not len(s) or not len(items.seed):
-            continue
-        low = np.searchsorted(items.seed, s)
-        found = np.flatnonzero((low < len(items.seed)) & (items.seed[np.minimum(low, len(items.seed) - 1)] == s))
-        n = np.searchsorted(items.seed, s[found], "right") - low[found]
+    for apart in items.shapes if len(items.seed) else ():
+        s = word_pairs(words, apart)
+        maybe = np.flatnonzero(items.bits[(s >> np.uint64(44)).astype(np.int64)])
+        low = np.searchsorted(items.seed, s[maybe])
+        there = items.seed[np.minimum(low, len(items.seed) - 1)] == s[maybe]
+        found, low = maybe[there], low[there]
+        n = np.searchsorted(items.seed, s[found], "right") - low
         at.append(np.repeat(found, n))
-        start = np.repeat(low[found], n)
+        start = np.repeat(low, n)
         which.append(start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -138,52 +176,72 @@ def seed_counts(texts: DataFrame, items: Items) -> dict[int, int]:
     return {r["seed"]: r["n"] for r in found.collect()}
 
 
-def leaks_of(words: np.ndarray, items: Items, threshold: float):
+def leaks_of(words: np.ndarray, items: Items):
     """(item index, score, start, end, equal words) of the best alignment of
-    each item that reaches the threshold in one text."""
+    each item that reaches the threshold in one text.  Only places within the
+    longest path of a seed are looked at, in overlapping pieces, so memory
+    follows the square of the item's length and not the text's."""
     at, which = _hits(words, items)
     out = []
-    found = items.item[which]
-    # an item needs one rare seed or two seeds in this text
-    worth = np.bincount(found, minlength=len(items.ids)) + np.bincount(found[items.rare[which]], minlength=len(items.ids))
-    for i in np.flatnonzero(worth > 1):
-        own = which[found == i]
-        item = items.words[i]
-        m = len(item)
-        start = at[found == i] - items.place[own]
-        order = np.argsort(start, kind="stable")
-        start, own = start[order], own[order]
-        # seeds whose copies would begin near one another share a region
-        cut = np.flatnonzero(np.diff(start) > m) + 1
-        groups = [g for g, o in zip(np.split(start, cut), np.split(own, cut))
-                  if items.rare[o].any() or len(np.unique(items.place[o])) > 1]
+    order = np.lexsort((at, items.item[which])) if len(at) else []
+    at, found = at[order], items.item[which][order]
+    cut = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else [0]
+    for x, y in zip(cut[:-1], cut[1:]):
+        i = int(found[x])
+        item, need = items.words[i], items.need[i]
+        m, reach = len(item), longest_path(len(item), items.threshold)
         best = None
-        for g in groups:
-            a, b = max(0, int(g[0]) - m // 2 - 5), int(g[-1]) + m + m // 2 + 5
+        for a, b in _pieces(at[x:y], reach, len(words)):
+            if need > 0:
+                near = np.concatenate([word_pairs(words[a:b], 1), word_pairs(words[a:b], 2)])
+                if _met(near, items.pairs[i]) < need:
+                    continue
             score, s, e, equal = align(item, words[a:b])
             if best is None or score > best[0]:
                 best = (score, a + s, a + e, equal)
         if best is None:
             continue
         score = best[0] / (MATCH * m)
-        if score >= threshold and best[3] >= min(LEAST_WORDS, m):
-            out.append((int(i), score, *best[1:]))
+        if score >= items.threshold and best[3] >= min(LEAST_WORDS, m):
+            out.append((i, score, *best[1:]))
     return out
 
 
+def _met(near: np.ndarray, pairs: np.ndarray) -> int:
+    """How many pairs of a piece of text are the item's, each time they stand."""
+    return int(np.isin(near, pairs).sum())
+
+
+def _pieces(at: np.ndarray, reach: int, n: int):
+    """Ranges [a, b) of the text that hold every path of up to ``reach`` words
+    through one of the sorted places ``at``: neighbouring ones together, in
+    pieces of 16 reaches that overlap by one."""
+    start = np.maximum(at - reach, 0)
+    end = np.minimum(at + reach + 1, n)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > np.maximum.accumulate(end)[:-1], [True]]))
+    for i, j in zip(new[:-1], new[1:]):
+        a, b = int(start[i]), int(end[j - 1])
+        while b - a > 16 * reach:
+            yield a, a + 16 * reach
+            a += 15 * reach
+        yield a, b
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, item_id, score, start_word, end_word, equal_words): the best
     alignment of every item with every document that it reaches ``threshold``
     in.  Score 1 is a whole exact copy, case and punctuation aside.
 
-    Seeds of SEED_WORDS words are counted over all documents.  A place is
-    aligned if one of an item's rarer half of seeds points to it, or two of
-    its seeds do, however often they stand.  Items travel to the executors in blocks of
-    ITEM_BLOCK_BYTES, so a benchmark of any size is only more passes.
+    Seeds, pairs of words close together, are counted over all documents.  Of
+    each item the rarest are kept, so many that no alignment which reaches
+    the threshold misses all of them (``Items``); where one stands, and enough
+    of the item's pairs about it, the place is aligned.  Items travel to the
+    executors in blocks of ITEM_BLOCK_BYTES, so a benchmark of any size is only
+    more passes.
 
-    Null and empty texts hold and leak nothing; an item shorter than a seed is
-    sought whole; a null key is kept as such; repeated documents report each,
+    Null and empty texts hold and leak nothing; an item of one or two
+    words is sought by its words; a null key is kept as such; repeated documents report each,
     repeated items under each of their ids; empty tables give no rows.  Columns
     other than the named ones are not read."""
     texts = docs.select(F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary").alias("text"), F.col(key).alias("key"))
@@ -191,13 +249,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     rows = benchmark.select(F.col(item_id).cast("long").alias("id"), F.lower(F.col(item_text)).alias("text")).where("text is not null")
     out = None
     for block in item_blocks(rows):
-        items = Items(block)
-        items.mark_rare(seed_counts(texts, items))
+        items = Items(block, threshold)
+        items.keep_rare(seed_counts(texts, items))
 
         def run(batches, items=items):
             import pyarrow as pa
             for b, r, w in _texts(batches):
-                found = leaks_of(w, items, threshold)
+                found = leaks_of(w, items)
                 if found:
                     which, *rest = zip(*found)
                     yield pa.RecordBatch.from_arrays(
