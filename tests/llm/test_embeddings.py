@@ -66,6 +66,37 @@ def test_empty_and_all_invalid(spark):
     check(spark, [(1, None), (2, [0.0])])
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_partners_over_blocks(spark, monkeypatch, block):
+    """Pairs of tiles that meet in several blocks are those of one block, each once."""
+    monkeypatch.setattr(emb, "TILE", 8)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(6)[i % 6] + rng.normal(size=6) * 0.15).tolist()) for i in range(120)]
+    monkeypatch.setattr(emb, "PARTNER_TILES", block)
+    check(spark, rows)
+
+
+def test_products_of_many_dimensions_are_exact():
+    """Beyond the dimensions that float32 adds exactly, sums of parts stay whole numbers."""
+    rng = np.random.default_rng(1)
+    base = rng.choice([-1.0, 1.0], 4096)
+    x = emb.unit(np.stack([base * (1 + 1e-3 * k * rng.choice([0, 1], 4096)) for k in range(40)]))
+    side = (x, *emb.quantise(x))
+    exact = x @ x.T
+    for threshold in np.sort(exact[np.triu_indices(40, 1)])[::97]:
+        got = {(int(i), int(j)) for p, r in emb.linked_pairs(side, side, threshold, True) for i, j in zip(p, r)}
+        assert {p for p in zip(*np.nonzero(np.triu(exact >= threshold + 1e-12, 1)))} <= got
+        assert all(exact[i, j] >= threshold - 1e-12 for i, j in got)
+
+
+def test_double_precision_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, math.sqrt(1 - 0.81) - 1e-9]), (3, [0.9, math.sqrt(1 - 0.81) + 1e-9]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in emb.near_duplicates(df).collect()}
+    want = {rows[k][0]: len(v) for k, v in brute(rows).items()}
+    assert got == want
+
+
 @pytest.mark.parametrize("dims", [3, 64, 1500])
 def test_error_bound_holds(dims):
     rng = np.random.default_rng(dims)

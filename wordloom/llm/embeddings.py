@@ -18,6 +18,8 @@ THRESHOLD = 0.9
 TILE, STRIP = 4096, 512
 #: Tiles whose centres are sent to all executors to rule out far tile pairs.
 MOST_CENTRES = 8192
+#: Tiles whose centres meet those of as many others in one task.
+PARTNER_TILES = 2048
 #: Float32 adds products of int8 exactly up to this many dimensions at a time.
 EXACT_DIMENSIONS = (1 << 24) // (127 * 127)
 
@@ -48,9 +50,10 @@ def linked_pairs(a, b, threshold: float, same: bool):
     wide = qb.astype(np.float32)
     for start in range(0, len(qa), STRIP):
         rows = slice(start, start + STRIP)
-        dims = range(0, qa.shape[1], EXACT_DIMENSIONS)
-        dot = sum((qa[rows, d:d + EXACT_DIMENSIONS].astype(np.float32) @ wide[:, d:d + EXACT_DIMENSIONS].T
-                   for d in dims[1:]), qa[rows, :EXACT_DIMENSIONS].astype(np.float32) @ wide[:, :EXACT_DIMENSIONS].T)
+        # each part is a whole number below 2**24, so exact; several are added in double, exact too
+        parts = [qa[rows, d:d + EXACT_DIMENSIONS].astype(np.float32) @ wide[:, d:d + EXACT_DIMENSIONS].T
+                 for d in range(0, qa.shape[1], EXACT_DIMENSIONS)]
+        dot = parts[0] if len(parts) == 1 else np.sum(parts, axis=0, dtype=np.float64)
         # a pair may reach the threshold only if its product passes the loosest bound of its row
         bound = (threshold - 1e-6 - la[rows] * eb.max() - ea[rows]) / sa[rows]
         i, j = np.nonzero(dot >= (bound[:, None] / sb[None, :]).astype(np.float32) * np.float32(1 - 1e-6)
@@ -81,8 +84,8 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def packed_tiles(reps: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """(dims, tile, reps, copies, vectors as packed float64) rows of about TILE
-    vectors each.  Vectors of one length meet only vectors of that length; a
+    """(dims, tile, reps, copies, vectors packed as they are, in single or
+    double precision) rows of about TILE vectors each.  Vectors of one length meet only vectors of that length; a
     tile holds vectors near one of the length's pivots, so that tiles of
     clustered data are compact."""
     pivots = {}
@@ -102,6 +105,7 @@ def packed_tiles(reps: DataFrame, sizes: dict[int, int]) -> DataFrame:
                 cell[at] = np.argmax(x @ pivots[int(d)].T, axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], ["dims", "rep", "copies", "vector", "cell"])
 
+    number = vector_number(reps)
     schema = reps.select("dims", "rep", "copies", "vector").schema.add("cell", "integer")
     celled = written(reps.select("dims", "rep", "copies", "vector").mapInArrow(near, schema), "cells")
     n = celled.groupBy("dims", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
@@ -109,54 +113,71 @@ def packed_tiles(reps: DataFrame, sizes: dict[int, int]) -> DataFrame:
 
     def pack(key, table):
         import pyarrow as pa
-        x = np.array(table.column("vector").to_pylist(), np.float64)
+        x = np.array(table.column("vector").to_pylist(), number)
         return pa.table({"dims": pa.array([key[0].as_py()], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()),
                          "part": pa.array([key[2].as_py()], pa.int32()),
                          "reps": pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
                          "copies": pa.array([table.column("copies").to_pylist()], pa.list_(pa.int64())),
-                         "vectors": pa.array([x.astype(np.float64).tobytes()], pa.binary())})
+                         "vectors": pa.array([x.tobytes()], pa.binary())})
 
     packed = celled.groupBy("dims", "cell", "part").applyInArrow(
         pack, "dims int, cell int, part int, reps array<long>, copies array<long>, vectors binary")
     return written(packed.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
 
-def tile_shapes(tiles: DataFrame) -> list[tuple]:
+def vector_number(reps: DataFrame) -> str:
+    """The numbers of the vector column: those of single precision travel so."""
+    return "<f4" if reps.schema["vector"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def tile_shapes(tiles: DataFrame, number: str) -> DataFrame:
     """(tile, dims, centre, angle of the farthest vector) of each tile."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             for i in range(b.num_rows):
-                x = unit(np.frombuffer(b.column(2)[i].as_py(), np.float64).reshape(-1, b.column(1)[i].as_py()))
+                x = unit(np.frombuffer(b.column(2)[i].as_py(), number).astype(np.float64).reshape(-1, b.column(1)[i].as_py()))
                 c = x.mean(axis=0)
                 c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
                 angle = float(np.arccos(np.clip((x @ c).min(), -1, 1))) + 1e-6
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1),
                                                   pa.array([c.tolist()]), pa.array([angle])], ["tile", "dims", "centre", "angle"])
-    rows = tiles.select("tile", "dims", "vectors").mapInArrow(run, "tile long, dims int, centre array<double>, angle double")
-    return [tuple(r) for r in rows.collect()]
+    return written(tiles.select("tile", "dims", "vectors").mapInArrow(run, "tile long, dims int, centre array<double>, angle double"),
+                   "shapes")
 
 
-def tile_partners(shapes: list[tuple], threshold: float) -> dict[int, list[int]]:
-    """For each tile the tiles (itself and later ones) that may hold a partner:
-    angles between centres less both radii bound the angle of any pair."""
-    out = {}
+def tile_partners(shapes: DataFrame, threshold: float) -> DataFrame:
+    """(i, j), i <= j: the pairs of tiles that may hold a link: the angle between
+    their centres less both radii bounds the angle of any pair.  Shapes meet
+    in blocks of PARTNER_TILES, so a task holds two blocks of centres."""
     limit = math.acos(threshold) + 1e-6
-    for d in {s[1] for s in shapes}:
-        own = sorted(s for s in shapes if s[1] == d)
-        centre, angle = np.array([s[2] for s in own]), np.array([s[3] for s in own])
-        for i, s in enumerate(own):
-            apart = np.arccos(np.clip(centre[i:] @ centre[i], -1, 1))
-            may = np.flatnonzero(apart - angle[i:] - angle[i] <= limit)
-            out[s[0]] = [own[i + int(k)][0] for k in may]
-    return out
+    blocks = max(1, math.ceil(shapes.count() / PARTNER_TILES))
+    block = F.pmod(F.xxhash64("tile"), F.lit(blocks)).cast("int")
+    spread = (shapes.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+              .withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other")))
 
-
-def tile_links(tiles: DataFrame, partners: dict[int, list[int]], threshold: float) -> DataFrame:
+    def near(key, table):
+        import pyarrow as pa
+        _, a, b = (k.as_py() for k in key)
+        tile, block = table.column("tile").to_numpy(), table.column("block").to_numpy()
+        centre, angle = np.array(table.column("centre").to_pylist()), table.column("angle").to_numpy()
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        out = [np.zeros((0, 2), np.int64)]
+        for k in left:
+            apart = np.arccos(np.clip(centre[right] @ centre[k], -1, 1))
+            other = tile[right[apart - angle[right] - angle[k] <= limit]]
+            if a == b:
+                other = other[other >= tile[k]]
+            out.append(np.sort(np.stack([np.full(len(other), tile[k]), other], 1), axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"i": pa.array(pairs[:, 0], pa.int64()), "j": pa.array(pairs[:, 1], pa.int64())})
+
+    return spread.groupBy("dims", "a", "b").applyInArrow(near, "i long, j long")
+
+
+def tile_links(tiles: DataFrame, pairs: DataFrame, threshold: float, number: str) -> DataFrame:
     """Rows (id, links, other): links counted per vector, and a forest of the
     links of each tile pair as (id, 0, other)."""
-    spark = tiles.sparkSession
-    pairs = spark.createDataFrame([(i, j) for i, js in partners.items() for j in js], "i long, j long")
     ends = (pairs.select("i", "j", F.col("i").alias("tile"))
             .unionByName(pairs.where("i <> j").select("i", "j", F.col("j").alias("tile"))))
     body = tiles.select("tile", "dims", "reps", "copies", "vectors")
@@ -165,7 +186,7 @@ def tile_links(tiles: DataFrame, partners: dict[int, list[int]], threshold: floa
         import pyarrow as pa
         held = {}
         for t, d, r, c, v in zip(*(table.column(n).to_pylist() for n in ("tile", "dims", "reps", "copies", "vectors"))):
-            x = unit(np.frombuffer(v, np.float64).reshape(-1, d))
+            x = unit(np.frombuffer(v, number).astype(np.float64).reshape(-1, d))
             held[t] = (np.array(r), np.array(c), (x, *quantise(x)))
         (i, j) = (k.as_py() for k in key)
         (ra, ca, a), (rb, cb, b) = held[i], held[j]
@@ -204,8 +225,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     reps = written(distinct_vectors(known), "distinct")
     sizes = {r["dims"]: r["n"] for r in reps.groupBy("dims").agg(F.count("*").alias("n")).collect()}
     tiles = packed_tiles(reps, sizes)
-    found = written(tile_links(tiles, tile_partners(tile_shapes(tiles), threshold), threshold), "links")
-    drop_written(tiles)
+    number = vector_number(reps)
+    shapes = tile_shapes(tiles, number)
+    pairs = written(tile_partners(shapes, threshold), "pairs")
+    found = written(tile_links(tiles, pairs, threshold, number), "links")
+    for done in (tiles, shapes, pairs):
+        drop_written(done)
     links = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_rep = (reps.join(counts, reps.rep == counts.id, "left").join(links, reps.rep == links.node, "left")
