@@ -26,7 +26,7 @@ BLOCK_BYTES, TILE_BYTES = 1 << 19, 2 << 20
 #: First-fragment shingles that one counting task holds.
 BUCKET_SHINGLES = 1_000_000
 #: Sets of a product tile, and the shingles that end one sooner.
-GROUP_TILE, GROUP_SHINGLES = 192, 400_000
+GROUP_TILE, GROUP_SHINGLES = 320, 640_000
 
 
 def text_shingles(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -173,24 +173,32 @@ def candidate_edges(tied: DataFrame, heads: DataFrame) -> DataFrame:
 # --- product tiles ---------------------------------------------------------------
 def placed(members: DataFrame) -> DataFrame:
     """members (rep, component, anchor, n) -> (rep, place): product tiles of
-    GROUP_TILE sets or fewer of one component.  Sets are laid out by component
-    and anchor, so that those with a prefix shingle in common lie close
-    together and few pairs of tiles have one."""
+    GROUP_TILE sets or fewer, GROUP_SHINGLES shingles but for the last set's.
+    Sets are laid out by component and anchor, so that those with a prefix
+    shingle in common lie close together and few pairs of tiles have one.
+    Each partition of that order adds up its sets' weights; the sum of each,
+    one number a partition, says where the next begins."""
+    least = -(-GROUP_SHINGLES // GROUP_TILE)
+
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        place, held, shingles, last = TaskContext.get().partitionId() << 33, 0, 0, None
+        part, total = TaskContext.get().partitionId(), 0
         for b in batches:
-            out = []
-            for component, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if component != last or held == GROUP_TILE or shingles > GROUP_SHINGLES:
-                    place, held, shingles, last = place + 1, 0, 0, component
-                held, shingles = held + 1, shingles + n
-                out.append(place)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["rep", "place"])
-
-    laid = (members.repartitionByRange("component", "anchor", "rep").sortWithinPartitions("component", "anchor", "rep"))
-    return laid.select("rep", "component", "n").mapInArrow(run, "rep long, place long")
+            weight = np.maximum(b.column(1).to_numpy(), least)
+            before = total + np.cumsum(weight) - weight
+            total += int(weight.sum())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(weight), part, np.int64)), pa.array(before),
+                                              pa.array(before + weight)], ["rep", "part", "start", "end"])
+
+    laid = written(members.repartitionByRange("component", "anchor", "rep").sortWithinPartitions("component", "anchor", "rep")
+                   .select("rep", "n").mapInArrow(run, "rep long, part long, start long, end long"), "laid")
+    sums = sorted((r["part"], r["n"]) for r in laid.groupBy("part").agg(F.max("end").alias("n")).collect())
+    ends = np.cumsum([0] + [n for _, n in sums]).tolist()
+    at = F.broadcast(members.sparkSession.createDataFrame([(p, e) for (p, _), e in zip(sums, ends)], "part long, first long"))
+    out = written(laid.join(at, "part").select("rep", F.floor((F.col("first") + F.col("start")) / GROUP_SHINGLES).alias("place")), "places")
+    drop_written(laid)
+    return out
 
 
 def tile_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -318,8 +326,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = written(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()), "groups")
     anchors = tied.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("anchor"))
     at = reps.select(F.col("id").alias("node"), "n", "tile", "row")
-    places = written(placed(named.join(anchors, "node", "left").join(at, "node").select(
-        F.col("node").alias("rep"), "component", F.least("node", "anchor").alias("anchor"), "n")), "places")
+    places = placed(named.join(anchors, "node", "left").join(at, "node").select(
+        F.col("node").alias("rep"), "component", F.least("node", "anchor").alias("anchor"), "n"))
     pairs = written(tile_pairs(rows, places), "pairs")
     members = places.join(at.withColumnRenamed("node", "rep"), "rep").select("tile", F.struct("row", "place", "n").alias("m"))
     parts_of = set_fragments(tiles, members.groupBy("tile").agg(F.collect_list("m").alias("members")), words)
