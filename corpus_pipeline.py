@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     words = word_count() > 0
     alone = docs.where(F.col("doc_id").isNull() | ~words)
     # of rows that share an id one stays
-    kept = docs.where(F.col("doc_id").isNotNull() & words).join(heads, "doc_id")
+    kept = docs.where(F.col("doc_id").isNotNull() & words).join(heads.hint("shuffle_hash"), "doc_id")
     once = kept.where(F.col(nth) == 1).select(*docs.columns)
     more = (kept.where(F.col(nth) > 1).groupBy("doc_id")
             .agg(F.min_by(F.struct(*docs.columns), F.sha2("text", 256)).alias(nth)).select(f"{nth}.*"))
