@@ -47,3 +47,17 @@ def test_shuffle_is_uniform(spark):
         hits[r[0].doc_id] += 1
     assert set(hits) == set(range(4)) and max(hits.values()) < 28
     assert len(list(itertools.chain(hits.elements()))) == 48
+
+
+def test_query_against_brute_force(spark, tmp_dir):
+    import zlib
+    texts = [None, "", "a", "é日", "a", "long " * 5000] * 7
+    rows = [(i if i % 5 else None, t, "x", i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, law string, AT long").repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    got = sharding.op5_sharding(spark, tmp_dir).collect()
+    want = sorted((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in [(r[0] if r[0] is not None else -1, *r[1:]) for r in rows])
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    sizes = collections.Counter(r.shard for r in got)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())

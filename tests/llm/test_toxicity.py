@@ -82,3 +82,30 @@ def test_quotation_is_open_over_any_distance_in_its_line():
     assert feats(f'"Idiot." {far}. An idiot came.')[:4] == [1.0, 0.0, 0.0, 1.0]
     assert feats(f'"It was long. {far}.\nAn idiot came.')[:4] == [1.0, 0.0, 0.0, 0.0]
     assert feats(f'{far}"{far}. An idiot. {far}"{far}. An idiot.')[:4] == [1.0, 0.0, 0.0, 1.0]
+
+
+def test_statistic_column_equals_the_model_s():
+    """Stems that Spark lets through are all that the model may choose."""
+    import math
+    n_toxic, n_clean = 40, 70
+
+    def plain(a, b):
+        total, seen, g = n_toxic + n_clean, a + b, 0.0
+        for x, row, col in ((a, seen, n_toxic), (b, seen, n_clean), (n_toxic - a, total - seen, n_toxic), (n_clean - b, total - seen, n_clean)):
+            if x > 0:
+                g += 2 * x * math.log(x * total / (row * col))
+        return g
+
+    rows = [("s%d_%d" % (a, b), a, b) for a in range(3, 41, 4) for b in range(0, 30, 3)]
+    floor = 12.0
+    chosen = tox.choose_stems(rows, n_toxic, n_clean, floor)
+    assert chosen and all(plain(*(int(x) for x in s[1:].split("_"))) >= floor for s in chosen)
+
+
+def test_statistic_in_spark(spark):
+    import math
+    df = spark.createDataFrame([("a", 5, 0), ("b", 40, 70), ("c", 40, 0)], "stem string, toxic long, clean long")
+    got = {r.stem: r.g for r in df.select("stem", tox.statistic(40, 70).alias("g")).collect()}
+    assert abs(got["b"]) < 1e-9 and abs(got["a"] - (2 * 5 * math.log(5 * 110 / (5 * 40)) + 2 * 35 * math.log(35 * 110 / (105 * 40))
+                                                    + 2 * 70 * math.log(70 * 110 / (105 * 70)))) < 1e-9
+    assert got["c"] > 100

@@ -194,6 +194,14 @@ def stem_counts(train: DataFrame) -> DataFrame:
             .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
+def statistic(n_toxic: int, n_clean: int):
+    """The likelihood-ratio statistic of ``choose_stems`` as a column."""
+    total, seen = n_toxic + n_clean, F.col("toxic") + F.col("clean")
+    parts = [(F.col("toxic"), seen, n_toxic), (F.col("clean"), seen, n_clean),
+             (n_toxic - F.col("toxic"), total - seen, n_toxic), (n_clean - F.col("clean"), total - seen, n_clean)]
+    return sum(F.when(x > 0, 2 * x * F.log(x * float(total) / (row * float(col)))).otherwise(0.0) for x, row, col in parts)
+
+
 def choose_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, floor: float) -> dict[str, float]:
     """Stems by their likelihood-ratio statistic against independence, best
     first; a stem that begins like a chosen one, or the other way round, is
@@ -271,6 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     bounded whatever the size of ``labels`` and small enough to be sent to all
     executors.  Rows labelled twice count as toxic if one label is; null ids
     and labels teach nothing."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = (labels.where("doc_id is not null and toxic is not null").where(~is_held_out())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -279,17 +288,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     chance = F.xxhash64(F.lit(11), "doc_id") / float(1 << 64) + 0.5
     sample = known.where(chance < F.when(F.col("toxic") == 1, per_class / counts[1]).otherwise(per_class / counts[0]))
     train = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-                    .select("text", "toxic"), "train").repartition(12)
+                    .select("text", "toxic"), "train").repartition(parts)
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Model({}, PRIOR_WEIGHTS)
     counted = written(stem_counts(train), "stems")
     floor = 2 * math.log(max(counted.count(), 2)) + 2
-    # far fewer stems pass than this limit of the model
     likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) > math.exp(LEAST_ODDS) * (F.col("clean") + 0.5) / (n_clean + 1)
-    rows = (counted.where(likelier & (F.col("toxic") >= 3)).orderBy(F.desc("toxic"), "clean", "stem")
-            .limit(50 * STEMS).collect())
+    # all stems that the model may choose; the bounded sample bounds them
+    rows = counted.where(likelier & (F.col("toxic") >= 3) & (statistic(n_toxic, n_clean) >= floor - 1e-6)).collect()
     stems = choose_stems([tuple(r) for r in rows], n_toxic, n_clean, floor)
     sample_rows = grammar_features(train, stems, "text", "toxic").collect()
     x = np.array([r["features"] for r in sample_rows], float)
