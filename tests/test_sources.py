@@ -252,3 +252,12 @@ def test_csv_parts_are_bounded_and_headers_may_have_newlines(spark, tmp_dir):
     own = sorted((r.part, r.text) for r in parts if r.path.endswith("a.csv"))
     assert [p for p, _ in own] == list(range(len(own))) and len(own) > 10
     assert "\n".join(t for _, t in own) == "\n".join(values) and max(len(t) for _, t in own) < 2200
+
+
+def test_two_writers_write_two_versions(spark, tmp_dir):
+    from wordloom.operators import bpe, pretokenize as pt
+    root = f"{tmp_dir}/models"
+    m = bpe.train_bpe(pt.word_counts(spark.createDataFrame([("ab ab",)], "text STRING")), vocab_size=264)
+    assert sinks._claimed(spark, f"{root}/version=1/_CLAIMED")       # another writer is at it, or broke off
+    assert sinks.save_model_tables(spark, root, m) == 2
+    assert sinks.committed_versions(spark, root) == [2] and not sinks._claimed(spark, f"{root}/version=2/_CLAIMED")

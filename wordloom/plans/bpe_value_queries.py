@@ -15,6 +15,8 @@ from ..operators import bpe
 from ..operators import encode as en
 from ..operators import pretokenize as pt
 from ..operators import qa
+from ..session import shared_dir
+from ..sources import sinks
 from ..streaming import streams as st
 from ..tables import table
 from .common import pretokens_sql, register, tok_docs, tok_text, tok_text_sql, word_count_sql
@@ -170,3 +172,24 @@ def stream_document_ids(spark, sf):
     s = st.file_stream(spark, sf, fmt="parquet", schema=table(spark, sf, "documents").schema, glob="documents.parquet")
     s = s.select("doc_id", tok_text(F.col("text")).alias("text"))
     return st.run_to_table(spark, st.encode_stream(s, enc).select("doc_id", sq.as_text(F.col("ids")).alias("ids")), "ids")
+
+
+# Two versions of a vocabulary, the newest and the one restored from before it ---
+SHORT = 100
+
+
+@register("model_version_merges", f"""
+with {_TRAINED}
+select 'newest' as which, 2 as version, k - 1 as rank, l as left, r as right, c as count from merges
+union all select 'restored', 1, k - 1, l, r, c from merges where k <= {SHORT}
+""")
+def model_version_merges(spark, sf):
+    items = table(spark, sf, "benchmark").select(tok_text(F.col("text")).alias("text"))
+    counts, root = pt.word_counts(items), shared_dir(spark, "versions")
+    for size in (263 + SHORT, NO_BOUND):
+        sinks.save_model_tables(spark, root, bpe.train_bpe(counts, vocab_size=size, min_frequency=2))
+    parts = []
+    for which, (v, _, merges) in (("newest", sinks.load_model_tables(spark, root)), ("restored", sinks.restore_previous(spark, root))):
+        parts.append(merges.select(F.lit(which).alias("which"), F.lit(v).alias("version"), F.col("rank").cast("long").alias("rank"),
+                                   "left", "right", "count"))
+    return parts[0].unionByName(parts[1])

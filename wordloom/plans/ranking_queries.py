@@ -281,7 +281,7 @@ except
 select token from {_DOC_TOK_SQL}
 """)
 def token_difference(spark, sf):
-    return _bench_vocab(spark, sf).exceptAll(_doc_tokens(spark, sf).distinct()).distinct()
+    return _bench_vocab(spark, sf).subtract(_doc_tokens(spark, sf))
 
 
 # B10 --------------------------------------------------------------------------

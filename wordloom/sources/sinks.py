@@ -7,6 +7,7 @@ import re
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -14,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from ..functions import text as tx
 from ..operators.index import fixed_batches
 
-COMMIT_MARKER = "_COMMITTED"
+COMMIT_MARKER, CLAIM = "_COMMITTED", "_CLAIMED"
 
 
 # S6 -------------------------------------------------------------------------
@@ -171,12 +172,28 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Create the file; False if it is there already."""
+    fs, jvm = _fs(spark, path)
+    try:
+        fs.create(jvm.org.apache.hadoop.fs.Path(path), False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or "already exists" in str(e.java_exception):
+            return False
+        raise
+
+
 def save_model_tables(spark: SparkSession, root: str, model) -> int:
     """Write vocabulary and merges as a new version; publish it by writing the
     commit marker last.  Earlier versions stay as backups; a failed save
-    leaves no marker and is ignored by readers."""
+    leaves no marker and is ignored by readers.  A version's number is claimed
+    by a file that only one writer can create, so two that save at once write
+    two versions."""
     versions = committed_versions(spark, root)
     v = (versions[-1] + 1) if versions else 1
+    while not _claimed(spark, f"{root.rstrip('/')}/version={v}/{CLAIM}"):
+        v += 1
     base = f"{root.rstrip('/')}/version={v}"
     model.vocab_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/vocab")
     model.merges_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/merges")
