@@ -6,6 +6,6 @@ from .common import ORACLES, QUERIES
 
 def load_all():
     from . import (bpe_queries, bpe_value_queries, extra_queries, file_queries,  # noqa: F401
-                   io_queries, ranking_queries, sequence_queries, stream_queries,
+                   image_queries, io_queries, ranking_queries, sequence_queries, stream_queries,
                    text_queries)
     return QUERIES, ORACLES
