@@ -64,6 +64,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def early_size(n: int, percent: int) -> int:
+    """So many first shingles of a set are early.  If two sets link, the first
+    shingle of the order that they share is early in the smaller one: what is
+    left there holds their whole overlap, at least 2p / (100 + p) of it."""
+    return n - (-(-2 * percent * n // (100 + percent))) + 1
+
+
 def tiles_of(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """Rows of about TILE_BYTES of text: ids, set sizes, set hashes, the packed
     first-fragment shingles of each set, and the texts end to end."""
@@ -116,8 +123,8 @@ def tile_fingerprints(tiles: DataFrame) -> DataFrame:
 
 
 def prefixes(tiles: DataFrame, counts: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
-    """(shingle, length class, rep) for the rarest-first prefix of each chosen
-    set, without shingles that only one set has."""
+    """(shingle, length class, rep, early) for the rarest-first prefix of each
+    chosen set, without shingles that only one set has."""
     limit = np.uint64(int(FIRST_SHARE * 2**64))
 
     def run(batches):
@@ -129,29 +136,36 @@ def prefixes(tiles: DataFrame, counts: DataFrame, chosen: DataFrame, percent: in
                 fps = np.unique(frag)
                 df = np.frombuffer(df, np.uint8) if df else np.zeros(0, np.uint8)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                out = [], [], []
+                out = [], [], [], []
                 for r in rows:
                     s = frag[at[r]:at[r + 1]]
                     often = df[np.searchsorted(fps, s)]
                     p = prefix_size(n[r], percent)
                     late = s >= limit  # beyond the fragment the order is by hash alone
                     order = np.lexsort((s, np.where(late, 0, often), late))[:p]
-                    order = order[(often[order] > 1) | late[order]]
+                    early = np.arange(len(order)) < early_size(n[r], percent)
+                    keep = (often[order] > 1) | late[order]
+                    order, early = order[keep], early[keep]
                     out[0].append(s[order].view(np.int64))
                     out[1].append(np.full(len(order), int(math.log(n[r]) / math.log(100 / (percent - 1)))))
                     out[2].append(np.full(len(order), ids[r], np.int64))
+                    out[3].append(early)
                 if out[0]:
-                    s, c, d = (np.concatenate(x) for x in out)
-                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c.astype(np.int32)), pa.array(d)],
-                                                     ["shingle", "class", "rep"])
+                    s, c, d, e = (np.concatenate(x) for x in out)
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c.astype(np.int32)), pa.array(d), pa.array(e)],
+                                                     ["shingle", "class", "rep", "early"])
 
     joined = tiles.select("tile", "ids", "n", "sizes", "frag").join(chosen, "tile").join(counts, "tile", "left")
-    return joined.select("ids", "n", "sizes", "frag", "verdicts", "rows").mapInArrow(run, "shingle long, class int, rep long")
+    return joined.select("ids", "n", "sizes", "frag", "verdicts", "rows").mapInArrow(run, "shingle long, class int, rep long, early boolean")
 
 
 def heads_of(rows: DataFrame) -> DataFrame:
-    """(shingle, class, head): the smallest set of each prefix shingle and length class."""
-    return rows.groupBy("shingle", "class").agg(F.min("rep").alias("head"))
+    """(shingle, class, head, low): the smallest set of each prefix shingle and
+    length class, and that of the class below if the shingle is early there.
+    Shingles that are early in neither are left out: no pair links by them."""
+    heads = rows.groupBy("shingle", "class").agg(F.min("rep").alias("head"), F.max("early").alias("early"))
+    low = heads.where("early").select("shingle", (F.col("class") + 1).alias("class"), F.col("head").alias("low"))
+    return heads.join(low, ["shingle", "class"], "left").where("early or low is not null").drop("early")
 
 
 def ties(rows: DataFrame, heads: DataFrame) -> DataFrame:
@@ -161,12 +175,11 @@ def ties(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def candidate_edges(tied: DataFrame, heads: DataFrame) -> DataFrame:
-    """Edges (a, b) that tie together all sets that share a prefix shingle and
-    could be long enough for one another: those to the heads, and one between
-    neighbouring length classes.  Grouping keeps hot shingles linear; no pair
-    within a group is listed."""
-    up = heads.select("shingle", (F.col("class") + 1).alias("class"), F.col("head").alias("low"))
-    across = heads.join(up, ["shingle", "class"]).select(F.col("head").alias("a"), F.col("low").alias("b"))
+    """Edges (a, b) that tie together all sets that share a prefix shingle, early
+    in the smaller one, and could be long enough for one another: those to the
+    heads, and one between neighbouring length classes.  Grouping keeps hot
+    shingles linear; no pair within a group is listed."""
+    across = heads.where("low is not null").select(F.col("head").alias("a"), F.col("low").alias("b"))
     return tied.unionByName(across).where("a <> b")
 
 
@@ -203,13 +216,14 @@ def placed(members: DataFrame) -> DataFrame:
 
 def tile_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(i, j), i <= j: the pairs of product tiles in which two sets share a
-    prefix shingle within one length class or two neighbouring ones, and each
-    tile with itself.  A shingle that a third of all sets have lists tiles,
-    GROUP_TILE times fewer than sets."""
-    at = rows.join(places, "rep").select("shingle", "class", "place").distinct()
-    near = at.select("shingle", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("place").alias("other"))
-    cross = (at.join(near, ["shingle", "class"]).select(F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"))
-             .distinct())
+    prefix shingle, early in the smaller one, within one length class or two
+    neighbouring ones, and each tile with itself.  A shingle that a third of
+    all sets have lists tiles, GROUP_TILE times fewer than sets."""
+    at = rows.join(places, "rep").groupBy("shingle", "class", "place").agg(F.max("early").alias("early"))
+    same = at.select("shingle", "class", F.col("place").alias("other"), F.col("early").alias("found"))
+    below = at.where("early").select("shingle", (F.col("class") + 1).alias("class"), F.col("place").alias("other"), F.lit(True).alias("found"))
+    cross = (at.join(same.unionByName(below), ["shingle", "class"]).where("early or found")
+             .select(F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j")).distinct())
     own = places.select(F.col("place").alias("i"), F.col("place").alias("j")).distinct()
     return cross.where("i <> j").unionByName(own)
 
