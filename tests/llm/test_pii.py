@@ -77,3 +77,15 @@ def test_em_prefers_the_reliable_labeler():
 def test_empty_table(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_query_counts_each_kind(spark, tmp_dir):
+    parts = ["a@b.c", "1.2.3.4", "4111 1111-1111 1111", "+1 (743) 555-3824", "300.1.1.1", "x", "+49 1"]
+    rng = random.Random(3)
+    texts = [" | ".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op8_pii(spark, tmp_dir).collect()}
+    for i, t in enumerate(texts):
+        want = brute(t)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(w[0] == k for w in want) for k in pii.KINDS], t
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()

@@ -259,7 +259,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_personal_data(docs)
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(KINDS)]
+
+    def of_kind(k):   # a second parameter of the lambda would be the place in the array
+        return F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
+
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"),
                         span_list(F.col("spans")).alias("spans"))
