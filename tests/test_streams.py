@@ -109,3 +109,18 @@ def test_vocabulary_changes_within_one_query(spark, tmp_dir):
         os.remove(f"{ckpt}/commits/{name}")
     st.write_encoded(stream, models, out, ckpt).awaitTermination()
     assert {r.id: r.vocab_version for r in spark.read.parquet(out).collect()} == {1: 1, 2: 2}
+
+
+def test_queries_stream_tables_that_are_folders(spark, tmp_dir):
+    from wordloom.plans import bpe_queries, bpe_value_queries, stream_queries
+    docs = [(i, t, f"s{i % 2}") for i, t in enumerate(["a  b c", "the cat, the hat", "x #y", "pt. 12", "the the"])]
+    schema = "doc_id long, text string, source string"
+    spark.createDataFrame(docs, schema).repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([(0, "the cat the hat")], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    clean = {r.doc_id: r.text for r in stream_queries.stream_clean_documents(spark, tmp_dir).collect()}
+    assert sorted(clean) == [0, 1, 2, 3, 4] and clean[0] == "a b c"
+    metrics = stream_queries.stream_dataset_metrics(spark, tmp_dir).collect()
+    assert {(r.source, r["items"]) for r in metrics} == {("s0", 3), ("s1", 2)}
+    for stream, batch in ((bpe_value_queries.stream_document_ids, bpe_value_queries.document_ids),
+                          (stream_queries.stream_encode_documents, bpe_queries.bpe_encode)):
+        assert sorted(stream(spark, tmp_dir).collect()) == sorted(batch(spark, tmp_dir).collect())

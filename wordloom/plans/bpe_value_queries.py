@@ -20,6 +20,7 @@ from ..sources import sinks
 from ..streaming import streams as st
 from ..tables import table
 from .common import pretokens_sql, register, tok_docs, tok_text, tok_text_sql, word_count_sql
+from .stream_queries import stream_table
 
 #: More than the pairs of the table that occur twice: training ends for want of pairs.
 NO_BOUND = 10**6
@@ -169,7 +170,7 @@ def document_batches(spark, sf):
 @register("stream_document_ids", _IDS_SQL)
 def stream_document_ids(spark, sf):
     enc = en.BpeEncoder(benchmark_model(spark, sf))
-    s = st.file_stream(spark, sf, fmt="parquet", schema=table(spark, sf, "documents").schema, glob="documents.parquet")
+    s = stream_table(spark, sf, "documents")
     s = s.select("doc_id", tok_text(F.col("text")).alias("text"))
     return st.run_to_table(spark, st.encode_stream(s, enc).select("doc_id", sq.as_text(F.col("ids")).alias("ids")), "ids")
 

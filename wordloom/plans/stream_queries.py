@@ -11,15 +11,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
+from ..session import is_dir
 from ..streaming import streams as st
 from ..tables import NOTES_SQL, table
 from .common import clean_sql, pretokens_sql, register, tok_text, tok_text_sql
 from .text_queries import _abbrev_sql, _phi_sql
 
 
-def _stream_table(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return st.file_stream(spark, sf, fmt="parquet", schema=schema, glob=f"{name}.parquet")
+def stream_table(spark, sf, name):
+    """A driver table as a file stream, whether it is one file or a folder of
+    files; a micro-batch takes as many files as there are cores."""
+    schema = table(spark, sf, name, spread_work=False).schema
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    at, glob = (path, None) if is_dir(spark, path) else (sf, f"{name}.parquet")
+    return st.file_stream(spark, at, fmt="parquet", schema=schema, glob=glob,
+                          max_files_per_trigger=spark.sparkContext.defaultParallelism)
 
 
 # T1 -------------------------------------------------------------------------
@@ -27,7 +33,7 @@ def _stream_table(spark, sf, name):
 select doc_id, {clean_sql('text')} as text from documents where regexp_matches(text, '\\S')
 """)
 def stream_clean_documents(spark, sf):
-    s = _stream_table(spark, sf, "documents").select("doc_id", "text")
+    s = stream_table(spark, sf, "documents").select("doc_id", "text")
     s = st.clean_stream(s, pipeline="general")
     return st.run_to_table(spark, s, "clean")
 
@@ -39,7 +45,7 @@ select source, count(*)::BIGINT as items,
 from documents group by source
 """)
 def stream_dataset_metrics(spark, sf):
-    s = _stream_table(spark, sf, "documents")
+    s = stream_table(spark, sf, "documents")
     s = s.select("source", tok_text(F.col("text")).alias("text"))
     m = st.run_to_table(spark, st.dataset_metrics_stream(s, "source"), "metrics", complete=True)
     return m.select("source", "items", "total_tokens")
@@ -57,7 +63,7 @@ from e group by event_type
 """)
 def stream_run_metrics(spark, sf):
     """All run metrics of a stream, per event type, from the state after its last micro-batch."""
-    s = _stream_table(spark, sf, "events")
+    s = stream_table(spark, sf, "events")
     s = s.select("event_type", "ts", tok_text(F.col("props")).alias("text"))
     m = st.run_to_table(spark, st.dataset_metrics_stream(s, "event_type", time_col="ts"), "run-metrics", complete=True)
     return m.select("event_type", "items", "processed_items", "failed_items", "total_tokens", "mean_tokens",
@@ -69,7 +75,7 @@ def stream_run_metrics(spark, sf):
 select note_id, {_phi_sql(_abbrev_sql('text'))} as text from {NOTES_SQL}
 """)
 def stream_redacted_notes(spark, sf):
-    o = _stream_table(spark, sf, "orders")
+    o = stream_table(spark, sf, "orders")
     c = table(spark, sf, "customer")
     # stream-static join: the static side is joined per micro-batch
     from ..tables import notes_from
@@ -83,7 +89,7 @@ def stream_encode_documents(spark, sf):
     from ..operators.encode import BpeEncoder
     from .bpe_queries import trained_model
     enc = BpeEncoder(trained_model(spark, sf))
-    s = _stream_table(spark, sf, "documents")
+    s = stream_table(spark, sf, "documents")
     s = s.select("doc_id", tok_text(F.col("text")).alias("text"))
     out = st.encode_stream(s, enc).select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), sq.as_text(F.col("ids")).alias("ids"))
     return st.run_to_table(spark, out, "encode")

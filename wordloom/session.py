@@ -78,6 +78,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_dir(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition of a plain file scan that has fewer splits than
     the cluster has cores (e.g. one unsplittable file), before costly row-local
