@@ -133,3 +133,14 @@ def test_messages_of_items(spark):
     got = sorted((str(r.ds), r["rank"], r.kind, r.message, r.n) for r in mt.message_report(d, "ds", "m", 2).collect())
     assert got == [("None", 1, "warning", "longer than 8 characters", 1), ("a", 1, "warning", "recorded length differs by -3", 2),
                    ("a", 2, "error", "blank text", 1), ("b", 1, "warning", "replacement characters", 1)]
+
+
+def test_token_difference_combines_before_it_takes_away(spark, tmp_dir):
+    from wordloom.plans import ranking_queries
+    spark.createDataFrame([(0, "the cat"), (1, "a hat"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    spark.createDataFrame([(0, "cat cat the cat", "s"), (1, None, "s"), (2, "dog", None)],
+                          "doc_id long, text string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    df = ranking_queries.token_difference(spark, tmp_dir)
+    assert sorted(r.token for r in df.collect()) == [" a", " hat"]
+    taken = df._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti", 1)[1]
+    assert taken.index("LeftSemi") < taken.rindex("Aggregate")

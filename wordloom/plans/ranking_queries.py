@@ -281,7 +281,9 @@ except
 select token from {_DOC_TOK_SQL}
 """)
 def token_difference(spark, sf):
-    return _bench_vocab(spark, sf).subtract(_doc_tokens(spark, sf))
+    # what is taken away is combined first and no more than the vocabulary
+    vocab = _bench_vocab(spark, sf)
+    return vocab.subtract(en.in_vocab(_doc_tokens(spark, sf).distinct(), vocab))
 
 
 # B10 --------------------------------------------------------------------------
