@@ -199,3 +199,30 @@ def test_many_words_at_once_equal_one_by_one():
             assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
     flat, n = encode.WordMerger({}, {"61": 5}, None).encode([b"aa", b"b"])
     assert flat.tolist() == [5, 5] and n.tolist() == [2, 0] and isinstance(flat, np.ndarray)
+
+
+def test_columns_are_worked_on_in_stretches():
+    import pyarrow as pa
+    from wordloom.operators.encode import _by_stretches
+    rows = [None, [], [1, 2, 3], [4] * 9, None, [5], [6, 7], []] * 40
+    seen = []
+
+    def use(col):
+        seen.append((len(col), sum(len(x or []) for x in col.to_pylist())))
+        return col
+
+    for col in (pa.array(rows, pa.list_(pa.int32())), pa.array([[0]] + rows, pa.list_(pa.int32())).slice(1)):
+        seen.clear()
+        assert _by_stretches(col, 5, col.type, use).to_pylist() == rows
+        assert all(n <= 5 or k == 1 for k, n in seen) and len(seen) > 40
+    assert _by_stretches(pa.array([], pa.list_(pa.int32())), 5, pa.list_(pa.int32()), use).to_pylist() == []
+
+
+def test_long_batches_round_trip(spark):
+    """One Arrow batch of far more pre-tokens than are worked on at once."""
+    df = spark.range(600).selectExpr("id", "case when id % 7 = 0 then null else repeat(concat('tok', id % 50, ' ä '), 700) end as text").coalesce(1)
+    from wordloom.operators import bpe, encode, pretokenize
+    enc = encode.BpeEncoder(bpe.train_bpe(pretokenize.word_counts(df), vocab_size=300, min_frequency=2))
+    d = enc.encode(df, "text", "ids").select("text", enc.decode_column(F.col("ids")).alias("back"), enc.tokens_column(F.col("ids")).alias("t"))
+    assert d.where("text is null and back is not null or text is not null and back <> concat(' ', text)").count() == 0
+    assert d.where("text is not null and array_join(t, '') not like '% tok%'").count() == 0

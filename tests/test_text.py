@@ -113,3 +113,10 @@ def test_split_pattern_equals_the_published_one(spark):
     row = df.select(F.sum(F.when(F.regexp_extract_all("t", F.lit(pt.GPT2_PATTERN), 0)
                                  == F.regexp_extract_all("t", F.lit(pt._SPLIT), 0), 0).otherwise(1)).alias("n")).first()
     assert row.n == 0
+
+
+def test_nfkc_over_many_rows(spark):
+    import unicodedata
+    texts = [None if i % 5 == 0 else "ﬁ é ①" + str(i) if i % 300 < 9 else f"plain {i}" for i in range(1500)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", tx.nfkc(F.col("t")).alias("n"))
+    assert {r.i: r.n for r in d.collect()} == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}

@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,12 +99,25 @@ def remove_urls_emails(c: Column) -> Column:
     return F.regexp_replace(c, EMAIL_PATTERN, "")
 
 
+#: Texts that are Python strings at the same time.
+_ROWS_AT_ONCE = 256
+
+
 # P5 -------------------------------------------------------------------------
 @F.arrow_udf(T.StringType())
 def nfkc(s: pa.Array) -> pa.Array:
     """Composed as NFKC demands (Arrow's own utf8_normalize leaves accents
     apart); ASCII texts are in the form already."""
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in s.to_pylist()], pa.string())
+    if isinstance(s, pa.ChunkedArray):
+        s = s.combine_chunks()
+    out = []
+    for i in range(0, len(s), _ROWS_AT_ONCE):
+        part = s.slice(i, _ROWS_AT_ONCE)
+        plain = pc.all(pc.string_is_ascii(part)).as_py() is not False
+        out.append(part.cast(pa.string()) if plain else pa.array(
+            [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string()))
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
 
 def normalise(c: Column, literal: bool = False) -> Column:

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from .bpe import MAX_SHIPPED_VOCAB, BpeModel
 from .pretokenize import pretokens
 
-#: Different pre-tokens that are merged together.
-_WORDS_AT_ONCE = 50_000
+#: Different pre-tokens that are merged together; pre-tokens or ids of a column that are worked on together.
+_WORDS_AT_ONCE, _PLACES_AT_ONCE = 50_000, 400_000
 
 
 def _bpe_symbols(token: str | bytes, ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -165,6 +165,22 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which:
     return values[first + np.arange(len(first))]
 
 
+def _by_stretches(col: pa.Array, most: int, kind: pa.DataType, use) -> pa.Array:
+    """``use`` of a list column in stretches of whole rows, each of ``most``
+    elements at most or one row: what ``use`` holds beside its result does not
+    grow with the rows of an Arrow batch."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64))
+    out, i = [], 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        out.append(use(col.slice(i, j - i)))
+        i = j
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def _is_hex(token: str) -> bool:
     return len(token) % 2 == 0 and all(c in "0123456789ABCDEF" for c in token)
 
@@ -192,12 +208,9 @@ class BpeEncoder:
     def _make_encode_udf(self):
         merger = WordMerger(self.model.ranks(), self.model.token_ids(), self.unk_id)
 
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def encode_tokens(col: pa.Array) -> pa.Array:
-            # Arrow in, Arrow out: each distinct token of the batch is encoded
+        def encode_stretch(col: pa.Array) -> pa.Array:
+            # Arrow in, Arrow out: each distinct token of the stretch is encoded
             # once, the rows are gathered from those by index
-            if isinstance(col, pa.ChunkedArray):
-                col = col.combine_chunks()
             missing = np.asarray(col.is_null())
             size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
             flat = pc.list_flatten(col).dictionary_encode()
@@ -212,6 +225,10 @@ class BpeEncoder:
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out, pa.int32()),
                                             mask=pa.array(missing))
 
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encode_tokens(col: pa.Array) -> pa.Array:
+            return _by_stretches(col, _PLACES_AT_ONCE, pa.list_(pa.int32()), encode_stretch)
+
         return encode_tokens
 
     def _make_decode_udf(self):
@@ -221,10 +238,7 @@ class BpeEncoder:
         lengths = np.array([len(c) for c in cells], np.int64)
         blob = np.frombuffer(b"".join(cells), np.uint8)
 
-        @F.arrow_udf(T.StringType())
-        def decode_ids(col: pa.Array) -> pa.Array:
-            if isinstance(col, pa.ChunkedArray):
-                col = col.combine_chunks()
+        def decode_stretch(col: pa.Array) -> pa.Array:
             missing = np.asarray(col.is_null())
             size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
             ids = np.asarray(pc.fill_null(pc.list_flatten(col), -1)).astype(np.int64)
@@ -234,6 +248,10 @@ class BpeEncoder:
             return pa.array([None if gone else data[a:b].decode("utf-8", "replace")
                              for gone, a, b in zip(missing, done[:-1], done[1:])], pa.string())
 
+        @F.arrow_udf(T.StringType())
+        def decode_ids(col: pa.Array) -> pa.Array:
+            return _by_stretches(col, _PLACES_AT_ONCE, pa.string(), decode_stretch)
+
         return decode_ids
 
     # B5 ---------------------------------------------------------------------
@@ -270,16 +288,17 @@ class BpeEncoder:
         top = max(by_id, default=-1) + 1
         names = pa.array([by_id.get(i) for i in range(top)] + [None], pa.string())   # the last: any unknown id
 
-        @F.arrow_udf(T.ArrayType(T.StringType()))
-        def id_tokens(col: pa.Array) -> pa.Array:
-            if isinstance(col, pa.ChunkedArray):
-                col = col.combine_chunks()
+        def tokens_of_stretch(col: pa.Array) -> pa.Array:
             size = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
             at = np.asarray(pc.fill_null(pc.list_flatten(col), -1)).astype(np.int64)
             at = np.where((at < 0) | (at > top), top, at)
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
             return pa.ListArray.from_arrays(offsets, names.take(pa.array(at)), mask=pa.array(np.asarray(col.is_null())))
 
+        @F.arrow_udf(T.ArrayType(T.StringType()))
+        def id_tokens(col: pa.Array) -> pa.Array:
+            return _by_stretches(col, _PLACES_AT_ONCE, pa.list_(pa.string()), tokens_of_stretch)
+
         return id_tokens(ids)
 
 
@@ -393,15 +412,20 @@ def _places(words: Column) -> Column:
     """[(t, at)]: the different strings of an array with the places of each."""
     kind = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
 
-    @F.arrow_udf(kind)
-    def places(col: pa.Array) -> pa.Array:
+    made = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.int32()))]))
+
+    def places_of_stretch(col: pa.Array) -> pa.Array:
         out = []
         for ws in col.to_pylist():
             held: dict[str, list[int]] = {}
             for i, w in enumerate(ws or []):
                 held.setdefault(w, []).append(i)
             out.append(None if ws is None else [{"t": w, "at": at} for w, at in held.items()])
-        return pa.array(out, pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.int32()))])))
+        return pa.array(out, made)
+
+    @F.arrow_udf(kind)
+    def places(col: pa.Array) -> pa.Array:
+        return _by_stretches(col, _PLACES_AT_ONCE // 4, made, places_of_stretch)
 
     return places(words)
 
