@@ -226,3 +226,21 @@ def test_long_batches_round_trip(spark):
     d = enc.encode(df, "text", "ids").select("text", enc.decode_column(F.col("ids")).alias("back"), enc.tokens_column(F.col("ids")).alias("t"))
     assert d.where("text is null and back is not null or text is not null and back <> concat(' ', text)").count() == 0
     assert d.where("text is not null and array_join(t, '') not like '% tok%'").count() == 0
+
+
+def test_encoding_by_join_places_the_pretokens_once(spark):
+    """The pre-tokens' places, a Python step over all rows, were made four times."""
+    df = spark.createDataFrame([(0, "the cat the hat"), (1, None), (2, ""), (3, "the cat the hat")], "k int, text string")
+    model = bpe.train_bpe(pt.word_counts(df), vocab_size=280, min_frequency=2)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        made.add(1)
+        return t
+
+    d = df.coalesce(1).withColumn("text", seen.asNondeterministic()("text"))
+    out = encode.BpeEncoder(model, ship_up_to=0).encode(d, "text", "ids")
+    want = {(r.k, str(r.ids)) for r in encode.BpeEncoder(model).encode(df, "text", "ids").collect()}
+    assert {(r.k, str(r.ids)) for r in out.collect()} == want
+    assert made.value <= 3 * df.count()

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 from .bpe import MAX_SHIPPED_VOCAB, BpeModel
 from .pretokenize import pretokens
 
@@ -345,8 +346,9 @@ def token_ids_by_join(tokens: DataFrame, merges: DataFrame, vocab: DataFrame, un
     encoded by the few merges that it gets.  Its symbols then get their ids by
     a second join.  Symbols that the vocabulary lacks give ``unk_id``, or
     nothing without one."""
-    rules = merges.groupBy("left", "right").agg(F.min("rank").alias("rank")) \
-        .select("left", "right", "rank", F.concat("left", "right").alias("part"))
+    # written, so that the joins know how large it is before they deal out the parts
+    rules = _kept(merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
+                  .select("left", "right", "rank", F.concat("left", "right").alias("part")), "merges")
     longest = (rules.agg(F.max(F.length("part"))).first()[0] or 0) // 2
     hexed = F.hex(F.encode("token", "UTF-8"))
     n = F.length("h") / 2
@@ -370,8 +372,9 @@ def encode_by_join(df: DataFrame, merges: DataFrame, vocab: DataFrame, text_col:
     """B5 for a vocabulary of any size: ``merges`` (rank, left, right) and
     ``vocab`` (id, token_hex) stay tables.
 
-    The pre-tokens of a row are combined first, each with its places, then all
-    rows' to the distinct ones, which are encoded once (``token_ids_by_join``).
+    The distinct pre-tokens are counted, with the rows that hold them, and
+    encoded once (``token_ids_by_join``); both tables are written.  The
+    pre-tokens of a row are combined, each with its places.
     Those in a share of HOT_SHARE or more of the (row, pre-token) pairs come
     back by a broadcast table of at most 1 / HOT_SHARE rows, the others by a
     join on the pre-token.  A null text gives null ids, one without
@@ -388,11 +391,10 @@ def encode_by_join(df: DataFrame, merges: DataFrame, vocab: DataFrame, text_col:
         _places(F.col(parts)), F.array().cast("array<struct<t:string,at:array<int>>>")))).alias(token))
     combined = combined.select(row, F.when(F.col(f"{token}.t").isNull(), F.col(rest)).alias(rest),
                                F.col(f"{token}.t").alias(token), F.col(f"{token}.at").alias(at))
-    held = combined.where(F.col(token).isNotNull())
-    freq = held.groupBy(token).agg(F.count(F.lit(1)).alias(n))
+    freq = _kept(df.select(F.explode(F.array_distinct(words)).alias(token)).groupBy(token).agg(F.count(F.lit(1)).alias(n)), "token-counts")
     total = freq.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) >= max(2, total * HOT_SHARE)
-    coded = token_ids_by_join(freq.select(F.col(token).alias("token")), merges, vocab, unk_id)
+    coded = _kept(token_ids_by_join(freq.select(F.col(token).alias("token")), merges, vocab, unk_id), "token-ids")
     hot_ids, cold_ids = _unused(combined, "_hot", "_cold")
     often = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_semi")
     seldom = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_anti")
@@ -408,6 +410,14 @@ def encode_by_join(df: DataFrame, merges: DataFrame, vocab: DataFrame, text_col:
     return done.select(*kept, F.when(F.col(f"{rest}.{text_col}").isNotNull(), F.col(at)).alias(out_col))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several joins read is computed once."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _places(words: Column) -> Column:
     """[(t, at)]: the different strings of an array with the places of each."""
     kind = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
