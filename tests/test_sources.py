@@ -261,3 +261,18 @@ def test_two_writers_write_two_versions(spark, tmp_dir):
     assert sinks._claimed(spark, f"{root}/version=1/_CLAIMED")       # another writer is at it, or broke off
     assert sinks.save_model_tables(spark, root, m) == 2
     assert sinks.committed_versions(spark, root) == [2] and not sinks._claimed(spark, f"{root}/version=2/_CLAIMED")
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    for i in range(300):
+        with open(f"{tmp_dir}/{i}.txt", "w") as f:
+            f.write(f"text {i}")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")      # a file opened counts as 4 MB: one file a partition
+        df = files.text_file_corpus(spark, tmp_dir)
+        assert df.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+        assert sorted(r.text for r in df.collect()) == sorted(f"text {i}" for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

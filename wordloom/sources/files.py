@@ -40,6 +40,12 @@ def _name_regex(part: str) -> str:
     return "".join(special.get(c) or re.escape(c) for c in part)
 
 
+def _joined_parts(df: DataFrame) -> DataFrame:
+    """A scan of very many small files has a partition for every few of them;
+    joined to some for each core, a task reads many files."""
+    return df.coalesce(16 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _read_pattern(spark: SparkSession, root: str, pattern: str, reader) -> DataFrame | None:
     """``reader(options, target, keep)``: keep is a condition on the file path
     that a ``**`` pattern needs beside the recursive listing, else None."""
@@ -75,8 +81,8 @@ def text_file_corpus(spark: SparkSession, root: str,
     def reader(opts, target, keep):
         # the text() keyword wins over options(), so pass wholetext there
         df = spark.read.options(**opts).text(target, wholetext=True)
-        return ((df if keep is None else df.where(keep))
-                .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+        return _joined_parts((df if keep is None else df.where(keep))
+                             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
     parts = [p for p in (_read_pattern(spark, root, pat, reader) for pat in pats) if p is not None]
     if not parts:
