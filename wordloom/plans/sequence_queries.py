@@ -13,6 +13,7 @@ from ..functions import draws
 from ..functions import sequences as sq
 from ..functions import text as tx
 from ..operators import index as ix
+from ..tables import table
 from .common import (hashed_ids_sql, list_text_sql, register, tok_docs, tok_text,
                      words_sql)
 
@@ -25,6 +26,14 @@ def _word_ids(spark, sf):
     return d.select("doc_id", sq.hashed_word_ids(tx.words(F.col("text")), V).alias("ids"))
 
 
+def _batched_word_ids(spark, sf):
+    """Word ids in batches of 16.  The raw texts are batched: ranging reads its
+    input twice, so what is made of them is made after it."""
+    b = ix.fixed_batches(table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 16)
+    ids = sq.hashed_word_ids(tx.words(tok_text(F.col("text"))), V)
+    return b.select("doc_id", "batch_id", "_pos_in_batch", ids.alias("ids")).withColumn("mask", sq.ones_mask(F.col("ids")))
+
+
 BASE_SQL = f"(select doc_id, {hashed_ids_sql(words_sql('text'), V)} as ids from documents)"
 
 
@@ -67,10 +76,7 @@ select doc_id, batch_id::BIGINT as batch_id, {list_text_sql(_pad_sql('ids', 'w',
 from b
 """)
 def seq_pad_batch_left(spark, sf):
-    d = _word_ids(spark, sf)
-    d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
-    b = ix.fixed_batches(d, ["doc_id"], 16)
-    p = sq.dynamic_padding(b, batch_col="batch_id", side="left")
+    p = sq.dynamic_padding(_batched_word_ids(spark, sf), batch_col="batch_id", side="left")
     return p.select("doc_id", "batch_id", T(F.col("ids")).alias("ids"), T(F.col("mask")).alias("mask"))
 
 
@@ -83,10 +89,7 @@ select doc_id, batch_id::BIGINT as batch_id, len({_pad_sql('ids', 'w')})::BIGINT
 from b
 """)
 def seq_pad_multiple(spark, sf):
-    d = _word_ids(spark, sf)
-    d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
-    b = ix.fixed_batches(d, ["doc_id"], 16)
-    p = sq.dynamic_padding(b, batch_col="batch_id", multiple_of=8)
+    p = sq.dynamic_padding(_batched_word_ids(spark, sf), batch_col="batch_id", multiple_of=8)
     return p.select("doc_id", "batch_id", F.size("ids").cast("bigint").alias("width"),
                     T(F.col("ids")).alias("ids"))
 
@@ -168,10 +171,7 @@ select batch_id::BIGINT as batch_id, max(width)::BIGINT as width,
 from w group by batch_id
 """)
 def seq_mask_metrics(spark, sf):
-    d = _word_ids(spark, sf)
-    d = d.withColumn("mask", sq.ones_mask(F.col("ids")))
-    b = ix.fixed_batches(d, ["doc_id"], 16)
-    p = sq.dynamic_padding(b, batch_col="batch_id")
+    p = sq.dynamic_padding(_batched_word_ids(spark, sf), batch_col="batch_id")
     return p.groupBy("batch_id").agg(
         F.max(F.size("ids")).cast("bigint").alias("width"),
         F.round(F.avg(sq.mask_coverage(F.col("mask"))), 6).alias("mask_coverage"),
