@@ -88,3 +88,28 @@ def test_first_pairs_stop_where_a_bucket_is_not_known():
     assert br.choose_active(counts, whole, 3) == (2, 8)
     assert br.choose_active(np.array([5, 5, 5]), False, 2) == (2, 6)   # a single merge may be taken
     assert br.choose_active(np.array([5, 5, 3]), True, 1) == (2, 5)
+
+
+def test_equal_runs_and_pairs_are_found_without_a_step_for_each():
+    """Each run of a block went through a Python loop, and each pair was sorted."""
+    import sys
+    rng = np.random.default_rng(5)
+    symbols = np.tile(rng.integers(0, 4, 50).astype(np.int32), 400)
+    start = np.arange(0, len(symbols), 4)
+    end = start + rng.integers(2, 5, len(start))
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "c_call" else None)
+    try:
+        keys, which = br.run_keys(symbols, start, end)
+        br.active_runs(symbols, np.arange(4, len(symbols) + 1, 4), np.array([1, (1 << 32) | 3, 3 << 32]))
+        codes, counts = br.added(np.tile(np.array([7, -3, 5], np.int64), 4000), np.ones(12000, np.int64))
+    finally:
+        sys.setprofile(None)
+    want = [symbols[a:b].tobytes() for a, b in zip(start, end)]
+    assert [keys[k] for k in which] == want and keys == list(dict.fromkeys(want))
+    assert codes.tolist() == [-3, 5, 7] and counts.tolist() == [4000] * 3
+    assert len(calls) < 500 < len(start)
+    keys, which = br.run_keys(symbols, start[:0], end[:0])
+    assert keys == [] and len(which) == 0 and len(br.added(np.zeros(0, np.int64), np.zeros(0, np.int64))[0]) == 0
+    # symbols of active pairs beyond those of the block
+    assert br.active_runs(symbols[:4], np.array([4]), np.array([900 << 32 | 1]))[0].tolist() == []

@@ -43,10 +43,13 @@ def pair_codes(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def added(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each code once, ascending, with the sum of its weights."""
-    order = np.argsort(codes, kind="stable")
-    codes, weights = codes[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(weights, first) if len(first) else np.zeros(0, np.int64)
+    import pyarrow as pa
+    found = pa.array(codes, pa.int64()).dictionary_encode()
+    total = np.zeros(len(found.dictionary), np.int64)
+    np.add.at(total, np.asarray(found.indices), weights)
+    codes = np.asarray(found.dictionary)
+    order = np.argsort(codes)
+    return codes[order], total[order]
 
 
 def pair_sums(symbols: np.ndarray, ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,18 +67,26 @@ def active_runs(symbols: np.ndarray, ends: np.ndarray, active: np.ndarray) -> tu
     ``active`` is sorted and not empty."""
     if len(symbols) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = pair_codes(symbols, ends)
-    hit = active[np.minimum(np.searchsorted(active, codes), len(active) - 1)] == codes
+    # only where both symbols occur in active pairs, on their sides, is the pair looked up
+    left, right = np.zeros((2, int(max(symbols.max(), (active >> 32).max(), (active & 0xFFFFFFFF).max())) + 1), bool)
+    left[active >> 32] = right[active & 0xFFFFFFFF] = True
+    hit = left[symbols[:-1]] & right[symbols[1:]]
+    hit[ends[:-1] - 1] = False
+    at = np.flatnonzero(hit)
+    codes = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
+    hit[at] = active[np.minimum(np.searchsorted(active, codes), len(active) - 1)] == codes
     step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) + 1
 
 
 def run_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The different runs, as bytes, and for each run which of them it is."""
-    data = symbols.tobytes()
-    held: dict[bytes, int] = {}
-    which = np.array([held.setdefault(data[4 * a:4 * b], len(held)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
-    return list(held), which
+    import pyarrow as pa
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    data = symbols[np.repeat(start - at[:-1], size) + np.arange(at[-1])].astype("<i4")
+    runs = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(4 * at), pa.py_buffer(data)]).dictionary_encode()
+    return runs.dictionary.to_pylist(), np.asarray(runs.indices).astype(np.int64)
 
 
 def with_new_runs(symbols, ends, n, active, changed: dict[bytes, bytes]):
