@@ -1,3 +1,4 @@
+import gzip
 import os
 
 import pytest
@@ -33,6 +34,30 @@ def test_text_folder(spark, tmp_dir):
     assert [r.line for r in lines.collect()] == ["line1", "line2"]
 
 
+def test_whole_files_without_a_codec_are_read_as_bytes(spark, tmp_dir):
+    packed = gzip.compress(b"packed")
+    data = {"a.txt": b"\xef\xbb\xbfbom\r\n\n", "bad.txt": b"a\xff\x00b", "x y%.txt": "é".encode(),
+            "D.TXT": b"upper", "none": b"no ending", "e.md": b"md", "c.txt.gz": packed, "sub/t.txt": b"deep", "dir.txt/part.gz": packed}
+    for name, content in data.items():
+        _write(f"{tmp_dir}/{name}", content)
+
+    def read(pattern):
+        df = files.text_file_corpus(spark, tmp_dir, pattern).select("path", F.col("text").cast("binary").alias("b"))
+        return df._jdf.queryExecution().toString(), sorted(bytes(r.b) for r in df.collect())
+
+    def of(*names):
+        return sorted(b"packed" if data[n] == packed else data[n] for n in names)
+
+    plan, texts = read("**/*.txt")
+    assert texts == of("a.txt", "bad.txt", "x y%.txt", "sub/t.txt")
+    # the text reader copies the Hadoop configuration for every file
+    assert "FileScan binaryFile" in plan and "FileScan text" not in plan
+    assert read("**/*")[1] == of(*data)
+    assert read("*.txt")[1] == of("a.txt", "bad.txt", "x y%.txt", "dir.txt/part.gz")
+    assert read("*.gz")[1] == of("c.txt.gz")
+    assert read(["*.md", "none", "D.*"])[1] == of("e.md", "none", "D.TXT")
+
+
 def test_csv_text_column(spark, tmp_dir):
     _write(f"{tmp_dir}/a.csv", 'id,Text\n1,first\n2,\n3,"multi\nline"\n')
     _write(f"{tmp_dir}/other/b.csv", "id,body\n1,x\n")

@@ -19,6 +19,8 @@ log = logging.getLogger(__name__)
 # --- fixed values: admission ----------------------------------------------
 ALLOWED_EXTENSIONS = [".txt", ".json", ".jsonl", ".csv"]
 ALLOWED_MIMETYPES = ["text/plain", "application/json", "text/csv"]
+# --- fixed values: names of files that no compression codec reads -----------
+PLAIN_ENDINGS = (*ALLOWED_EXTENSIONS, ".md", ".tsv", ".html", ".xml", ".log")
 # ---------------------------------------------------------------------------
 
 
@@ -70,6 +72,30 @@ def _read_pattern(spark: SparkSession, root: str, pattern: str, reader) -> DataF
         raise
 
 
+def _whole_files(spark: SparkSession, pattern: str):
+    """A reader for ``_read_pattern``: (path, text) of whole files.  The text
+    reader copies the Hadoop configuration for each file, under one lock of the
+    process, to find a file's codec; files whose ending has none are read as
+    bytes, which are the same text, and only others by the text reader."""
+    path = F.col("_metadata.file_path")
+    plain = path.rlike(f"(?:{'|'.join(map(re.escape, PLAIN_ENDINGS))})$")
+
+    def reader(opts, target, keep):
+        keep = F.lit(True) if keep is None else keep
+        as_bytes = spark.read.options(**opts).format("binaryFile").load(target).where(keep)
+        text = F.col("content").cast("string").alias("text")
+        # the name filter of a recursive listing holds for every file; another
+        # pattern may name a folder, whose files have any ending
+        if "pathGlobFilter" in opts and pattern.endswith(PLAIN_ENDINGS):
+            return _joined_parts(as_bytes.select(path.alias("path"), text))
+        # the text() keyword wins over options(), so pass wholetext there
+        as_text = spark.read.options(**opts).text(target, wholetext=True).where(keep)
+        return _joined_parts(as_bytes.where(plain).select(path.alias("path"), text).union(
+            as_text.where(~plain).select(path.alias("path"), F.col("value").alias("text"))))
+
+    return reader
+
+
 # S1 ---------------------------------------------------------------------------
 def text_file_corpus(spark: SparkSession, root: str,
                      patterns: str | list[str] = "*.txt") -> DataFrame:
@@ -77,14 +103,7 @@ def text_file_corpus(spark: SparkSession, root: str,
     recursive unless the pattern has ``**``; a file matched by two patterns
     is read twice; nothing found gives an empty frame and a warning."""
     pats = [patterns] if isinstance(patterns, str) else list(patterns)
-
-    def reader(opts, target, keep):
-        # the text() keyword wins over options(), so pass wholetext there
-        df = spark.read.options(**opts).text(target, wholetext=True)
-        return _joined_parts((df if keep is None else df.where(keep))
-                             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
-
-    parts = [p for p in (_read_pattern(spark, root, pat, reader) for pat in pats) if p is not None]
+    parts = [p for p in (_read_pattern(spark, root, pat, _whole_files(spark, pat)) for pat in pats) if p is not None]
     if not parts:
         log.warning("no files found in %s for %s", root, pats)
         return _empty_corpus(spark)
