@@ -52,6 +52,8 @@ def test_whole_files_without_a_codec_are_read_as_bytes(spark, tmp_dir):
     assert texts == of("a.txt", "bad.txt", "x y%.txt", "sub/t.txt")
     # the text reader copies the Hadoop configuration for every file
     assert "FileScan binaryFile" in plan and "FileScan text" not in plan
+    # nor is a condition put to every path where the name filter says it all
+    assert "rlike" not in plan.lower() and "rlike" in read("sub/**/t.txt")[0].lower()
     assert read("**/*")[1] == of(*data)
     assert read("*.txt")[1] == of("a.txt", "bad.txt", "x y%.txt", "dir.txt/part.gz")
     assert read("*.gz")[1] == of("c.txt.gz")

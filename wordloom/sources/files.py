@@ -59,7 +59,9 @@ def _read_pattern(spark: SparkSession, root: str, pattern: str, reader) -> DataF
             opts.pop("pathGlobFilter")
             pattern += "/*"
         target = os.path.join(root, head) if head else root
-        keep = F.col("_metadata.file_path").rlike("/" + _glob_regex(pattern.strip("/")) + "$")
+        # after a plain **/ the name filter says it all: no condition on every path in the driver
+        if not re.fullmatch(r"\*\*/[A-Za-z0-9_.*-]*[A-Za-z0-9_.-]", pattern):
+            keep = F.col("_metadata.file_path").rlike("/" + _glob_regex(pattern.strip("/")) + "$")
     else:
         opts, target = {}, os.path.join(root, pattern)
     try:
