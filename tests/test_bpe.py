@@ -244,3 +244,59 @@ def test_encoding_by_join_places_the_pretokens_once(spark):
     want = {(r.k, str(r.ids)) for r in encode.BpeEncoder(model).encode(df, "text", "ids").collect()}
     assert {(r.k, str(r.ids)) for r in out.collect()} == want
     assert made.value <= 3 * df.count()
+
+
+def _dealt_rows(df):
+    """Rows that the exchanges of the plan have written, once it has run."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    waits = [plan]
+    while waits:
+        p = waits.pop()
+        name = p.nodeName()
+        if name == "Exchange":
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        waits += [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if name.endswith("QueryStage") else []
+        waits += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_encoding_by_join_deals_out_no_pretokens(spark):
+    """Every (row, pre-token) pair was dealt out twice, with the row's text: more disk than the input by far."""
+    rows = [(i, " ".join(f"w{j}x{(i * j) % 97}" for j in range(150))) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, text string").coalesce(2)
+    model = bpe.train_bpe(pt.word_counts(df), vocab_size=320, min_frequency=2)
+    want = {(r.k, str(r.ids)) for r in encode.BpeEncoder(model).encode(df, "text", "ids").collect()}
+    out = encode.BpeEncoder(model, ship_up_to=0).encode(df, "text", "ids", carry=["k"])
+    assert out.columns == ["k", "ids"] and {(r.k, str(r.ids)) for r in out.collect()} == want
+    assert _dealt_rows(out) < 10 * df.count()
+
+
+def test_blocks_of_any_size_give_the_same_ids(spark, monkeypatch):
+    texts = [None, "", "the cat the hat", "a" * 300, None, "naïve café 123", "the end " * 40, "the cat the hat"] * 5
+    df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "k int, text string").coalesce(1)
+    model = bpe.train_bpe(pt.word_counts(df), vocab_size=300, min_frequency=2)
+    want = sorted(str((r.k, r.text, r.ids)) for r in encode.BpeEncoder(model).encode(df, "text", "ids").collect())
+    for most in (1, 7, 50):
+        monkeypatch.setattr(encode, "BLOCK_PLACES", most)
+        got = encode.BpeEncoder(model, ship_up_to=0).encode(df, "text", "ids")
+        assert sorted(str((r.k, r.text, r.ids)) for r in got.collect()) == want
+
+
+def test_places_are_packed_and_unpacked():
+    import numpy as np
+    rng = random.Random(5)
+    rows = [[rng.randrange(rng.choice([2, 128, 129, 1 << 14, (1 << 14) + 1, 1 << 21, 1 << 30])) for _ in range(rng.choice([0, 1, 9]))] for _ in range(200)]
+    for some in (rows, [], [[]], [[127, 128, 16383, 16384, 2097151, 2097152]]):
+        ends = np.cumsum([len(r) for r in some]).astype(np.int64)
+        cells = encode._packed(np.array([x for r in some for x in r], np.int64), ends).to_pylist()
+        numbers, size = encode._unpacked(cells)
+        assert numbers.tolist() == [x for r in some for x in r] and size.tolist() == [len(r) for r in some]
+
+
+def test_merges_out_of_order_are_taken_one_by_one(spark):
+    merges = spark.createDataFrame([(1, "61", "61"), (0, "6161", "61"), (2, "20", "616161")], "rank int, left string, right string")
+    vocab = spark.createDataFrame([(i, t) for i, t in enumerate(["61", "6161", "616161", "20", "20616161", None])], "id int, token_hex string")
+    got = encode.encode_by_join(spark.createDataFrame([("aaaaa",), ("b",)], "text string"), merges, vocab).collect()
+    ranks = {("61", "61"): 1, ("6161", "61"): 0, ("20", "616161"): 2}
+    ids = {"61": 0, "6161": 1, "616161": 2, "20": 3, "20616161": 4}
+    assert {r.text: r.ids for r in got} == {"aaaaa": [ids[s] for s in encode._bpe_symbols(" aaaaa", ranks)], "b": [3]}

@@ -8,7 +8,7 @@ and travels with the task; there is no shuffle and no join back, and a hot
 pre-token (a third of all words) is encoded once a batch.
 
 A vocabulary above the checked size is not shipped: ``encode_by_join`` and
-``decode_by_join`` take it as tables and bring to each pre-token, or id, only
+``decode_by_join`` take it as tables and bring to each block of rows, or id, only
 the entries that concern it.
 """
 
@@ -260,12 +260,14 @@ class BpeEncoder:
         self._need_shipped()
         return self._encode_udf(pretokens(text, self.add_prefix_space))
 
-    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
+        """``df`` with the ids; of its columns only those of ``carry``, if given."""
         if self.shipped:
-            return df.withColumn(out_col, self.encode_column(F.col(text_col)))
+            out = df.withColumn(out_col, self.encode_column(F.col(text_col)))
+            return out if carry is None else out.select(*carry, out_col)
         spark = df.sparkSession
         return encode_by_join(df, self.model.merges_frame(spark), self.model.vocab_frame(spark), text_col, out_col,
-                              self.unk_id, self.add_prefix_space)
+                              self.unk_id, self.add_prefix_space, carry)
 
     # B7 ---------------------------------------------------------------------
     def decode_column(self, ids: Column) -> Column:
@@ -304,8 +306,10 @@ class BpeEncoder:
 
 
 # Vocabularies of any size ------------------------------------------------------
-#: A pre-token in at least this share of all (row, pre-token) pairs is looked up in a broadcast table, which so has
-#: at most its inverse of rows.
+#: Pre-tokens of a block at most, or of one row.
+BLOCK_PLACES = 1 << 19
+#: A pre-token stands once in a block however often it occurs, so none is looked up apart for its share of all;
+#: what is set here changes nothing.
 HOT_SHARE = 1 / 1000
 
 
@@ -320,94 +324,170 @@ def _unused(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
-def _apply_per_token(rules_by_token: DataFrame) -> DataFrame:
-    """(token, rules: array of (rank, left, right)) -> (token, symbols): BPE of
-    each pre-token with the merges that concern it."""
-    def merged(batches):
-        for b in batches:
-            out = []
-            for t, rules in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ranks: dict[tuple[str, str], int] = {}
-                for r in rules or []:
-                    pair = (r["left"], r["right"])
-                    ranks[pair] = min(r["rank"], ranks.get(pair, r["rank"]))
-                out.append(_bpe_symbols(t, ranks))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["token", "symbols"])
-
-    return rules_by_token.select("token", "rules").mapInArrow(merged, "token string, symbols array<string>")
-
-
-def token_ids_by_join(tokens: DataFrame, merges: DataFrame, vocab: DataFrame, unk_id: int | None = None) -> DataFrame:
-    """(token, ids) of distinct pre-tokens, the vocabulary staying a table.
-
-    A merge concerns a pre-token only if what it makes is a part of it.  So
-    the parts of each pre-token, up to the longest token of the vocabulary,
-    are joined with the merges on the merged string, and each pre-token is
-    encoded by the few merges that it gets.  Its symbols then get their ids by
-    a second join.  Symbols that the vocabulary lacks give ``unk_id``, or
-    nothing without one."""
-    # written, so that the joins know how large it is before they deal out the parts
-    rules = _kept(merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
-                  .select("left", "right", "rank", F.concat("left", "right").alias("part")), "merges")
-    longest = (rules.agg(F.max(F.length("part"))).first()[0] or 0) // 2
-    hexed = F.hex(F.encode("token", "UTF-8"))
-    n = F.length("h") / 2
-    parts = tokens.select("token", hexed.alias("h")).select("token", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n.cast("int")), lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), n.cast("int") - i + 1)),
-            lambda k: F.substring("h", 2 * i - 1, 2 * k)))))).alias("part"))
-    with_rules = parts.where(F.length("part") > 2).join(rules, "part").groupBy("token").agg(
-        F.collect_list(F.struct("rank", "left", "right")).alias("rules"))   # by the parts of one pre-token
-    symbols = _apply_per_token(tokens.join(with_rules, "token", "left"))
-    places = symbols.select("token", F.posexplode("symbols").alias("at", "token_hex"))
-    known = vocab.where(F.col("token_hex").isNotNull()).groupBy("token_hex").agg(F.min("id").alias("id"))
-    found = F.coalesce("id", F.lit(unk_id).cast("int"))
-    ids = (places.join(known, "token_hex", "left").where(found.isNotNull()).groupBy("token")
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", found.alias("id")))), lambda x: x["id"]).alias("ids")))
-    return tokens.join(ids, "token", "left").select("token", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+def _packed(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The numbers up to each end as bytes: seven bits in each, the lowest
+    first, the high bit set in all but a number's last byte."""
+    numbers = numbers.astype(np.int64)
+    size = 1 + sum((numbers >= 1 << k).astype(np.int64) for k in (7, 14, 21, 28))
+    first = np.cumsum(size) - size
+    data = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        data[first[more] + k] = (numbers[more] >> 7 * k) & 127 | np.where(size[more] > k + 1, 128, 0)
+    offsets = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(cells: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all cells end to end, how many each has)."""
+    data = np.frombuffer(b"".join(x or b"" for x in cells), np.uint8)
+    last = data < 128
+    at = np.flatnonzero(last)
+    first = np.concatenate([[0], at[:-1] + 1])[:len(at)]
+    numbers = np.zeros(len(at), np.int64)
+    for k in range(int((at - first).max(initial=-1)) + 1):
+        on = first + k <= at
+        numbers[on] |= (data[first[on] + k] & 127).astype(np.int64) << 7 * k
+    ends = np.cumsum([len(x or b"") for x in cells]).astype(np.int64)
+    done = np.concatenate([[0], np.cumsum(last)])[ends]
+    return numbers, np.diff(done, prepend=0)
+
+
+_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("at", T.BinaryType()),
+                       T.StructField("tokens", T.ArrayType(T.BinaryType()))])
+
+
+def _block_places(row: Column, words: Column) -> Column:
+    """(block, at, tokens) of each row: rows of BLOCK_PLACES pre-tokens at most
+    are a block, named after its first row, which holds the block's different
+    pre-tokens, the most frequent first; ``at`` is a row's pre-tokens as their
+    places among these, null for null."""
+    made = pa.struct([("block", pa.int64()), ("at", pa.binary()), ("tokens", pa.list_(pa.binary()))])
+
+    @F.arrow_udf(_BLOCK)
+    def block_places(rows: pa.Array, col: pa.Array) -> pa.Array:
+        names, begun = np.asarray(rows), 0
+
+        def of_block(part: pa.Array) -> pa.Array:
+            nonlocal begun
+            flat = pc.list_flatten(part).dictionary_encode()
+            which = np.asarray(flat.indices).astype(np.int64)
+            order = np.argsort(-np.bincount(which, minlength=len(flat.dictionary)), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part), 0)).astype(np.int64))
+            at = pc.if_else(part.is_valid(), _packed(place[which], ends), pa.scalar(None, pa.binary()))
+            tokens = flat.dictionary.cast(pa.binary()).take(pa.array(order))
+            held = pa.ListArray.from_arrays(pa.array([0] + [len(tokens)] * len(part), pa.int32()), tokens,
+                                            mask=pa.array(np.arange(len(part)) > 0))
+            out = pa.StructArray.from_arrays([pa.array(np.full(len(part), names[begun]), pa.int64()), at, held], fields=list(made))
+            begun += len(part)
+            return out
+
+        return _by_stretches(col, BLOCK_PLACES, made, of_block)
+
+    return block_places(row, words)
+
+
+def vocabulary_parts(merges: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(part, rank, cut, id): a row for each merge, with the bytes that it makes,
+    where they are cut and their id, and one for each other entry of the
+    vocabulary, without rank and cut."""
+    rules = (merges.groupBy("left", "right").agg(F.min("rank").alias("rank"))
+             .select(F.concat("left", "right").alias("h"), "rank", (F.length("left") / 2).cast("int").alias("cut")))
+    known = vocab.where(F.col("token_hex").isNotNull()).groupBy(F.col("token_hex").alias("h")).agg(F.min("id").alias("id"))
+    return rules.join(known, "h", "full_outer").select(F.unhex("h").alias("part"), "rank", "cut", "id").where("part is not null")
+
+
+def _in_order(ranks: dict[tuple[str, str], int]) -> bool:
+    """Whether each merge has a rank of its own, above those that first make its two sides."""
+    first: dict[str, int] = {}
+    for pair, rank in ranks.items():
+        first["".join(pair)] = min(rank, first.get("".join(pair), rank))
+    return len(set(ranks.values())) == len(ranks) and all(first.get(x, -1) < rank for pair, rank in ranks.items() for x in pair)
+
+
+def _ids_at_places(tokens: Column, parts: Column, at: Column, unk_id: int | None) -> Column:
+    """The ids of each row of a block: its pre-tokens are merged by the entries
+    of the vocabulary that concern them, then taken at each row's places."""
+
+    def of_block(tokens, parts, at):
+        ranks, ids = {}, {}
+        for x in parts or []:
+            h, cut = x["part"].hex().upper(), x["cut"]
+            if x["id"] is not None:
+                ids[h] = x["id"]
+            if cut is not None:
+                ranks[h[:2 * cut], h[2 * cut:]] = x["rank"]
+        if _in_order(ranks):
+            merger = WordMerger(ranks, ids, unk_id)
+            made = [merger.encode(tokens[i:i + _WORDS_AT_ONCE]) for i in range(0, len(tokens), _WORDS_AT_ONCE)]
+        else:
+            own = [[i for s in _bpe_symbols(t, ranks) if (i := ids.get(s, unk_id)) is not None] for t in tokens]
+            made = [(np.array([i for x in own for i in x], np.int32), np.array([len(x) for x in own], np.int64))]
+        values = np.concatenate([x for x, _ in made] or [np.zeros(0, np.int32)])
+        lengths = np.concatenate([n for _, n in made] or [np.zeros(0, np.int64)])
+        which, size = _unpacked(at)
+        out = _gather(values, np.cumsum(lengths) - lengths, lengths, which)
+        done = np.concatenate([[0], np.cumsum(lengths[which])])[np.concatenate([[0], np.cumsum(size)])]
+        return pa.ListArray.from_arrays(pa.array(done, pa.int32()), pa.array(out, pa.int32()), mask=pa.array([x is None for x in at]))
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def ids_at_places(tokens: pa.Array, parts: pa.Array, at: pa.Array) -> pa.Array:
+        made = pa.list_(pa.list_(pa.int32()))
+        out = []
+        for k in range(len(at)):
+            ids = of_block(tokens[k].as_py() or [], parts[k].as_py(), at[k].as_py())
+            out.append(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(out).cast(made) if out else pa.array([], made)
+
+    return ids_at_places(tokens, parts, at)
 
 
 def encode_by_join(df: DataFrame, merges: DataFrame, vocab: DataFrame, text_col: str = "text", out_col: str = "ids",
-                   unk_id: int | None = None, add_prefix_space: bool = True) -> DataFrame:
+                   unk_id: int | None = None, add_prefix_space: bool = True, carry: list[str] | None = None) -> DataFrame:
     """B5 for a vocabulary of any size: ``merges`` (rank, left, right) and
     ``vocab`` (id, token_hex) stay tables.
 
-    The distinct pre-tokens are counted, with the rows that hold them, and
-    encoded once (``token_ids_by_join``); both tables are written.  The
-    pre-tokens of a row are combined, each with its places.
-    Those in a share of HOT_SHARE or more of the (row, pre-token) pairs come
-    back by a broadcast table of at most 1 / HOT_SHARE rows, the others by a
-    join on the pre-token.  A null text gives null ids, one without
-    pre-tokens an empty array; equal rows stay apart; other columns are
-    carried along."""
-    row, token, at, rest, parts, n = _unused(df, "_row", "_token", "_at", "_rest", "_parts", "_n")
-    others = [c for c in df.columns if c.lower() != out_col.lower()]
-    tagged = df.select(*others, F.monotonically_increasing_id().alias(row))
-    words = pretokens(F.col(text_col), add_prefix_space)
-    # one element for the row itself, then one for each of its pre-tokens
-    marker = F.struct(F.lit(None).cast("string").alias("t"), F.array().cast("array<int>").alias("at"))
-    out = tagged.select(row, F.struct(*others).alias(rest), words.alias(parts))
-    combined = out.select(row, rest, F.explode(F.concat(F.array(marker), F.coalesce(
-        _places(F.col(parts)), F.array().cast("array<struct<t:string,at:array<int>>>")))).alias(token))
-    combined = combined.select(row, F.when(F.col(f"{token}.t").isNull(), F.col(rest)).alias(rest),
-                               F.col(f"{token}.t").alias(token), F.col(f"{token}.at").alias(at))
-    freq = _kept(df.select(F.explode(F.array_distinct(words)).alias(token)).groupBy(token).agg(F.count(F.lit(1)).alias(n)), "token-counts")
-    total = freq.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) >= max(2, total * HOT_SHARE)
-    coded = _kept(token_ids_by_join(freq.select(F.col(token).alias("token")), merges, vocab, unk_id), "token-ids")
-    hot_ids, cold_ids = _unused(combined, "_hot", "_cold")
-    often = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_semi")
-    seldom = coded.join(freq.where(hot).select(F.col(token).alias("token")), "token", "left_anti")
-    key, = _unused(combined, "_key")
-    joined = (combined.join(F.broadcast(often.select(F.col("token").alias(token), F.col("ids").alias(hot_ids))), token, "left")
-              .withColumn(key, F.when(F.col(hot_ids).isNull() & F.col(token).isNotNull(), F.concat(F.lit("t"), token))
-                          .otherwise(F.concat(F.lit("r"), F.col(row).cast("string"))))
-              .join(seldom.select(F.concat(F.lit("t"), "token").alias(key), F.col("ids").alias(cold_ids)), key, "left"))
-    spread = F.transform(at, lambda i: F.struct(i.alias("i"), F.coalesce(hot_ids, cold_ids).alias("ids")))
-    ids = F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list(spread))), lambda x: x["ids"]))
-    done = joined.groupBy(row).agg(F.first(rest, ignorenulls=True).alias(rest), ids.alias(at))
-    kept = [F.col(f"{rest}.{c}") for c in others]
-    return done.select(*kept, F.when(F.col(f"{rest}.{text_col}").isNotNull(), F.col(at)).alias(out_col))
+    The pre-tokens are combined in blocks of rows, each with its different
+    pre-tokens and the rows' places among them; these are written, so that the
+    rows are worked on once.  An entry of the vocabulary concerns a block only
+    if it is a part of one of its pre-tokens.  So the parts of each, from two
+    bytes to the longest that a merge makes, are joined with the vocabulary; the
+    single bytes, 256 at most, come to every block.  A block comes together with
+    the few entries that it gets, so no (row, pre-token) pair is dealt out.  A
+    null text gives null ids, one without pre-tokens an empty array; equal rows
+    stay apart.  Other columns are carried along, or only those of ``carry``."""
+    row, block, rest, at, tokens, words = _unused(df, "_row", "_block", "_rest", "_at", "_tokens", "_words")
+    others = [c for c in df.columns if c.lower() != out_col.lower()] if carry is None else carry
+    tagged = df.select(F.struct(*others).alias(rest), F.monotonically_increasing_id().alias(row),
+                       pretokens(F.col(text_col), add_prefix_space).alias(words))
+    tagged = tagged.select(rest, _block_places(F.col(row), F.col(words)).alias(at))
+    blocks = _kept(tagged.select(F.col(f"{at}.block").alias(block), rest, F.col(f"{at}.at").alias(at),
+                                 F.col(f"{at}.tokens").alias(tokens)), "blocks")
+    # written, so that the join knows how large it is before it deals out the parts
+    entries = _kept(vocabulary_parts(merges, vocab), "vocabulary")
+    longest = max(entries.where("cut is not null").agg(F.max(F.length("part"))).first()[0] or 1, 1)
+    each = blocks.select(block, F.explode(tokens).alias("t"))
+    each = each.select(block, "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
+    most = F.least(F.lit(longest), F.length("t") - F.col("i") + 1)
+    each = each.where(most > 1).select(block, "t", "i", F.explode(F.sequence(F.lit(2), most)).alias("k"))
+    found = each.select(block, F.substring("t", F.col("i"), F.col("k")).alias("part")).join(entries, "part").select(
+        block, "part", "rank", "cut", "id").distinct()
+    # the single bytes, 256 at most, concern every block
+    found = found.unionByName(blocks.where(F.col(tokens).isNotNull()).select(block).crossJoin(
+        F.broadcast(entries.where(F.length("part") == 1))).select(found.columns))
+    part = F.struct("part", "rank", "cut", "id")
+    row_kind = T.StructType([T.StructField(rest, blocks.schema[rest].dataType), T.StructField(at, T.BinaryType())])
+    rows = blocks.select(block, F.struct(rest, at).alias(row), tokens, F.lit(None).cast(found.select(part.alias("p")).schema["p"].dataType).alias("part"))
+    dealt = rows.unionByName(found.select(block, F.lit(None).cast(row_kind).alias(row), F.lit(None).cast(blocks.schema[tokens].dataType).alias(tokens),
+                                          part.alias("part")))
+    whole = dealt.groupBy(block).agg(F.collect_list(row).alias(row), F.first(tokens, ignorenulls=True).alias(tokens),
+                                     F.collect_list("part").alias("part"))
+    ids = _ids_at_places(F.col(tokens), F.col("part"), F.col(f"{row}.{at}"), unk_id)
+    done = whole.select(row, ids.alias(at)).select(F.explode(F.arrays_zip(F.col(row).alias(row), F.col(at).alias(at))).alias(rest))
+    return done.select(*[F.col(f"{rest}.{row}.{rest}.{c}") for c in others], F.col(f"{rest}.{at}").alias(out_col))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -418,28 +498,6 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _places(words: Column) -> Column:
-    """[(t, at)]: the different strings of an array with the places of each."""
-    kind = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
-
-    made = pa.list_(pa.struct([("t", pa.string()), ("at", pa.list_(pa.int32()))]))
-
-    def places_of_stretch(col: pa.Array) -> pa.Array:
-        out = []
-        for ws in col.to_pylist():
-            held: dict[str, list[int]] = {}
-            for i, w in enumerate(ws or []):
-                held.setdefault(w, []).append(i)
-            out.append(None if ws is None else [{"t": w, "at": at} for w, at in held.items()])
-        return pa.array(out, made)
-
-    @F.arrow_udf(kind)
-    def places(col: pa.Array) -> pa.Array:
-        return _by_stretches(col, _PLACES_AT_ONCE // 4, made, places_of_stretch)
-
-    return places(words)
-
-
 def decode_by_join(df: DataFrame, vocab: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """B7 for a vocabulary of any size: the different ids of each row are
     joined with ``vocab`` (id, token_hex); special and unknown ids give

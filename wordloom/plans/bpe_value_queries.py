@@ -99,7 +99,7 @@ def document_ids_by_join(spark, sf):
     """As ``document_ids``, the vocabulary staying a table."""
     enc = en.BpeEncoder(benchmark_model(spark, sf), ship_up_to=0)
     docs = tok_docs(spark, sf).select("doc_id", "text")
-    return enc.encode(docs, "text", "ids").select("doc_id", sq.as_text(F.col("ids")).alias("ids"))
+    return enc.encode(docs, "text", "ids", carry=["doc_id"]).select("doc_id", sq.as_text(F.col("ids")).alias("ids"))
 
 
 # Tokens whose bytes are not whole characters are listed as <bytes> ---------
