@@ -303,3 +303,47 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_dir):
         assert sorted(r.text for r in df.collect()) == sorted(f"text {i}" for i in range(300))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_list_of_the_files_of_a_tree_is_held(spark, tmp_dir):
+    """Spark's listing kept the status of every file in the driver."""
+    for i in range(400):
+        _write(f"{tmp_dir}/in/{i % 5}/{i % 3}/{i}.txt", f"text {i}")
+    df = files.text_file_corpus(spark, f"{tmp_dir}/in", "**/*.txt")
+    assert not [f for f in df.inputFiles() if f.endswith(".txt")] and df.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+    assert sorted((r.path, r.text) for r in df.collect()) == sorted(
+        (f"file:{tmp_dir}/in/{i % 5}/{i % 3}/{i}.txt", f"text {i}") for i in range(400))
+
+
+def test_files_of_a_tree_are_those_that_spark_lists(spark, tmp_dir, monkeypatch):
+    top = f"{tmp_dir}/a%b c"
+    names = ["a b.txt", "c%20d.txt", "é#?.txt", "_hid.txt", "_k=v.txt", "_metadata.txt", ".dot.txt", "p+q;&.txt", 'br[]{}^`|\\"<>.txt',
+             "nb\u00a0sp\u2028\x85.txt", "x.txt._COPYING_", "x.md", "_sub/a.txt", "_metadata/a.txt", "g h/a.txt", "e/f/g/a.txt", ".h/a.txt", "x=1/a.txt"]
+    for n in names:
+        _write(f"{top}/{n}", n)
+    _write(f"{top}/empty.txt", "")
+    with open(f"{top}/bytes.txt", "wb") as f:
+        f.write(b"\xff\xfe a")
+    os.symlink(f"{top}/g h", f"{top}/link")
+    os.symlink(f"{top}/nothing", f"{top}/gone.txt")
+    rows = lambda root, pattern: sorted(tuple(r) for r in files.text_file_corpus(spark, root, pattern).selectExpr(
+        "path", "hex(cast(text as binary))").collect())
+    for root, pattern in ((top, "**/*.txt"), (f"file:{top}/", "**/a.txt"), (tmp_dir, "**/*.none.txt"), (f"{top}/none", "**/*.txt")):
+        got = rows(root, pattern)
+        with monkeypatch.context() as m:
+            m.setattr(files, "_tree_files", lambda *_: None)
+            assert got == rows(root, pattern)
+    assert len(rows(top, "**/*.txt")) == 13
+
+
+def test_processed_copies_remove_the_files_they_are_made_of(spark, tmp_dir, monkeypatch):
+    """Two files of every document stood on the disk at once."""
+    from wordloom.plans import file_queries as q
+    rows = [(i if i % 9 else None, None if i % 4 == 0 else f"s/{i % 3}", f"text {i % 50}\r\n") for i in range(200)] + [(1, "s", " "), (2, "s", None)]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string") \
+        .write.parquet(f"{tmp_dir}/documents.parquet")
+    made = []
+    monkeypatch.setattr(q, "shared_dir", lambda spark, name: made.append(f"{tmp_dir}/{name}-{len(made)}") or made[-1])
+    got = sorted(map(str, ((r.doc_id, r.source, r.text) for r in q.processed_copies(spark, tmp_dir).collect())))
+    assert got == sorted(map(str, rows[:200]))
+    assert [p for p in made if os.path.exists(p)] == [p for p in made if "copies" in p] and len(made) > 1

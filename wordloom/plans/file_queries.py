@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import path_exists, remove_dir, shared_dir
 from ..sources import files, sinks
 from ..tables import table
 from .common import register
@@ -36,14 +36,24 @@ def _source_of(path: str, pattern: str):
 
 
 # Documents as files of a folder per source, copied, and the copies read again ------
+#: The files of so many portions of the documents are made, copied and removed one after the other, as a small file
+#: takes a whole block of the disk: two files of every document at once would be several times the input.
+PORTIONS = 8
+
+
 @register("processed_copies", """
 select doc_id, source, text from documents where text is not null and regexp_matches(text, '\\S')
 """)
 def processed_copies(spark, sf):
     d = table(spark, sf, "documents").where("text is not null")
     name = F.concat(F.coalesce(_hex_name("source"), F.lit("null")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
-    path = sinks.write_item_files(d.select(name.alias("name"), "text"), shared_dir(spark, "files"), "name", "text")
-    out = sinks.write_processed_copies(files.text_file_corpus(spark, path, "**/*.txt"), shared_dir(spark, "copies"), path)
+    out = shared_dir(spark, "copies")
+    for i in range(PORTIONS):
+        portion = d.where(F.pmod(F.xxhash64("doc_id", "source", "text"), F.lit(PORTIONS)) == i).select(name.alias("name"), "text")
+        path = sinks.write_item_files(portion, shared_dir(spark, "files"), "name", "text")
+        sinks.write_processed_copies(files.text_file_corpus(spark, path, "**/*.txt"), out, path)
+        if path_exists(spark, path):
+            remove_dir(spark, path)
     back = files.text_file_corpus(spark, out, "**/*_processed.txt")
     return back.select(F.regexp_extract("path", "/(-?[0-9]+|none)(~[0-9]+)?_processed[.]txt$", 1).try_cast("bigint").alias("doc_id"),
                        _source_of("path", "/(s[0-9A-F]*|null)/[^/]*$").alias("source"), "text")

@@ -1,6 +1,7 @@
 """File sources: text-file corpora (S1), CSV text columns (S2), file admission
 (S8) and decoding with a fallback (S9).  Each is a Spark reader plus
-built-in expressions; nothing is read on the driver."""
+built-in expressions, or, for the whole files of a tree of folders, tasks that
+list and read them; nothing is read on the driver."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as tx
+from ..session import shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -83,13 +85,16 @@ def _whole_files(spark: SparkSession, pattern: str):
     plain = path.rlike(f"(?:{'|'.join(map(re.escape, PLAIN_ENDINGS))})$")
 
     def reader(opts, target, keep):
+        all_names = keep is None
         keep = F.lit(True) if keep is None else keep
-        as_bytes = spark.read.options(**opts).format("binaryFile").load(target).where(keep)
         text = F.col("content").cast("string").alias("text")
         # the name filter of a recursive listing holds for every file; another
         # pattern may name a folder, whose files have any ending
         if "pathGlobFilter" in opts and pattern.endswith(PLAIN_ENDINGS):
-            return _joined_parts(as_bytes.select(path.alias("path"), text))
+            tree = _tree_files(spark, target, opts["pathGlobFilter"]) if all_names else None
+            return tree if tree is not None else _joined_parts(spark.read.options(**opts).format("binaryFile").load(target)
+                                                               .where(keep).select(path.alias("path"), text))
+        as_bytes = spark.read.options(**opts).format("binaryFile").load(target).where(keep)
         # the text() keyword wins over options(), so pass wholetext there
         as_text = spark.read.options(**opts).text(target, wholetext=True).where(keep)
         return _joined_parts(as_bytes.where(plain).select(path.alias("path"), text).union(
@@ -98,6 +103,136 @@ def _whole_files(spark: SparkSession, pattern: str):
     return reader
 
 
+#: Files and bytes of a task that reads whole files, up to 16 tasks a core; files and bytes of an Arrow batch.
+_TASK_FILES, _TASK_BYTES, _BATCH_FILES, _BATCH_BYTES = 100, 1 << 24, 1000, 1 << 22
+
+
+def _tree_files(spark: SparkSession, target: str, name: str) -> DataFrame | None:
+    """(path, text) of the files below the folder ``target`` whose names match
+    ``name``, the same as Spark's recursive listing finds: no hidden and no
+    empty ones.  Spark keeps the status of every file in the driver; here tasks
+    list the folders, level by level, into a table that says which files there
+    are, and tasks read them.  None if pyarrow does not reach the folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(target)
+    where = where.getFileSystem(conf).makeQualified(where)
+    plain, uri = where.toString(), re.sub("^file:/+", "file:/", where.toUri().toString())
+    if re.search(r"[][*?{}\\]", plain) or not _arrow_reaches(plain):
+        return None
+    base, schema = shared_dir(spark, "listing"), "folder string, name string, size long"
+    matches = _name_regex(name)
+    level, folders = 0, spark.createDataFrame([("", None, None)], schema)
+    cores = spark.sparkContext.defaultParallelism
+    while True:
+        folders.mapInArrow(lambda batches: _list_folders(batches, plain, matches), schema).write.parquet(f"{base}/{level}")
+        below = spark.read.schema(schema).parquet(f"{base}/{level}").where("name is null")
+        n = below.count()
+        if not n:
+            break
+        folders, level = below.repartition(min(n, 16 * cores)), level + 1
+    listed = spark.read.schema(schema).parquet(*[f"{base}/{i}" for i in range(level + 1)]).where("name is not null")
+    n, size = listed.agg(F.count("name"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(n, 16 * cores, max(n // _TASK_FILES, size // _TASK_BYTES) + 1))
+    read = listed.repartition(tasks).mapInArrow(lambda batches: _read_files(batches, plain, uri), "path string, content binary")
+    return read.select("path", F.col("content").cast("string").alias("text"))
+
+
+def arrow_fs(path: str):
+    """(file system of pyarrow, path in it) of a path or URI."""
+    from pyarrow import fs
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _arrow_reaches(path: str) -> bool:
+    from pyarrow import ArrowException, fs
+    try:
+        if not path.startswith("file:") and re.search("[^!-$&-~]", path):   # a URI would need these encoded
+            return False
+        own, top = arrow_fs(path)
+        return own.get_file_info(top).type == fs.FileType.Directory
+    except (ArrowException, OSError, ImportError):
+        return False
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's listings leave out."""
+    return (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+            or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _entries(own, folder: str):
+    """(name, is a folder, size) of what a folder holds."""
+    from pyarrow import fs
+    if isinstance(own, fs.LocalFileSystem):     # one by one, however many there are
+        with os.scandir(folder) as found:
+            for x in found:
+                try:
+                    yield x.name, x.is_dir(), x.stat().st_size
+                except FileNotFoundError:       # a link to nothing, or gone meanwhile
+                    continue
+    else:
+        for x in own.get_file_info(fs.FileSelector(folder)):
+            yield x.base_name, x.type == fs.FileType.Directory, x.size
+
+
+def _list_folders(batches, root: str, matches: str):
+    """(folder, name, size) of the files in each folder, folders being relative
+    to ``root``; a folder in it is a row without name."""
+    import pyarrow as pa
+    own, top = arrow_fs(root)
+    names = ["folder", "name", "size"]
+    kinds = (pa.string(), pa.string(), pa.int64())
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            out = []
+            for name, is_folder, size in _entries(own, f"{top.rstrip('/')}/{folder}"):
+                if _hidden(name):
+                    continue
+                if is_folder:
+                    out.append((f"{folder}{name}/", None, None))
+                elif size and re.fullmatch(matches, name) and not (name.startswith("_") and "=" not in name):   # no _metadata file
+                    out.append((folder, name, size))
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+
+def _read_files(batches, root: str, uri: str):
+    """(path, content) of listed files; the path is a URI as in ``_metadata.file_path``."""
+    import pyarrow as pa
+    own, top = arrow_fs(root)
+    paths, contents, held = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    for b in batches:
+        for folder, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            with own.open_input_file(f"{top.rstrip('/')}/{folder}{name}") as f:
+                contents.append(f.readall())
+            paths.append(f"{uri.rstrip('/')}/{_uri_part(folder + name)}")
+            held += len(contents[-1])
+            if held >= _BATCH_BYTES or len(paths) >= _BATCH_FILES:
+                yield batch()
+                paths, contents, held = [], [], 0
+    if paths:
+        yield batch()
+
+
+def _uri_part(path: str) -> str:
+    """A path as java.net.URI writes it."""
+    import unicodedata
+    from urllib.parse import quote
+    if re.fullmatch(r"[\w!$&'()*+,\-./:;=@~]*", path, re.A):
+        return path
+    return "".join(c if re.match(r"[\w!$&'()*+,\-./:;=@~]", c, re.A) or c >= "\x80" and unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc")
+                   else quote(c, safe="") for c in path)
+
+
 # S1 ---------------------------------------------------------------------------
 def text_file_corpus(spark: SparkSession, root: str,
                      patterns: str | list[str] = "*.txt") -> DataFrame:
