@@ -305,8 +305,9 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
-def test_no_list_of_the_files_of_a_tree_is_held(spark, tmp_dir):
+def test_no_list_of_the_files_of_a_tree_is_held(spark, tmp_dir, monkeypatch):
     """Spark's listing kept the status of every file in the driver."""
+    monkeypatch.setattr(files, "TREE_FILES", 100)
     for i in range(400):
         _write(f"{tmp_dir}/in/{i % 5}/{i % 3}/{i}.txt", f"text {i}")
     df = files.text_file_corpus(spark, f"{tmp_dir}/in", "**/*.txt")
@@ -316,6 +317,7 @@ def test_no_list_of_the_files_of_a_tree_is_held(spark, tmp_dir):
 
 
 def test_files_of_a_tree_are_those_that_spark_lists(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(files, "TREE_FILES", 0)
     top = f"{tmp_dir}/a%b c"
     names = ["a b.txt", "c%20d.txt", "é#?.txt", "_hid.txt", "_k=v.txt", "_metadata.txt", ".dot.txt", "p+q;&.txt", 'br[]{}^`|\\"<>.txt',
              "nb\u00a0sp\u2028\x85.txt", "x.txt._COPYING_", "x.md", "_sub/a.txt", "_metadata/a.txt", "g h/a.txt", "e/f/g/a.txt", ".h/a.txt", "x=1/a.txt"]
@@ -342,6 +344,7 @@ def test_processed_copies_remove_the_files_they_are_made_of(spark, tmp_dir, monk
     rows = [(i if i % 9 else None, None if i % 4 == 0 else f"s/{i % 3}", f"text {i % 50}\r\n") for i in range(200)] + [(1, "s", " "), (2, "s", None)]
     spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, source string, text string, lang string") \
         .write.parquet(f"{tmp_dir}/documents.parquet")
+    monkeypatch.setattr(files, "TREE_FILES", 10)
     made = []
     monkeypatch.setattr(q, "shared_dir", lambda spark, name: made.append(f"{tmp_dir}/{name}-{len(made)}") or made[-1])
     got = sorted(map(str, ((r.doc_id, r.source, r.text) for r in q.processed_copies(spark, tmp_dir).collect())))

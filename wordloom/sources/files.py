@@ -103,6 +103,8 @@ def _whole_files(spark: SparkSession, pattern: str):
     return reader
 
 
+#: Up to so many files Spark's own listing, which the driver holds, is used.
+TREE_FILES = 10_000
 #: Files and bytes of a task that reads whole files, up to 16 tasks a core; files and bytes of an Arrow batch.
 _TASK_FILES, _TASK_BYTES, _BATCH_FILES, _BATCH_BYTES = 100, 1 << 24, 1000, 1 << 22
 
@@ -112,7 +114,8 @@ def _tree_files(spark: SparkSession, target: str, name: str) -> DataFrame | None
     ``name``, the same as Spark's recursive listing finds: no hidden and no
     empty ones.  Spark keeps the status of every file in the driver; here tasks
     list the folders, level by level, into a table that says which files there
-    are, and tasks read them.  None if pyarrow does not reach the folder."""
+    are, and tasks read them.  None if pyarrow does not reach the folder, or
+    if there are TREE_FILES or fewer."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(target)
     where = where.getFileSystem(conf).makeQualified(where)
@@ -132,6 +135,8 @@ def _tree_files(spark: SparkSession, target: str, name: str) -> DataFrame | None
         folders, level = below.repartition(min(n, 16 * cores)), level + 1
     listed = spark.read.schema(schema).parquet(*[f"{base}/{i}" for i in range(level + 1)]).where("name is not null")
     n, size = listed.agg(F.count("name"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n <= TREE_FILES:
+        return None
     tasks = max(1, min(n, 16 * cores, max(n // _TASK_FILES, size // _TASK_BYTES) + 1))
     read = listed.repartition(tasks).mapInArrow(lambda batches: _read_files(batches, plain, uri), "path string, content binary")
     return read.select("path", F.col("content").cast("string").alias("text"))
